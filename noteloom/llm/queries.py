@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import chat_template, sharding, token_store, topk_search, url_filter
+from noteloom.llm import chat_template, decontamination, jaccard_join, sharding, token_store, topk_search, toxicity, url_filter
 from noteloom.llm.common import materialize, table
 
 
+def op1_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -34,6 +46,9 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_signature_tree_join": op1_signature_tree_join,
+    "op2_noisy_channel_toxicity": op2_noisy_channel_toxicity,
+    "op3_pigeonhole_decontamination": op3_pigeonhole_decontamination,
     "op4_minimax_sharding": op4_minimax_sharding,
     "op7_token_sstable": op7_token_sstable,
     "op8_bloom_cascade": op8_bloom_cascade,
