@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import chat_template, decontamination, jaccard_join, pii, sharding, token_store, topk_search, toxicity, url_filter
+from noteloom.llm import chat_template, decontamination, jaccard_join, pii, sentencepieces, sharding, token_store, topk_search, toxicity, url_filter
 from noteloom.llm.common import materialize, table
 
 
@@ -27,6 +27,10 @@ def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_noisy_channel_toxicity": op2_noisy_channel_toxicity,
     "op3_pigeonhole_decontamination": op3_pigeonhole_decontamination,
     "op4_minimax_sharding": op4_minimax_sharding,
+    "op5_sentencepiece_lattice": op5_sentencepiece_lattice,
     "op6_weak_supervision_pii": op6_weak_supervision_pii,
     "op7_token_sstable": op7_token_sstable,
     "op8_bloom_cascade": op8_bloom_cascade,
