@@ -5,7 +5,7 @@ the piece table, grouped by word, and folded with the higher-order `aggregate`.
 file. For a unigram file it is Viterbi: the segmentation with the largest sum of scores, traced back by a second fold. The
 scores of a BPE file are merge ranks, whose sum says nothing (`the` would be `t` + `he`, whose ranks add up to less), so
 for such a file the fold replays the merges on the same lattice: boundaries are the bits of a long, and each step takes
-the best edge that joins two neighbours. Either way the ids equal the library's; signs outside the table become bytes.
+the best edge that joins two neighbours; its ids equal the library's. Signs outside the table become byte pieces.
 
 Each input split is a block: its distinct words get their ids as one file of the lexicon in the shared folder, and the
 scan that encodes the block's texts reads only that file, so texts are never shuffled and no task holds the whole
