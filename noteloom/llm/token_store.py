@@ -19,6 +19,8 @@ then moved, so a task that runs twice leaves one file.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,8 +43,14 @@ INDEX_ENTRY = struct.Struct("<16s16sQQQ")
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
 END_ID = 0
-#: Words whose ids a worker remembers.
+#: Pre-tokens whose ids a worker remembers.
 CACHE_WORDS = 400_000
+PIECE_CHARS = 1 << 20
+#: Fixed value: the published pre-token pattern of byte-level BPE.
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Signs outside the Latin blocks and common punctuation, and control signs that only some engines call white space.
+_UNSURE = re.compile("[^\t\n\r -~\xa1-\u0233\u2010-\u2027\u2030-\u205e\u20ac]")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def default_tokenizer() -> str:
@@ -51,38 +60,65 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of texts as bytes. A text is cut at single spaces between two visible signs, where this pre-tokenizer always
-    cuts, and each part is encoded by the library once."""
+    """Ids of texts as bytes. A text is cut into pre-tokens by the tokenizer's own published pattern and each distinct
+    pre-token is encoded by the library once; texts with signs on which pattern engines may differ go to it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        setup = json.loads(self.tokenizer.to_str())
+        split = setup["pre_tokenizer"] or {}
+        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and setup["normalizer"] is None
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        words = list(words)
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            done = self.tokenizer.encode_batch([" " + w for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, done, strict=True))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(done.ids, self.kind), np.array(done.word_ids)
+            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+            for i, w in enumerate(part):
+                self.known[w] = ids[cuts[i] : cuts[i + 1]].tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        words = text.split(" ")
-        if "" in words or any(not w[0].isprintable() or w[0].isspace() or w[-1].isspace() for w in words if not w.isalpha()):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        head = np.array(self.tokenizer.encode(words[0], add_special_tokens=False).ids, self.kind).tobytes()
-        rest = words[1:]
+        if not self.by_word or _UNSURE.search(text) or any(x in text for x in self.special):
+            return self._whole(text)
+        return b"".join(map(self._piece, _pieces(text)))
+
+    def _piece(self, text: str) -> bytes:
+        words, known = _PRE_TOKEN.findall(text), self.known
         try:
-            return head + b"".join(map(self.known.__getitem__, rest))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            self._learn({w for w in rest if w not in self.known} if len(self.known) <= CACHE_WORDS else set(rest))
-            return head + b"".join(map(self.known.__getitem__, rest))
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            self._learn(list(set(words).difference(known)))
+            return b"".join(map(known.__getitem__, words))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """Long texts in pieces, cut before a single space between visible signs, where a pre-token always starts."""
+    at = 0
+    while len(text) - at > PIECE_CHARS and (m := _CUT.search(text, at + PIECE_CHARS)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for each tokenizer file in a worker, so that later tasks know earlier words."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _key(doc_id: int | None) -> bytes:
@@ -212,7 +248,7 @@ def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int
         files, root = filesystem(folder)
         number = TaskContext.get().partitionId()
         name = f"shard-{number:06d}.sst"
-        encoder, writer, out, last, run_number = WordEncoder(tokenizer), None, None, None, 0
+        encoder, writer, out, last, run_number = encoder_for(tokenizer), None, None, None, 0
         temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
         end = np.array([END_ID], encoder.kind).tobytes()
         for batch in batches:
