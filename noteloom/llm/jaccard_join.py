@@ -36,10 +36,10 @@ from noteloom.llm.components import connected_components
 WORDS, PERCENT = 5, 80
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shingles that one partition compares at a time, about.
-PART_TOKENS = 6_000_000
+PART_TOKENS = 4_000_000
 #: Bytes of shingle sets in one block of a family.
 BLOCK_BYTES = 8 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 BITS = 2048
 LEAF, FANOUT = 16, 8
 #: Odd constants that mix the hashes of a shingle's words.
@@ -144,24 +144,33 @@ def _share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _shared_of(part: int, held: list) -> Iterator[pd.DataFrame]:
     ids, sizes, prints = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in held]) for c in ("doc_ids", "sizes", "prints"))
-    starts = np.cumsum([0] + [len(r.doc_ids) // 8 for r in held])
-    docs = np.concatenate([np.frombuffer(r.rows, np.uint16).astype(np.int64) + s for r, s in zip(held, starts, strict=False)])
-    tokens = np.concatenate([np.frombuffer(r.hashes, np.uint32) for r in held])
-    held.clear()
     # One row per distinct set: the smallest doc_id stands for those that other tasks sent.
     order = np.lexsort((ids, sizes, prints))
     new = np.ones(len(order), bool)
     new[1:] = (prints[order][1:] != prints[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
     keep = np.zeros(len(ids), bool)
     keep[order[new]] = True
-    own = keep[docs]
-    docs, tokens = docs[own], tokens[own]
-    order = np.argsort(tokens, kind="stable")
-    tokens, docs = tokens[order], docs[order]
-    edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True])))
-    count = np.repeat(np.diff(edge), np.diff(edge))
-    some = count > 1
-    tokens, docs, count = tokens[some], docs[some], np.minimum(count[some], 0xFFFFFFFF).astype(np.uint64)
+    # Hash and row in one word, sorted in place: equal shingles become neighbours.
+    keys, at, first = np.empty(sum(len(r.hashes) for r in held) // 4, np.uint64), 0, 0
+    for r in held:
+        rows = np.frombuffer(r.rows, np.uint16).astype(np.uint32) + np.uint32(first)
+        own = keep[rows]
+        n = int(own.sum())
+        keys[at : at + n] = np.frombuffer(r.hashes, np.uint32)[own]
+        keys[at : at + n] <<= np.uint64(32)
+        keys[at : at + n] |= rows[own]
+        at, first = at + n, first + len(r.doc_ids) // 8
+    held.clear()
+    keys = keys[:at]
+    keys.sort()
+    same = (keys[1:] ^ keys[:-1]) < np.uint64(1 << 32)
+    some = np.zeros(len(keys), bool)
+    some[1:] |= same
+    some[:-1] |= same
+    keys = keys[some]
+    tokens, docs = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True]))) if len(tokens) else np.zeros(1, int)
+    count = np.repeat(np.diff(edge), np.diff(edge)).astype(np.uint64)
     order = np.argsort(docs, kind="stable")
     # A token is 8 bytes: 32 of hash and 32 of part; its frequency follows as 8 more, packed side by side.
     full = (np.uint64(part) << np.uint64(32)) | tokens.astype(np.uint64)
