@@ -90,8 +90,8 @@ def _shingle(parts: int, words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, seen = Shingler(words), set()
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                piece = batch.iloc[at : at + 4096]
+            for at in range(0, len(batch), 1024):
+                piece = batch.iloc[at : at + 1024]
                 sets = [shingler.hashes(t) for t in piece["text"]]
                 ids = piece["doc_id"].to_numpy(np.int64)
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -120,29 +120,44 @@ def _shingle(parts: int, words: int):
     return run
 
 
-_SHARED = "doc_id long, n long, print long, shared int, tokens binary"
+_SHARED = "bucket int, doc_ids binary, sizes binary, prints binary, lengths binary, tokens binary, counts binary"
+_CANDIDATE = "doc_id long, n long, print long, tokens binary, prefix binary"
 
 
-def _share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by part. Shingles of two distinct sets or more go back to their documents, with frequencies."""
-    held: list = []
-    part = None
+def _unpack_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            if row.part == -1:
-                ids, sizes, prints = (np.frombuffer(x, np.int64) for x in (row.doc_ids, row.sizes, row.prints))
-                yield pd.DataFrame({"doc_id": ids, "n": sizes, "print": prints, "shared": -1, "tokens": None})
-                continue
-            if row.part != part and held:
-                yield from _shared_of(part, held)
-                held = []
-            part = row.part
-            held.append(row)
-    if held:
-        yield from _shared_of(part, held)
+            ids, sizes, prints = (np.frombuffer(x, np.int64) for x in (row.doc_ids, row.sizes, row.prints))
+            yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "print": prints})
+
+
+def _share(buckets: int):
+    """Rows come sorted by part. Shingles of two distinct sets or more go back towards their documents, with frequencies,
+    packed by buckets of documents; document rows (bucket -1) pass through."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        part = None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.part == -1:
+                    yield pd.DataFrame([(-1, row.doc_ids, row.sizes, row.prints, b"", b"", b"")], columns=_SHARED_NAMES)
+                    continue
+                if row.part != part and held:
+                    yield _shared_of(part, held, buckets)
+                    held = []
+                part = row.part
+                held.append(row)
+        if held:
+            yield _shared_of(part, held, buckets)
+
+    return run
+
+
+_SHARED_NAMES = ["bucket", "doc_ids", "sizes", "prints", "lengths", "tokens", "counts"]
 
 
-def _shared_of(part: int, held: list) -> Iterator[pd.DataFrame]:
+def _shared_of(part: int, held: list, buckets: int) -> pd.DataFrame:
     ids, sizes, prints = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in held]) for c in ("doc_ids", "sizes", "prints"))
     # One row per distinct set: the smallest doc_id stands for those that other tasks sent.
     order = np.lexsort((ids, sizes, prints))
@@ -170,37 +185,66 @@ def _shared_of(part: int, held: list) -> Iterator[pd.DataFrame]:
     keys = keys[some]
     tokens, docs = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
     edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True]))) if len(tokens) else np.zeros(1, int)
-    count = np.repeat(np.diff(edge), np.diff(edge)).astype(np.uint64)
-    order = np.argsort(docs, kind="stable")
-    # A token is 8 bytes: 32 of hash and 32 of part; its frequency follows as 8 more, packed side by side.
-    full = (np.uint64(part) << np.uint64(32)) | tokens.astype(np.uint64)
-    packed = np.column_stack([full, count])[order]
-    docs = docs[order]
-    edge = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1], [True]))) if len(docs) else np.zeros(1, int)
-    for at in range(0, len(edge) - 1, 20_000):
-        cut = edge[at : at + 20_001]
-        who = docs[cut[:-1]]
-        yield pd.DataFrame({"doc_id": ids[who], "n": sizes[who], "print": prints[who], "shared": np.diff(cut).astype(np.int32), "tokens": [packed[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
-
-
-def _prefixes(percent: int):
-    """doc_id, token rows of the prefix of which linked documents share one; rare shingles come first."""
+    count = np.minimum(np.repeat(np.diff(edge), np.diff(edge)), 0xFFFFFFFF).astype(np.uint32)
+    bucket = (prints.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((docs, bucket[docs]))
+    tokens, docs, count = tokens[order], docs[order], count[order]
+    # A token is its hash and the part beside it.
+    tokens = (np.uint64(part) << np.uint64(32)) | tokens.astype(np.uint64)
+    cuts = np.searchsorted(bucket[docs], np.arange(buckets + 1))
+    out = []
+    for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if x < y:
+            who, lengths = np.unique(docs[x:y], return_counts=True)
+            out.append((b, ids[who].tobytes(), sizes[who].tobytes(), prints[who].tobytes(), lengths.astype(np.int32).tobytes(), tokens[x:y].tobytes(), count[x:y].tobytes()))
+    return pd.DataFrame(out, columns=_SHARED_NAMES)
+
+
+def _gather(percent: int):
+    """Rows come sorted by bucket. One row per distinct set with enough shared shingles: its tokens, and the prefix of
+    which linked documents share one; rare shingles come first."""
+
+    def of(held: list) -> pd.DataFrame:
+        ids, sizes, prints = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in held]) for c in ("doc_ids", "sizes", "prints"))
+        lengths = np.concatenate([np.frombuffer(r.lengths, np.int32) for r in held])
+        tokens = np.concatenate([np.frombuffer(r.tokens, np.uint64) for r in held])
+        counts = np.concatenate([np.frombuffer(r.counts, np.uint32) for r in held])
+        starts = np.cumsum(lengths) - lengths
+        order = np.lexsort((sizes, prints))
+        new = np.ones(len(order), bool)
+        new[1:] = (prints[order][1:] != prints[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+        edge = np.append(np.flatnonzero(new), len(order))
+        shared = np.add.reduceat(lengths[order], edge[:-1])
+        out = []
+        for i in np.flatnonzero(100 * shared >= percent * sizes[order][edge[:-1]]):
+            rows = order[edge[i] : edge[i + 1]]
+            own = np.concatenate([np.arange(starts[r], starts[r] + lengths[r]) for r in rows])
+            n = int(sizes[rows[0]])
+            rare = own[np.lexsort((tokens[own], counts[own]))][: len(own) - -(-percent * n // 100) + 1]
+            out.append((int(ids[rows].min()), n, int(prints[rows[0]]), np.sort(tokens[own]).tobytes(), tokens[rare].tobytes()))
+        return pd.DataFrame(out, columns=["doc_id", "n", "print", "tokens", "prefix"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
         for batch in batches:
-            ids, tokens = [], []
-            for doc_id, n, packs in zip(batch["doc_id"], batch["n"], batch["packs"], strict=True):
-                pairs = np.concatenate([np.frombuffer(p, np.uint64).reshape(-1, 2) for p in packs])
-                order = np.lexsort((pairs[:, 0], pairs[:, 1]))
-                size = len(pairs) - -(-percent * n // 100) + 1
-                tokens.append(pairs[order[:size], 0].astype(np.int64))
-                ids.append(np.full(len(tokens[-1]), doc_id))
-            if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "token": np.concatenate(tokens)})
+            for row in batch.itertuples(index=False):
+                if held and row.bucket != held[0].bucket:
+                    yield of(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield of(held)
 
     return run
 
 
+def _explode_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        tokens = [np.frombuffer(p, np.int64) for p in batch["prefix"]]
+        if tokens:
+            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(t) for t in tokens]), "token": np.concatenate(tokens)})
+
+
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
     at = (tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 11)).astype(np.int64)
     out = np.zeros(BITS // 64, np.uint64)
@@ -329,7 +373,7 @@ def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, family, size, number = [], None, 0, 0
 
     def block() -> pd.DataFrame:
-        sets = [np.sort(np.concatenate([np.frombuffer(p, np.uint64).reshape(-1, 2)[:, 0] for p in r.packs])) for r in held]
+        sets = [np.frombuffer(r.tokens, np.uint64) for r in held]
         sizes = np.array([r.n for r in held], np.int64)
         return pd.DataFrame([{"family": family, "block": number, "low": sizes.min(), "high": sizes.max(), "ids": np.array([r.doc_id for r in held], np.int64).tobytes(), "sizes": np.concatenate([sizes, np.array([len(s) for s in sets], np.int64)]).tobytes(), "data": np.concatenate(sets).tobytes()}])
 
@@ -355,22 +399,19 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     known = documents.where(F.col("doc_id").isNotNull()).select(ids.alias("doc_id"), "text")
     packed = known.mapInPandas(_shingle(parts, words), _PACK)
     # Document rows (part -1) are dealt out by row, shingles by part.
-    dealt = packed.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.xxhash64("doc_ids"))).sortWithinPartitions("part")
-    both = materialize(dealt.mapInPandas(_share, _SHARED), "shingles")
-    all_docs = both.where(F.col("shared") == -1).select("doc_id", F.col("n").alias("n_shingles"), "print")
-
-    # One row per distinct set with enough shared shingles.
-    candidates = materialize(
-        both.where(F.col("shared") > 0).groupBy("print", "n", "doc_id").agg(F.sum("shared").alias("shared"), F.collect_list("tokens").alias("packs")).where(100 * F.col("shared") >= percent * F.col("n")).drop("shared"),
-        "candidates",
-    )
-    prefix = candidates.mapInPandas(_prefixes(percent), "doc_id long, token long")
-    prefix = materialize(prefix, "prefix")
+    tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = packed.repartition(tasks, F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.xxhash64("doc_ids"))).sortWithinPartitions("part")
+    both = materialize(dealt.mapInPandas(_share(parts), _SHARED), "shingles")
+    all_docs = both.where(F.col("bucket") == -1).select("doc_ids", "sizes", "prints").mapInPandas(_unpack_documents, "doc_id long, n_shingles long, print long")
+
+    back = both.where(F.col("bucket") >= 0).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    candidates = materialize(back.mapInPandas(_gather(percent), _CANDIDATE), "candidates")
+    prefix = materialize(candidates.select("doc_id", "prefix").mapInPandas(_explode_prefixes, "doc_id long, token long"), "prefix")
     heads = prefix.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1)
     edges = prefix.join(heads, "token").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).distinct()
     families = connected_components(edges).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "family")
 
-    members = candidates.join(families, "doc_id").select("family", "n", "doc_id", "packs")
+    members = candidates.join(families, "doc_id").select("family", "n", "doc_id", "tokens")
     blocks = materialize(members.repartitionByRange("family", "n", "doc_id").sortWithinPartitions("family", "n", "doc_id").mapInPandas(_pack_blocks, _BLOCKS).withColumn("block", F.expr("uuid()")), "blocks")
     own = blocks.select("ids", "sizes", "data", *[F.lit(None).cast("binary").alias(f"other_{c}") for c in ("ids", "sizes", "data")])
     # Blocks of one family meet only if their size ranges allow a link.
