@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from noteloom.plans import note_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**note_queries.QUERIES}
+ORACLES: dict[str, str] = {**note_queries.ORACLES}
