@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+#: Bytes of rows that a Python worker is sent at a time: long texts must not add up to a batch of any size.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as rows, unless the session already has a smaller bound."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting).rstrip("bB") or 0) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -29,7 +40,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write to a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -29,13 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import filesystem, materialize, stage_path
+from noteloom.llm.common import bounded_batches, filesystem, materialize, stage_path
 
 MAGIC = b"NLSST001"
 FOOTER = struct.Struct("<7QI4x8s")
@@ -43,13 +42,17 @@ INDEX_ENTRY = struct.Struct("<16s16sQQQ")
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
 END_ID = 0
-#: Pre-tokens whose ids a worker remembers.
+#: Pre-tokens that a worker keeps.
 CACHE_WORDS = 400_000
 PIECE_CHARS = 1 << 20
-#: Fixed value: the published pre-token pattern of byte-level BPE.
-_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The published pre-token pattern of byte-level BPE, with the letters and numbers of the signs that
+#: `_UNSURE` lets through written out.
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u0233"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 #: Signs outside the Latin blocks and common punctuation, and control signs that only some engines call white space.
 _UNSURE = re.compile("[^\t\n\r -~\xa1-\u0233\u2010-\u2027\u2030-\u205e\u20ac]")
+_SURE_BYTES = bytes(c for c in range(256) if not _UNSURE.match(chr(c)))
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -72,34 +75,70 @@ class WordEncoder:
         setup = json.loads(self.tokenizer.to_str())
         split = setup["pre_tokenizer"] or {}
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and setup["normalizer"] is None
+        # A sign of a byte-level token stands for a byte.
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4000):
-            part = words[at : at + 4000]
+        # Words with their space in front can be encoded side by side: each starts a new pre-token.
+        spaced, other = [], []
+        for w in words:
+            (spaced if w[0] == " " and w[1:].isalpha() else other).append(w)
+        for at in range(0, len(spaced), 4000):
+            part = spaced[at : at + 4000]
+            text = "".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            sizes = list(map(len, part)) if text.isascii() else [len(w.encode()) for w in part]
+            cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1) * ids.itemsize).tolist()
+            self._keep(part, ids.tobytes(), [0, *cuts])
+        for at in range(0, len(other), 4000):
+            part = other[at : at + 4000]
             done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(done.ids, self.kind), np.array(done.word_ids)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            for i, w in enumerate(part):
-                self.known[w] = ids[cuts[i] : cuts[i + 1]].tobytes()
+            ids = np.array(done.ids, self.kind)
+            self._keep(part, ids.tobytes(), (np.searchsorted(np.array(done.word_ids), np.arange(len(part) + 1)) * ids.itemsize).tolist())
+
+    def _keep(self, words: list[str], raw: bytes, cuts: list[int]) -> None:
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+
+    def _sure(self, text: str) -> bool:
+        """Whether all pattern engines agree on the signs of a text."""
+        if self.by_word and not any(x in text for x in self.special):
+            try:
+                return not text.encode("latin-1").translate(None, _SURE_BYTES)
+            except UnicodeEncodeError:
+                return not _UNSURE.search(text)
+        return False
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of a few texts at a time, as little-endian bytes."""
+        cut = [[_PRE_TOKEN.findall(p) for p in _pieces(t)] if self._sure(t) else None for t in texts]
+        # The first CACHE_WORDS pre-tokens, among them all frequent ones, stay known; rare ones only for these texts.
+        missing = list(set().union(*(words for pieces in cut if pieces for words in pieces)).difference(self.known))
+        self._learn(missing)
+        known = self.known.__getitem__
+        out = [self._whole(t) if pieces is None else b"".join(b"".join(map(known, words)) for words in pieces) for t, pieces in zip(texts, cut, strict=True)]
+        if len(self.known) > CACHE_WORDS:
+            for w in missing:
+                del self.known[w]
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or _UNSURE.search(text) or any(x in text for x in self.special):
-            return self._whole(text)
-        return b"".join(map(self._piece, _pieces(text)))
+        return self.encode_all([text])[0]
+
 
-    def _piece(self, text: str) -> bytes:
-        words, known = _PRE_TOKEN.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            self._learn(list(set(words).difference(known)))
-            return b"".join(map(known.__getitem__, words))
+def _groups(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about PIECE_CHARS signs."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PIECE_CHARS:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -241,6 +280,7 @@ class ShardReader:
 def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int | None = None, folder: str | None = None) -> tuple[str, DataFrame]:
     """Encode and write; returns the folder and the manifest (shard, file, n_docs, n_ids)."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     tokenizer, folder = tokenizer or default_tokenizer(), folder or stage_path(spark, "tokens")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -252,15 +292,17 @@ def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int
         temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
         end = np.array([END_ID], encoder.kind).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                if writer is None:
-                    files.create_dir(root, recursive=True)
-                    out = files.open_output_stream(temporary)
-                    writer = ShardWriter(out, len(end))
-                key = _key(None if doc_id is None or doc_id != doc_id else int(doc_id))
-                run_number = run_number + 1 if key == last else 0
-                last = key
-                writer.add(key + run_number.to_bytes(8, "big"), encoder.encode(text) + end)
+            if writer is None and len(batch):
+                files.create_dir(root, recursive=True)
+                out = files.open_output_stream(temporary)
+                writer = ShardWriter(out, len(end))
+            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for group in _groups(texts):
+                for doc_id, value in zip(ids[group], encoder.encode_all(texts[group]), strict=True):
+                    key = _key(None if doc_id is None or doc_id != doc_id else int(doc_id))
+                    run_number = run_number + 1 if key == last else 0
+                    last = key
+                    writer.add(key + run_number.to_bytes(8, "big"), value + end)
         if writer is not None:
             writer.close()
             out.close()
