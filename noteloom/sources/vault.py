@@ -60,8 +60,8 @@ def read_vault(spark: SparkSession, root: str, vault: str, exclude: Exclusions |
                 full = os.path.join(root, path)
                 with open(full, encoding="utf-8", newline="") as file:
                     raw.append(file.read())
-                modified.append(pd.Timestamp(os.path.getmtime(full), unit="s", tz="UTC"))
-            yield pd.DataFrame({"vault": vault, "path": batch["path"], "raw": raw, "modified": modified})
+                modified.append(int(os.path.getmtime(full)))
+            yield pd.DataFrame({"vault": vault, "path": batch["path"], "raw": raw, "modified": pd.to_datetime(modified, unit="s", utc=True)})
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
     return listed.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism))).mapInPandas(read, "vault string, path string, raw string, modified timestamp")

@@ -100,7 +100,7 @@ def test_integrity_conditions_in_order(spark):
     have = note(1, "ab") + note(2, "a") + note(3, "ab") + note(3, "a") + note(4, "abc") + note(5, "xb") + note(6, "ab", "Old") + note(7, "a")
     got = reasons(spark, want, have)
     assert got[1] is None and got[2] == "missing chunk_index 1" and got[3] == "duplicate chunk_index 0" and got[4] == "found 3 points, expected 2"
-    assert got[5].startswith("chunk_index 0: hash x-hash-0-lo… is not a-hash-0-lo…") and got[6] == "chunk_index 0: field title differs" and got[7] == "found 1 points, expected 0"
+    assert got[5].startswith("chunk_index 0: hash x-hash-0-lon… is not a-hash-0-lon…") and got[6] == "chunk_index 0: field title differs" and got[7] == "found 1 points, expected 0"
 
 
 def test_ingest_converges_and_prunes(spark):
@@ -245,7 +245,7 @@ def test_late_rows_leave_the_windows(spark, tmp_path):
     source = str(tmp_path / "events")
     shape = "ts timestamp, event_type string, value double"
     day = "2026-01-01 {:02d}:30:00".format
-    for n, hours in enumerate(([1, 2], [10], [1, 10], [20])):
+    for n, hours in enumerate(([1, 2], [10], [10], [1, 10], [20])):
         spark.createDataFrame([(day(h), "a", 1.0) for h in hours], "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "value").coalesce(1).write.parquet(f"{source}/{n}")
     stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
     run = continuous.windowed_counts(stream).writeStream.outputMode("append").format("memory").queryName("late").trigger(availableNow=True).start()
