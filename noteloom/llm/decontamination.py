@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm.common import bounded_batches
+
 ERROR_RATE = 0.08
 SLICE_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -144,6 +146,7 @@ def _matches(items: list[tuple[int, str]], error_rate: float, text: Column) -> C
 
 def matches_column(benchmark: DataFrame, text: Column, error_rate: float = ERROR_RATE) -> Column:
     """Array of (item_id, distance, start) for each document text."""
+    bounded_batches(benchmark.sparkSession)
     parts = [_matches(items, error_rate, text) for items in _slices(benchmark)]
     if not parts:
         return F.array().cast(MATCHES)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import materialize
+from noteloom.llm.common import bounded_batches, materialize
 from noteloom.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -393,6 +393,7 @@ def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(None).cast("long"))
     chars = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(chars / 6 / PART_TOKENS) + 1)

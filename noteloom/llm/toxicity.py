@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm.common import bounded_batches, materialize
+
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
 MAX_FEATURES = 500
@@ -33,7 +35,7 @@ SMOOTHING = 3.0
 BEAM = 24
 #: Hypotheses whose log probability is within this of the best count as restorations too.
 MARGIN = 4.0
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 20_000
 
 #: What a sign may stand for in disguised words.
 LEET = {
@@ -187,6 +189,7 @@ class ToxicityModel:
 
     @classmethod
     def fit(cls, documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
+        bounded_batches(documents.sparkSession)
         chars = CharModel.fit(documents.where(F.col("text").isNotNull()).select("text"))
         known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != HELD_OUT))
         known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -198,8 +201,6 @@ class ToxicityModel:
             for batch in batches:
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"].astype("int32"), "words": [sorted(restorer.words(t)) for t in batch["text"]]})
 
-        from noteloom.llm.common import materialize
-
         rows = materialize(sample.mapInPandas(features, "doc_id long, toxic int, words array<string>"), "training")
         n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         prior = (positive + 0.5) / (n + 1)
