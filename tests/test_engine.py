@@ -270,5 +270,45 @@ def test_nothing_else_imports_the_optional_subpackage():
 
 def test_only_one_place_makes_point_predicates():
     for path in ROOT.rglob("*.py"):
-        if path.name not in ("retrieval.py", "cli.py", "ingest_queries.py", "note_queries.py", "search_queries.py", "base.py"):
+        if path.name not in ("retrieval.py", "cli.py", "tools.py", "ingest_queries.py", "note_queries.py", "search_queries.py", "base.py"):
             assert 'F.col("tenant_id") ==' not in path.read_text(), path
+
+
+def test_tools_keep_their_scope(spark):
+    from noteloom import tools
+
+    stored = spark.createDataFrame([point("t1", 1, text="alpha beta"), point("t2", 2, text="alpha gamma"), *[point("t1", 3, c, text=f"c{c}") for c in range(64)]], POINTS)
+    stored = embedding.embed_by_hash(stored.drop("dense"))
+    own = tools.KnowledgeTools(tools.Scope("interno", "t1", ("a", "b")), stored)
+    answer = own.search_knowledge("alpha", top_k=3)
+    assert "alpha beta" in answer and "gamma" not in answer and answer.startswith(security_open())
+    assert own.search_knowledge("alpha", area="b").startswith("No results. The area 'b'")
+    assert "alpha beta" in own.get_note(U(1)) and own.get_note(U(2)) == tools.NO_RESULTS
+    with pytest.raises(ValueError, match="too large"):
+        own.get_note(U(3))
+    with pytest.raises(retrieval.QueryError):
+        own.search_knowledge("alpha", area="unknown")
+    with pytest.raises(retrieval.QueryError):
+        tools.Scope("interno", "", ())
+
+
+def security_open():
+    from noteloom.operators.security import OPEN_TAG
+
+    return OPEN_TAG
+
+
+def tool_parameters(source):
+    """Parameters of the public methods of classes whose name ends in Tools."""
+    for node in ast.walk(ast.parse(source)):
+        if isinstance(node, ast.ClassDef) and node.name.endswith("Tools"):
+            for f in node.body:
+                if isinstance(f, ast.FunctionDef) and not f.name.startswith("_"):
+                    yield from (a.arg for a in f.args.args + f.args.kwonlyargs)
+
+
+def test_no_tool_takes_a_tenant_or_collection():
+    forbidden = {"tenant", "tenant_id", "collection", "scope"}
+    assert not forbidden & set(tool_parameters((ROOT / "tools.py").read_text()))
+    leaking = "class BadTools:\n    def search(self, text, tenant_id): ..."
+    assert forbidden & set(tool_parameters(leaking))
