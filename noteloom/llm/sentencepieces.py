@@ -11,7 +11,8 @@ Each input split is a block: its distinct words get their ids as one file of the
 scan that encodes the block's texts reads only that file, so texts are never shuffled and no task holds the whole
 lexicon. Words of more than `LONG_WORD` signs (rare: unbroken strings) are segmented by the same rules in Python.
 
-Nulls and empty texts have no pieces. Repeated rows are encoded row by row. `decode` gives back the text exactly.
+Nulls and empty texts have no pieces. Repeated rows are encoded row by row. `decode` gives back the
+text exactly, but for the piece sign itself, which reads back as a space (`exact` is false there).
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import filesystem, materialize, stage_path
+from noteloom.llm.common import bounded_batches, filesystem, materialize, stage_path
 
 SPACE = "▁"
 LONG_WORD = 48
+#: Words whose edges a task groups by hash before it sorts.
+GROUPS_IN_MEMORY = 100_000
 #: Added to the lowest score for a sign outside the table.
 UNKNOWN_PENALTY = 10.0
 #: Signs between whose classes words are cut, if the table has no piece that crosses.
@@ -55,6 +58,11 @@ class PieceTable:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
+    @property
+    def kind(self) -> str:
+        """Type of packed ids."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
+
     @property
     def unknown(self) -> float:
         return min(s for _, _, s in self.pieces) - UNKNOWN_PENALTY
@@ -146,18 +154,34 @@ def _power(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
 
 
+def _unpack(e: Column) -> Column:
+    """struct<ends, inner> of a packed edge: bits of its two ends and of the boundaries inside."""
+    start, end = F.shiftright(e, 26).bitwiseAND(63).cast("int"), F.shiftright(e, 20).bitwiseAND(63).cast("int")
+    return F.struct((_power(start) + _power(end)).alias("ends"), (_power(end) - _power(start + 1)).alias("inner"))
+
+
 def _replay_merges(word: Column, edges: Column) -> Column:
-    """Fold over at most as many steps as a word has signs. edges: sorted by falling score, then start. The state is the
-    set of boundaries between symbols; an edge can merge if both its ends and exactly one boundary inside are there."""
+    """Fold over at most as many steps as a word has signs. edges: packed, sorted by rank, then start. The state is the set
+    of boundaries between symbols and the edges that may still merge; an edge can merge if both its ends and exactly one
+    boundary inside are there. One-element transforms bind a value, so that lambdas do not compute it again."""
+    shape = "struct<bounds:bigint,left:array<struct<ends:bigint,inner:bigint>>>"
+    longer = F.transform(F.filter(edges, lambda e: F.shiftright(e, 20).bitwiseAND(63) - F.shiftright(e, 26).bitwiseAND(63) > 1), _unpack)
+    start = F.struct((_power(F.length(word) + 1) - 1).alias("bounds"), longer.alias("left")).cast(shape)
 
-    def ready(bounds: Column):
-        return lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
+    def step(s: Column, _: Column) -> Column:
+        ready = F.filter(s["left"], lambda e: (s["bounds"].bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(s["bounds"].bitwiseAND(e["inner"])) == 1))
+        merged = s["bounds"].bitwiseAND(F.bitwise_not(F.get(ready, F.lit(0))["inner"]))
 
-    def step(bounds: Column, _: Column) -> Column:
-        best = F.get(F.filter(edges, ready(bounds)), F.lit(0))
-        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
+        def after(b: Column) -> Column:
+            live = F.filter(s["left"], lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (b.bitwiseAND(e["inner"]) != 0))
+            done = F.struct(s["bounds"].alias("bounds"), F.array().cast("array<struct<ends:bigint,inner:bigint>>").alias("left")).cast(shape)
+            return F.when(b.isNull(), done).otherwise(F.struct(b.alias("bounds"), live.alias("left")).cast(shape))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), _power(F.length(word) + 1) - 1, step)
+        return F.when(F.size(s["left"]) == 0, s).otherwise(F.get(F.transform(F.array(merged), after), F.lit(0)))
+
+    # Each step uses up an edge at least, and a word of n signs has n - 1 merges at most.
+    steps = F.greatest(F.least(F.length(word) - 1, F.size(edges)), F.lit(1))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["bounds"])
 
 
 def _bytes_of(word: Column, start: Column, first_byte: int) -> Column:
@@ -166,11 +190,14 @@ def _bytes_of(word: Column, start: Column, first_byte: int) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.conv(F.substring(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + first_byte)
 
 
-def _pieces_between(word: Column, edges: Column, bounds: Column, first_byte: int) -> Column:
-    """Ids of the edges between neighbouring boundaries, in order."""
-    final = F.filter(edges, lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (bounds.bitwiseAND(e["inner"]) == 0))
-    ordered = F.sort_array(F.transform(final, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
-    return F.flatten(F.transform(ordered, lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_bytes_of(word, e["start"], first_byte))))
+def cut_at(word: str, bounds: int) -> list[str]:
+    """Parts of a word between the boundaries that are set."""
+    out, first = [], 0
+    for i in range(1, len(word) + 1):
+        if bounds >> i & 1:
+            out.append(word[first:i])
+            first = i
+    return out
 
 
 def _viterbi(edges: Column) -> Column:
@@ -200,31 +227,48 @@ def _trace(word: Column, best: Column, first_byte: int) -> Column:
 
 
 def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """words: distinct `word`. Returns word, ids."""
+    """words: distinct `word`. Returns word, ids (packed little-endian bytes) and whether they decode to the word."""
     spark = words.sparkSession
-    pieces = F.broadcast(spark.createDataFrame([(p, i, s) for p, i, s in table.pieces], "piece string, id int, score double"))  # the model's vocabulary
+    ranked = sorted(table.pieces, key=lambda x: (-x[2], x[1]))
+    ranks = {s: r for r, (_, _, s) in reversed(list(enumerate(ranked)))}  # equal scores share a rank
+    pieces = F.broadcast(spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in table.pieces], "piece string, id int, score double, rank int"))  # the model's vocabulary
     short = words.where(F.length("word") <= LONG_WORD)
-    n = F.length("word")
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - s)), lambda size: F.struct(s.alias("start"), (s + size).alias("end"), F.substring("word", s + 1, size).alias("piece")))))
-    lattice = short.select("word", F.explode(parts).alias("e")).select("word", "e.*").join(pieces, "piece", "left")
+    ends = F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + table.longest))
+    starts = short.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    parts = starts.select("word", "start", F.explode(ends).alias("end"))
+    lattice = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start"))).join(pieces, "piece", "left")
     lattice = lattice.where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-    score, piece = F.coalesce("score", F.lit(table.unknown)), F.coalesce("id", F.lit(-1))
     if table.merges:
-        ends, inner = _power(F.col("start")) + _power(F.col("end")), _power(F.col("end")) - _power(F.col("start") + 1)
-        edge = F.struct((-score).alias("rank"), "start", piece.alias("id"), ends.alias("ends"), inner.alias("inner"))
-        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("bounds", _replay_merges(F.col("word"), F.col("edges")))
-        done = folded.select("word", _pieces_between(F.col("word"), F.col("edges"), F.col("bounds"), table.first_byte).alias("ids"))
+        # An edge is one long: rank, start and end, so that sorting longs sorts by rank, then start. Signs are boundaries of
+        # their own; one edge of one sign keeps words that nothing can merge.
+        lattice = lattice.where((F.col("end") > F.col("start") + 1) | (F.col("start") == 0))
+        edge = F.shiftleft(F.coalesce("rank", F.lit(len(table.pieces))).cast("bigint"), 32) + F.shiftleft(F.col("start").cast("bigint"), 26) + F.shiftleft(F.col("end").cast("bigint"), 20)
+        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+        state = _replay_merges(F.col("word"), F.col("edges"))
     else:
-        edge = F.struct("end", "start", piece.alias("id"), score.alias("score"))
-        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("word", _viterbi(F.col("edges")).alias("best"))
-        done = folded.select("word", _trace(F.col("word"), F.col("best"), table.first_byte).alias("ids"))
+        edge = F.struct("end", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
+        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("best", _viterbi(F.col("edges")))
+        state = _trace(F.col("word"), F.col("best"), table.first_byte)
+
+    known = {p: (i, s) for p, i, s in table.pieces}
+    parts, kind, merges = byte_parts(table), table.kind, table.merges
+
+    def pack(words: pd.Series, lists: list) -> pd.DataFrame:
+        good = [b"".join(map(parts.__getitem__, i)) == w.encode() for w, i in zip(words, lists, strict=True)]
+        return pd.DataFrame({"word": words, "ids": [np.array(i, kind).tobytes() for i in lists], "good": good})
+
+    def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words, states = batch["word"], batch["state"].tolist()
+            yield pack(words, [[x for part in cut_at(w, b) for x in table._ids(part, known)] for w, b in zip(words, states, strict=True)] if merges else [list(i) for i in states])
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {p: (i, s) for p, i, s in table.pieces}
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "ids": [table.segment(w, known) for w in batch["word"]]})
+            yield pack(batch["word"], [table.segment(w, known) for w in batch["word"]])
 
-    return done.unionByName(words.where(F.length("word") > LONG_WORD).mapInPandas(plain, "word string, ids array<int>"))
+    shape = "word string, ids binary, good boolean"
+    return folded.select("word", state.alias("state")).mapInPandas(pieces_of, shape).unionByName(words.where(F.length("word") > LONG_WORD).mapInPandas(plain, shape))
 
 
 def _block() -> Column:
@@ -236,7 +280,7 @@ def _distinct_words(pattern: str):
         find, block, seen = re.compile(pattern).findall, None, set()
 
         def out():
-            words = list(seen)
+            words = sorted(seen)  # neighbours share their beginnings, which compresses well
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
                 yield pd.DataFrame({"block": np.full(len(part), block, np.int64), "word": part})
@@ -247,31 +291,31 @@ def _distinct_words(pattern: str):
                     if seen:
                         yield from out()
                     block, seen = b, set()
-                if text:
-                    seen.update(find(SPACE + text.replace(" ", SPACE)))
+                seen.update(find(SPACE + text.replace(" ", SPACE)))
         if seen:
             yield from out()
 
     return run
 
 
-def _read_lexicon(folder: str, block: int, kind: str) -> dict[str, bytes]:
-    from pyarrow import fs
+def _read_lexicon(folder: str, block: int) -> tuple[dict[str, bytes], set[str]]:
+    """Ids of a block's words as bytes, and the words that do not decode to themselves."""
     import pyarrow.parquet as pq
+    from pyarrow import fs
 
     files, root = filesystem(folder)
     known: dict[str, bytes] = {}
+    wrong: set[str] = set()
     where = fs.FileSelector(f"{root}/block={block}", allow_not_found=True)
     for info in files.get_file_info(where):
         if not info.path.endswith(".parquet"):
             continue
         with files.open_input_file(info.path) as source:
-            for part in pq.ParquetFile(source).iter_batches(batch_size=50_000):
-                ids = part.column("ids")
-                flat, cuts = ids.values.to_numpy().astype(kind), ids.offsets.to_numpy()
-                raw, size = flat.tobytes(), np.dtype(kind).itemsize
-                known.update((w, raw[a * size : b * size]) for w, a, b in zip(part.column("word").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    return known
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=20_000, columns=["word", "ids", "good"]):
+                words, good = batch.column("word").to_pylist(), batch.column("good").to_numpy(zero_copy_only=False)
+                known.update(zip(words, batch.column("ids").to_pylist(), strict=True))
+                wrong.update(words[i] for i in np.flatnonzero(~good))
+    return known, wrong
 
 
 def decode_ids(ids: np.ndarray, parts: list[bytes]) -> str:
@@ -291,34 +335,43 @@ def byte_parts(table: PieceTable) -> list[bytes]:
 def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids, exact: the piece ids of each text and whether they decode to it."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     table = PieceTable.load(model)
-    kind = "<u2" if table.size <= 1 << 16 else "<u4"
+    kind = table.kind
     if not documents.inputFiles():
         documents = materialize(documents, "documents")
     texts = documents.select("text", _block().alias("block")).where(F.col("text").isNotNull() & (F.col("text") != ""))
     used = materialize(texts.mapInPandas(_distinct_words(table.pattern), "block long, word string"), "words")
     lexicon = encode_words(used.select("word").distinct(), table)
     folder = stage_path(spark, "lexicon")
-    # Every block's words meet in one file: a block is one input split, so its size is bounded.
-    used.join(lexicon, "word").repartition("block").write.partitionBy("block").parquet(folder)
+    # Every block's words meet in one file: a block is one input split, so its size is bounded. Ids travel as packed
+    # little-endian bytes. Words are short-lived groups, for which hashing beats sorting.
     pattern, parts = table.pattern, byte_parts(table)
+    # A partition of words grows some twenty times when it is exploded, so partitions are not merged by their bytes.
+    settings = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(GROUPS_IN_MEMORY), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        used.join(lexicon, "word").repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, block, known = re.compile(pattern).findall, None, {}
+        find, block, known, wrong = re.compile(pattern).findall, None, {}, set()
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                piece = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), 500):
+                piece = batch.iloc[at : at + 500]
                 ids, exact = [], []
                 for b, text in zip(piece["block"].tolist(), piece["text"].tolist(), strict=True):
                     if b != block:
-                        block, known = b, _read_lexicon(folder, b, kind)
-                    if not text:
-                        ids.append(np.zeros(0, np.int32))
-                        exact.append(True)
-                        continue
-                    found = np.frombuffer(b"".join(map(known.__getitem__, find(SPACE + text.replace(" ", SPACE)))), kind)
-                    ids.append(found.astype(np.int32))
-                    exact.append(decode_ids(found, parts) == text.replace(SPACE, " "))
+                        known = {}
+                        block, (known, wrong) = b, _read_lexicon(folder, b)
+                    words = find(SPACE + text.replace(" ", SPACE)) if text else []
+                    ids.append(np.frombuffer(b"".join(map(known.__getitem__, words)), kind).astype(np.int32))
+                    # The words cover the text; a text that holds the piece sign itself reads back with spaces.
+                    exact.append(not text or SPACE not in text and not (wrong and wrong.intersection(words)))
                 yield pd.DataFrame({"doc_id": piece["doc_id"].astype("Int64"), "n_pieces": np.array([len(x) for x in ids], np.int64), "ids": ids, "exact": exact})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _block().alias("block"))

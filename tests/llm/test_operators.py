@@ -234,7 +234,7 @@ def test_sentencepiece_equals_the_library(spark):
 def test_viterbi_fold_is_optimal(spark):
     table = sentencepieces.PieceTable((("▁", 3, -1.0), ("a", 4, -2.0), ("b", 5, -2.5), ("ab", 6, -2.0), ("▁ab", 7, -6.0), ("ba", 8, -1.5), ("aba", 9, -4.0)), 100, 400, "", False)
     texts = ["".join(p) for n in range(1, 7) for p in itertools.product("ab", repeat=n)] + ["aéb"]
-    got = {r.word: list(r.ids) for r in sentencepieces.encode_words(spark.createDataFrame([("▁" + t,) for t in texts], "word string"), table).collect()}
+    got = {r.word: np.frombuffer(r.ids, table.kind).tolist() for r in sentencepieces.encode_words(spark.createDataFrame([("▁" + t,) for t in texts], "word string"), table).collect()}
     known = {p: (i, s) for p, i, s in table.pieces}
 
     def best(word):
