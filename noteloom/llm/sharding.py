@@ -37,14 +37,16 @@ class Segment:
 
 
 class Ranges:
-    """Sums over key ranges of units (key, bytes), refined on demand."""
+    """Sums over key ranges of units (key, bytes), refined on demand. fan: a power of two."""
 
     def __init__(self, units: DataFrame, first: int = 4096, fan: int = 64):
         self.units, self.fan = units, fan
         low, high = units.agg(F.min("key"), F.max("key")).first()
         self.segments: list[Segment] = []
         if low is not None:
-            self.segments = self._cells(units, low, max(1, -(-(high - low + 1) // first)))
+            # Widths are powers of two, so that all cells lie on grids with one origin.
+            self.origin = low
+            self.segments = self._cells(units, low, 1 << max(0, (high - low) // first).bit_length())
 
     def _cells(self, units: DataFrame, low: int, width: int) -> list[Segment]:
         cell = F.expr(f"cast((cast(key as decimal(38,0)) - {low}) div {width} as long)")
@@ -59,7 +61,7 @@ class Ranges:
         out = dict(enumerate([s] for s in self.segments))
         for width in {self.segments[i].width for i in at}:
             own = [i for i in at if self.segments[i].width == width]
-            finer, origin = -(-width // self.fan), self.segments[own[0]].low
+            finer, origin = max(1, width // self.fan), self.origin
             outer = F.expr(f"cast(floor((cast(key as decimal(38,0)) - {origin}) / {width}) as long)")
             inner = F.expr(f"cast(pmod(cast(key as decimal(38,0)) - {origin}, {width}) div {finer} as long)")
             place = {(self.segments[i].low - origin) // width: i for i in own}
