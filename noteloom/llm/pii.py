@@ -131,8 +131,8 @@ def _is_kind(number: int) -> Callable[[Column], Column]:
 
 
 def candidates(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` and `found`: candidate spans with votes, base spans of each kind first."""
-    out = documents.withColumn("_text", F.coalesce("text", F.lit("")))
+    """`row` with the columns `keep`, and `found`: candidate spans with votes, base spans of each kind first."""
+    out = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
     arrays = []
     for kind in KINDS:
         for name, pattern in (("base", BASE[kind]), ("loose", LOOSE[kind])):
@@ -148,7 +148,7 @@ def candidates(documents: DataFrame, keep: list[str]) -> DataFrame:
     out = out.withColumn("_base", F.concat(*[F.col(c) for *_, c in arrays if "_base" in c]))
     clash = lambda x: F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     loose = F.filter(F.concat(*[F.col(c) for *_, c in arrays if "_loose" in c]), lambda x: ~clash(x))
-    return out.select(*keep, F.concat("_base", loose).alias("found"))
+    return out.select("row", F.concat("_base", loose).alias("found"))
 
 
 @dataclass(frozen=True)
@@ -230,22 +230,23 @@ def find_pii(documents: DataFrame) -> DataFrame:
     found = materialize(candidates(documents, ["doc_id"]), "spans")
     judged = accepted_spans(found, fit_classifier(found))
     counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return judged.select("doc_id", *counts, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
+    return judged.select("row.doc_id", *counts, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; n_chars follows the text, other columns stay."""
     found = materialize(candidates(documents, documents.columns), "spans")
     judged = accepted_spans(found, fit_classifier(found))
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce("row.text", F.lit(""))
     kind = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     step = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["parts"].alias("parts"))).otherwise(
         F.struct(x["end"].alias("at"), F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.element_at(kind, x["kind"] + 1))).alias("parts"))
     )
     rest = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    changed = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
-    out = judged.withColumn("text", changed)
+    found_any = F.size("spans") > 0
+    changed = judged.withColumn("new", F.when(found_any, F.aggregate("spans", start, step, rest)).otherwise(F.col("row.text")))
+    replaced = {"text": F.col("new")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        replaced["n_chars"] = F.when(found_any, F.length("new").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return changed.select(*[replaced.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
