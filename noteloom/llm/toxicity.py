@@ -172,12 +172,17 @@ class Restorer:
         text = text.lower()
         out = set(_WORD.findall(text))
         for m in _SPACED.finditer(text):
-            out.update(self.decode(re.sub(r"[ .\-_*~]", "", m[0])))
+            signs = re.sub(r"[ .\-_*~]", "", m[0])
+            out.update(self.decode(signs))
+            if signs[0] in "ai":  # a word of one letter may stand before
+                out.update(self.decode(signs[1:]))
         for token in {t for t in text.split() if not t.isalpha()}:
-            core = _TAIL.sub("", token.strip(_EDGE)).strip(_EDGE)
-            core = core.translate(_FOLD)
-            if len(core) > 1 and not core.isalpha() and _LEET_TOKEN.fullmatch(core):
-                out.update(self.decode(core))
+            whole = token.strip(_EDGE).translate(_FOLD)
+            core = _TAIL.sub("", whole).strip(_EDGE)
+            # Two equal signs at the end may be letters; more are decoration.
+            for form in {core, whole} if 0 < len(whole) - len(core) <= 2 else {core}:
+                if len(form) > 1 and not form.isalpha() and _LEET_TOKEN.fullmatch(form):
+                    out.update(self.decode(form))
         for m in _REPEATED.finditer(text):
             out.update(self.decode(m[0]))
         return out
