@@ -192,7 +192,9 @@ def chunk_notes(notes: DataFrame, config: ChunkConfig | None = None, body: str =
     parts = parts.withColumn("sections", sections_of(F.col("headings"), F.col("starts"), F.col("counts"), F.size("lines")))
     parts = parts.withColumn("pieces", split_over_ceiling(F.col("sections"), F.col("headings"), F.col("counts"), config.ceiling))
     parts = parts.withColumn("pieces", merge_below_floor(F.col("pieces"), F.col("counts"), config))
-    rows = parts.select(*keep, body, "lines", F.posexplode("pieces").alias("chunk_index", "p"))
+    # Outer, because an inner explode adds a filter on the array, which pushes the whole chain below the scan columns and
+    # computes it once more for every element.
+    rows = parts.select(*keep, body, "lines", F.posexplode_outer("pieces").alias("chunk_index", "p")).where(F.col("p").isNotNull())
     ended = (F.col("p.end") < F.size("lines")) | F.col(body).endswith("\n")
     text = F.concat(F.array_join(F.slice("lines", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), "\n"), F.when(ended, "\n").otherwise(""))
     return rows.select(
