@@ -227,15 +227,18 @@ def _trace(word: Column, best: Column, first_byte: int) -> Column:
 
 
 def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """words: distinct `word`. Returns word, ids (packed little-endian bytes) and whether they decode to the word."""
+    """words: distinct `word`, and `blocks` that pass through. Returns word, blocks, ids (packed little-endian bytes) and
+    whether they decode to the word. One edge of each word carries the blocks through the grouping."""
     spark = words.sparkSession
     ranked = sorted(table.pieces, key=lambda x: (-x[2], x[1]))
     ranks = {s: r for r, (_, _, s) in reversed(list(enumerate(ranked)))}  # equal scores share a rank
     pieces = F.broadcast(spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in table.pieces], "piece string, id int, score double, rank int"))  # the model's vocabulary
     short = words.where(F.length("word") <= LONG_WORD)
     ends = F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + table.longest))
-    starts = short.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    parts = starts.select("word", "start", F.explode(ends).alias("end"))
+    starts = short.select("word", "blocks", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    starts = starts.withColumn("blocks", F.when(F.col("start") == 0, F.col("blocks")))
+    parts = starts.select("word", "blocks", "start", F.explode(ends).alias("end"))
+    parts = parts.withColumn("blocks", F.when(F.col("end") == 1, F.col("blocks")))
     lattice = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start"))).join(pieces, "piece", "left")
     lattice = lattice.where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
     if table.merges:
@@ -243,38 +246,45 @@ def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
         # their own; one edge of one sign keeps words that nothing can merge.
         lattice = lattice.where((F.col("end") > F.col("start") + 1) | (F.col("start") == 0))
         edge = F.shiftleft(F.coalesce("rank", F.lit(len(table.pieces))).cast("bigint"), 32) + F.shiftleft(F.col("start").cast("bigint"), 26) + F.shiftleft(F.col("end").cast("bigint"), 20)
-        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("blocks", ignorenulls=True).alias("blocks"))
 
         state = _replay_merges(F.col("word"), F.col("edges"))
     else:
         edge = F.struct("end", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
-        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("best", _viterbi(F.col("edges")))
+        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("blocks", ignorenulls=True).alias("blocks")).withColumn("best", _viterbi(F.col("edges")))
         state = _trace(F.col("word"), F.col("best"), table.first_byte)
 
     known = {p: (i, s) for p, i, s in table.pieces}
     parts, kind, merges = byte_parts(table), table.kind, table.merges
 
-    def pack(words: pd.Series, lists: list) -> pd.DataFrame:
+    def pack(batch: pd.DataFrame, lists: list) -> pd.DataFrame:
+        words = batch["word"]
         good = [b"".join(map(parts.__getitem__, i)) == w.encode() for w, i in zip(words, lists, strict=True)]
-        return pd.DataFrame({"word": words, "ids": [np.array(i, kind).tobytes() for i in lists], "good": good})
+        return pd.DataFrame({"word": words, "blocks": batch["blocks"], "ids": [np.array(i, kind).tobytes() for i in lists], "good": good})
 
     def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words, states = batch["word"], batch["state"].tolist()
-            yield pack(words, [[x for part in cut_at(w, b) for x in table._ids(part, known)] for w, b in zip(words, states, strict=True)] if merges else [list(i) for i in states])
+            yield pack(batch, [[x for part in cut_at(w, b) for x in table._ids(part, known)] for w, b in zip(words, states, strict=True)] if merges else [list(i) for i in states])
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pack(batch["word"], [table.segment(w, known) for w in batch["word"]])
+            yield pack(batch, [table.segment(w, known) for w in batch["word"]])
 
-    shape = "word string, ids binary, good boolean"
-    return folded.select("word", state.alias("state")).mapInPandas(pieces_of, shape).unionByName(words.where(F.length("word") > LONG_WORD).mapInPandas(plain, shape))
+    shape = "word string, blocks array<bigint>, ids binary, good boolean"
+    return folded.select("word", "blocks", state.alias("state")).mapInPandas(pieces_of, shape).unionByName(words.where(F.length("word") > LONG_WORD).mapInPandas(plain, shape))
 
 
 def _block() -> Column:
     return F.xxhash64(F.input_file_name(), F.input_file_block_start())
 
 
+def _is_scan(documents: DataFrame) -> bool:
+    """Whether rows come straight from files, so that each knows its split."""
+    plan = documents._jdf.queryExecution().optimizedPlan().toString()
+    return bool(documents.inputFiles()) and all(re.match(r"\W*(Project|Filter|Relation) ?", line) for line in plan.splitlines() if line.strip())
+
+
 def _distinct_words(pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, block, seen = re.compile(pattern).findall, None, set()
@@ -338,11 +348,10 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
     bounded_batches(spark)
     table = PieceTable.load(model)
     kind = table.kind
-    if not documents.inputFiles():
+    if not _is_scan(documents):
         documents = materialize(documents, "documents")
     texts = documents.select("text", _block().alias("block")).where(F.col("text").isNotNull() & (F.col("text") != ""))
     used = materialize(texts.mapInPandas(_distinct_words(table.pattern), "block long, word string"), "words")
-    lexicon = encode_words(used.select("word").distinct(), table)
     folder = stage_path(spark, "lexicon")
     # Every block's words meet in one file: a block is one input split, so its size is bounded. Ids travel as packed
     # little-endian bytes. Words are short-lived groups, for which hashing beats sorting.
@@ -353,7 +362,10 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        used.join(lexicon, "word").repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        words = used.repartition(tasks, "word").groupBy("word").agg(F.collect_list("block").alias("blocks"))  # at most one for each split
+        lexicon = encode_words(words, table).select("word", "ids", "good", F.explode("blocks").alias("block"))
+        lexicon.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

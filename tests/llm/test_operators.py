@@ -101,7 +101,7 @@ def test_toxicity_restores_disguised_words(spark):
     r = random.Random(2)
     vocabulary = ["the", "garden", "morning", "river", "quiet", "winter", "idiom", "stone", "letter", "moron", "idiot", "worthless"]
     plain = [w for w in vocabulary if w not in ("moron", "idiot", "worthless")]
-    rows = [(i, " ".join(r.choice(plain) for _ in range(40)) + (f" you {r.choice(['moron', 'idiot', 'worthless'])} " if i % 4 == 0 else " ") + r.choice(plain)) for i in range(600)]
+    rows = [(i, " ".join(r.choice(plain) for _ in range(40)) + (f" {r.choice(['moron', 'idiot', 'worthless'])} " if i % 4 == 0 else " ") + r.choice(plain)) for i in range(600)]
     hidden = [(5001, "the quiet 1d10t river"), (5002, "such a m o r o n today"), (5003, "w0rthle$$ letter"), (5004, "iiidiooot stone"), (5005, "the quiet river"), (5006, None), (5007, ""), (5008, "x" * 50_000)]
     docs = docs_of(spark, rows + hidden + [(None, "the garden")])
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
@@ -234,7 +234,7 @@ def test_sentencepiece_equals_the_library(spark):
 def test_viterbi_fold_is_optimal(spark):
     table = sentencepieces.PieceTable((("▁", 3, -1.0), ("a", 4, -2.0), ("b", 5, -2.5), ("ab", 6, -2.0), ("▁ab", 7, -6.0), ("ba", 8, -1.5), ("aba", 9, -4.0)), 100, 400, "", False)
     texts = ["".join(p) for n in range(1, 7) for p in itertools.product("ab", repeat=n)] + ["aéb"]
-    got = {r.word: np.frombuffer(r.ids, table.kind).tolist() for r in sentencepieces.encode_words(spark.createDataFrame([("▁" + t,) for t in texts], "word string"), table).collect()}
+    got = {r.word: np.frombuffer(r.ids, table.kind).tolist() for r in sentencepieces.encode_words(spark.createDataFrame([("▁" + t, [0]) for t in texts], "word string, blocks array<bigint>"), table).collect()}
     known = {p: (i, s) for p, i, s in table.pieces}
 
     def best(word):
