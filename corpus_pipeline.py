@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm import decontamination, jaccard_join, pii, sentencepieces, toxicity
-from noteloom.llm.common import materialize, table
+from noteloom.llm.common import materialize, scratch, stage_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each component stays; of repeated rows (same id and text) one."""
-    linked = materialize(jaccard_join.ngram_components(docs), "components")
+    path = stage_path(spark, "components")
+    with scratch(spark):
+        jaccard_join.ngram_components(docs).write.parquet(path)
+    linked = spark.read.parquet(path)
     later = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
     repeated = linked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
