@@ -93,8 +93,7 @@ def coverage_violations(questions: DataFrame, groups: DataFrame, min_total: int,
 def draw_note(status: DataFrame, cards: DataFrame, seed: int) -> DataFrame:
     """A note of the neediest area that is not full, the same for the same seed."""
     areas = status.where(~F.col("full")).select("area", "position")
-    order = Window.orderBy("position", F.xxhash64(F.col("uid"), F.lit(seed)), "uid")
-    return cards.join(areas, "area").withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n", "position")
+    return cards.join(areas, "area").orderBy("position", F.xxhash64(F.col("uid"), F.lit(seed)), "uid").limit(1).drop("position")
 
 
 def latency_report(timings: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -92,7 +92,9 @@ def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "documents").select("doc_id", row.alias("fields")).select("doc_id", notes.first_missing(F.col("fields")).alias("missing"))
 
 
-@query()
+@query(f"""WITH {base.NOTES_SQL}, n AS (SELECT *, doc_id % 10 = 9 AS blank FROM notes)
+SELECT vault, path, CASE WHEN NOT blank THEN uid END AS uid, CASE WHEN NOT blank THEN type END AS type, CASE WHEN NOT blank THEN coalesce(status, 'unknown') END AS status, '{schemas.DEFAULT_VISIBILITY}' AS visibility,
+  CASE WHEN NOT blank THEN DATE '2026-08-07' END AS created, area, tenant_id AS sub, blank AS skipped, CASE WHEN NOT blank AND status IS NULL THEN '"unknown" is not one of {"|".join(sorted(schemas.STATUSES))}' END AS error FROM n""")
 def front_matter_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-4, SRC-6, SRC-7: whole note files decoded and judged."""
     own = base.notes(spark, sf_dir)
