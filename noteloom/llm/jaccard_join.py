@@ -8,10 +8,11 @@ some other document has can be common, so a document can link only if at least 8
 3. documents with fewer than 80 % shared shingles are done; the others, one per distinct set, form candidate families:
    components of the graph of documents and the rare-first prefix shingles, of which linked documents share one;
 4. each family, in blocks of bounded bytes, is joined by signature trees: nodes hold OR-combined bitmaps and size
-   ranges, a dual traversal drops node pairs whose largest possible overlap is too small, leaf pairs are checked by
-   bitmap difference and then exactly, and pairs already connected are skipped. A pair of blocks returns a forest, never
-   all links of a family;
-5. components of the forests, joined to all documents by the fingerprint of their sets.
+   ranges, a dual traversal drops node pairs whose largest possible overlap is too small, and every leaf pair left by
+   the bitmap difference is checked exactly. A pair of blocks returns the number of links of each of its sets, and a
+   spanning forest of these links: the links of a family grow with the square of its size, their numbers do not;
+5. components of the forests, joined to all documents by the fingerprint of their sets. n_links is the number of other
+   rows that a row links with: its copies, and the rows of each set that its own set links with.
 
 Copies collapse by fingerprint, first within a task, then overall. Shingles are told apart by 64-bit hashes of which a
 partition compares 32 bits beside its own number, and sets by a 64-bit fingerprint and their size.
@@ -42,6 +43,8 @@ BLOCK_BYTES = 8 << 20
 CACHE_WORDS = 200_000
 BITS = 2048
 LEAF, FANOUT = 16, 8
+#: Pairs of two leaves that are intersected one by one; more are counted by a product of matrices.
+FEW = 3
 #: Odd constants that mix the hashes of a shingle's words.
 MIX = tuple(np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(WORDS))
 _LOWER = str.maketrans(UPPER, LOWER)
@@ -254,14 +257,16 @@ def _bitmap(tokens: np.ndarray) -> np.ndarray:
 
 class SignatureTree:
     """Levels of nodes over documents sorted by size; level 0 has the leaves. Per node: OR of the bitmaps, smallest and
-    largest set size, most shared shingles and fewest bits of a member."""
+    largest set size, most shared shingles and fewest bits of a member. weights: documents with each set."""
 
-    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray]):
+    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray], weights: np.ndarray | None = None):
         self.order = np.lexsort(([s[0] if len(s) else 0 for s in sets], sizes))
         self.sizes = sizes[self.order]
         self.sets = [sets[i] for i in self.order]
+        self.weights = np.ones(len(sets), np.int64) if weights is None else weights[self.order]
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.bits = np.array([_bitmap(s) for s in self.sets]).reshape(len(sets), -1)
-        lengths = np.array([len(s) for s in self.sets])
+        self.lengths = lengths = np.array([len(s) for s in self.sets], np.int64)
         count = np.bitwise_count(self.bits).sum(1)
         self.levels = []
         step, low, high, most, fewest, either = LEAF, self.sizes, self.sizes, lengths, count, self.bits
@@ -279,6 +284,16 @@ class SignatureTree:
             return range(node * LEAF, min(len(self.sizes), (node + 1) * LEAF))
         return range(node * FANOUT, min(len(self.levels[level - 1][0]), (node + 1) * FANOUT))
 
+    def incidence(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles of a leaf, sorted, and which of its members have each."""
+        if leaf not in self.known:
+            rows = self.children(0, leaf)
+            tokens, at = np.unique(np.concatenate([self.sets[x] for x in rows]), return_inverse=True)
+            has = np.zeros((len(rows), len(tokens)), bool)
+            has[np.repeat(np.arange(len(rows)), self.lengths[rows.start : rows.stop]), at] = True
+            self.known[leaf] = tokens, has
+        return self.known[leaf]
+
 
 def _may_link(a: SignatureTree, i: tuple[int, int], b: SignatureTree, j: tuple[int, int], percent: int) -> bool:
     low_a, high_a, most_a, fewest_a, either_a = (x[i[1]] for x in a.levels[i[0]])
@@ -300,10 +315,13 @@ def _find(parent: list[int], i: int) -> int:
 
 def link_forest(a: SignatureTree, b: SignatureTree, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Pairs (position in a, position in b) of links that join what no earlier pair joined."""
+    return all_links(a, b, percent)[0]
+
+
+def all_links(a: SignatureTree, b: SignatureTree, percent: int = PERCENT) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """A spanning forest of all links, and for each position in a and in b the weight of the sets that it links with."""
+    links = _Links(a, b, percent)
     same = a is b
-    offset = 0 if same else len(a.sizes)
-    parent = list(range(len(a.sizes) + (0 if same else len(b.sizes))))
-    links: list[tuple[int, int]] = []
     stack = [((len(a.levels) - 1, 0), (len(b.levels) - 1, 0))]
     while stack:
         i, j = stack.pop()
@@ -312,43 +330,67 @@ def link_forest(a: SignatureTree, b: SignatureTree, percent: int = PERCENT) -> l
         if not _may_link(a, i, b, j, percent):
             continue
         if i[0] == 0 and j[0] == 0:
-            _leaves(a, i[1], b, j[1], same, offset, parent, links, percent)
+            links.leaves(i[1], j[1])
         elif i[0] >= j[0] and not (same and i == j):
             stack += [((i[0] - 1, c), j) for c in a.children(*i)] if i[0] > j[0] else [((i[0] - 1, c), (j[0] - 1, d)) for c in a.children(*i) for d in b.children(*j)]
         elif i[0] < j[0]:
             stack += [(i, (j[0] - 1, d)) for d in b.children(*j)]
         else:
             stack += [((i[0] - 1, c), (i[0] - 1, d)) for c in a.children(*i) for d in a.children(*i) if c <= d]
-    return links
-
-
-def _leaves(a: SignatureTree, i: int, b: SignatureTree, j: int, same: bool, offset: int, parent: list[int], links: list, percent: int) -> None:
-    rows, cols = a.children(0, i), b.children(0, j)
-    sa, sb = a.sizes[rows.start : rows.stop, None], b.sizes[None, cols.start : cols.stop]
-    apart = np.bitwise_count(a.bits[rows.start : rows.stop, None] ^ b.bits[None, cols.start : cols.stop]).sum(2)
-    la = np.array([len(a.sets[x]) for x in rows])[:, None]
-    lb = np.array([len(b.sets[x]) for x in cols])[None]
-    # Bits that differ stand for different shingles: |x & y| <= (|x| + |y| - bits) / 2 over the shared shingles.
-    good = (100 + percent) * (la + lb - apart.astype(np.int64)) >= 2 * percent * (sa + sb)
-    if same and i == j:
-        good = np.triu(good, 1)
-    for x, y in zip(*np.nonzero(good), strict=True):
-        x, y = rows.start + int(x), cols.start + int(y)
-        p, q = _find(parent, x), _find(parent, y + offset)
-        if p == q:
-            continue
-        common = len(np.intersect1d(a.sets[x], b.sets[y], assume_unique=True))
-        if (100 + percent) * common >= percent * int(a.sizes[x] + b.sizes[y]):
-            parent[p] = q
-            links.append((x, y))
+    return links.forest, links.of_a, links.of_b
+
+
+class _Links:
+    def __init__(self, a: SignatureTree, b: SignatureTree, percent: int):
+        self.a, self.b, self.percent, self.same = a, b, percent, a is b
+        self.offset = 0 if self.same else len(a.sizes)
+        self.parent = list(range(self.offset + len(b.sizes)))
+        self.forest: list[tuple[int, int]] = []
+        self.of_a = np.zeros(len(a.sizes), np.int64)
+        self.of_b = self.of_a if self.same else np.zeros(len(b.sizes), np.int64)
+
+    def leaves(self, i: int, j: int) -> None:
+        a, b, percent = self.a, self.b, self.percent
+        rows, cols = a.children(0, i), b.children(0, j)
+        sa, sb = a.sizes[rows.start : rows.stop, None], b.sizes[None, cols.start : cols.stop]
+        apart = np.bitwise_count(a.bits[rows.start : rows.stop, None] ^ b.bits[None, cols.start : cols.stop]).sum(2)
+        la, lb = a.lengths[rows.start : rows.stop, None], b.lengths[None, cols.start : cols.stop]
+        # Bits that differ stand for different shingles: |x & y| <= (|x| + |y| - bits) / 2 over the shared shingles.
+        good = (100 + percent) * (la + lb - apart.astype(np.int64)) >= 2 * percent * (sa + sb)
+        if self.same and i == j:
+            good = np.triu(good, 1)
+        many = np.count_nonzero(good)
+        if not many:
+            return
+        if many > FEW:
+            (ua, ma), (ub, mb) = a.incidence(i), b.incidence(j)
+            _, ca, cb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+            common = (ma[:, ca].astype(np.float32) @ mb[:, cb].astype(np.float32).T).astype(np.int64)
+        else:
+            common = np.zeros(good.shape, np.int64)
+            for x, y in zip(*np.nonzero(good), strict=True):
+                common[x, y] = len(np.intersect1d(a.sets[rows.start + x], b.sets[cols.start + y], assume_unique=True))
+        good &= (100 + percent) * common >= percent * (sa + sb)
+        if not good.any():
+            return
+        self.of_a[rows.start : rows.stop] += good @ b.weights[cols.start : cols.stop]
+        self.of_b[cols.start : cols.stop] += a.weights[rows.start : rows.stop] @ good
+        parent, offset = self.parent, self.offset
+        pa, pb = np.array([_find(parent, x) for x in rows]), np.array([_find(parent, y + offset) for y in cols])
+        for x, y in zip(*np.nonzero(good & (pa[:, None] != pb[None])), strict=True):
+            x, y = rows.start + int(x), cols.start + int(y)
+            p, q = _find(parent, x), _find(parent, y + offset)
+            if p != q:
+                parent[p] = q
+                self.forest.append((x, y))
 
 
 def _join_blocks(percent: int):
     def tree(row_ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, SignatureTree]:
-        sizes, lengths = np.frombuffer(sizes, np.int64).reshape(2, -1)
+        sizes, lengths, weights = np.frombuffer(sizes, np.int64).reshape(3, -1)
         tokens = np.frombuffer(data, np.uint64)
         ends = np.cumsum(lengths)
-        t = SignatureTree(sizes, [tokens[e - n : e] for e, n in zip(ends, lengths, strict=True)])
+        t = SignatureTree(sizes, [tokens[e - n : e] for e, n in zip(ends, lengths, strict=True)], weights)
         return np.frombuffer(row_ids, np.int64)[t.order], t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,8 +401,10 @@ def _join_blocks(percent: int):
                     ids_b, b = ids_a, a
                 else:
                     ids_b, b = tree(row.other_ids, row.other_sizes, row.other_data)
-                links = link_forest(a, b, percent)
-                yield pd.DataFrame({"src": [ids_a[x] for x, _ in links], "dst": [ids_b[y] for _, y in links]}, dtype=np.int64)
+                forest, of_a, of_b = all_links(a, b, percent)
+                yield pd.DataFrame({"src": [ids_a[x] for x, _ in forest], "dst": [ids_b[y] for _, y in forest], "n_links": 0}, dtype=np.int64)
+                for ids, n in ((ids_a, of_a),) if a is b else ((ids_a, of_a), (ids_b, of_b)):
+                    yield pd.DataFrame({"src": ids[n > 0], "dst": ids[n > 0], "n_links": n[n > 0]}, dtype=np.int64)
 
     return run
 
@@ -375,7 +419,7 @@ def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def block() -> pd.DataFrame:
         sets = [np.frombuffer(r.tokens, np.uint64) for r in held]
         sizes = np.array([r.n for r in held], np.int64)
-        return pd.DataFrame([{"family": family, "block": number, "low": sizes.min(), "high": sizes.max(), "ids": np.array([r.doc_id for r in held], np.int64).tobytes(), "sizes": np.concatenate([sizes, np.array([len(s) for s in sets], np.int64)]).tobytes(), "data": np.concatenate(sets).tobytes()}])
+        return pd.DataFrame([{"family": family, "block": number, "low": sizes.min(), "high": sizes.max(), "ids": np.array([r.doc_id for r in held], np.int64).tobytes(), "sizes": np.concatenate([sizes, np.array([len(s) for s in sets], np.int64), np.array([r.weight for r in held], np.int64)]).tobytes(), "data": np.concatenate(sets).tobytes()}])
 
     for batch in batches:
         for row in batch.itertuples(index=False):
@@ -391,7 +435,7 @@ def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+    """doc_id, n_shingles, component_id, n_links."""
     spark = documents.sparkSession
     bounded_batches(spark)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(None).cast("long"))
@@ -412,7 +456,9 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     edges = prefix.join(heads, "token").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).distinct()
     families = connected_components(edges).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "family")
 
-    members = candidates.join(families, "doc_id").select("family", "n", "doc_id", "tokens")
+    by_set = materialize(all_docs.where(F.col("n_shingles") > 0).groupBy("print", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")), "sets")
+    weights = by_set.select("print", F.col("n_shingles").alias("n"), "weight")
+    members = candidates.join(families, "doc_id").join(weights, ["print", "n"]).select("family", "n", "doc_id", "tokens", "weight")
     blocks = materialize(members.repartitionByRange("family", "n", "doc_id").sortWithinPartitions("family", "n", "doc_id").mapInPandas(_pack_blocks, _BLOCKS).withColumn("block", F.expr("uuid()")), "blocks")
     own = blocks.select("ids", "sizes", "data", *[F.lit(None).cast("binary").alias(f"other_{c}") for c in ("ids", "sizes", "data")])
     # Blocks of one family meet only if their size ranges allow a link.
@@ -423,18 +469,20 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     ).select(F.col("x.block").alias("block"), F.col("y.block").alias("other"))
     other = blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("ids", "sizes", "data")])
     pairs = meet.join(blocks.select("block", "ids", "sizes", "data"), "block").join(other, "other").select(*own.columns)
-    links = own.unionByName(pairs).repartition(F.xxhash64("ids", "other_ids")).mapInPandas(_join_blocks(percent), "src long, dst long")
+    # Rows of one set (src = dst) have the number of its links in a pair of blocks, the others are the forest.
+    links = materialize(own.unionByName(pairs).repartition(F.xxhash64("ids", "other_ids")).mapInPandas(_join_blocks(percent), "src long, dst long, n_links long"), "links")
 
     linked = connected_components(links)  # component: smallest stand-in doc_id
+    counted = links.where(F.col("n_links") > 0).groupBy(F.col("src").alias("id")).agg(F.sum("n_links").alias("others"))
     stand_in = candidates.select("print", F.col("n").alias("n_shingles"), F.col("doc_id").alias("id"))
-    joined = stand_in.join(linked, "id").select("print", "n_shingles", "component")
-    by_set = all_docs.where(F.col("n_shingles") > 0).groupBy("print", "n_shingles").agg(F.min("doc_id").alias("first"))
+    joined = stand_in.join(linked, "id").join(counted, "id").select("print", "n_shingles", "component", "others")
     by_set = by_set.join(joined, ["print", "n_shingles"], "left")
     smallest = by_set.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("smallest"))
-    named = by_set.join(smallest, "component", "left").select("print", "n_shingles", F.coalesce("smallest", "first").alias("component_id"))
-    out = all_docs.join(named, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    n_links = (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    named = by_set.join(smallest, "component", "left").select("print", "n_shingles", F.coalesce("smallest", "first").alias("component_id"), n_links)
+    out = all_docs.join(named, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     unknown = documents.where(F.col("doc_id").isNull()).select("doc_id", "text")
-    return out.unionByName(unknown.mapInPandas(_count_only(words), "doc_id long, n_shingles long, component_id long"))
+    return out.unionByName(unknown.mapInPandas(_count_only(words), "doc_id long, n_shingles long, component_id long, n_links long"))
 
 
 def _count_only(words: int):
@@ -442,6 +490,6 @@ def _count_only(words: int):
         shingler = Shingler(words)
         for batch in batches:
             none = pd.array([None] * len(batch), dtype="Int64")
-            yield pd.DataFrame({"doc_id": none, "n_shingles": [len(shingler.hashes(t)) for t in batch["text"]], "component_id": none})
+            yield pd.DataFrame({"doc_id": none, "n_shingles": [len(shingler.hashes(t)) for t in batch["text"]], "component_id": none, "n_links": 0})
 
     return run

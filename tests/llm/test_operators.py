@@ -68,6 +68,35 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_counts_every_link(spark):
+    rows = near_copies() + [(1000, near_copies()[13][1]), (1001, "copy of no one else"), (1002, "copy of no one else")]
+    sets = {i: shingles(t) for i, t in rows}
+    links = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            links[a], links[b] = links[a] + 1, links[b] + 1
+    got = jaccard_join.ngram_components(docs_of(spark, [*rows, (None, rows[0][1])])).collect()
+    assert {r.doc_id: r.n_links for r in got} == {**links, None: 0}
+    groups = {c for _, _, c in brute_components(rows)}
+    assert sum(links.values()) // 2 > len(rows) - len(groups)  # more than a spanning forest has
+
+
+def test_blocks_of_a_family_count_every_link():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - k], r.integers(0, 2**63, k).astype(np.uint64)])) for k in r.integers(0, 70, 120)]
+    sizes, weights = np.array([len(s) for s in sets]), r.integers(1, 5, 120)
+    a, b = (jaccard_join.SignatureTree(sizes[x], sets[x.start : x.stop], weights[x]) for x in (slice(0, 50), slice(50, 120)))
+    for left, right in ((a, b), (a, a)):
+        _, of_a, of_b = jaccard_join.all_links(left, right)
+        common = np.array([[len(np.intersect1d(x, y)) for y in right.sets] for x in left.sets])
+        want = 180 * common >= 80 * (left.sizes[:, None] + right.sizes[None])
+        if left is right:
+            np.fill_diagonal(want, False)
+        assert 0 < want.sum() < want.size and (of_a == want @ right.weights).all() and (of_b == left.weights @ want).all()
+
+
 def test_jaccard_join_null_ids_and_empty_tables(spark):
     got = jaccard_join.ngram_components(docs_of(spark, [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")])).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in got) == [(False, 1), (False, 1), (True, None)]
