@@ -2,7 +2,9 @@
 
 A character language model (4-grams of the words of all texts, smoothed towards shorter contexts) and a channel model
 (leetspeak signs, separators between letters, repeated letters) give each disguised word a lattice; Viterbi decoding
-with a beam restores it. Restored and plain words are the features of a logistic regression.
+with a beam restores it. A gap in a run of spaced signs is dropped or ends a word, so a run can hold several words; the
+words of all likely readings and the run read as one word count. Restored and plain words are the features of a logistic
+regression.
 
 The language model counts every text; its table is bounded by the alphabet. The classifier is fitted on at most
 `TRAIN_ROWS` labelled rows, chosen by a hash of doc_id among those whose crc32(doc_id) mod 5 is not 0.
@@ -32,9 +34,11 @@ MAX_FEATURES = 500
 SYMBOLS = 27
 ORDER = 4
 SMOOTHING = 3.0
-BEAM = 24
+BEAM, SPACED_BEAM = 24, 96
 #: Hypotheses whose log probability is within this of the best count as restorations too.
 MARGIN = 4.0
+#: The same of the readings of a spaced run, which has an edge or none at every gap.
+SPACED_MARGIN = 8.0
 CACHE_TOKENS = 20_000
 
 #: What a sign may stand for in disguised words.
@@ -44,11 +48,16 @@ LEET = {
 }
 #: Log probabilities of the channel: a letter as itself, a sign for a letter, a separator or a repeat dropped.
 KEPT, SWAPPED, DROPPED, REPEATED = -0.05, -1.0, -1.0, -1.5
+#: A gap of a spaced run: log probabilities of dropping it and of a word edge. The most frequent gap of a run rather
+#: parts letters (GAP), any other rather parts words (ODD_GAP).
+GAP, ODD_GAP, END = " ", "\t", "\n"
+GAPS = {GAP: (KEPT, DROPPED), ODD_GAP: (DROPPED, KEPT), END: (0.0, 0.0)}
 
 _FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Three or more single signs with separators between them.
 _SPACED = re.compile(r"(?<![^\W_])(?:[a-z0-9@$!|+][ .\-_*~]{1,2}){2,}[a-z0-9@$!|+](?![^\W_])")
+_GAP = re.compile(r"[ .\-_*~]+")
 _LEET_TOKEN = re.compile(r"[^\s]*[a-z][0-9@$!|+(<{€£¥§.\-_*~]+[a-z][^\s]*|[^\s]*[0-9@$!|+(<{€£¥§][a-z][^\s]*|[a-z]+[0-9@$!|+][^\s]*")
 _REPEATED = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
 _EDGE = " .,;:?\"'`)]}>-_*~#%&"
@@ -110,72 +119,105 @@ class CharModel:
         return cls(counts)
 
 
+def _letters(path: tuple) -> str:
+    letters = []
+    while path:
+        path, code = path
+        letters.append(chr(code + 96))
+    return "".join(reversed(letters))
+
+
 class Restorer:
     def __init__(self, log: np.ndarray):
         self.log = log.tolist()
         self.known: dict[str, list[str]] = {}
 
     def decode(self, token: str) -> list[str]:
-        """Likely plain words behind a disguised one, best first."""
+        """Likely plain words behind a disguised one, best first; behind a run with gaps, in the order of their ends."""
         if token not in self.known:
             if len(self.known) > CACHE_TOKENS:
                 self.known.clear()
-            self.known[token] = self._viterbi(token)
+            self.known[token] = self._split(token) if GAP in token else self._viterbi(token)
         return self.known[token]
 
+    def _step(self, states: dict, sign: str, beam: int) -> dict:
+        """States: (last three letters, last sign, start of the word) to (score, path)."""
+        log = self.log
+        after: dict[tuple, tuple[float, tuple]] = {}
+        if "a" <= sign <= "z":
+            options = ((ord(sign) - 96, KEPT),)
+        else:
+            options = tuple((ord(c) - 96, SWAPPED) for c in LEET.get(sign, ""))
+        for (a, b, c, last, start), (score, path) in states.items():
+            row = log[a][b][c]
+            for code, channel in options:
+                new = score + channel + row[code]
+                key = (b, c, code, sign, start)
+                if key not in after or after[key][0] < new:
+                    after[key] = (new, (path, code))
+            drop = None
+            if sign == last or options and c and any(code == c for code, _ in options):
+                drop = REPEATED
+            elif not sign.isalnum():
+                drop = DROPPED
+            elif not options:
+                drop = 3 * DROPPED
+            if drop is not None:
+                key = (a, b, c, sign, start)
+                new = score + drop
+                if key not in after or after[key][0] < new:
+                    after[key] = (new, path)
+        if len(after) > beam:
+            after = dict(sorted(after.items(), key=lambda x: -x[1][0])[:beam])
+        return after
+
     def _viterbi(self, token: str) -> list[str]:
         log = self.log
-        states: dict[tuple, tuple[float, tuple]] = {(0, 0, 0, ""): (0.0, ())}
+        states: dict[tuple, tuple[float, tuple]] = {(0, 0, 0, "", 0): (0.0, ())}
         for sign in token:
-            after: dict[tuple, tuple[float, tuple]] = {}
-            if "a" <= sign <= "z":
-                options = ((ord(sign) - 96, KEPT),)
-            else:
-                options = tuple((ord(c) - 96, SWAPPED) for c in LEET.get(sign, ""))
-            for (a, b, c, last), (score, path) in states.items():
-                row = log[a][b][c]
-                for code, channel in options:
-                    new = score + channel + row[code]
-                    key = (b, c, code, sign)
-                    if key not in after or after[key][0] < new:
-                        after[key] = (new, (path, code))
-                drop = None
-                if sign == last or options and c and any(code == c for code, _ in options):
-                    drop = REPEATED
-                elif not sign.isalnum():
-                    drop = DROPPED
-                elif not options:
-                    drop = 3 * DROPPED
-                if drop is not None:
-                    key = (a, b, c, sign)
-                    new = score + drop
-                    if key not in after or after[key][0] < new:
-                        after[key] = (new, path)
-            if len(after) > BEAM:
-                after = dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
-            states = after
-        done = sorted(((score + log[a][b][c][0], path) for (a, b, c, _), (score, path) in states.items()), key=lambda x: -x[0])
+            states = self._step(states, sign, BEAM)
+        done = sorted(((score + log[a][b][c][0], path) for (a, b, c, *_), (score, path) in states.items()), key=lambda x: -x[0])
         out = []
         for score, path in done:
             if score < done[0][0] - MARGIN:
                 break
-            letters = []
-            while path:
-                path, code = path
-                letters.append(chr(code + 96))
-            if letters:
-                out.append("".join(reversed(letters)))
+            if path:
+                out.append(_letters(path))
         return list(dict.fromkeys(out))
 
+    def _split(self, token: str) -> list[str]:
+        """The words of all readings of a spaced run that are within SPACED_MARGIN of the best one."""
+        log = self.log
+        states: dict[tuple, tuple[float, tuple]] = {(0, 0, 0, "", 0): (0.0, ())}
+        best, found = {0: 0.0}, []  # best score up to a word's start; start, end, score and path of words
+        for at, sign in enumerate(token + END, 1):
+            if sign not in GAPS:
+                states = self._step(states, sign, SPACED_BEAM)
+                continue
+            drop, edge = GAPS[sign]
+            ends = [(score + edge + log[a][b][c][0], start, path) for (a, b, c, _, start), (score, path) in states.items() if path]
+            states = {key: (score + drop, path) for key, (score, path) in states.items()}
+            if ends:
+                # Whatever follows an edge is the same for all words that end there.
+                best[at] = max(ends)[0]
+                found += [(start, at, score - best[start], path) for score, start, path in ends if score >= best[at] - SPACED_MARGIN]
+                states[0, 0, 0, "", at] = (best[at], ())
+        end = len(token) + 1
+        rest = {end: 0.0}
+        for start, to, score, _ in reversed(found):
+            if to in rest:
+                rest[start] = max(rest.get(start, -np.inf), score + rest[to])
+        least = best.get(end, 0.0) - SPACED_MARGIN
+        return list(dict.fromkeys(_letters(path) for start, to, score, path in found if to in rest and best[start] + score + rest[to] >= least))
+
     def words(self, text: str) -> set[str]:
         """Plain words of a text and what its disguised words restore to."""
         text = text.lower()
         out = set(_WORD.findall(text))
         for m in _SPACED.finditer(text):
-            signs = re.sub(r"[ .\-_*~]", "", m[0])
-            out.update(self.decode(signs))
-            if signs[0] in "ai":  # a word of one letter may stand before
-                out.update(self.decode(signs[1:]))
+            out.update(self.decode(_GAP.sub("", m[0])))
+            usual = Counter(_GAP.findall(m[0])).most_common(1)[0][0]
+            out.update(self.decode(_GAP.sub(lambda g: GAP if g[0] == usual else ODD_GAP, m[0])))  # noqa: B023
         for token in {t for t in text.split() if not t.isalpha()}:
             whole = token.strip(_EDGE).translate(_FOLD)
             core = _TAIL.sub("", whole).strip(_EDGE)

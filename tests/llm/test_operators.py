@@ -142,6 +142,21 @@ def test_toxicity_restores_disguised_words(spark):
     assert held and np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.99
 
 
+def test_spaced_runs_hold_several_words():
+    import pandas as pd
+
+    r = random.Random(6)
+    plain = ["the", "garden", "i", "think", "y", "a", "o", "river", "you", "are", "stupid", "moron", "idiota", "idiot", "worthless", "am"]
+    text = " ".join(r.choice(plain) for _ in range(5000))
+    grams = next(toxicity._count_grams(iter([pd.DataFrame({"text": [text]})])))
+    counts = np.zeros(toxicity.SYMBOLS**toxicity.ORDER, np.int64)
+    counts[grams["gram"]] = grams["n"]
+    restorer = toxicity.Restorer(toxicity.CharModel(counts).log)
+    hidden = {"m o r o n i think": {"moron"}, "s.t.u.p.i.d m.o.r.o.n": {"stupid", "moron"}, "y i d i o t a": {"idiota"}, "m o r o n a": {"moron"}, "y o u a r e a m 0 r 0 n": {"you", "are", "moron"}, "a i d i o t": {"idiot"}, "w o r t h l e s s i d i o t": {"worthless", "idiot"}, "m-o-r-o-n": {"moron"}}
+    for text, want in hidden.items():
+        assert want <= restorer.words(text), text
+
+
 def test_toxicity_without_labels(spark):
     got = toxicity.score_documents(docs_of(spark, [(1, "a"), (2, None)]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(got) == 2 and all(0 <= r.score <= 1 for r in got)
