@@ -4,20 +4,23 @@ Words (runs that no piece can cross) are made distinct, exploded into substrings
 the piece table, grouped by word, and folded with the higher-order `aggregate`. The fold follows the type of the model
 file. For a unigram file it is Viterbi: the segmentation with the largest sum of scores, traced back by a second fold. The
 scores of a BPE file are merge ranks, whose sum says nothing (`the` would be `t` + `he`, whose ranks add up to less), so
-for such a file the fold replays the merges on the same lattice: boundaries are the bits of a long, and each step takes
-the best edge that joins two neighbours; its ids equal the library's. Signs outside the table become byte pieces.
+for such a file the fold takes the edges of the same lattice by rank, then place, and an edge whose two ends are still
+boundaries removes the boundaries inside it. That is what the merges do: as long as its ends are boundaries, what lies
+between evolves like the piece on its own, and each piece on its own is complete by its turn (`PieceTable.load` checks
+that of every piece). Ids equal the library's. Signs outside the table become byte pieces. Words of any length take this
+way; the boundaries of a word are the bits of one long, or of an array of longs if it has more than `LIMB` signs.
 
-Each input split is a block: its distinct words get their ids as one file of the lexicon in the shared folder, and the
-scan that encodes the block's texts reads only that file, so texts are never shuffled and no task holds the whole
-lexicon. Words of more than `LONG_WORD` signs (rare: unbroken strings) are segmented by the same rules in Python.
+Each input split is a block: its distinct words get their ids as rows of the lexicon in the shared folder, and the
+scan that encodes the block's texts reads only those, so texts are never shuffled and no task holds the whole
+lexicon. Every document's ids are decoded again and compared with its text (`exact`).
 
 Nulls and empty texts have no pieces. Repeated rows are encoded row by row. `decode` gives back the
-text exactly, but for the piece sign itself, which reads back as a space (`exact` is false there).
+text exactly, but for the piece sign itself, which reads back as a space (`exact` is false there). Empty tables give no
+rows; further columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,10 +30,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bounded_batches, filesystem, materialize, stage_path
+from noteloom.llm.common import bounded_batches, filesystem, materialize, set_for_now, stage_path
 
 SPACE = "▁"
-LONG_WORD = 48
+#: Boundaries in one long.
+LIMB = 62
+#: Splits whose words are encoded together, and folders of the lexicon.
+SPLITS, FOLDERS = 1024, 4096
 #: Words whose edges a task groups by hash before it sorts.
 GROUPS_IN_MEMORY = 100_000
 #: Added to the lowest score for a sign outside the table.
@@ -87,6 +93,8 @@ class PieceTable:
         crossing = re.compile(rf"[^{SPACE}]{SPACE}|\n")
         if any(crossing.search(p) for p, _, _ in normal):
             raise ValueError("a piece crosses words")
+        if spec.model_type == spec.BPE and (odd_pieces := out_of_order(normal)):
+            raise ValueError(f"merges are not in the order of their ranks: {odd_pieces[:5]}")
         mixed = re.compile(rf"[{LETTERS}][{MARKS}]|[{MARKS}][{LETTERS}]")
         rest = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+"
         if not any(mixed.search(p) for p, _, _ in normal):
@@ -97,91 +105,72 @@ class PieceTable:
     def words(self, text: str) -> list[str]:
         return re.findall(self.pattern, SPACE + text.replace(" ", SPACE)) if text else []
 
-    def segment(self, word: str, table: dict[str, tuple[int, float]]) -> list[int]:
-        """The same rules as the folds, for one word."""
-        return self._merged(word, table) if self.merges else self._best(word, table)
-
-    def _ids(self, part: str, table: dict[str, tuple[int, float]]) -> list[int]:
+    def ids_of(self, part: str, table: dict[str, int]) -> list[int]:
         known = table.get(part)
-        return [known[0]] if known else [self.first_byte + b for b in part.encode()]
-
-    def _merged(self, word: str, table: dict[str, tuple[int, float]]) -> list[int]:
-        n = len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        stop = list(range(1, n + 1))  # where the symbol that starts here ends; 0 once it is merged away
-        heap: list[tuple[float, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n:
-                known = table.get(word[i : stop[after[i]]])
-                if known:
-                    heapq.heappush(heap, (-known[1], i, stop[after[i]]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, end = heapq.heappop(heap)
-            if not stop[i] or after[i] >= n or stop[after[i]] != end:
-                continue
-            j = after[i]
-            stop[i], stop[j] = end, 0
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [x for i in range(n) if stop[i] for x in self._ids(word[i : stop[i]], table)]
-
-    def _best(self, word: str, table: dict[str, tuple[int, float]]) -> list[int]:
-        n, longest, unknown = len(word), self.longest, self.unknown
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(-np.inf, 0)] * n
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                known = table.get(word[start:end])
-                if known is None and end - start > 1:
-                    continue
-                score = best[start][0] + (known[1] if known else unknown)
-                if score > best[end][0]:
-                    best[end] = (score, start)
-        parts, at = [], n
-        while at:
-            parts.append(word[best[at][1] : at])
-            at = best[at][1]
-        return [x for part in reversed(parts) for x in self._ids(part, table)]
+        return [known] if known is not None else [self.first_byte + b for b in part.encode()]
+
+
+def out_of_order(pieces: tuple[tuple[str, int, float], ...]) -> list[str]:
+    """Pieces of a BPE file that their own signs do not merge into by the turn of their rank."""
+    scores = {p: s for p, _, s in pieces}
+    out = []
+    for piece, _, score in pieces:
+        parts, least = list(piece), np.inf
+        while len(parts) > 1:
+            ready = [(scores[x + y], -i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in scores]
+            if not ready:
+                break
+            best, at = max(ready)
+            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            least = min(least, best)
+        if len(parts) > 1 or least < score:
+            out.append(piece)
+    return out
 
 
 def _power(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
 
 
-def _unpack(e: Column) -> Column:
-    """struct<ends, inner> of a packed edge: bits of its two ends and of the boundaries inside."""
-    start, end = F.shiftright(e, 26).bitwiseAND(63).cast("int"), F.shiftright(e, 20).bitwiseAND(63).cast("int")
-    return F.struct((_power(start) + _power(end)).alias("ends"), (_power(end) - _power(start + 1)).alias("inner"))
+def _start_of(e: Column) -> Column:
+    return F.shiftright(e, 6).bitwiseAND((1 << 26) - 1).cast("int")
 
 
 def _replay_merges(word: Column, edges: Column) -> Column:
-    """Fold over at most as many steps as a word has signs. edges: packed, sorted by rank, then start. The state is the set
-    of boundaries between symbols and the edges that may still merge; an edge can merge if both its ends and exactly one
-    boundary inside are there. One-element transforms bind a value, so that lambdas do not compute it again."""
-    shape = "struct<bounds:bigint,left:array<struct<ends:bigint,inner:bigint>>>"
-    longer = F.transform(F.filter(edges, lambda e: F.shiftright(e, 20).bitwiseAND(63) - F.shiftright(e, 26).bitwiseAND(63) > 1), _unpack)
-    start = F.struct((_power(F.length(word) + 1) - 1).alias("bounds"), longer.alias("left")).cast(shape)
+    """Fold over a word's edges (packed longs, sorted by rank, then start) from all boundaries to those that remain."""
+    everything = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(word) + 1) - 1
+
+    def step(bounds: Column, e: Column) -> Column:
+        start = _start_of(e)
+        end = start + e.bitwiseAND(63).cast("int")
+        ends = _power(start) + _power(end)
+        return F.when(bounds.bitwiseAND(ends) == ends, bounds.bitwiseAND(F.bitwise_not(_power(end) - _power(start + 1)))).otherwise(bounds)
 
-    def step(s: Column, _: Column) -> Column:
-        ready = F.filter(s["left"], lambda e: (s["bounds"].bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(s["bounds"].bitwiseAND(e["inner"])) == 1))
-        merged = s["bounds"].bitwiseAND(F.bitwise_not(F.get(ready, F.lit(0))["inner"]))
+    return F.aggregate(edges, everything, step)
 
-        def after(b: Column) -> Column:
-            live = F.filter(s["left"], lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (b.bitwiseAND(e["inner"]) != 0))
-            done = F.struct(s["bounds"].alias("bounds"), F.array().cast("array<struct<ends:bigint,inner:bigint>>").alias("left")).cast(shape)
-            return F.when(b.isNull(), done).otherwise(F.struct(b.alias("bounds"), live.alias("left")).cast(shape))
 
-        return F.when(F.size(s["left"]) == 0, s).otherwise(F.get(F.transform(F.array(merged), after), F.lit(0)))
+def _replay_long(n: Column, edges: Column) -> Column:
+    """The same for a word of any length n: an array of longs with LIMB boundaries each. An edge touches two at most."""
+    full = F.lit((1 << LIMB) - 1)
+    everything = F.transform(F.sequence(F.lit(0), F.floor(n / LIMB).cast("int")), lambda i: full)
 
-    # Each step uses up an edge at least, and a word of n signs has n - 1 merges at most.
-    steps = F.greatest(F.least(F.length(word) - 1, F.size(edges)), F.lit(1))
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["bounds"])
+    def bit(bounds: Column, at: Column) -> Column:
+        return F.shiftright(F.get(bounds, F.floor(at / LIMB).cast("int")), 0).bitwiseAND(_power(at % LIMB)) != 0
+
+    def step(bounds: Column, e: Column) -> Column:
+        start = _start_of(e)
+        end = start + e.bitwiseAND(63).cast("int")
+        limb = F.floor((start + 1) / LIMB).cast("int")
+        low, high = start + 1 - limb * LIMB, end - limb * LIMB  # inside the first limb, and perhaps beyond it
+        first = F.get(bounds, limb).bitwiseAND(F.bitwise_not(_power(F.least(high, F.lit(LIMB))) - _power(low)))
+        second = F.get(bounds, limb + 1).bitwiseAND(F.bitwise_not(_power(high - LIMB) - 1))
+        tail = F.size(bounds) - limb
+        new = F.when(
+            high > LIMB, F.concat(F.slice(bounds, F.lit(1), limb), F.array(first, second), F.slice(bounds, limb + 3, F.greatest(tail - 2, F.lit(0))))
+        ).otherwise(F.concat(F.slice(bounds, F.lit(1), limb), F.array(first), F.slice(bounds, limb + 2, tail - 1)))
+        return F.when(bit(bounds, start) & bit(bounds, end), new).otherwise(bounds)
+
+    return F.aggregate(edges, everything, step)
 
 
 def _bytes_of(word: Column, start: Column, first_byte: int) -> Column:
@@ -192,14 +181,21 @@ def _bytes_of(word: Column, start: Column, first_byte: int) -> Column:
 
 def cut_at(word: str, bounds: int) -> list[str]:
     """Parts of a word between the boundaries that are set."""
-    out, first = [], 0
-    for i in range(1, len(word) + 1):
-        if bounds >> i & 1:
-            out.append(word[first:i])
-            first = i
+    out, first, bounds = [], 0, bounds & ~1
+    while bounds:
+        low = bounds & -bounds
+        last = low.bit_length() - 1
+        out.append(word[first:last])
+        first, bounds = last, bounds ^ low
     return out
 
 
+def cut_long(word: str, limbs: np.ndarray) -> list[str]:
+    bits = np.unpackbits(np.asarray(limbs, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :LIMB].ravel()
+    at = np.flatnonzero(bits[: len(word) + 1])
+    return [word[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _viterbi(edges: Column) -> Column:
     """Fold over edges sorted by end and start: best path to each position as (score, start, id)."""
     node = "struct<score:double,start:int,id:int>"
@@ -226,53 +222,68 @@ def _trace(word: Column, best: Column, first_byte: int) -> Column:
     return F.aggregate(F.sequence(F.size(best), F.lit(2), F.lit(-1)), start, step, lambda s: s["ids"])
 
 
-def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """words: distinct `word`, and `blocks` that pass through. Returns word, blocks, ids (packed little-endian bytes) and
-    whether they decode to the word. One edge of each word carries the blocks through the grouping."""
+def _lattice(words: DataFrame, table: PieceTable, key: list[str], carried: list[str]) -> DataFrame:
+    """Edges of each word: the columns `key`, start, end, id, score and rank. The columns `carried` come with one edge of
+    each word, null with the others."""
     spark = words.sparkSession
     ranked = sorted(table.pieces, key=lambda x: (-x[2], x[1]))
     ranks = {s: r for r, (_, _, s) in reversed(list(enumerate(ranked)))}  # equal scores share a rank
     pieces = F.broadcast(spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in table.pieces], "piece string, id int, score double, rank int"))  # the model's vocabulary
-    short = words.where(F.length("word") <= LONG_WORD)
     ends = F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + table.longest))
-    starts = short.select("word", "blocks", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    starts = starts.withColumn("blocks", F.when(F.col("start") == 0, F.col("blocks")))
-    parts = starts.select("word", "blocks", "start", F.explode(ends).alias("end"))
-    parts = parts.withColumn("blocks", F.when(F.col("end") == 1, F.col("blocks")))
-    lattice = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start"))).join(pieces, "piece", "left")
-    lattice = lattice.where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
+    starts = words.select(*{*key, "word", *carried}, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    starts = starts.withColumns({c: F.when(F.col("start") == 0, F.col(c)) for c in carried})
+    parts = starts.select(*{*key, "word", *carried}, "start", F.explode(ends).alias("end"))
+    parts = parts.withColumns({c: F.when(F.col("end") == 1, F.col(c)) for c in carried})
     if table.merges:
-        # An edge is one long: rank, start and end, so that sorting longs sorts by rank, then start. Signs are boundaries of
-        # their own; one edge of one sign keeps words that nothing can merge.
-        lattice = lattice.where((F.col("end") > F.col("start") + 1) | (F.col("start") == 0))
-        edge = F.shiftleft(F.coalesce("rank", F.lit(len(table.pieces))).cast("bigint"), 32) + F.shiftleft(F.col("start").cast("bigint"), 26) + F.shiftleft(F.col("end").cast("bigint"), 20)
-        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("blocks", ignorenulls=True).alias("blocks"))
+        # Signs are boundaries of their own; one edge of one sign keeps words that nothing can merge.
+        parts = parts.where((F.col("end") > F.col("start") + 1) | (F.col("start") == 0))
+    lattice = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start"))).join(pieces, "piece", "left")
+    return lattice.where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
+
 
-        state = _replay_merges(F.col("word"), F.col("edges"))
+def _edges(table: PieceTable) -> Column:
+    """Of a BPE file one long each: rank, start and length, so that sorting longs sorts by rank, then start."""
+    if table.merges:
+        rank = F.shiftleft(F.coalesce("rank", F.lit(len(table.pieces))).cast("bigint"), 32)
+        edge = rank + F.shiftleft(F.col("start").cast("bigint"), 6) + (F.col("end") - F.col("start")).cast("bigint")
     else:
         edge = F.struct("end", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
-        folded = lattice.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("blocks", ignorenulls=True).alias("blocks")).withColumn("best", _viterbi(F.col("edges")))
-        state = _trace(F.col("word"), F.col("best"), table.first_byte)
+    return F.sort_array(F.collect_list(edge)).alias("edges")
 
-    known = {p: (i, s) for p, i, s in table.pieces}
-    parts, kind, merges = byte_parts(table), table.kind, table.merges
 
-    def pack(batch: pd.DataFrame, lists: list) -> pd.DataFrame:
-        words = batch["word"]
-        good = [b"".join(map(parts.__getitem__, i)) == w.encode() for w, i in zip(words, lists, strict=True)]
-        return pd.DataFrame({"word": words, "blocks": batch["blocks"], "ids": [np.array(i, kind).tobytes() for i in lists], "good": good})
+def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
+    """words: distinct (`word`, `salt`), and `blocks` that pass through. Returns word, blocks, ids (packed little-endian
+    bytes). One edge of each word carries the blocks through the grouping. Words beyond LIMB signs are grouped by their
+    hash and length, so that they are not copied with each edge, and meet their text again by a join."""
+    short, long = words.where(F.length("word") < LIMB), words.where(F.length("word") >= LIMB)
+    key = F.xxhash64("word", F.reverse("word"))
+    folded = _lattice(short, table, ["word", "salt"], ["blocks"]).groupBy("word", "salt").agg(_edges(table), F.first("blocks", ignorenulls=True).alias("blocks"))
+    named = long.withColumns({"key": key, "n": F.length("word")})
+    edges = _lattice(named, table, ["key", "n", "salt"], []).groupBy("key", "n", "salt").agg(_edges(table))
+    if table.merges:
+        short_state, long_state, shape = _replay_merges(F.col("word"), F.col("edges")), _replay_long(F.col("n"), F.col("edges")), "array<bigint>"
+    else:
+        short_state = _trace(F.col("word"), _viterbi(F.col("edges")), table.first_byte)
+        long_state, shape = _viterbi(F.col("edges")), "array<int>"
+    long_words = named.select("key", "n", "salt", "word", "blocks").join(edges.select("key", "n", "salt", long_state.alias("state")), ["key", "n", "salt"])
+    if not table.merges:
+        long_words = long_words.withColumn("state", _trace(F.col("word"), F.col("state"), table.first_byte))
+    known = {p: i for p, i, _ in table.pieces}
+    kind, merges, ids_of = table.kind, table.merges, table.ids_of
 
-    def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words, states = batch["word"], batch["state"].tolist()
-            yield pack(batch, [[x for part in cut_at(w, b) for x in table._ids(part, known)] for w, b in zip(words, states, strict=True)] if merges else [list(i) for i in states])
+    def pieces_of(cut):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                words, states = batch["word"], batch["state"].tolist()
+                lists = [[x for part in cut(w, b) for x in ids_of(part, known)] for w, b in zip(words, states, strict=True)] if merges else states
+                yield pd.DataFrame({"word": words, "blocks": batch["blocks"], "ids": [np.array(i, kind).tobytes() for i in lists]})
 
-    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pack(batch, [table.segment(w, known) for w in batch["word"]])
+        return run
 
-    shape = "word string, blocks array<bigint>, ids binary, good boolean"
-    return folded.select("word", "blocks", state.alias("state")).mapInPandas(pieces_of, shape).unionByName(words.where(F.length("word") > LONG_WORD).mapInPandas(plain, shape))
+    out = "word string, blocks array<bigint>, ids binary"
+    return folded.select("word", "blocks", short_state.alias("state")).mapInPandas(pieces_of(cut_at), out).unionByName(
+        long_words.select("word", "blocks", F.col("state").cast(shape).alias("state")).mapInPandas(pieces_of(cut_long), out)
+    )
 
 
 def _block() -> Column:
@@ -308,24 +319,24 @@ def _distinct_words(pattern: str):
     return run
 
 
-def _read_lexicon(folder: str, block: int) -> tuple[dict[str, bytes], set[str]]:
-    """Ids of a block's words as bytes, and the words that do not decode to themselves."""
+def _read_lexicon(folder: str, group: int, block: int) -> dict[str, bytes]:
+    """Ids of a block's words as bytes; rows of a folder are sorted by block."""
     import pyarrow.parquet as pq
-    from pyarrow import fs
+    from pyarrow import compute, fs
 
     files, root = filesystem(folder)
     known: dict[str, bytes] = {}
-    wrong: set[str] = set()
-    where = fs.FileSelector(f"{root}/block={block}", allow_not_found=True)
-    for info in files.get_file_info(where):
+    for info in files.get_file_info(fs.FileSelector(f"{root}/group={group}", allow_not_found=True)):
         if not info.path.endswith(".parquet"):
             continue
         with files.open_input_file(info.path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(batch_size=20_000, columns=["word", "ids", "good"]):
-                words, good = batch.column("word").to_pylist(), batch.column("good").to_numpy(zero_copy_only=False)
-                known.update(zip(words, batch.column("ids").to_pylist(), strict=True))
-                wrong.update(words[i] for i in np.flatnonzero(~good))
-    return known, wrong
+            file = pq.ParquetFile(source)
+            place = file.schema_arrow.names.index("block")
+            near = [i for i in range(file.num_row_groups) if (s := file.metadata.row_group(i).column(place).statistics) is None or s.min <= block <= s.max]
+            for batch in file.iter_batches(batch_size=20_000, row_groups=near, columns=["block", "word", "ids"]):
+                batch = batch.filter(compute.equal(batch.column("block"), block))
+                known.update(zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True))
+    return known
 
 
 def decode_ids(ids: np.ndarray, parts: list[bytes]) -> str:
@@ -333,6 +344,20 @@ def decode_ids(ids: np.ndarray, parts: list[bytes]) -> str:
     return raw.replace(SPACE, " ")[1:]
 
 
+class BatchDecoder:
+    """Bytes of many ids at a time."""
+
+    def __init__(self, parts: list[bytes]):
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        at = np.repeat(self.first[ids] - (np.cumsum(sizes) - sizes), sizes)
+        return self.flat[at + np.arange(len(at))].tobytes()
+
+
 def byte_parts(table: PieceTable) -> list[bytes]:
     out = [b""] * table.size
     for piece, i, _ in table.pieces:
@@ -352,44 +377,52 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
         documents = materialize(documents, "documents")
     texts = documents.select("text", _block().alias("block")).where(F.col("text").isNotNull() & (F.col("text") != ""))
     used = materialize(texts.mapInPandas(_distinct_words(table.pattern), "block long, word string"), "words")
-    folder = stage_path(spark, "lexicon")
-    # Every block's words meet in one file: a block is one input split, so its size is bounded. Ids travel as packed
-    # little-endian bytes. Words are short-lived groups, for which hashing beats sorting.
-    pattern, parts = table.pattern, byte_parts(table)
-    # A partition of words grows some twenty times when it is exploded, so partitions are not merged by their bytes.
+    splits = used.agg(F.count_distinct("block")).first()[0]
+    folder, folders = stage_path(spark, "lexicon"), max(1, min(FOLDERS, splits))
+    group = F.pmod(F.col("block"), F.lit(folders)).cast("int")
+    # Ids travel as packed little-endian bytes. Words are short-lived groups, for which hashing beats sorting; a partition
+    # of words grows some twenty times when it is exploded, so partitions are not merged by their bytes.
     settings = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(GROUPS_IN_MEMORY), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        words = used.repartition(tasks, "word").groupBy("word").agg(F.collect_list("block").alias("blocks"))  # at most one for each split
-        lexicon = encode_words(words, table).select("word", "ids", "good", F.explode("blocks").alias("block"))
-        lexicon.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with set_for_now(spark, settings):
+        # A salt bounds the list of splits that a frequent word comes with.
+        salted = used.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(-(-max(splits, 1) // SPLITS))).cast("int"))
+        words = salted.repartition(tasks, "word", "salt").groupBy("word", "salt").agg(F.collect_list("block").alias("blocks"))
+        lexicon = encode_words(words, table).select("word", "ids", F.explode("blocks").alias("block")).withColumn("group", group)
+        # All words of a block meet in one folder; row groups are small, so that a reader opens little beside its block.
+        dealt = lexicon.repartitionById(max(tasks, 1), F.pmod("group", F.lit(tasks))).sortWithinPartitions("group", "block")
+        dealt.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("group").parquet(folder)
+    pattern, decoder = table.pattern, BatchDecoder(byte_parts(table))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, block, known, wrong = re.compile(pattern).findall, None, {}, set()
+        find, block, known = re.compile(pattern).findall, None, {}
         for batch in batches:
             for at in range(0, len(batch), 500):
                 piece = batch.iloc[at : at + 500]
-                ids, exact = [], []
-                for b, text in zip(piece["block"].tolist(), piece["text"].tolist(), strict=True):
+                raws, plain = [], []
+                for b, g, text in zip(piece["block"].tolist(), piece["group"].tolist(), piece["text"].tolist(), strict=True):
                     if b != block:
                         known = {}
-                        block, (known, wrong) = b, _read_lexicon(folder, b)
-                    words = find(SPACE + text.replace(" ", SPACE)) if text else []
-                    ids.append(np.frombuffer(b"".join(map(known.__getitem__, words)), kind).astype(np.int32))
-                    # The words cover the text; a text that holds the piece sign itself reads back with spaces.
-                    exact.append(not text or SPACE not in text and not (wrong and wrong.intersection(words)))
+                        block, known = b, _read_lexicon(folder, g, b)
+                    signs = SPACE + text.replace(" ", SPACE) if text else ""
+                    raws.append(b"".join(map(known.__getitem__, find(signs))))
+                    plain.append(signs.encode())
+                ids = [np.frombuffer(r, kind).astype(np.int32) for r in raws]
+                ends = np.cumsum(decoder_sizes(decoder, ids))
+                back = decoder.raw(np.concatenate(ids)) if ids else b""
+                exact = [t == back[e - n : e] for t, e, n in zip(plain, ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
+                exact = [ok and SPACE not in (text or "") for ok, text in zip(exact, piece["text"].tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": piece["doc_id"].astype("Int64"), "n_pieces": np.array([len(x) for x in ids], np.int64), "ids": ids, "exact": exact})
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _block().alias("block"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _block().alias("block")).withColumn("group", group)
     return rows.mapInPandas(run, "doc_id long, n_pieces long, ids array<int>, exact boolean")
 
 
+def decoder_sizes(decoder: BatchDecoder, lists: list[np.ndarray]) -> np.ndarray:
+    """Bytes that each list of ids stands for."""
+    return np.array([decoder.sizes[x].sum() for x in lists], np.int64)
+
+
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, text from doc_id, ids."""
     parts = byte_parts(PieceTable.load(model))
