@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,6 +89,33 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than one in HOT_KEYS of all rows are hot, so there are fewer than HOT_KEYS of them.
+HOT_KEYS, LEAST_HOT = 10_000, 100
+
+
+def hot_limit(rows: int) -> int:
+    """Rows that a key may have without being hot."""
+    return max(rows // HOT_KEYS, LEAST_HOT)
+
+
+def join_hot_keys(rows: DataFrame, totals: DataFrame, keys: list[str], count: str, add: list[str]) -> DataFrame:
+    """rows with the columns `add` of totals (one row per key, with the number of its rows in `count`); null without one.
+
+    Rows of hot keys meet a broadcast of at most HOT_KEYS totals and are not shuffled; the others are joined by key.
+    """
+    n = totals.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > hot_limit(n)
+    hot, other = totals.where(is_hot), totals.where(~is_hot)
+    named = [F.col(c).alias(f"_right_{c}") for c in keys]
+    if hot.isEmpty():
+        return rows.join(totals.select(*keys, *add), keys, "left").select(*rows.columns, *add)
+    first = rows.join(F.broadcast(hot.select(*named, *[F.col(c).alias(f"_hot_{c}") for c in add], F.lit(True).alias("_hot"))), [F.col(c) == F.col(f"_right_{c}") for c in keys], "left")
+    first = materialize(first.drop(*[f"_right_{c}" for c in keys]), "hot")
+    done = first.where("_hot").select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in add])
+    rest = first.where(F.col("_hot").isNull()).select(*rows.columns)
+    return done.unionByName(rest.join(other.select(*keys, *add), keys, "left").select(*rows.columns, *add))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,24 +1,32 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by alternating large-star and small-star rounds.
+
+Empty edges give no rows; self-links and repeated edges change nothing; ids are unique, so there are no ties.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import materialize
+from noteloom.llm.common import hot_limit, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     """Link the neighbours of each node (the larger ones, or the smaller ones) to the smallest of them and itself.
 
-    edges: (a, b) with a > b. The smallest neighbour comes from an aggregation and a join, never from a collected list.
+    edges: (a, b) with a > b, `total` of them. The smallest neighbour comes from an aggregation and a join, never from a
+    collected list; nodes with many neighbours, of which there are few, meet theirs by a broadcast.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", F.least("a", "least").alias("m"), "n")
+    limit = hot_limit(2 * total)
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", F.col("m").alias("hub")))  # fewer than HOT_KEYS rows
+    marked = both.join(hubs, "a", "left")
+    rest = marked.where(F.col("hub").isNull()).select("a", "b").join(least.select("a", "m"), "a")
+    joined = marked.where(F.col("hub").isNotNull()).select("a", "b", F.col("hub").alias("m")).unionByName(rest)
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -26,17 +34,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (src, dst). Returns (id, component) for every node of an edge; component is the smallest id reached."""
     now = edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     now = materialize(now, "edges")
-    state = None
-    for _ in range(max_rounds):
-        now = materialize(_star(_star(now, True), False), "edges")
+    total, state = now.count(), None
+    while True:
+        now = materialize(_star(_star(now, total, True), total, False), "edges")
         # Both stars leave the edges alone once every node points at its smallest; a checksum tells.
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == state:
+        found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if found == state:
             break
-        state = tuple(found)
+        total, state = found[0], found
     stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -3,22 +3,28 @@
 Two documents link when 100 * |x & y| >= 80 * |x | y| over their sets of distinct 5-word shingles. Only shingles that
 some other document has can be common, so a document can link only if at least 80 % of its shingles are shared:
 
-1. every text is cut into hashed shingles, which go to partitions by hash, packed as (hash, row) arrays;
+1. every text is cut into hashed shingles, which go to partitions by hash, packed as (hash, row) arrays. Frequent
+   shingles, found in a bounded sample of documents, are known to be shared: they stay with their document and never
+   meet in one partition;
 2. each partition keeps the shingles of two rows or more, which come back to their documents with their frequency;
 3. documents with fewer than 80 % shared shingles are done; the others, one per distinct set, form candidate families:
    components of the graph of documents and the rare-first prefix shingles, of which linked documents share one;
 4. each family, in blocks of bounded bytes, is joined by signature trees: nodes hold OR-combined bitmaps and size
    ranges, a dual traversal drops node pairs whose largest possible overlap is too small, and every leaf pair left by
-   the bitmap difference is checked exactly. A pair of blocks returns the number of links of each of its sets, and a
-   spanning forest of these links: the links of a family grow with the square of its size, their numbers do not;
+   the bitmap difference is checked exactly. A block's own node (bitmap and size range) drops pairs of blocks before
+   their sets meet. A pair of blocks returns the number of links of each of its sets, and a spanning forest of these
+   links: the links of a family grow with the square of its size, their numbers do not;
 5. components of the forests, joined to all documents by the fingerprint of their sets. n_links is the number of other
    rows that a row links with: its copies, and the rows of each set that its own set links with.
 
-Copies collapse by fingerprint, first within a task, then overall. Shingles are told apart by 64-bit hashes of which a
-partition compares 32 bits beside its own number, and sets by a 64-bit fingerprint and their size.
+Which shingles count as frequent changes where they travel, never a result: all documents order shingles alike, and
+every link is checked on whole sets. Copies collapse by fingerprint, first within a task, then overall. Sizes come from
+64-bit hashes of shingles; sets are compared by 48 bits beside the partition's number, so by 51 bits at least, and told
+apart by a 64-bit fingerprint and their size.
 
 Nulls: a null text has no shingles; such documents, and null doc_ids, link with nothing (component_id is the doc_id).
 A text of fewer than `words` words is one shingle. Repeated rows are each returned and link through their equal sets.
+Empty tables give no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bounded_batches, materialize
+from noteloom.llm.common import bounded_batches, join_hot_keys, materialize
 from noteloom.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -41,7 +47,13 @@ PART_TOKENS = 4_000_000
 #: Bytes of shingle sets in one block of a family.
 BLOCK_BYTES = 8 << 20
 CACHE_WORDS = 200_000
+#: Signs of the sample that frequent shingles are looked for in; a shingle in one of FREQUENT sampled documents is one.
+SAMPLE_CHARS, FREQUENT = 16_000_000, 256
+#: Frequencies of a byte: shingles with at least this many rows, and the frequent ones.
+MANY, MOST = 254, 255
 BITS = 2048
+#: Bits of the bitmap of a whole block.
+BLOCK_BITS = 1 << 15
 LEAF, FANOUT = 16, 8
 #: Pairs of two leaves that are intersected one by one; more are counted by a product of matrices.
 FEW = 3
@@ -84,11 +96,37 @@ def fingerprint(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-_PACK = "part int, doc_ids binary, sizes binary, prints binary, hashes binary, rows binary"
+def _part_and_token(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The partition of each shingle, and what tells it apart: that number and 48 bits of the hash."""
+    part = (hashes >> np.uint64(32)) % np.uint64(parts)
+    return part, part << np.uint64(48) | hashes & np.uint64(0xFFFFFFFFFFFF)
 
 
-def _shingle(parts: int, words: int):
-    """Document rows (part -1) and packed shingles of the first document with each set that a task meets."""
+def _frequent(documents: DataFrame, chars: int, words: int) -> np.ndarray:
+    """Sorted hashes of shingles in many documents of a sample by hash of doc_id. At most FREQUENT times as many as a
+    sampled document has on average."""
+    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, chars // SAMPLE_CHARS))) == 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for batch in batches:
+            sets = [shingler.hashes(t) for t in batch["text"]]
+            tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pd.DataFrame({"token": np.append(tokens.view(np.int64), 0), "n": np.append(n, len(sets)), "documents": np.append(np.zeros(len(n), bool), True)})
+
+    counted = sample.select("text").mapInPandas(run, "token long, n long, documents boolean").groupBy("token", "documents").agg(F.sum("n").alias("n"))
+    counted = materialize(counted.where((F.col("n") > 2) | F.col("documents")), "frequencies")
+    total = counted.where("documents").agg(F.sum("n")).first()[0] or 0
+    found = counted.where(~F.col("documents") & (F.col("n") > max(2, total // FREQUENT))).select("token").collect()
+    return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
+
+
+_PACK = "part int, doc_ids binary, sizes binary, prints binary, low binary, high binary, rows binary"
+
+
+def _shingle(parts: int, words: int, frequent: np.ndarray):
+    """Document rows (part -1), frequent shingles by document (part -2: lengths and tokens), and packed shingles of the
+    first document with each set that a task meets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, seen = Shingler(words), set()
@@ -99,31 +137,39 @@ def _shingle(parts: int, words: int):
                 ids = piece["doc_id"].to_numpy(np.int64)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 prints = np.array([fingerprint(s) for s in sets], np.int64)
-                out = [(-1, ids.tobytes(), sizes.tobytes(), prints.tobytes(), b"", b"")]
+                out = [(-1, ids.tobytes(), sizes.tobytes(), prints.tobytes(), b"", b"", b"")]
                 first = []
                 for i, key in enumerate(zip(prints.tolist(), sizes.tolist(), strict=True)):
                     if key[1] and key not in seen:
                         seen.add(key)
                         first.append(i)
                 if first:
-                    tokens = np.concatenate([sets[i] for i in first])
+                    hashes = np.concatenate([sets[i] for i in first])
                     rows = np.repeat(np.arange(len(first), dtype=np.uint16), sizes[first])
-                    part = (tokens >> np.uint64(32)) % np.uint64(parts)
+                    part, tokens = _part_and_token(hashes, parts)
+                    if len(frequent):
+                        often = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+                        used, lengths = np.unique(rows[often], return_counts=True)
+                        if len(used):
+                            docs = np.array(first)[used]
+                            out.append((-2, ids[docs].tobytes(), sizes[docs].tobytes(), prints[docs].tobytes(), lengths.astype(np.int32).tobytes(), tokens[often].tobytes(), b""))
+                        rows, part, tokens = rows[~often], part[~often], tokens[~often]
                     order = np.argsort(part, kind="stable")
                     cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-                    low = tokens.astype(np.uint32)
+                    low, high = tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint16)
                     for p in range(parts):
                         own = order[cuts[p] : cuts[p + 1]]
                         if len(own):
                             used, local = np.unique(rows[own], return_inverse=True)
                             docs = np.array(first)[used]
-                            out.append((p, ids[docs].tobytes(), sizes[docs].tobytes(), prints[docs].tobytes(), low[own].tobytes(), local.astype(np.uint16).tobytes()))
-                yield pd.DataFrame(out, columns=["part", "doc_ids", "sizes", "prints", "hashes", "rows"])
+                            out.append((p, ids[docs].tobytes(), sizes[docs].tobytes(), prints[docs].tobytes(), low[own].tobytes(), high[own].tobytes(), local.astype(np.uint16).tobytes()))
+                yield pd.DataFrame(out, columns=["part", "doc_ids", "sizes", "prints", "low", "high", "rows"])
 
     return run
 
 
 _SHARED = "bucket int, doc_ids binary, sizes binary, prints binary, lengths binary, tokens binary, counts binary"
+_SHARED_NAMES = ["bucket", "doc_ids", "sizes", "prints", "lengths", "tokens", "counts"]
 _CANDIDATE = "doc_id long, n long, print long, tokens binary, prefix binary"
 
 
@@ -136,7 +182,7 @@ def _unpack_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 def _share(buckets: int):
     """Rows come sorted by part. Shingles of two distinct sets or more go back towards their documents, with frequencies,
-    packed by buckets of documents; document rows (bucket -1) pass through."""
+    packed by buckets of documents, as do the frequent ones; document rows (bucket -1) pass through."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -146,6 +192,12 @@ def _share(buckets: int):
                 if row.part == -1:
                     yield pd.DataFrame([(-1, row.doc_ids, row.sizes, row.prints, b"", b"", b"")], columns=_SHARED_NAMES)
                     continue
+                if row.part == -2:
+                    ids, sizes, prints = (np.frombuffer(x, np.int64) for x in (row.doc_ids, row.sizes, row.prints))
+                    docs = np.repeat(np.arange(len(ids)), np.frombuffer(row.low, np.int32))
+                    tokens = np.frombuffer(row.high, np.uint64)
+                    yield _by_bucket(buckets, ids, sizes, prints, docs, tokens, np.full(len(tokens), MOST, np.uint8))
+                    continue
                 if row.part != part and held:
                     yield _shared_of(part, held, buckets)
                     held = []
@@ -157,50 +209,57 @@ def _share(buckets: int):
     return run
 
 
-_SHARED_NAMES = ["bucket", "doc_ids", "sizes", "prints", "lengths", "tokens", "counts"]
+def _by_bucket(buckets: int, ids: np.ndarray, sizes: np.ndarray, prints: np.ndarray, docs: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    """One packed row for each bucket of documents (by fingerprint). docs: which document each token is of."""
+    bucket = (prints.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((docs, bucket[docs]))
+    docs, tokens, counts = docs[order], tokens[order], counts[order]
+    cuts = np.searchsorted(bucket[docs], np.arange(buckets + 1))
+    out = []
+    for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if x < y:
+            who, lengths = np.unique(docs[x:y], return_counts=True)
+            out.append((b, ids[who].tobytes(), sizes[who].tobytes(), prints[who].tobytes(), lengths.astype(np.int32).tobytes(), tokens[x:y].tobytes(), counts[x:y].tobytes()))
+    return pd.DataFrame(out, columns=_SHARED_NAMES)
+
+
+def _first_of_each(prints: np.ndarray, sizes: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by print and size (then `more`), and where in it a new set begins."""
+    order = np.lexsort((*more, sizes, prints))
+    new = np.ones(len(order), bool)
+    new[1:] = (prints[order][1:] != prints[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+    return order, new
 
 
 def _shared_of(part: int, held: list, buckets: int) -> pd.DataFrame:
     ids, sizes, prints = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in held]) for c in ("doc_ids", "sizes", "prints"))
     # One row per distinct set: the smallest doc_id stands for those that other tasks sent.
-    order = np.lexsort((ids, sizes, prints))
-    new = np.ones(len(order), bool)
-    new[1:] = (prints[order][1:] != prints[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+    order, new = _first_of_each(prints, sizes, ids)
     keep = np.zeros(len(ids), bool)
     keep[order[new]] = True
-    # Hash and row in one word, sorted in place: equal shingles become neighbours.
-    keys, at, first = np.empty(sum(len(r.hashes) for r in held) // 4, np.uint64), 0, 0
+    total = sum(len(r.low) for r in held) // 4
+    tokens, docs, at, first = np.empty(total, np.uint64), np.empty(total, np.int32), 0, 0
     for r in held:
-        rows = np.frombuffer(r.rows, np.uint16).astype(np.uint32) + np.uint32(first)
+        rows = np.frombuffer(r.rows, np.uint16).astype(np.int32) + np.int32(first)
         own = keep[rows]
         n = int(own.sum())
-        keys[at : at + n] = np.frombuffer(r.hashes, np.uint32)[own]
-        keys[at : at + n] <<= np.uint64(32)
-        keys[at : at + n] |= rows[own]
+        tokens[at : at + n] = np.frombuffer(r.high, np.uint16)[own]
+        tokens[at : at + n] <<= np.uint64(32)
+        tokens[at : at + n] |= np.frombuffer(r.low, np.uint32)[own]
+        docs[at : at + n] = rows[own]
         at, first = at + n, first + len(r.doc_ids) // 8
     held.clear()
-    keys = keys[:at]
-    keys.sort()
-    same = (keys[1:] ^ keys[:-1]) < np.uint64(1 << 32)
-    some = np.zeros(len(keys), bool)
+    # Equal shingles become neighbours.
+    order = np.argsort(tokens[:at], kind="stable")
+    tokens, docs = tokens[order], docs[order]
+    same = tokens[1:] == tokens[:-1]
+    some = np.zeros(len(tokens), bool)
     some[1:] |= same
     some[:-1] |= same
-    keys = keys[some]
-    tokens, docs = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    tokens, docs = tokens[some], docs[some]
     edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True]))) if len(tokens) else np.zeros(1, int)
-    count = np.minimum(np.repeat(np.diff(edge), np.diff(edge)), 0xFFFFFFFF).astype(np.uint32)
-    bucket = (prints.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((docs, bucket[docs]))
-    tokens, docs, count = tokens[order], docs[order], count[order]
-    # A token is its hash and the part beside it.
-    tokens = (np.uint64(part) << np.uint64(32)) | tokens.astype(np.uint64)
-    cuts = np.searchsorted(bucket[docs], np.arange(buckets + 1))
-    out = []
-    for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if x < y:
-            who, lengths = np.unique(docs[x:y], return_counts=True)
-            out.append((b, ids[who].tobytes(), sizes[who].tobytes(), prints[who].tobytes(), lengths.astype(np.int32).tobytes(), tokens[x:y].tobytes(), count[x:y].tobytes()))
-    return pd.DataFrame(out, columns=_SHARED_NAMES)
+    counts = np.minimum(np.repeat(np.diff(edge), np.diff(edge)), MANY).astype(np.uint8)
+    return _by_bucket(buckets, ids, sizes, prints, docs, np.uint64(part) << np.uint64(48) | tokens, counts)
 
 
 def _gather(percent: int):
@@ -211,11 +270,9 @@ def _gather(percent: int):
         ids, sizes, prints = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in held]) for c in ("doc_ids", "sizes", "prints"))
         lengths = np.concatenate([np.frombuffer(r.lengths, np.int32) for r in held])
         tokens = np.concatenate([np.frombuffer(r.tokens, np.uint64) for r in held])
-        counts = np.concatenate([np.frombuffer(r.counts, np.uint32) for r in held])
+        counts = np.concatenate([np.frombuffer(r.counts, np.uint8) for r in held])
         starts = np.cumsum(lengths) - lengths
-        order = np.lexsort((sizes, prints))
-        new = np.ones(len(order), bool)
-        new[1:] = (prints[order][1:] != prints[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+        order, new = _first_of_each(prints, sizes)
         edge = np.append(np.flatnonzero(new), len(order))
         shared = np.add.reduceat(lengths[order], edge[:-1])
         out = []
@@ -223,8 +280,12 @@ def _gather(percent: int):
             rows = order[edge[i] : edge[i + 1]]
             own = np.concatenate([np.arange(starts[r], starts[r] + lengths[r]) for r in rows])
             n = int(sizes[rows[0]])
-            rare = own[np.lexsort((tokens[own], counts[own]))][: len(own) - -(-percent * n // 100) + 1]
-            out.append((int(ids[rows].min()), n, int(prints[rows[0]]), np.sort(tokens[own]).tobytes(), tokens[rare].tobytes()))
+            # Copies of a set in several tasks each bring its frequent shingles.
+            mine, at = np.unique(tokens[own], return_index=True)
+            if 100 * len(mine) < percent * n:
+                continue
+            rare = np.lexsort((mine, counts[own][at]))[: len(mine) - -(-percent * n // 100) + 1]
+            out.append((int(ids[rows].min()), n, int(prints[rows[0]]), mine.tobytes(), mine[rare].tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n", "print", "tokens", "prefix"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,9 +309,9 @@ def _explode_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(t) for t in tokens]), "token": np.concatenate(tokens)})
 
 
-def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    at = (tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 11)).astype(np.int64)
-    out = np.zeros(BITS // 64, np.uint64)
+def _bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    at = (tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    out = np.zeros(bits // 64, np.uint64)
     np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     return out
 
@@ -409,23 +470,33 @@ def _join_blocks(percent: int):
     return run
 
 
-_BLOCKS = "family long, block int, low long, high long, ids binary, sizes binary, data binary"
+_BLOCKS = "family long, low long, high long, most long, fewest long, bits array<bigint>, ids binary, sizes binary, data binary"
 
 
 def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by family and size; runs of one family become blocks of bounded bytes."""
-    held, family, size, number = [], None, 0, 0
+    held, family, size = [], None, 0
 
     def block() -> pd.DataFrame:
         sets = [np.frombuffer(r.tokens, np.uint64) for r in held]
         sizes = np.array([r.n for r in held], np.int64)
-        return pd.DataFrame([{"family": family, "block": number, "low": sizes.min(), "high": sizes.max(), "ids": np.array([r.doc_id for r in held], np.int64).tobytes(), "sizes": np.concatenate([sizes, np.array([len(s) for s in sets], np.int64), np.array([r.weight for r in held], np.int64)]).tobytes(), "data": np.concatenate(sets).tobytes()}])
+        lengths = np.array([len(x) for x in sets], np.int64)
+        node = np.zeros(BLOCK_BITS // 64, np.uint64)
+        fewest = BLOCK_BITS
+        for x in sets:
+            own = _bitmap(x, BLOCK_BITS)
+            fewest = min(fewest, int(np.bitwise_count(own).sum()))
+            node |= own
+        weights = np.array([r.weight for r in held], np.int64)
+        return pd.DataFrame([{
+            "family": family, "low": sizes.min(), "high": sizes.max(), "most": lengths.max(), "fewest": fewest, "bits": node.view(np.int64),
+            "ids": np.array([r.doc_id for r in held], np.int64).tobytes(), "sizes": np.concatenate([sizes, lengths, weights]).tobytes(), "data": np.concatenate(sets).tobytes(),
+        }])
 
     for batch in batches:
         for row in batch.itertuples(index=False):
             if held and (row.family != family or size >= BLOCK_BYTES):
                 yield block()
-                number = number + 1 if row.family == family else 0
                 held, size = [], 0
             family = row.family
             held.append(row)
@@ -442,18 +513,19 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     chars = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(chars / 6 / PART_TOKENS) + 1)
     known = documents.where(F.col("doc_id").isNotNull()).select(ids.alias("doc_id"), "text")
-    packed = known.mapInPandas(_shingle(parts, words), _PACK)
-    # Document rows (part -1) are dealt out by row, shingles by part.
+    packed = known.mapInPandas(_shingle(parts, words, _frequent(known, chars, words)), _PACK)
+    # Document rows (part -1) and frequent shingles are dealt out by row, the others by part: as many parts to each task.
     tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = packed.repartition(tasks, F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.xxhash64("doc_ids"))).sortWithinPartitions("part")
+    task = F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.pmod(F.xxhash64("doc_ids"), F.lit(tasks))).cast("int")
+    dealt = packed.repartitionById(tasks, task).sortWithinPartitions("part")
     both = materialize(dealt.mapInPandas(_share(parts), _SHARED), "shingles")
     all_docs = both.where(F.col("bucket") == -1).select("doc_ids", "sizes", "prints").mapInPandas(_unpack_documents, "doc_id long, n_shingles long, print long")
 
-    back = both.where(F.col("bucket") >= 0).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    back = both.where(F.col("bucket") >= 0).repartitionById(tasks, F.col("bucket")).sortWithinPartitions("bucket")
     candidates = materialize(back.mapInPandas(_gather(percent), _CANDIDATE), "candidates")
     prefix = materialize(candidates.select("doc_id", "prefix").mapInPandas(_explode_prefixes, "doc_id long, token long"), "prefix")
-    heads = prefix.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1)
-    edges = prefix.join(heads, "token").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).distinct()
+    heads = materialize(prefix.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1), "heads")
+    edges = join_hot_keys(prefix, heads, ["token"], "n", ["head"]).where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).distinct()
     families = connected_components(edges).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "family")
 
     by_set = materialize(all_docs.where(F.col("n_shingles") > 0).groupBy("print", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")), "sets")
@@ -461,12 +533,15 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     members = candidates.join(families, "doc_id").join(weights, ["print", "n"]).select("family", "n", "doc_id", "tokens", "weight")
     blocks = materialize(members.repartitionByRange("family", "n", "doc_id").sortWithinPartitions("family", "n", "doc_id").mapInPandas(_pack_blocks, _BLOCKS).withColumn("block", F.expr("uuid()")), "blocks")
     own = blocks.select("ids", "sizes", "data", *[F.lit(None).cast("binary").alias(f"other_{c}") for c in ("ids", "sizes", "data")])
-    # Blocks of one family meet only if their size ranges allow a link.
-    light = blocks.select("family", "block", "low", "high")
-    left, right = light.alias("x"), light.alias("y")
-    meet = left.join(right, F.col("x.family") == F.col("y.family")).where(
+    # Blocks of one family meet only if their size ranges and the overlap that their bitmaps allow leave a link possible.
+    light = blocks.select("family", "block", "low", "high", "most", "fewest", "bits")
+    x, y = light.alias("x"), light.alias("y")
+    near = x.join(y, F.col("x.family") == F.col("y.family")).where(
         (F.col("x.block") < F.col("y.block")) & (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
-    ).select(F.col("x.block").alias("block"), F.col("y.block").alias("other"))
+    )
+    common = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, v: s + v)
+    overlap = F.least(*[F.col(f"{t}.most") - F.greatest(F.lit(0), F.col(f"{t}.fewest") - F.col("common")) for t in ("x", "y")])
+    meet = near.withColumn("common", common).where((100 + percent) * overlap >= percent * (F.col("x.low") + F.col("y.low"))).select(F.col("x.block").alias("block"), F.col("y.block").alias("other"))
     other = blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("ids", "sizes", "data")])
     pairs = meet.join(blocks.select("block", "ids", "sizes", "data"), "block").join(other, "other").select(*own.columns)
     # Rows of one set (src = dst) have the number of its links in a pair of blocks, the others are the forest.
@@ -479,8 +554,9 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     by_set = by_set.join(joined, ["print", "n_shingles"], "left")
     smallest = by_set.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("smallest"))
     n_links = (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
-    named = by_set.join(smallest, "component", "left").select("print", "n_shingles", F.coalesce("smallest", "first").alias("component_id"), n_links)
-    out = all_docs.join(named, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = by_set.join(smallest, "component", "left").select("print", "n_shingles", "weight", F.coalesce("smallest", "first").alias("component_id"), n_links)
+    out = join_hot_keys(all_docs, materialize(named, "named"), ["print", "n_shingles"], "weight", ["component_id", "n_links"])
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     unknown = documents.where(F.col("doc_id").isNull()).select("doc_id", "text")
     return out.unionByName(unknown.mapInPandas(_count_only(words), "doc_id long, n_shingles long, component_id long, n_links long"))
 

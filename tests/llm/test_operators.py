@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from noteloom.llm import chat_template, decontamination, jaccard_join, pii, sentencepieces, sharding, token_store, topk_search, toxicity, url_filter
@@ -82,6 +83,22 @@ def test_jaccard_join_counts_every_link(spark):
     assert sum(links.values()) // 2 > len(rows) - len(groups)  # more than a spanning forest has
 
 
+def test_jaccard_join_with_frequent_shingles_hubs_and_hot_sets(spark, monkeypatch):
+    from noteloom.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+    boilerplate = words(60, 77, 3000)
+    rows = near_copies() + [(2000 + i, f"{boilerplate} {words(r, 900 + i, 3000)}") for i, r in enumerate([3, 5, 8, 12, 40, 90] * 10)] + [(5000 + i, boilerplate) for i in range(40)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = {i: sum(1 for j in sets if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    got = jaccard_join.ngram_components(docs_of(spark, rows)).collect()
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == brute_components(rows)
+    assert {x.doc_id: x.n_links for x in got} == links
+
+
 def test_blocks_of_a_family_count_every_link():
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 300).astype(np.uint64)
@@ -142,16 +159,80 @@ def test_toxicity_restores_disguised_words(spark):
     assert held and np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.99
 
 
-def test_spaced_runs_hold_several_words():
+def restorer_of(text):
     import pandas as pd
 
-    r = random.Random(6)
-    plain = ["the", "garden", "i", "think", "y", "a", "o", "river", "you", "are", "stupid", "moron", "idiota", "idiot", "worthless", "am"]
-    text = " ".join(r.choice(plain) for _ in range(5000))
     grams = next(toxicity._count_grams(iter([pd.DataFrame({"text": [text]})])))
     counts = np.zeros(toxicity.SYMBOLS**toxicity.ORDER, np.int64)
     counts[grams["gram"]] = grams["n"]
-    restorer = toxicity.Restorer(toxicity.CharModel(counts).log)
+    return toxicity.Restorer(toxicity.CharModel(counts).log)
+
+
+def every_reading(restorer, token):
+    """All readings of a token with their scores, one by one."""
+    letter = {c: 1 + i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    log = restorer.log
+    out = []
+
+    def go(at, letters, score):
+        context = ([0, 0, 0] + [letter[c] for c in letters])[-3:]
+        if at == len(token):
+            out.append((score + log[context[0]][context[1]][context[2]][0], letters))
+            return
+        sign = token[at]
+        stands = sign if sign in letter else toxicity.LEET.get(sign, "")
+        for c in stands:
+            cost = toxicity.KEPT if sign in letter else toxicity.SWAPPED
+            go(at + 1, letters + c, score + cost + log[context[0]][context[1]][context[2]][letter[c]])
+        if at and sign == token[at - 1] or letters and letters[-1] in stands:
+            go(at + 1, letters, score + toxicity.REPEATED)
+        elif not sign.isalnum():
+            go(at + 1, letters, score + toxicity.DROPPED)
+        elif not stands:
+            go(at + 1, letters, score + 3 * toxicity.DROPPED)
+
+    go(0, "", 0.0)
+    return out
+
+
+def test_viterbi_restores_what_all_readings_give():
+    r = random.Random(8)
+    plain = ["the", "garden", "river", "hello", "idiot", "moron", "less", "ill", "title", "biggest"]
+    restorer = restorer_of(" ".join(r.choice(plain) for _ in range(3000)))
+    for _ in range(120):
+        token = "".join(r.choice("idotmrlehgs10!|-.*$3") for _ in range(r.randrange(1, 10)))
+        token = toxicity._short_runs(token)
+        readings = every_reading(restorer, token)
+        best = {}
+        for score, letters in readings:  # one reading for each end of three letters
+            best[letters[-3:]] = max(best.get(letters[-3:], (-np.inf, "")), (score, letters))
+        top = max(score for score, _ in readings)
+        want = {letters for score, letters in best.values() if letters and score >= top - toxicity.MARGIN}
+        sure = {letters for score, letters in best.values() if letters and score >= top - toxicity.MARGIN + 1e-6}
+        got = restorer.decode(token)
+        assert len(set(got)) == len(got) and len(got) <= len(want)
+        scores = {letters: score for score, letters in sorted(readings)}
+        # Equal scores leave a choice of letters, never of scores.
+        assert sorted(round(scores[x], 6) for x in got) == sorted(round(scores[x], 6) for x in want) or sure <= set(got)
+
+
+def test_toxicity_takes_long_texts_in_linear_time():
+    import time
+
+    restorer = restorer_of("the garden of the quiet river is a place for an idiot")
+    finder = toxicity.FeatureFinder(np.array(restorer.log), {"idiot", "garden"})
+    n = 1_000_000
+    texts = ["x" * n, "ab" * (n // 2), "7" * n, "-" * n, "!" * n, "a1" * (n // 2), "a-" * (n // 20) + "b", "1 " * (n // 2), "q" + "é" * n, "\n" * n, ("x" * 99 + "!") * (n // 100)]
+    for text in texts:
+        begun = time.perf_counter()
+        assert finder.find(text + " 1d1ot") == {"idiot"}
+        assert time.perf_counter() - begun < 20, text[:10]
+
+
+def test_spaced_runs_hold_several_words():
+    r = random.Random(6)
+    plain = ["the", "garden", "i", "think", "y", "a", "o", "river", "you", "are", "stupid", "moron", "idiota", "idiot", "worthless", "am"]
+    restorer = restorer_of(" ".join(r.choice(plain) for _ in range(5000)))
     hidden = {"m o r o n i think": {"moron"}, "s.t.u.p.i.d m.o.r.o.n": {"stupid", "moron"}, "y i d i o t a": {"idiota"}, "m o r o n a": {"moron"}, "y o u a r e a m 0 r 0 n": {"you", "are", "moron"}, "a i d i o t": {"idiot"}, "w o r t h l e s s i d i o t": {"worthless", "idiot"}, "m-o-r-o-n": {"moron"}}
     for text, want in hidden.items():
         assert want <= restorer.words(text), text
@@ -191,17 +272,25 @@ def test_decontamination_equals_brute_force(spark):
                 own[r.randrange(len(own))] = r.choice("abcxyz")
             text = text[:50] + " " + "".join(own) + "!\n" + text[50:]
         rows.append((i, text))
-    rows += [(100, None), (101, ""), (102, items[0][1].upper().replace(" ", " -\n"))]
+    items += [(94, "w1"), (95, "w12")]
+    rows += [(100, None), (101, ""), (102, items[0][1].upper().replace(" ", " -\n")), (103, "w123 xw12 w1"), (None, items[1][1]), (104, items[1][1]), (104, items[1][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id, x.distance) for x in decontamination.find_contamination(docs_of(spark, rows), bench).collect()}
     want = set()
     for d, text in rows:
         for i, item in items:
             p, t = decontamination.normalize(item), decontamination.normalize(text)
-            if p and t and (e := edit_in(p, t)) <= int(len(p) * decontamination.ERROR_RATE):
-                want.add((d, i, e))
-    assert {x[:2] for x in got} == {x[:2] for x in want}
-    assert {x for x in want if x[2] == 0} <= got
+            budget = int(len(p) * decontamination.ERROR_RATE)
+            if p and t and (f" {p} " in f" {t} " if not budget else edit_in(p, t) <= budget):
+                want.add((d, i, edit_in(p, t)))
+    assert got == want
+    sliced = decontamination.find_contamination(docs_of(spark, rows), bench, slice_chars=500)
+    assert {(x.doc_id, x.item_id, x.distance) for x in sliced.collect()} == want
+    kept = sorted(str(i) for i, _ in rows if i not in {d for d, *_ in want})
+    for size in (500, 10_000):
+        assert sorted(str(x.doc_id) for x in decontamination.decontaminate(docs_of(spark, rows), bench, slice_chars=size).collect()) == kept
+    long = [(1, "y" * 1_000_000 + " " + items[0][1]), (2, "-" * 1_000_000), (3, "w1 w2 " * 150_000)]
+    assert {(x.doc_id, x.item_id) for x in decontamination.find_contamination(docs_of(spark, long), bench).collect()} == {(1, 0), (1, 93), (3, 94)}
     assert decontamination.find_contamination(docs_of(spark, []), bench).count() == 0
     assert decontamination.decontaminate(docs_of(spark, rows), bench.limit(0)).count() == len(rows)
 
@@ -224,6 +313,7 @@ def test_sharding_is_minimax_and_gapless(spark, shards):
     r = random.Random(shards)
     rows = [(i * 37 + r.randrange(30), words(r.randrange(0, 60), r.randrange(400))) for i in range(700)]
     rows += [(50_000 + i, "the same text " * 50) for i in range(60)] + [(None, "x"), (60_000, None), (60_001, ""), (60_001, ""), (-5, "é" * 9)]
+    rows += [(-(1 << 63), "low"), ((1 << 63) - 1, "high"), (70_000, "long " * 40_000)]
     got = sharding.shard_documents(docs_of(spark, rows), shards).collect()
     assert len(got) == len(rows)
     by_id = {}
@@ -237,10 +327,9 @@ def test_sharding_is_minimax_and_gapless(spark, shards):
         key = sharding.NULL_KEY if i is None else i
         first, size = groups.get(t or "", (key, 0))
         groups[t or ""] = (min(first, key), size + len((t or "").encode()) + 16)
-    units = {}
-    for first, size in groups.values():
-        units[first] = units.get(first, 0) + size
-    sizes = [units[k] for k in sorted(units)]
+    digests = spark.createDataFrame([(t,) for t in groups], "t string").select("t", F.xxhash64(F.unhex(F.sha2("t", 256))).alias("h")).collect()
+    after = {r.t: r.h & (1 << sharding.HASH_BITS) - 1 for r in digests}
+    sizes = [groups[t][1] for t in sorted(groups, key=lambda t: (groups[t][0], after[t]))]
     totals, slots, of_text = {}, {}, {}
     for x in got:
         totals[x.shard] = totals.get(x.shard, 0) + x.size
@@ -332,6 +421,9 @@ def test_pii_base_spans_equal_python(spark):
     r = random.Random(3)
     parts = ["a", "@", ".", "b.c", "@x.y", "_d", "1", "22", "255", "4", "+1", " ", "(", "-", "é", "😀", "4111 1111 1111 1111", "256", "\n"]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(1, 25)))) for i in range(1500)]
+    digits = ["1", "42", "4111", "-", " ", "  ", "+", "(", ")", ".", "x", "555 01", "0000"]
+    rows += [(5000 + i, "".join(r.choice(digits) for _ in range(r.randint(4, 40)))) for i in range(1500)]
+    rows += [(-10, "4111 1111 1111 1111, " * 3000), (-11, "+1 415 555 0100; " * 3000), (-12, "10.0.0.1 " * 5000)]
     rows += [(-1, None), (-2, ""), (-4, "1" * 30_000), (-5, "a" * 30_000 + "@b"), (-6, "a@b" + ".c" * 20_000), (-7, "+1" + " 2" * 20_000), (None, "x@y.z")]
     texts = dict(rows)
     for x in pii.find_pii(docs_of(spark, rows)).collect():
@@ -343,6 +435,44 @@ def test_pii_base_spans_equal_python(spark):
     assert pii.find_pii(docs_of(spark, [])).count() == 0
 
 
+def brute_spans(base, loose):
+    """Loose spans that overlap no base span, without those that begin in an earlier one."""
+    clear = sorted(s for s in loose if not any(b[0] < s[2] and s[0] < b[2] for b in base))
+    return [s for i, s in enumerate(clear) if all(t[2] <= s[0] for t in clear[:i])]
+
+
+def test_pii_added_spans_equal_brute_force(spark):
+    r = random.Random(12)
+    rows, shape = [], "array<struct<start:int,kind:int,end:int,strict:int,gazetteer:int,context:int,boundary:int,shape:int>>"
+    for i in range(200):
+        spans = []
+        for strict in (1, 0):
+            for _ in range(r.choice((0, 1, 3, 300))):
+                start = r.randrange(2000)
+                spans.append((start, r.randrange(4), start + r.randrange(1, 12), strict, 1, 1, 1, 1))
+        rows.append((i, spans))
+    table = spark.createDataFrame(rows, f"row long, all {shape}")
+    base, loose = (F.filter("all", lambda s: s["strict"] == 1), F.filter("all", lambda s: s["strict"] == 0))
+    clear = table.select("row", base.alias("base"), loose.alias("loose")).select("row", F.concat("base", pii._clear_of(F.col("base"), F.col("loose"))).alias("found"))
+    everything = pii.SpanClassifier(1.0, (0.0,) * 4, {}, {})
+    got = {x.row: x.spans for x in pii.accepted_spans(clear, everything).collect()}
+    for i, spans in rows:
+        strict, other = [s for s in spans if s[3]], [s for s in spans if not s[3]]
+        want = sorted([s[:3] for s in strict] + [s[:3] for s in brute_spans(strict, other)])
+        assert [tuple(s) for s in got[i]] == want
+
+
+def test_pii_redacts_long_texts(spark):
+    import time
+
+    rows = [(1, "😀 4111 1111 1111 1111, x" * 20_000), (2, "call (415) 555-0134 now " * 20_000), (3, "7" * 1_000_000), (4, "1.2.3.4 a@b.c " * 20), (5, "12 34 " * 170_000), (6, "- " * 500_000), (7, "x" * 1_000_000)]
+    begun = time.perf_counter()
+    got = {x.doc_id: x.text for x in pii.redact(docs_of(spark, rows)).collect()}
+    assert time.perf_counter() - begun < 120
+    assert got[1] == "😀 [CARD], x" * 20_000 and got[4] == "[IP] [EMAIL] " * 20
+    assert all(got[i] == t for i, t in rows if i in (3, 5, 6, 7))
+
+
 def test_pii_adds_loose_spans_and_redacts(spark):
     rows = [(i, f"write to user{i}@mail.example.com or call +1 (415) 555-01{i:02d}") for i in range(50)]
     rows += [(100, "reach me at joe [at] example [dot] com or call (415) 555-0134 now"), (101, "order 4444.5555.6666.7777"), (102, "nothing here"), (103, None)]
@@ -361,9 +491,11 @@ def test_token_shards_read_back_exactly(spark, tmp_path):
     tokenizer = Tokenizer.from_file(token_store.default_tokenizer())
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows += [(10_000, None), (10_001, ""), (10_002, "a  b   c\n d <|endoftext|> e\x1c漢字 it's"), (10_002, "again"), (-3, "negative"), (None, "no id"), (10_003, "y " * 60_000)]
+    rows += [((1 << 62) + 1, "a large id"), (10_004, "z" * 300_000)]
     folder, manifest = token_store.write_shards(docs_of(spark, rows), folder=str(tmp_path / "shards"), shards=3)
     got = token_store.read_shards(spark, folder, manifest).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     want, start = [], 0
     for i, t in order:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -397,18 +529,26 @@ def test_word_encoder_equals_the_library():
 def test_url_filter_is_exact_and_closes(spark):
     hosts = [f"h{i}.example.{'net' if i % 3 else 'com'}" for i in range(3000)] + [f"casino-{i}.example.net" for i in range(400)]
     pages = spark.createDataFrame([(i, f"https://{h}/fr/{i}?q#f") for i, h in enumerate(hosts)] + [(-1, None), (-2, "no scheme"), (-3, "http://EXAMPLE.org/en/12"), (-4, "a://org"), (-5, "x://spam.org?u=http://y/"), (-6, "x://notexample.org/es/1")], "page_id long, url string")
-    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    pages = pages.unionByName(spark.createDataFrame([(-7, "https://casino-3.example.net/" + "x" * 300_000), (-7, "https://casino-3.example.net/")], "page_id long, url string")).withColumn("host", F.lit("clash"))
+    listed = url_filter.block_list(pages)
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, listed).collect()}
     assert all(got[i].verdict == ("allow" if h.endswith(".com") else "block" if "casino" in h else "allow") for i, h in enumerate(hosts))
     assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in (-1, -2, -3, -4, -5, -6)] == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("example.org", "/en/12", "example.org/en/1", "block"), ("org", "", None, "allow"), ("spam.org", "", None, "block"), ("notexample.org", "/es/1", "org/", "allow"),
     ]
+    assert url_filter.judge_urls(pages, listed).where("page_id = -7 and verdict = 'block'").count() == 2
+    entries = spark.createDataFrame([("H5.example.net",), ("example.com",), (None,), ("",)], "host string")
+    own = {r.page_id for r in url_filter.judge_urls(pages, entries, rules=()).where("verdict = 'block'").collect()}
+    assert own == {i for i, h in enumerate(hosts) if h == "h5.example.net" or h.endswith(".example.com")}
     universe = spark.createDataFrame([(f"k{i}", i % 10 == 0) for i in range(5000)], "key string, listed boolean")
-    cascade = url_filter.BloomCascade.build(universe, bits_per_key=2, hashes=2)
-    assert len(cascade.levels) > 2
-    assert universe.where(cascade.listed(F.col("key")) != F.col("listed")).count() == 0
-    assert url_filter.BloomCascade.build(universe, max_bytes=8) is None
-    assert url_filter.judge_urls(pages, max_bytes=1).where("page_id = 3000").first().verdict == "block"
-    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    for size, many in ((16 << 20, False), (100, True)):
+        cascade = url_filter.BloomCascade.build(universe, bits_per_key=2, hashes=2, max_bytes=size)
+        assert len(cascade.sizes) > 2 and (cascade.parts > 1) == many
+        assert cascade.add_listed(universe, F.col("key"), "found").where("found != listed").count() == 0
+    with pytest.raises(ValueError, match="did not close"):
+        url_filter.BloomCascade.build(universe.unionByName(universe.select("key", F.lit(True).alias("listed"))), max_levels=5)
+    assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
+    assert url_filter.judge_urls(pages, listed.limit(0)).where("verdict = 'block'").select("rule").distinct().collect()[0].rule == "example.org/en/1"
 
 
 def test_template_language():
@@ -450,3 +590,19 @@ def test_top_k_equals_brute_force(spark):
     assert topk_search.top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0], 1), (1, [2.0], 1)], "vec_id long, embedding array<float>, score int")
     assert [tuple(x) for x in topk_search.top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2048 * 1024)]
+
+
+def test_top_k_bounds_leave_few_annuli_of_clustered_vectors(spark):
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 1000, (40, 16))
+    own = r.integers(0, 40, 4000)
+    vectors = np.floor(centres[own] + r.normal(0, 20, (4000, 16))).astype(int)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, v array<bigint>")
+    index = topk_search.PivotIndex.build(table)
+    queries = table.where("vec_id % 100 = 0")
+    assert index.visited_share(queries, 10) < 0.35
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in index.search(queries, 10).collect()}
+    for q in range(0, 4000, 100):
+        scores = vectors @ vectors[q]
+        best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        assert [got[q, rank] for rank in range(1, 11)] == [(i, -s) for s, i in best]
