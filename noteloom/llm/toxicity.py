@@ -2,23 +2,30 @@
 
 A character language model (4-grams of the words of all texts, smoothed towards shorter contexts) and a channel model
 (leetspeak signs, separators between letters, repeated letters) give each disguised word a lattice; Viterbi decoding
-with a beam restores it. A gap in a run of spaced signs is dropped or ends a word, so a run can hold several words; the
-words of all likely readings and the run read as one word count. Restored and plain words are the features of a logistic
-regression.
+restores it, without a beam. A gap in a run of spaced signs is dropped or ends a word, so a run can hold several words;
+the words of all likely readings and the run read as one word count. Restored and plain words are the features of a
+logistic regression.
+
+Words have bounds in the channel model, so that texts of any length take linear time: a run of more than RUN equal signs
+reads as RUN, a disguised token is one word and has at most MAX_TOKEN signs (a longer one is not a word; the plain words
+in it still count), and a word of a spaced run has at most MAX_SPELLED signs with gaps (a run has any number of words,
+and one plain letter at least).
 
 The language model counts every text; its table is bounded by the alphabet. The classifier is fitted on at most
 `TRAIN_ROWS` labelled rows, chosen by a hash of doc_id among those whose crc32(doc_id) mod 5 is not 0.
 
 Nulls: a null text is empty and gets the score of a text without features. A null doc_id hashes like an empty text, so
 it is held out. Rows labelled more than once count as toxic if any label says so. Without labels of both kinds the
-score is the smoothed share of toxic rows. Repeated rows are scored row by row.
+score is the smoothed share of toxic rows. Repeated rows are scored row by row; empty tables give no rows; further
+columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,17 +36,17 @@ from noteloom.llm.common import bounded_batches, materialize
 
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
-MAX_FEATURES = 500
 #: Symbols of the language model: word edge and a to z.
 SYMBOLS = 27
 ORDER = 4
 SMOOTHING = 3.0
-BEAM, SPACED_BEAM = 24, 96
+RUN, MAX_TOKEN, MAX_SPELLED = 3, 64, 24
 #: Hypotheses whose log probability is within this of the best count as restorations too.
 MARGIN = 4.0
 #: The same of the readings of a spaced run, which has an edge or none at every gap.
 SPACED_MARGIN = 8.0
-CACHE_TOKENS = 20_000
+#: Tokens whose words a worker keeps.
+CACHE_TOKENS = 200_000
 
 #: What a sign may stand for in disguised words.
 LEET = {
@@ -59,16 +66,18 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[a-z0-9@$!|+][ .\-_*~]{1,2}){2,}[a-z0-9@$!|+](?![^\W_])")
 _GAP = re.compile(r"[ .\-_*~]+")
 _LEET_TOKEN = re.compile(r"[^\s]*[a-z][0-9@$!|+(<{€£¥§.\-_*~]+[a-z][^\s]*|[^\s]*[0-9@$!|+(<{€£¥§][a-z][^\s]*|[a-z]+[0-9@$!|+][^\s]*")
-_REPEATED = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
+_LETTERS = re.compile(r"[a-z]+")
+_TRIPLE = re.compile(r"([a-z])\1\1")
+_LONG_RUN = re.compile(r"(.)\1{%d,}" % RUN)
 _EDGE = " .,;:?\"'`)]}>-_*~#%&"
-#: A trailing run of equal signs is decoration, not spelling.
-_TAIL = re.compile(r"([^\w\s])\1+$")
+#: Code of each sign up to 255 (1 to 26 for letters), and 0 for all others.
+_CODE = np.array([max(0, ord(c) - 96) if "a" <= (c := chr(i).lower().translate(_FOLD)) <= "z" else 0 for i in range(256)] + [0], np.int32)
 
 
 def _codes(text: str) -> np.ndarray:
     """0 for other signs, 1 to 26 for letters; runs of other signs become ORDER - 1 zeros."""
-    raw = np.frombuffer(text.lower().translate(_FOLD).encode("utf-32-le"), np.uint32)
-    code = np.where((raw >= 97) & (raw <= 122), raw - 96, 0).astype(np.int32)
+    raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    code = _CODE[np.minimum(raw, 256)]
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
     code = code[keep]
@@ -127,27 +136,27 @@ def _letters(path: tuple) -> str:
     return "".join(reversed(letters))
 
 
+State = tuple[int, int, int, str, int]  # the last three letters, the last sign, the start of the word
+
+
+def _short_runs(token: str) -> str:
+    return _LONG_RUN.sub(lambda m: m[1] * RUN, token)
+
+
 class Restorer:
     def __init__(self, log: np.ndarray):
         self.log = log.tolist()
-        self.known: dict[str, list[str]] = {}
-
-    def decode(self, token: str) -> list[str]:
-        """Likely plain words behind a disguised one, best first; behind a run with gaps, in the order of their ends."""
-        if token not in self.known:
-            if len(self.known) > CACHE_TOKENS:
-                self.known.clear()
-            self.known[token] = self._split(token) if GAP in token else self._viterbi(token)
-        return self.known[token]
+        self.known: dict[str, tuple[str, ...]] = {}
 
-    def _step(self, states: dict, sign: str, beam: int) -> dict:
-        """States: (last three letters, last sign, start of the word) to (score, path)."""
+    def _step(self, states: dict, sign: str) -> dict:
+        """States to (score, path) after one more sign."""
         log = self.log
-        after: dict[tuple, tuple[float, tuple]] = {}
+        after: dict[State, tuple[float, tuple]] = {}
         if "a" <= sign <= "z":
             options = ((ord(sign) - 96, KEPT),)
         else:
             options = tuple((ord(c) - 96, SWAPPED) for c in LEET.get(sign, ""))
+        codes = [code for code, _ in options]
         for (a, b, c, last, start), (score, path) in states.items():
             row = log[a][b][c]
             for code, channel in options:
@@ -156,7 +165,7 @@ class Restorer:
                 if key not in after or after[key][0] < new:
                     after[key] = (new, (path, code))
             drop = None
-            if sign == last or options and c and any(code == c for code, _ in options):
+            if sign == last or c and c in codes:
                 drop = REPEATED
             elif not sign.isalnum():
                 drop = DROPPED
@@ -167,32 +176,27 @@ class Restorer:
                 new = score + drop
                 if key not in after or after[key][0] < new:
                     after[key] = (new, path)
-        if len(after) > beam:
-            after = dict(sorted(after.items(), key=lambda x: -x[1][0])[:beam])
         return after
 
-    def _viterbi(self, token: str) -> list[str]:
-        log = self.log
-        states: dict[tuple, tuple[float, tuple]] = {(0, 0, 0, "", 0): (0.0, ())}
+    def decode(self, token: str) -> list[str]:
+        """Likely plain words behind a disguised one, best first."""
+        token, log = _short_runs(token), self.log
+        if len(token) > MAX_TOKEN:
+            return []
+        states: dict[State, tuple[float, tuple]] = {(0, 0, 0, "", 0): (0.0, ())}
         for sign in token:
-            states = self._step(states, sign, BEAM)
+            states = self._step(states, sign)
         done = sorted(((score + log[a][b][c][0], path) for (a, b, c, *_), (score, path) in states.items()), key=lambda x: -x[0])
-        out = []
-        for score, path in done:
-            if score < done[0][0] - MARGIN:
-                break
-            if path:
-                out.append(_letters(path))
-        return list(dict.fromkeys(out))
-
-    def _split(self, token: str) -> list[str]:
+        return list(dict.fromkeys(_letters(path) for score, path in done if path and score >= done[0][0] - MARGIN))
+
+    def split(self, run: str) -> list[str]:
         """The words of all readings of a spaced run that are within SPACED_MARGIN of the best one."""
         log = self.log
-        states: dict[tuple, tuple[float, tuple]] = {(0, 0, 0, "", 0): (0.0, ())}
+        states: dict[State, tuple[float, tuple]] = {(0, 0, 0, "", 0): (0.0, ())}
         best, found = {0: 0.0}, []  # best score up to a word's start; start, end, score and path of words
-        for at, sign in enumerate(token + END, 1):
+        for at, sign in enumerate(run + END, 1):
             if sign not in GAPS:
-                states = self._step(states, sign, SPACED_BEAM)
+                states = self._step({k: v for k, v in states.items() if at - k[4] < 2 * MAX_SPELLED}, sign)
                 continue
             drop, edge = GAPS[sign]
             ends = [(score + edge + log[a][b][c][0], start, path) for (a, b, c, _, start), (score, path) in states.items() if path]
@@ -202,7 +206,7 @@ class Restorer:
                 best[at] = max(ends)[0]
                 found += [(start, at, score - best[start], path) for score, start, path in ends if score >= best[at] - SPACED_MARGIN]
                 states[0, 0, 0, "", at] = (best[at], ())
-        end = len(token) + 1
+        end = len(run) + 1
         rest = {end: 0.0}
         for start, to, score, _ in reversed(found):
             if to in rest:
@@ -210,23 +214,77 @@ class Restorer:
         least = best.get(end, 0.0) - SPACED_MARGIN
         return list(dict.fromkeys(_letters(path) for start, to, score, path in found if to in rest and best[start] + score + rest[to] >= least))
 
-    def words(self, text: str) -> set[str]:
-        """Plain words of a text and what its disguised words restore to."""
-        text = text.lower()
-        out = set(_WORD.findall(text))
+    def spaced(self, text: str) -> set[str]:
+        """Words of the spaced runs of a text in lower case."""
+        out: set[str] = set()
         for m in _SPACED.finditer(text):
+            if not _LETTERS.search(m[0]):  # numbers side by side
+                continue
             out.update(self.decode(_GAP.sub("", m[0])))
             usual = Counter(_GAP.findall(m[0])).most_common(1)[0][0]
-            out.update(self.decode(_GAP.sub(lambda g: GAP if g[0] == usual else ODD_GAP, m[0])))  # noqa: B023
-        for token in {t for t in text.split() if not t.isalpha()}:
+            out.update(self.split(_GAP.sub(lambda g: GAP if g[0] == usual else ODD_GAP, m[0])))  # noqa: B023
+        return out
+
+    def of_token(self, token: str) -> tuple[str, ...]:
+        """Plain words of a token (signs without white space, in lower case) and what it may stand for."""
+        known = self.known.get(token)
+        if known is None:
+            if len(self.known) > CACHE_TOKENS:
+                self.known.clear()
+            known = self.known[token] = self._of_token(token)
+        return known
+
+    def _of_token(self, token: str) -> tuple[str, ...]:
+        plain = token.isalpha()
+        triple = _TRIPLE.search(token)
+        if plain and not triple:
+            return (token,)
+        out = set(_WORD.findall(token))
+        if not plain:
             whole = token.strip(_EDGE).translate(_FOLD)
-            core = _TAIL.sub("", whole).strip(_EDGE)
-            # Two equal signs at the end may be letters; more are decoration.
-            for form in {core, whole} if 0 < len(whole) - len(core) <= 2 else {core}:
-                if len(form) > 1 and not form.isalpha() and _LEET_TOKEN.fullmatch(form):
+            # A trailing run of equal signs is decoration, not spelling; but two may be letters.
+            core = whole.rstrip(whole[-1]) if len(whole) > 1 and whole[-1] == whole[-2] and not (whole[-1].isalnum() or whole[-1] == "_") else whole
+            decoration = len(whole) - len(core)
+            core = core.strip(_EDGE)
+            for form in {core, whole} if 0 < decoration <= 2 else {core}:
+                form = _short_runs(form)
+                if 1 < len(form) <= MAX_TOKEN and not form.isalpha() and _LEET_TOKEN.fullmatch(form):
                     out.update(self.decode(form))
-        for m in _REPEATED.finditer(text):
-            out.update(self.decode(m[0]))
+        if triple:
+            for letters in _LETTERS.findall(token):
+                if _TRIPLE.search(letters):
+                    out.update(self.decode(letters))
+        return tuple(out)
+
+    def words(self, text: str) -> set[str]:
+        """Plain words of a text and what its disguised words restore to."""
+        text = text.lower()
+        return self.spaced(text).union(*map(self.of_token, set(text.split())))
+
+
+class FeatureFinder:
+    """The words of texts that are features. Tokens without any are known as such, which most tokens of a text are."""
+
+    def __init__(self, log: np.ndarray, features: set[str]):
+        self.restorer, self.features = Restorer(log), features
+        self.empty: set[str] = set()
+        self.full: dict[str, frozenset[str]] = {}
+
+    def find(self, text: str) -> set[str]:
+        text = text.lower()
+        out = self.restorer.spaced(text) & self.features
+        for token in set(text.split()).difference(self.empty):
+            found = self.full.get(token)
+            if found is None:
+                found = self.features.intersection(self.restorer._of_token(token))
+                if len(self.empty) + len(self.full) > 2 * CACHE_TOKENS:
+                    self.empty.clear()
+                    self.full.clear()
+                if found:
+                    self.full[token] = frozenset(found)
+                else:
+                    self.empty.add(token)
+            out |= found
         return out
 
 
@@ -260,15 +318,15 @@ class ToxicityModel:
 
         @F.pandas_udf("double")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            restorer = Restorer(log)
+            finder = FeatureFinder(log, set(weights))
             for texts in batches:
-                z = [bias + sum(weights[w] for w in restorer.words(t).intersection(weights)) if t else bias for t in texts]
+                z = [bias + math.fsum(weights[w] for w in finder.find(t)) if t else bias for t in texts]
                 yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700))))
 
         return run(text)
 
 
-def _logistic(rows: DataFrame, n: int, positive: int, rounds: int = 400, ridge: float = 1.0) -> tuple[dict[str, float], float]:
+def _logistic(rows: DataFrame, n: int, positive: int, ridge: float = 0.1, rounds: int = 60) -> tuple[dict[str, float], float]:
     """Words that tell the labels apart (likelihood ratio), then a ridge logistic regression on their presence."""
     counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where(F.col("n") >= 3)
     a, b, rest = F.col("k"), F.col("n") - F.col("k"), F.lit(float(n))
@@ -276,31 +334,48 @@ def _logistic(rows: DataFrame, n: int, positive: int, rounds: int = 400, ridge:
     p = positive / n
     gain = 2 * (part(a, F.col("n"), p) + part(b, F.col("n"), 1 - p) + part(positive - a, rest - F.col("n"), p) + part((n - positive) - b, rest - F.col("n"), 1 - p))
     words = counts.count()
-    best = counts.withColumn("gain", gain).where((F.col("gain") > 2 * float(np.log(max(words, 2))) + 4) & (F.col("k") > F.col("n") * p)).orderBy(F.desc("gain"), "word").limit(MAX_FEATURES).collect()
-    names = [r["word"] for r in best]
+    # The threshold grows with the number of words tried; what passes is a part of the words of the training rows.
+    best = counts.withColumn("gain", gain).where((F.col("gain") > 2 * float(np.log(max(words, 2))) + 4) & (F.col("k") > F.col("n") * p)).select("word")
+    names = sorted(r["word"] for r in best.collect())
     index = {w: i for i, w in enumerate(names)}
     chosen = F.array(*[F.lit(w) for w in names]).cast("array<string>")
-    data = rows.select("toxic", F.array_intersect("words", chosen).alias("words")).groupBy("toxic", "words").count().collect()  # at most TRAIN_ROWS rows
-    x = np.zeros((len(data), len(names) + 1))
-    x[:, -1] = 1
-    for i, r in enumerate(sorted(data, key=lambda r: (r["toxic"], r["words"]))):
-        for w in r["words"]:
-            x[i, index[w]] = 1
-    ordered = sorted(data, key=lambda r: (r["toxic"], r["words"]))
-    y, weight = np.array([r["toxic"] for r in ordered], float), np.array([r["count"] for r in ordered], float)
-    theta = np.zeros(len(names) + 1)
-    penalty = np.append(np.full(len(names), ridge * 0.1), 1e-3)
-    for _ in range(60):  # Newton steps
-        q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weight * (q - y)) + penalty * theta
-        hessian = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, gradient)
+    data = rows.select("toxic", F.array_sort(F.array_intersect("words", chosen)).alias("words")).groupBy("toxic", "words").count().collect()  # at most TRAIN_ROWS rows
+    data.sort(key=lambda r: (r["toxic"], r["words"]))
+    y, weight = np.array([r["toxic"] for r in data], float), np.array([r["count"] for r in data], float)
+    # Presence as pairs of a row and a column; the last column is 1 everywhere.
+    row = np.array([i for i, r in enumerate(data) for _ in range(len(r["words"]) + 1)])
+    column = np.array([x for r in data for x in (*map(index.__getitem__, r["words"]), len(names))])
+    theta, penalty = np.zeros(len(names) + 1), np.append(np.full(len(names), ridge), 1e-3)
+    forward = lambda v: np.bincount(row, v[column], len(data))
+    back = lambda u: np.bincount(column, u[row], len(names) + 1)
+    for _ in range(rounds):  # Newton steps
+        q = 1 / (1 + np.exp(-np.clip(forward(theta), -30, 30)))
+        curve = weight * q * (1 - q)
+        step = _conjugate(lambda v: back(curve * forward(v)) + penalty * v, back(weight * (q - y)) + penalty * theta)  # noqa: B023
         theta -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
     return {w: float(theta[i]) for w, i in index.items()}, float(theta[-1])
 
 
+def _conjugate(times: Callable[[np.ndarray], np.ndarray], target: np.ndarray) -> np.ndarray:
+    """Solution of a positive definite system by conjugate gradients."""
+    x = np.zeros_like(target)
+    residual = target.copy()
+    direction, size = residual.copy(), float(residual @ residual)
+    least = 1e-20 * size
+    for _ in range(4 * len(target) + 20):
+        if size <= least or size == 0:
+            break
+        moved = times(direction)
+        rate = size / float(direction @ moved)
+        x += rate * direction
+        residual -= rate * moved
+        size, before = float(residual @ residual), size
+        direction = residual + size / before * direction
+    return x
+
+
 def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
