@@ -3,13 +3,15 @@
 Texts are compared in lower case with every run of signs other than letters and digits as one space. An item of m signs
 may occur with k = floor(error_rate * m) edits. Cut into k + 1 pieces, at least one piece must occur unchanged, so an
 Aho-Corasick automaton over all pieces finds every candidate place; Myers' bit-parallel distance decides there. Places
-of one item are merged by diagonal, so a passage is verified once, not once per piece.
+of one item are merged by diagonal, so a passage is verified once, not once per piece. An item too short for an error
+must occur as whole words.
 
-Items go to the workers in slices of at most `SLICE_CHARS` signs, one pass of the same scan each, so a large benchmark
-never makes a large automaton.
+Items lie in the shared folder in slices of about `SLICE_CHARS` signs, by hash. Each slice is a scan of its own, and a
+worker holds the automaton of one slice at a time; neither items nor automata pass through the driver.
 
-Nulls and empty texts match nothing, as do items without letters or digits. Equal items each report their own id.
-Repeated documents are judged row by row.
+Nulls and empty texts match nothing, as do items without letters or digits, or without an id. Equal items each report
+their own id. Repeated documents are judged row by row; null ids are kept. Of equally good places of an item in a long
+text the first counts. Empty tables match nothing; further columns are kept by `decontaminate` and not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bounded_batches
+from noteloom.llm.common import bounded_batches, filesystem, materialize, stage_path
 
 ERROR_RATE = 0.08
 SLICE_CHARS = 4_000_000
@@ -104,8 +106,10 @@ class Matcher:
                 p = self.patterns[number]
                 start = end + 1 - length - offset
                 if start >= 0 and text.startswith(p.text, start):
-                    best[number] = (0, start)
-                    continue
+                    stop = start + len(p.text)
+                    if p.errors or (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " "):
+                        best[number] = (0, start)
+                        continue
                 step = p.errors + 1
                 key = (number, start // step)
                 if p.errors == 0 or key in tried:
@@ -118,47 +122,75 @@ class Matcher:
         return [(self.patterns[n].item_id, d, s) for n, (d, s) in sorted(best.items())]
 
 
-def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Distinct normalised items in bounded slices."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).orderBy("item_id", "text")
-    held, size = [], 0
-    for row in rows.toLocalIterator():
-        text = normalize(row["text"])
-        if text:
-            held.append((row["item_id"], text))
-            size += len(text)
-        if size >= SLICE_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def normalized(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(normalize)
+
+    return run(text)
+
+
+def store_slices(benchmark: DataFrame, slice_chars: int = SLICE_CHARS) -> tuple[str, int]:
+    """Distinct normalised items in the shared folder; returns the folder and the number of slices."""
+    spark = benchmark.sparkSession
+    bounded_batches(spark)
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = materialize(known.select("item_id", normalized(F.col("text")).alias("text")).where(F.col("text") != "").distinct(), "items")
+    slices = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // slice_chars)
+    folder = stage_path(spark, "slices")
+    if slices:
+        items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))).repartition("slice").write.partitionBy("slice").parquet(folder)
+    return folder, slices
+
+
+#: The automaton of the slice that a worker met last, for its next tasks.
+_LAST: dict[tuple[str, int, float], Matcher] = {}
+
 
+def matcher_of(folder: str, number: int, error_rate: float) -> Matcher:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    key = (folder, number, error_rate)
+    if key not in _LAST:
+        _LAST.clear()
+        files, root = filesystem(folder)
+        items: list[tuple[int, str]] = []
+        for info in files.get_file_info(fs.FileSelector(f"{root}/slice={number}", allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with files.open_input_file(info.path) as source:
+                    rows = pq.ParquetFile(source).read(["item_id", "text"])
+                items += zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)
+        _LAST[key] = Matcher(sorted(items), error_rate)
+    return _LAST[key]
+
+
+def slice_matches(folder: str, number: int, error_rate: float, text: Column) -> Column:
+    """Array of (item_id, distance, start) of the items of one slice."""
 
-def _matches(items: list[tuple[int, str]], error_rate: float, text: Column) -> Column:
     @F.pandas_udf(MATCHES)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(items, error_rate)
+        matcher = matcher_of(folder, number, error_rate)
         for texts in batches:
             yield pd.Series([[{"item_id": i, "distance": d, "start": s} for i, d, s in matcher.find(normalize(t))] for t in texts])
 
     return find(text)
 
 
-def matches_column(benchmark: DataFrame, text: Column, error_rate: float = ERROR_RATE) -> Column:
-    """Array of (item_id, distance, start) for each document text."""
-    bounded_batches(benchmark.sparkSession)
-    parts = [_matches(items, error_rate, text) for items in _slices(benchmark)]
-    if not parts:
-        return F.array().cast(MATCHES)
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def find_contamination(documents: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance, start."""
-    found = documents.select("doc_id", matches_column(benchmark, F.col("text"), error_rate).alias("found"))
-    return found.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.start")
-
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """The documents that hold no item, with their columns."""
-    return documents.where(F.size(matches_column(benchmark, F.col("text"), error_rate)) == 0)
+    folder, slices = store_slices(benchmark, slice_chars)
+    out = documents.select("doc_id", F.array().cast(MATCHES).alias("found")).limit(0)
+    for number in range(slices):
+        out = out.unionByName(documents.select("doc_id", slice_matches(folder, number, error_rate, F.col("text")).alias("found")))
+    return out.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.start")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """The documents that hold no item, with their columns. What one slice keeps is stored before the next one's pass."""
+    folder, slices = store_slices(benchmark, slice_chars)
+    for number in range(slices):
+        documents = documents.where(F.size(slice_matches(folder, number, error_rate, F.col("text"))) == 0)
+        if number < slices - 1:
+            documents = materialize(documents, "kept")
+    return documents
