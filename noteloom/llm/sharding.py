@@ -1,28 +1,34 @@
 """Sharding: minimax contiguous partition.
 
-Documents with equal texts form an atomic group. Groups are ordered by their smallest doc_id; a binary search finds
-the smallest capacity for which a greedy scan fills at most `shards` shards, and cuts are then spread as evenly as that
-capacity allows. Group sizes never reach the driver: it sees sums over key ranges and zooms (each round splits a range
-in `fan`) only into the ranges where a cut may fall, until every cut falls on a single group. Law: `bytes`.
-
-Nulls: a null text is an empty one, a null doc_id sorts before all others. Groups whose smallest doc_id is the same
-(a repeated id with different texts) move together. Repeated rows keep their own slots. Empty tables give no rows.
+Documents with equal texts form an atomic group. Groups are ordered by their smallest doc_id, then by a hash of the text;
+a binary search finds the smallest capacity for which a greedy scan fills at most `shards` shards, and cuts are then
+spread as evenly as that capacity allows. Group sizes never reach the driver: it sees sums over key ranges and zooms
+(each round splits a range in `fan`) only into the ranges where a cut may fall, until every cut falls on a single group.
+Slots come from one range-partitioned sort and the counts of its partitions. Law: `bytes`.
+
+Nulls: a null text is an empty one, a null doc_id sorts before all others. A repeated id with different texts counts in
+the group of each. Repeated rows keep their own slots. Groups of any size: rows of the largest groups meet their shard by
+a broadcast of at most HOT_KEYS groups. Empty tables give no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from decimal import Decimal
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import materialize
+from noteloom.llm.common import join_hot_keys, materialize
 
 OVERHEAD = 16
 #: Value that orders a null doc_id before all others.
-NULL_KEY = -(1 << 62)
+NULL_KEY = -(1 << 63) - 1
+#: Bits of the text's hash behind the doc_id in a group's key.
+HASH_BITS = 56
+KEY = "decimal(38,0)"
 
 
 @dataclass
@@ -36,42 +42,40 @@ class Segment:
     units: int
 
 
+def _number(x: int) -> Column:
+    return F.lit(Decimal(x)).cast(KEY)
+
+
 class Ranges:
-    """Sums over key ranges of units (key, bytes), refined on demand. fan: a power of two."""
+    """Sums over key ranges of units (distinct key, bytes), refined on demand. fan: a power of two."""
 
     def __init__(self, units: DataFrame, first: int = 4096, fan: int = 64):
-        self.units, self.fan = units, fan
-        low, high = units.agg(F.min("key"), F.max("key")).first()
+        self.units, self.fan = units.select(F.col("key").cast(KEY).alias("key"), "bytes"), fan
+        low, high = self.units.agg(F.min("key"), F.max("key")).first()
         self.segments: list[Segment] = []
         if low is not None:
-            # Widths are powers of two, so that all cells lie on grids with one origin.
-            self.origin = low
-            self.segments = self._cells(units, low, 1 << max(0, (high - low) // first).bit_length())
-
-    def _cells(self, units: DataFrame, low: int, width: int) -> list[Segment]:
-        cell = F.expr(f"cast((cast(key as decimal(38,0)) - {low}) div {width} as long)")
-        rows = units.groupBy(cell.alias("cell")).agg(F.sum("bytes"), F.max("bytes"), F.count("*")).collect()
-        return [Segment(low + r[0] * width, width, r[1], r[2], r[3]) for r in sorted(rows)]
+            cell = 1 << (int(high - low) // first).bit_length()
+            self.segments = self._cells([int(low)], 2 * first * cell, 2 * first)
+
+    def _cells(self, lows: list[int], width: int, fan: int) -> list[Segment]:
+        """Cells of the ranges of this width that begin at `lows`."""
+        finer, key = max(1, width // fan), F.col("key")
+        origins = F.array(*[_number(x) for x in lows])
+        place = F.size(F.filter(origins, lambda x: x <= key)) - 1
+        cells = self.units.withColumn("place", place).where(F.col("place") >= 0).withColumn("inside", (key - F.get(origins, F.col("place"))).cast(KEY))
+        cells = cells.where(F.col("inside") < _number(width)).withColumn("width", _number(finer)).withColumn("cell", F.expr("inside div width"))
+        rows = cells.groupBy("place", "cell").agg(F.sum("bytes"), F.max("bytes"), F.count("*")).collect()
+        return [Segment(lows[r[0]] + r[1] * finer, finer, r[2], r[3], r[4]) for r in sorted(rows)]
 
     def refine(self, at: set[int]) -> bool:
         """Split the segments at these positions; False if none can be split."""
         at = {i for i in at if self.segments[i].units > 1 and self.segments[i].width > 1}
         if not at:
             return False
-        out = dict(enumerate([s] for s in self.segments))
+        out = [s for i, s in enumerate(self.segments) if i not in at]
         for width in {self.segments[i].width for i in at}:
-            own = [i for i in at if self.segments[i].width == width]
-            finer, origin = max(1, width // self.fan), self.origin
-            outer = F.expr(f"cast(floor((cast(key as decimal(38,0)) - {origin}) / {width}) as long)")
-            inner = F.expr(f"cast(pmod(cast(key as decimal(38,0)) - {origin}, {width}) div {finer} as long)")
-            place = {(self.segments[i].low - origin) // width: i for i in own}
-            rows = self.units.where(outer.isin(*place)).groupBy(outer.alias("outer"), inner.alias("inner")).agg(F.sum("bytes"), F.max("bytes"), F.count("*")).collect()
-            for i in own:
-                out[i] = []
-            for r in sorted(rows):
-                i = place[r[0]]
-                out[i].append(Segment(self.segments[i].low + r[1] * finer, finer, r[2], r[3], r[4]))
-        self.segments = [s for i in sorted(out) for s in out[i]]
+            out += self._cells(sorted(self.segments[i].low for i in at if self.segments[i].width == width), width, self.fan)
+        self.segments = sorted(out, key=lambda s: s.low)
         return True
 
 
@@ -155,28 +159,25 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce("text", F.lit(""))
     light = materialize(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("sha")),
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("place")),
         "sizes",
     )
-    key = F.coalesce("doc_id", F.lit(NULL_KEY).cast("long"))
-    groups = materialize(light.groupBy("sha").agg(F.min(key).alias("key"), F.sum("size").alias("bytes")), "groups")
+    first = F.coalesce(F.min("doc_id").cast("decimal(20,0)"), F.lit(Decimal(NULL_KEY)).cast("decimal(20,0)"))
+    first = F.when(F.count("*") > F.count("doc_id"), F.lit(Decimal(NULL_KEY)).cast("decimal(20,0)")).otherwise(first)
+    key = (first * F.lit(Decimal(1 << HASH_BITS)) + F.xxhash64("sha").bitwiseAND((1 << HASH_BITS) - 1)).cast(KEY)
+    groups = materialize(light.groupBy("sha").agg(key.alias("key"), F.sum("size").alias("bytes"), F.count("*").alias("copies")), "groups")
     ranges = Ranges(groups)
-    if not ranges.segments:
-        cuts: list[int] = []
-    else:
-        cuts = cut_keys(ranges, shards, minimax(ranges, shards))
-    shard = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    placed = materialize(light.join(groups.select("sha", shard.cast("int").alias("shard")), "sha").drop("sha"), "placed")
-
-    # Slots: counts of (shard, range of ids) give each range its first slot, so no shard is sorted in one task.
-    n, low, high = placed.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    buckets = max(64, min(1 << 16, n // 1_000_000))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    placed = placed.withColumn("bucket", F.coalesce(F.expr(f"cast((cast(doc_id as decimal(38,0)) - {low or 0}) div {width} as long)"), F.lit(-1)))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return placed.join(starts, ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("start") + F.row_number().over(inside) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    cuts = cut_keys(ranges, shards, minimax(ranges, shards)) if ranges.segments else []
+    shard = F.size(F.filter(F.array(*[_number(c) for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
+    placed = join_hot_keys(light, groups.withColumn("shard", shard.cast("int")), ["sha"], "copies", ["shard"]).drop("sha")
+
+    # Rows are numbered along one sort; a shard's rows in a partition start where those in earlier partitions end.
+    order = ["shard", "doc_id", "text_crc32", "size", "place"]
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.drop("place").withColumns({"row": F.monotonically_increasing_id(), "part": F.spark_partition_id()}), "placed")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"))  # at most partitions + shards rows
+    starts = F.broadcast(parts.select("shard", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")))
+    return dealt.join(starts, ["shard", "part"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") + F.col("shift")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
