@@ -6,12 +6,15 @@ pattern, a gazetteer (top-level domains, card issuers, area codes, reserved addr
 signs next to the span, and a shape or checksum test. Expectation-maximisation over the counts of vote patterns (at most
 4 * 3^5 rows) estimates each labeler's reliability; its posteriors train a logistic span classifier, whose linear form is
 evaluated as column arithmetic. Base spans always stay; loose spans are added if the classifier accepts them and they
-overlap no other span.
+overlap no base span and begin in no earlier accepted span.
 
 Positions come from splitting at the pattern: the lengths of gaps and matches before a match add up to its start, in
-code points. Patterns are possessive and anchored at run starts, so long runs cost linear time and no recursion.
+code points. Running sums and maxima over the matches of a text are taken in blocks, and no text is cut by position once
+for every match, so a long text with many matches takes nearly linear time. Patterns are possessive and anchored at run
+starts, so long runs cost linear time and no recursion.
 
-Nulls: a null text is empty; null ids are kept. Repeated rows are judged row by row. Empty tables give no rows.
+Nulls: a null text is empty; null ids are kept. Repeated rows are judged row by row. Spans that begin together are
+ordered by kind. Empty tables give no rows; further columns, of any name, are kept by `redact` and not read.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from pyspark.sql import functions as F
 from noteloom.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns of the contract, written so that a failed start is not tried again inside its run.
+#: The base patterns of the contract, written so that a failed start is not tried again inside its run, and
+#: so that runs with too few or too many digits for a card or a phone number do not match at all.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
-    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
+    "phone": r"\+[0-9](?:[ ().-]*+[0-9]){9,14}+(?![ ().-]*+[0-9])",
 }
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}+){1,8}",
@@ -45,6 +49,10 @@ CARD_ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6)"
 CONTEXT_FOR = "(?i)(?:mail|contact|call|phone|fax|mobile|card|visa|host|address|name|reach|adresse|correo|tel)[^A-Za-z]{0,3}$"
 CONTEXT_AGAINST = "(?i)(?:version|isbn|order|invoice|release|item|page|build|rfc)[^A-Za-z]{0,3}$"
 CONTEXT_CHARS = 24
+#: Elements of a block of a running sum.
+RUN_BLOCK = 128
+#: Texts with more spans than this are cut as arrays of signs.
+MANY_SPANS = 32
 LABELERS = ("strict", "gazetteer", "context", "boundary", "shape")
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -56,15 +64,49 @@ def _found(text: Column, pattern: str, gate: str) -> tuple[Column, Column]:
     return F.when(open_, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(open_, F.split(text, pattern, -1)).otherwise(none)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once. Lambdas would compute a column that they name for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Of each element, what it and all before it combine to (array<int>), in blocks, since folds copy the array they build."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(zero).alias("at"), none.alias("out"))
+
+    def step(s: Column, v: Column) -> Column:
+        return _let(combine(s["at"], v).cast("int"), lambda x: F.struct(x.alias("at"), F.concat(s["out"], F.array(x)).alias("out")))
+
+    def before(s: Column, block: Column) -> Column:
+        return F.struct(combine(s["at"], F.element_at(block, -1)).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN_BLOCK).cast("int")), lambda i: F.slice(v, i * RUN_BLOCK + 1, F.lit(RUN_BLOCK)))
+        inner = F.transform(blocks, lambda b: F.aggregate(b, start, step, lambda s: s["out"]))
+        offsets = lambda done: F.aggregate(done, start, before, lambda s: s["out"])
+        return _let(inner, lambda done: F.flatten(F.zip_with(done, offsets(done), lambda b, o: F.transform(b, lambda x: combine(o, x).cast("int")))))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(whole(v)))
+
+
 def _placed(matches: Column, gaps: Column) -> Column:
-    """array<struct<start, end, text>>: a fold adds up the lengths before each match."""
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    step = lambda s, p: F.struct(
-        (s["at"] + p["g"] + p["n"]).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + p["g"]).alias("start"), (s["at"] + p["g"] + p["n"]).alias("end"), p["m"].alias("text")))).alias("out"),
-    )
-    return F.aggregate(pairs, empty, step, lambda s: s["out"])
+    """array<struct<start, end, text, before, after>>: the lengths before each match add up to its place."""
+
+    def whole(z: Column) -> Column:
+        m, g = z["m"], z["g"]
+        sizes = F.zip_with(m, F.slice(g, F.lit(1), F.size(m)), lambda x, gap: F.length(x) + F.length(gap))
+        near = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+        place = lambda ends: F.transform(
+            m,
+            lambda x, i: F.struct(
+                (F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("end"), x.alias("text"),
+                F.right(F.concat(near(m, i - 1), near(g, i)), F.lit(CONTEXT_CHARS)).alias("before"),
+                F.left(F.concat(near(g, i + 1), near(m, i + 1)), F.lit(1)).alias("after"),
+            ),
+        )
+        return _let(_running(sizes, lambda a, b: a + b, 0), place)
+
+    return _let(F.struct(matches.alias("m"), gaps.alias("g")), whole)
 
 
 def _digits(text: Column) -> Column:
@@ -94,11 +136,9 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _candidate(kind: str, strict: bool, s: Column, text: Column) -> Column:
+def _candidate(kind: str, strict: bool, s: Column) -> Column:
     """struct of a span and its votes."""
-    digits = _digits(s["text"])
-    before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS)))
-    after = F.substring(text, s["end"] + 1, 1)
+    digits, before, after = _digits(s["text"]), s["before"], s["after"]
     gazetteer = {
         "email": F.lower(F.regexp_extract(s["text"], "([A-Za-z0-9-]+)$", 1)).isin(*TOP_LEVEL),
         "ip": ~F.regexp_like(s["text"], F.lit("^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\\.")),
@@ -123,7 +163,7 @@ def _check(kind: str) -> Callable[[Column], Column]:
 
 
 def _judge(kind: str, strict: bool) -> Callable[[Column], Column]:
-    return lambda s: _candidate(kind, strict, s, F.col("_text"))
+    return lambda s: _candidate(kind, strict, s)
 
 
 def _is_kind(number: int) -> Callable[[Column], Column]:
@@ -146,9 +186,22 @@ def candidates(documents: DataFrame, keep: list[str]) -> DataFrame:
             placed = F.filter(placed, _check(kind))
         out = out.withColumn(c, F.transform(placed, _judge(kind, name == "base")))
     out = out.withColumn("_base", F.concat(*[F.col(c) for *_, c in arrays if "_base" in c]))
-    clash = lambda x: F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    loose = F.filter(F.concat(*[F.col(c) for *_, c in arrays if "_loose" in c]), lambda x: ~clash(x))
-    return out.select("row", F.concat("_base", loose).alias("found"))
+    loose = F.concat(*[F.col(c) for *_, c in arrays if "_loose" in c])
+    found = _let(loose, lambda x: F.when(F.size(x) == 0, F.col("_base")).otherwise(F.concat(F.col("_base"), _clear_of(F.col("_base"), x))))
+    return out.select("row", found.alias("found"))
+
+
+def _clear_of(base: Column, loose: Column) -> Column:
+    """The loose spans that overlap no base span: in the order of starts, none before may end, and none after begin, inside."""
+    later = 1 << 30
+
+    def whole(spans: Column) -> Column:
+        ends = _running(F.transform(spans, lambda s: F.when(s["strict"] == 1, s["end"]).otherwise(-1)), F.greatest, -1)
+        starts = F.reverse(_running(F.reverse(F.transform(spans, lambda s: F.when(s["strict"] == 1, s["start"]).otherwise(later))), F.least, later))
+        fits = lambda z: F.filter(spans, lambda s, i: (s["strict"] == 0) & (F.get(z["e"], i) <= s["start"]) & (F.get(z["s"], i) >= s["end"]))
+        return _let(F.struct(ends.alias("e"), starts.alias("s")), fits)
+
+    return _let(F.array_sort(F.concat(base, loose)), whole)
 
 
 @dataclass(frozen=True)
@@ -220,9 +273,17 @@ def accepted_spans(found: DataFrame, classifier: SpanClassifier) -> DataFrame:
     """Adds `base` and `spans`: sorted arrays of (start, kind, end). Added spans overlap nothing, the earlier one wins."""
     base = _plain(F.filter("found", lambda s: s["strict"] == 1))
     extra = _plain(F.filter("found", lambda s: (s["strict"] == 0) & classifier.accepts(s)))
-    none = F.array().cast(f"array<{SPAN}>")
-    apart = F.aggregate(extra, none, lambda kept, s: F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(s))))
-    return found.withColumns({"base": base, "_extra": apart}).withColumn("spans", F.array_sort(F.concat("base", "_extra"))).drop("_extra")
+    return found.withColumns({"base": base, "_extra": _apart(extra)}).withColumn("spans", F.array_sort(F.concat("base", "_extra"))).drop("_extra")
+
+
+def _apart(spans: Column) -> Column:
+    """Sorted spans without those that begin before an earlier one ends."""
+
+    def whole(x: Column) -> Column:
+        ends = _running(F.transform(x, lambda s: s["end"]), F.greatest, 0)
+        return _let(ends, lambda e: F.filter(x, lambda s, i: (i == 0) | (F.get(e, i - 1) <= s["start"])))
+
+    return _let(spans, whole)
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
@@ -233,19 +294,27 @@ def find_pii(documents: DataFrame) -> DataFrame:
     return judged.select("row.doc_id", *counts, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
 
 
+def _replaced(spans: Column, size: Column, part: Callable[[Column, Column], Column]) -> Column:
+    """The text, of `size` signs, with each span's kind in its place. part(place, length) cuts the text; of overlapping spans the first counts."""
+    kind = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def whole(ends: Column) -> Column:
+        at = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        piece = lambda s, i: F.when(s["start"] >= at(i), F.concat(part(at(i), s["start"] - at(i)), F.element_at(kind, s["kind"] + 1))).otherwise("")
+        return F.concat(F.array_join(F.transform(spans, piece), ""), part(F.element_at(ends, -1), size))
+
+    return _let(_running(F.transform(spans, lambda s: s["end"]), F.greatest, 0), whole)
+
+
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; n_chars follows the text, other columns stay."""
     found = materialize(candidates(documents, documents.columns), "spans")
     judged = accepted_spans(found, fit_classifier(found))
     text = F.coalesce("row.text", F.lit(""))
-    kind = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    step = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["parts"].alias("parts"))).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.element_at(kind, x["kind"] + 1))).alias("parts"))
-    )
-    rest = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text)))
     found_any = F.size("spans") > 0
-    changed = judged.withColumn("new", F.when(found_any, F.aggregate("spans", start, step, rest)).otherwise(F.col("row.text")))
+    cut = F.when(F.size("spans") <= MANY_SPANS, _replaced(F.col("spans"), F.length(text), lambda at, n: F.substring(text, at + 1, n)))
+    many = _let(F.split(text, ""), lambda signs: _replaced(F.col("spans"), F.size(signs), lambda at, n: F.array_join(F.slice(signs, at + 1, n), "")))
+    changed = judged.withColumn("new", F.when(found_any, cut.otherwise(many)).otherwise(F.col("row.text")))
     replaced = {"text": F.col("new")}
     if "n_chars" in documents.columns:
         replaced["n_chars"] = F.when(found_any, F.length("new").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
