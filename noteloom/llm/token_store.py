@@ -12,9 +12,13 @@ A key is the doc_id as 8 big-endian bytes that sort like the number, then a runn
 the ids as little-endian unsigned 16-bit integers (32-bit if the vocabulary needs them). `ShardReader.get` reads footer,
 filter and index, finds the block by binary search and reads only it.
 
+Shards are ranges of (doc_id, hash of the text), as many as the table's bytes ask for, so that a repeated id can fill
+several shards; a writer keeps 8 bytes for each key of its shard.
+
 Nulls: a null text is empty (its only id is the end id); a null doc_id is stored under the smallest key and read back as
-null. Repeated rows are all kept. Empty tables give no files and no rows. Files are written under a temporary name and
-then moved, so a task that runs twice leaves one file.
+null. Repeated rows are all kept, those of one id in the order of a hash of their texts. Empty tables give no files and
+no rows; further columns are not read. Files are written under a temporary name and then moved, so a task that runs twice
+leaves one file.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -42,6 +47,10 @@ INDEX_ENTRY = struct.Struct("<16s16sQQQ")
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
 END_ID = 0
+#: Stored bytes of the input for each shard, and tasks that read the shards back.
+SHARD_BYTES, READERS = 128 << 20, 20_000
+#: Where Spark cannot tell the bytes of a plan it names a huge number.
+MAX_SHARDS = 2_000_000
 #: Pre-tokens that a worker keeps.
 CACHE_WORDS = 400_000
 PIECE_CHARS = 1 << 20
@@ -182,8 +191,7 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
             return value, at
 
 
-def _bloom_bits(keys: list[bytes]) -> np.ndarray:
-    h = np.array([xxhash.xxh3_64_intdigest(k[:8]) for k in keys], np.uint64)
+def _bloom_bits(h: np.ndarray) -> np.ndarray:
     return np.column_stack([(h >> np.uint64(32)) + np.uint64(i) * (h & np.uint64(0xFFFFFFFF) | np.uint64(1)) for i in range(HASHES)])
 
 
@@ -193,7 +201,7 @@ class ShardWriter:
         self.at = self.ids = self.before = 0
         self.block, self.block_size, self.first, self.last = [], 0, b"", b""
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
 
     def add(self, key: bytes, value: bytes) -> None:
         shared = 0
@@ -206,7 +214,7 @@ class ShardWriter:
         self.block.append(entry)
         self.block_size += len(entry)
         self.last = key
-        self.keys.append(key)
+        self.hashes.append(xxhash.xxh3_64_intdigest(key[:8]))
         self.ids += len(value) // self.id_bytes
         if self.block_size >= BLOCK_BYTES:
             self._flush()
@@ -220,12 +228,13 @@ class ShardWriter:
     def close(self) -> None:
         self._flush()
         index = b"".join(self.index)
-        bits = max(64, len(self.keys) * BITS_PER_KEY // 64 * 64 + 64)
+        bits = max(64, len(self.hashes) * BITS_PER_KEY // 64 * 64 + 64)
         bloom = np.zeros(bits // 8, np.uint8)
-        at = (_bloom_bits(self.keys) % np.uint64(bits)).ravel() if self.keys else np.zeros(0, np.uint64)
-        np.bitwise_or.at(bloom, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        for first in range(0, len(self.hashes), 100_000):
+            at = (_bloom_bits(np.array(self.hashes[first : first + 100_000], np.uint64)) % np.uint64(bits)).ravel()
+            np.bitwise_or.at(bloom, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
         self.out.write(index + bloom.tobytes())
-        self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), bits // 8, len(self.index), len(self.keys), self.ids, self.id_bytes, MAGIC))
+        self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), bits // 8, len(self.index), len(self.hashes), self.ids, self.id_bytes, MAGIC))
 
 
 class ShardReader:
@@ -263,7 +272,7 @@ class ShardReader:
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every row with this doc_id."""
         key = _key(doc_id)
-        at = (_bloom_bits([key]) % np.uint64(len(self.bloom) * 8)).ravel()
+        at = (_bloom_bits(np.array([xxhash.xxh3_64_intdigest(key)], np.uint64)) % np.uint64(len(self.bloom) * 8)).ravel()
         if not all(self.bloom[int(x) >> 3] >> (int(x) & 7) & 1 for x in at):
             return []
         i = max(0, bisect_right([e[0][:8] for e in self.index], key) - 1)
@@ -282,7 +291,9 @@ def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int
     spark = documents.sparkSession
     bounded_batches(spark)
     tokenizer, folder = tokenizer or default_tokenizer(), folder or stage_path(spark, "tokens")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        stored = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(stored // SHARD_BYTES, MAX_SHARDS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = filesystem(folder)
@@ -296,10 +307,10 @@ def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(temporary)
                 writer = ShardWriter(out, len(end))
-            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            ids, none, texts = batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"].tolist()
             for group in _groups(texts):
-                for doc_id, value in zip(ids[group], encoder.encode_all(texts[group]), strict=True):
-                    key = _key(None if doc_id is None or doc_id != doc_id else int(doc_id))
+                for doc_id, unknown, value in zip(ids[group], none[group], encoder.encode_all(texts[group]), strict=True):
+                    key = _key(None if unknown else doc_id)
                     run_number = run_number + 1 if key == last else 0
                     last = key
                     writer.add(key + run_number.to_bytes(8, "big"), value + end)
@@ -307,9 +318,12 @@ def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int
             writer.close()
             out.close()
             files.move(temporary, f"{root}/{name}")
-            yield pd.DataFrame([(number, name, len(writer.keys), writer.ids)], columns=["shard", "file", "n_docs", "n_ids"])
+            yield pd.DataFrame([(number, name, len(writer.hashes), writer.ids)], columns=["shard", "file", "n_docs", "n_ids"])
 
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    rows = documents.select(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    order = [F.desc("no_id"), "doc_id", "hash"]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text").drop("hash")
     return folder, materialize(ordered.mapInPandas(run, "shard int, file string, n_docs long, n_ids long"), "manifest")
 
 
@@ -335,7 +349,7 @@ def read_shards(spark, folder: str, manifest: DataFrame) -> DataFrame:
                             out = []
                 yield _frame(out)
 
-    shards = spark.createDataFrame(rows, "file string, first long").repartition(len(rows))
+    shards = spark.createDataFrame(rows, "file string, first long").repartition(min(len(rows), READERS))
     return shards.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
