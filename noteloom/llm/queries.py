@@ -41,7 +41,8 @@ def op7_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, materialize(url_filter.block_list(pages), "block-list"))
 
 
 def op9_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:

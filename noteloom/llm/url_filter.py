@@ -1,26 +1,29 @@
 """URL filters: Bloom filter cascade.
 
-Levels alternate: level 0 encodes the listed keys, level 1 the unlisted keys of the universe that level 0
-accepts by mistake, level 2 the listed keys that level 1 accepts, and so on until a level makes no mistake.
-A key of the universe is listed exactly if the first level that rejects it has an odd number. No join is
-needed to look a key up. Bits are set with a map-side combined `bit_or` per 64-bit word, so only filter words,
-never keys, reach the driver; `max_bytes` bounds them, and beyond it the lookup becomes a left join.
-
-Nulls: a null url, or one without `://`, has an empty host and path. Empty hosts are never listed.
-Repeated urls are judged row by row. Empty tables give empty results.
+The block list is a table of hosts; an entry covers its host and all subdomains. The universe is every host of the corpus.
+Levels alternate: level 0 encodes the listed keys, level 1 the unlisted keys of the universe that level 0 accepts by
+mistake, level 2 the listed keys that level 1 accepts, and so on until a level makes no mistake. A key of the universe is
+listed exactly if the first level that rejects it has an odd number. No join is needed to look a key up.
+
+Keys are dealt by hash to parts, so that the filters of a part stay below `max_bytes` for a list of any length. Bits are
+set with a map-side combined `bit_or` per 64-bit word and stored in the shared folder; the driver sees counts per part
+only, and a worker holds the filters of one part at a time.
+
+Nulls: a null url, or one without `://`, has an empty host and path. Empty hosts are never listed, nor are null entries.
+Repeated urls are judged row by row; very long ones are read whole. Empty tables give empty results; further columns are
+not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import materialize
+from noteloom.llm.common import filesystem, materialize, stage_path
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -30,8 +33,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Hosts with such a word in a label are listed as blocked.
-LISTED_WORDS = ("adult", "bets", "casino", "porn", "spam", "warez", "xxx")
+#: The block list of the query: domains with such a word in a label.
+LISTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "warez", "xxx")
+LISTED_LABEL = r"(^|-)(" + "|".join(LISTED_WORDS) + r")(-|$)"
 LISTED_PATTERN = r"(^|[.-])(" + "|".join(LISTED_WORDS) + r")([.-]|$)"
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,11 +58,17 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return out
 
 
-@dataclass(frozen=True)
+def suffixes(host: Column) -> Column:
+    """The host and the domains above it."""
+    labels = F.split(host, "\\.")
+    return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+
+
 class Level:
-    bits: int
-    hashes: int
-    words: np.ndarray
+    """One Bloom filter: bits in 64-bit words."""
+
+    def __init__(self, bits: int, hashes: int, words: np.ndarray):
+        self.bits, self.hashes, self.words = bits, hashes, words
 
     def accepts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = np.ones(len(a), dtype=bool)
@@ -68,109 +78,165 @@ class Level:
         return ok
 
 
-def _hash_pair(key: Column, level: int) -> tuple[Column, Column]:
+def _hash_pair(key: Column, level: int) -> list[Column]:
     """Two non-negative hashes, short enough that a + 64 * b never overflows a long."""
-    return (
+    return [
         F.xxhash64(key, F.lit(2 * level)).bitwiseAND(F.lit((1 << 50) - 1)),
         F.xxhash64(key, F.lit(2 * level + 1)).bitwiseAND(F.lit((1 << 40) - 1)),
-    )
+    ]
 
 
-def _build_level(keys: DataFrame, level: int, n: int, bits_per_key: float, hashes: int) -> Level:
-    bits = max(64, int(n * bits_per_key) // 64 * 64 + 64)
-    a, b = _hash_pair(F.col("key"), level)
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + i.cast("long") * b, F.lit(bits))))
-    words = (
-        keys.select(at.alias("at"))
-        .groupBy(F.shiftright("at", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
-    )
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    for row in words.toLocalIterator():  # at most bits / 64 rows
-        out[row["word"]] = np.uint64(row["mask"] & 0xFFFFFFFFFFFFFFFF)
-    return Level(bits, hashes, out)
+def _part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts)).cast("int")
+
 
+def _assemble(sizes: list[int]):
+    """Rows come sorted by part, then word: one row per part with its whole filter."""
 
-def _level_filter(level: Level, number: int, key: Column) -> Column:
-    held = key_udf(level)
-    a, b = _hash_pair(key, number)
-    return held(a, b)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for p, rows in batch.groupby("part", sort=True):
+                if p != part:
+                    if part is not None:
+                        yield pd.DataFrame({"part": [part], "words": [held.tobytes()]})
+                    part, held = p, np.zeros(sizes[p] // 64, np.uint64)
+                held[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "words": [held.tobytes()]})
 
+    return run
 
-def key_udf(level: Level):
-    @F.pandas_udf("boolean")
-    def accepts(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(level.accepts(a.to_numpy(np.int64), b.to_numpy(np.int64)))
 
-    return accepts
+#: The filters of the part that a worker met last.
+_LAST: dict[tuple[str, int], list[Level]] = {}
 
 
 class BloomCascade:
     """Exact membership for every key of a stated universe."""
 
-    def __init__(self, levels: list[Level]):
-        self.levels = levels
+    def __init__(self, folder: str, parts: int, sizes: list[list[int]], hashes: int):
+        """sizes: bits of each part at each level, 0 where a part has no such level."""
+        self.folder, self.parts, self.sizes, self.hashes = folder, parts, sizes, hashes
 
     @property
     def size_bytes(self) -> int:
-        return sum(x.bits // 8 for x in self.levels)
+        return sum(map(sum, self.sizes)) // 8
 
     @classmethod
-    def build(cls, universe: DataFrame, bits_per_key: float = 10.0, hashes: int = 7, max_bytes: int = 64 << 20, max_levels: int = 64) -> BloomCascade | None:
-        """universe: distinct (key, listed). None if the filters would outgrow max_bytes."""
-        universe = materialize(universe.select("key", "listed"), "cascade-universe")
-        counts = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-        if counts.get(True, 0) * bits_per_key / 8 > max_bytes:
-            return None
-        levels: list[Level] = []
-        inside, outside = universe.where("listed").select("key"), universe.where(~F.col("listed")).select("key")
-        n = counts.get(True, 0)
-        while n and len(levels) < max_levels:
-            number = len(levels)
-            levels.append(_build_level(inside, number, n, bits_per_key, hashes))
+    def build(cls, universe: DataFrame, bits_per_key: float = 10.0, hashes: int = 7, max_bytes: int = 16 << 20, max_levels: int = 64) -> BloomCascade:
+        """universe: distinct (key, listed)."""
+        spark = universe.sparkSession
+        n = universe.where("listed").count()
+        # The levels after the first two are small; half of the bytes are for them and for uneven parts.
+        parts = max(1, -(-int(n * bits_per_key / 8) * 2 // max_bytes))
+        dealt = materialize(universe.select("key", "listed", _part_of(F.col("key"), parts).alias("_part")), "cascade-universe")
+        cascade = cls(stage_path(spark, "cascade"), parts, [], hashes)
+        inside, outside = dealt.where("listed").select("key", "_part"), dealt.where(~F.col("listed")).select("key", "_part")
+        while True:
+            counts = dict(inside.groupBy("_part").count().collect())  # at most one row per part
+            if not counts:
+                return cascade
+            number = len(cascade.sizes)
+            if number == max_levels:
+                raise ValueError("the cascade did not close: keys of the universe repeat with both labels")
+            cascade.sizes.append([int(counts[p] * bits_per_key) // 64 * 64 + 64 if p in counts else 0 for p in range(parts)])
+            cascade._store(inside, number)
             # What this level takes by mistake is what the next level encodes.
-            wrong = materialize(outside.where(_level_filter(levels[-1], number, F.col("key"))), f"cascade-{number}")
-            inside, outside, n = wrong, inside, wrong.count()
-            if sum(x.bits // 8 for x in levels) > max_bytes:
-                return None
-        if n:
-            raise ValueError("the cascade did not close: keys of the universe repeat with both labels")
-        return cls(levels)
-
-    def listed(self, key: Column) -> Column:
-        """Boolean column: whether a key of the universe is listed."""
-        if not self.levels:
-            return F.lit(False)
-        levels = self.levels
+            wrong = materialize(cascade._grouped(outside).where(cascade._accepted_by(number)), f"cascade-{number}")
+            inside, outside = wrong, inside
+
+    def _store(self, keys: DataFrame, number: int) -> None:
+        sizes, hashes = self.sizes[number], self.hashes
+        a, b = _hash_pair(F.col("key"), number)
+        bits = F.get(F.array(*[F.lit(x).cast("long") for x in sizes]), F.col("_part"))
+        at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + i.cast("long") * b, bits)))
+        masks = keys.select(F.col("_part").alias("part"), at.alias("at")).groupBy("part", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
+        whole = masks.repartition("part").sortWithinPartitions("part", "word").mapInPandas(_assemble(sizes), "part int, words binary")
+        whole.write.partitionBy("part").parquet(f"{self.folder}/level={number}")
+
+    def _grouped(self, rows: DataFrame) -> DataFrame:
+        """Rows with a column `_part`, so that a task meets the parts one after another; frequent parts go to many tasks."""
+        if self.parts == 1:
+            return rows
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(64))
+        return rows.withColumn("_salt", salt).repartition("_part", "_salt").sortWithinPartitions("_part").drop("_salt")
+
+    def _levels(self, part: int, upto: int) -> list[Level]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        key = (f"{self.folder}#{upto}", part)
+        if key not in _LAST:
+            _LAST.clear()
+            files, root = filesystem(self.folder)
+            levels = []
+            for number in range(upto):
+                words = b""
+                for info in files.get_file_info(fs.FileSelector(f"{root}/level={number}/part={part}", allow_not_found=True)):
+                    if info.path.endswith(".parquet"):
+                        with files.open_input_file(info.path) as source:
+                            words += b"".join(pq.ParquetFile(source).read(["words"])["words"].to_pylist())
+                if words:
+                    levels.append(Level(self.sizes[number][part], self.hashes, np.frombuffer(words, np.uint64)))
+            _LAST[key] = levels
+        return _LAST[key]
+
+    def _accepted_by(self, number: int) -> Column:
+        """Whether level `number` of its part accepts a key."""
+        cascade = self
 
         @F.pandas_udf("boolean")
-        def lookup(hashes: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for series in hashes:
-                pairs = [s.to_numpy(np.int64) for s in series]
-                n = len(pairs[0])
-                verdict = np.full(n, len(levels) % 2 == 1)
-                open_rows = np.arange(n)
-                for i, level in enumerate(levels):
-                    ok = level.accepts(pairs[2 * i][open_rows], pairs[2 * i + 1][open_rows])
-                    verdict[open_rows[~ok]] = i % 2 == 1
-                    open_rows = open_rows[ok]
-                yield pd.Series(verdict)
-
-        lookup_args = [x for i in range(len(levels)) for x in _hash_pair(key, i)]
-        return lookup(*lookup_args)
-
+        def accepts(parts: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+            out = np.zeros(len(parts), bool)
+            for part, rows in parts.groupby(parts).indices.items():
+                levels = cascade._levels(int(part), number + 1)
+                if len(levels) > number:
+                    out[rows] = levels[number].accepts(a.to_numpy(np.int64)[rows], b.to_numpy(np.int64)[rows])
+            return pd.Series(out)
+
+        return accepts("_part", *_hash_pair(F.col("key"), number))
+
+    def add_listed(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
+        """The rows with a boolean column `name`: whether the key, one of the universe, is listed."""
+        if not self.sizes:
+            return rows.withColumn(name, F.lit(False))
+        cascade, depth = self, len(self.sizes)
 
-def judge_urls(pages: DataFrame, listed: Column | None = None, rules: Sequence[tuple[str, str, str]] = RULES, max_bytes: int = 64 << 20) -> DataFrame:
-    """page_id, host, path, rule, verdict. listed: which hosts of the table the block list names."""
+        @F.pandas_udf("boolean")
+        def lookup(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for parts, *series in batches:
+                pairs = [s.to_numpy(np.int64) for s in series]
+                out = np.zeros(len(parts), bool)
+                for part, left in parts.groupby(parts).indices.items():
+                    levels = cascade._levels(int(part), depth)
+                    verdict = len(levels) % 2 == 1
+                    for i, level in enumerate(levels):
+                        ok = level.accepts(pairs[2 * i][left], pairs[2 * i + 1][left])
+                        out[left[~ok]] = i % 2 == 1
+                        left = left[ok]
+                    out[left] = verdict
+                yield pd.Series(out)
+
+        dealt = self._grouped(rows.withColumn("_part", _part_of(key, self.parts)))
+        return dealt.withColumn(name, lookup("_part", *[x for i in range(depth) for x in _hash_pair(key, i)])).drop("_part")
+
+
+def block_list(pages: DataFrame) -> DataFrame:
+    """host: the domains of the pages with a listed word in their first label."""
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    domains = hosts.select(F.explode(suffixes(F.col("host"))).alias("host"))
+    return domains.where(F.regexp_like(F.substring_index("host", ".", 1), F.lit(LISTED_LABEL))).distinct()
+
+
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bytes: int = 16 << 20) -> DataFrame:
+    """page_id, host, path, rule, verdict. listed: host, each with all its subdomains."""
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    on_list = F.regexp_like(F.col("key"), F.lit(LISTED_PATTERN)) if listed is None else listed
-    universe = cut.select(F.col("host").alias("key")).distinct().select("key", F.coalesce(on_list, F.lit(False)).alias("listed"))
-    cascade = BloomCascade.build(universe, max_bytes=max_bytes)
-    if cascade is None:
-        known = universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("_listed"))
-        judged = cut.join(known, "host", "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
-    else:
-        judged = cut.withColumn("_listed", cascade.listed(F.col("host")))
+    hosts = cut.select(F.col("host").alias("key")).distinct()
+    entries = listed.select(F.translate("host", UPPER, LOWER).alias("domain")).where(F.col("domain") != "").distinct().withColumn("on_list", F.lit(True))
+    domains = hosts.select("key", F.explode(suffixes(F.col("key"))).alias("domain")).join(entries, "domain", "left")
+    universe = domains.groupBy("key").agg(F.coalesce(F.max("on_list"), F.lit(False)).alias("listed"))
+    judged = BloomCascade.build(universe, max_bytes=max_bytes).add_listed(cut, F.col("host"), "_listed")
     return judged.withColumn("_rule", rule_column(F.col("host"), F.col("path"), rules)).select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), F.when(F.col("_listed"), "block").otherwise("allow")).alias("verdict"),
