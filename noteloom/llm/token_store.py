@@ -292,7 +292,7 @@ def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int
     bounded_batches(spark)
     tokenizer, folder = tokenizer or default_tokenizer(), folder or stage_path(spark, "tokens")
     if shards is None:
-        stored = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        stored = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(stored // SHARD_BYTES, MAX_SHARDS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
