@@ -11,22 +11,22 @@ from pyspark.sql import functions as F
 from noteloom.llm.common import hot_limit, materialize
 
 
+HUB_EDGES = 1_000_000
+
+
 def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     """Link the neighbours of each node (the larger ones, or the smaller ones) to the smallest of them and itself.
 
     edges: (a, b) with a > b, `total` of them. The smallest neighbour comes from an aggregation and a join, never from a
-    collected list; nodes with many neighbours, of which there are few, meet theirs by a broadcast.
+    collected list. Beyond HUB_EDGES edges, nodes with many neighbours, of which there are few, meet theirs by a
+    broadcast; up to that, even all edges of one node are little for one task.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
     least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", F.least("a", "least").alias("m"), "n")
-    limit = hot_limit(2 * total)
-    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", F.col("m").alias("hub")))  # fewer than HOT_KEYS rows
-    marked = both.join(hubs, "a", "left")
-    rest = marked.where(F.col("hub").isNull()).select("a", "b").join(least.select("a", "m"), "a")
-    joined = marked.where(F.col("hub").isNotNull()).select("a", "b", F.col("hub").alias("m")).unionByName(rest)
+    joined = _joined_with_hubs(both, least, hot_limit(2 * total)) if total > HUB_EDGES else both.join(least.select("a", "m"), "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -34,6 +34,13 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _joined_with_hubs(both: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", F.col("m").alias("hub")))  # fewer than HOT_KEYS rows
+    marked = both.join(hubs, "a", "left")
+    rest = marked.where(F.col("hub").isNull()).select("a", "b").join(least.select("a", "m"), "a")
+    return marked.where(F.col("hub").isNotNull()).select("a", "b", F.col("hub").alias("m")).unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (src, dst). Returns (id, component) for every node of an edge; component is the smallest id reached."""
     now = edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()

@@ -53,7 +53,7 @@ SAMPLE_CHARS, FREQUENT = 16_000_000, 256
 MANY, MOST = 254, 255
 BITS = 2048
 #: Bits of the bitmap of a whole block.
-BLOCK_BITS = 1 << 15
+BLOCK_BITS = 1 << 13
 LEAF, FANOUT = 16, 8
 #: Pairs of two leaves that are intersected one by one; more are counted by a product of matrices.
 FEW = 3
@@ -534,7 +534,8 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     blocks = materialize(members.repartitionByRange("family", "n", "doc_id").sortWithinPartitions("family", "n", "doc_id").mapInPandas(_pack_blocks, _BLOCKS).withColumn("block", F.expr("uuid()")), "blocks")
     own = blocks.select("ids", "sizes", "data", *[F.lit(None).cast("binary").alias(f"other_{c}") for c in ("ids", "sizes", "data")])
     # Blocks of one family meet only if their size ranges and the overlap that their bitmaps allow leave a link possible.
-    light = blocks.select("family", "block", "low", "high", "most", "fewest", "bits")
+    several = blocks.groupBy("family").count().where("count > 1").select("family")
+    light = materialize(blocks.select("family", "block", "low", "high", "most", "fewest", "bits").join(several, "family", "left_semi"), "nodes")
     x, y = light.alias("x"), light.alias("y")
     near = x.join(y, F.col("x.family") == F.col("y.family")).where(
         (F.col("x.block") < F.col("y.block")) & (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))

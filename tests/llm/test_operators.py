@@ -84,10 +84,11 @@ def test_jaccard_join_counts_every_link(spark):
 
 
 def test_jaccard_join_with_frequent_shingles_hubs_and_hot_sets(spark, monkeypatch):
-    from noteloom.llm import common
+    from noteloom.llm import common, components
 
     monkeypatch.setattr(common, "LEAST_HOT", 2)
     monkeypatch.setattr(common, "HOT_KEYS", 20)
+    monkeypatch.setattr(components, "HUB_EDGES", 10)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
     boilerplate = words(60, 77, 3000)
