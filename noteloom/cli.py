@@ -3,38 +3,80 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
+import signal
 import sys
-from collections.abc import Sequence
+import threading
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom import config, schemas
+from noteloom.functions.identity import golden_identity
 from noteloom.operators import chunking, embedding, evaluation, notes, points, retrieval
-from noteloom.session import get_session
+from noteloom.session import get_session, path_exists
 from noteloom.sources import golden, sinks, vault
 
 OK, FAILURE, USAGE, LOCKED, GATE = 0, 1, 2, 3, 4
 PIPELINE = {"chunker_version": schemas.CHUNKER_VERSION, "floor_tokens": "256", "ceiling_tokens": "1024", "merge_rule": schemas.MERGE_RULE}
 #: The built-in embedder; a real one goes through operators.embedding.embed.
 HASH_EMBEDDER = {"model_revision": "hash-1", "tokenizer_revision": "none", "dim": "64", "normalization": "l2", "pooling": "none", "precision": "fp64", "sparse_params": ""}
+HANDSHAKE = embedding.Handshake(**{**HASH_EMBEDDER, "dim": int(HASH_EMBEDDER["dim"])})
 
 
 class Usage(ValueError):
     pass
 
 
+class Interrupted(RuntimeError):
+    pass
+
+
+class Interrupt:
+    """Whether the run was asked to stop. Nothing is written before its table is whole, so stopping leaves the old one."""
+
+    seen = False
+
+    def check(self) -> None:
+        if self.seen:
+            raise Interrupted("interrupted; nothing was written")
+
+
+@contextmanager
+def interruptible(spark: SparkSession) -> Iterator[Interrupt]:
+    """The first interrupt cancels the running jobs of this run, and later steps refuse to start."""
+    state, group = Interrupt(), f"noteloom-{os.getpid()}"
+
+    def stop(*_: object) -> None:
+        state.seen = True
+        spark.sparkContext.cancelJobGroup(group)
+
+    main = threading.current_thread() is threading.main_thread()
+    before = signal.signal(signal.SIGINT, stop) if main else None
+    spark.sparkContext.setJobGroup(group, "ingest", interruptOnCancel=True)
+    try:
+        yield state
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        if main:
+            signal.signal(signal.SIGINT, before)
+
+
 def point_schema() -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.PAYLOAD) + ", point_id string, dense array<double>"
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(point_schema()).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    return spark.read.schema(point_schema()).parquet(path) if path_exists(spark, path) else None
+
+
+def applied_state(settings: config.Config) -> dict | None:
+    """What the last run recorded about the model, if a state file is configured and there."""
+    return sinks.read_json(settings.state, embedding.STATE_KEYS) if settings.state and os.path.exists(settings.state) else None
 
 
 def check_flags(dry_run: bool, prune: bool, only: str, yes: bool) -> None:
@@ -43,12 +85,16 @@ def check_flags(dry_run: bool, prune: bool, only: str, yes: bool) -> None:
             raise Usage(why)
 
 
+def exclusions_of(v: config.Vault) -> vault.Exclusions:
+    return vault.Exclusions(v.exclude_folders, v.exclude_root_files)
+
+
 def scan(spark: SparkSession, vaults: Sequence[config.Vault]) -> DataFrame:
     """Valid notes of all vaults; any bad note or repeated uid fails the whole scan."""
     vault.check_vaults({v.name: (v.path, v.areas) for v in vaults})
     parsed = None
     for v in vaults:
-        files = vault.read_vault(spark, v.path, v.name)
+        files = vault.read_vault(spark, v.path, v.name, exclusions_of(v))
         own = notes.parse_notes(files, v.areas).join(files.select("vault", "path", "modified"), ["vault", "path"])
         own = notes.with_updated(own, vault.git_dates(spark, v.path), F.col("modified"))
         parsed = own if parsed is None else parsed.unionByName(own)
@@ -57,67 +103,109 @@ def scan(spark: SparkSession, vaults: Sequence[config.Vault]) -> DataFrame:
     bad = parsed.where(F.col("error").isNotNull()).select("vault", "path", "error").orderBy("vault", "path").limit(100).collect()
     if bad:
         raise ValueError("; ".join(f"{r.vault}/{r.path}: {r.error}" for r in bad))
-    good = parsed.where(~F.col("skipped"))
+    good = parsed.where(~F.col("skipped")).drop("skipped", "error")
     twice = good.groupBy("uid").count().where("count > 1").limit(10).collect()
     if twice:
         raise ValueError("repeated uid: " + ", ".join(sorted(r.uid for r in twice)))
     return good
 
 
-def expected_of(found: DataFrame, tenant: str, model: str) -> DataFrame:
+def expected_of(chunks: DataFrame, tenant: str, model: str) -> DataFrame:
     stamp = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    chunks = chunking.chunk_notes(found)
     rows = chunks.withColumns({"tenant_id": F.lit(tenant), "headings": F.coalesce("breadcrumb", F.array().cast("array<string>")), "created": F.date_format(F.col("created").cast("timestamp"), stamp), "updated": F.date_format("updated", stamp), "embedding_model": F.lit(model)})
     return points.expected_points(rows, PIPELINE, HASH_EMBEDDER)
 
 
-def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> str:
+def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> dict:
+    """Scan, compare, embed what changed, write one new table for the tenant, record the model."""
     check_flags(args.dry_run, args.prune_orphans, args.only, args.yes)
-    path = f"{settings.tables}/{settings.collection}"
-    with sinks.table_lock(settings.locks or "/tmp/noteloom-locks", path, settings.tenant):
-        found = scan(spark, settings.vaults)
+    path, tenant = f"{settings.tables}/{settings.collection}", settings.tenant
+    vaults = settings.chosen(args.vault)
+    embedding.verify(HANDSHAKE, applied_state(settings), settings.embedding_model)
+    with sinks.table_lock(settings.locks or "/tmp/noteloom-locks", sinks.canonical(path), tenant), interruptible(spark) as interrupt:
+        found = scan(spark, vaults)
         chosen = found.where(notes.glob_filter(F.concat_ws("/", "vault", "path"), args.only))
-        expected = embedding.embed_by_hash(expected_of(chosen, settings.tenant, settings.embedding_model))
-        columns = [f.name for f in schemas.PAYLOAD] + ["point_id", "dense"]
-        fields = [c for c in columns if c not in ("dense", "point_id")]
+        chunks = chunking.chunk_notes(chosen)
+        failed = chunking.failed_notes(chunks, ["uid"]).withColumn("tenant_id", F.lit(tenant))
+        columns = [f.name for f in schemas.PAYLOAD] + ["point_id"]
+        expected = expected_of(chunks.join(failed.select("uid"), "uid", "left_anti"), tenant, settings.embedding_model).select(*columns).persist()
         stored = read_points(spark, path)
-        own = spark.createDataFrame([], point_schema()) if stored is None else stored.where(F.col("tenant_id") == settings.tenant)
-        table, results = points.ingest(expected.select(*columns), own, fields, full=args.full)
-        lost = points.orphans(own, found, [v.name for v in settings.vaults]) if not args.only else points.orphans(own, found, ["-"])
-        report = points.ingest_report(results, lost, "dry-run" if args.dry_run else "full" if args.full else "incremental").first()["report"]
+        own = spark.createDataFrame([], point_schema()) if stored is None else stored.where(retrieval.of_tenant(tenant))
+        scanned = chosen.select(F.lit(tenant).alias("tenant_id"), "uid")
+        results = points.classify(expected, own, [c for c in columns if c != "point_id"], args.full, scanned, failed).persist()
+        # A filtered run has not seen the other notes, so it knows nothing about orphans.
+        lost = points.orphans(own, found, ["-"] if args.only else [v.name for v in vaults])
+        files = None
+        for v in vaults:
+            seen = vault.every_file(spark, v.path, v.name)
+            files = seen if files is None else files.unionByName(seen)
+        split = points.on_disk(lost, files).persist()
+        gone, kept = split.where("state = 'prunable'"), split.where("state = 'on_disk'")
+        report = json.loads(points.ingest_report(results, gone, "dry-run" if args.dry_run else "full" if args.full else "incremental", kept).first()["report"])
         if not args.dry_run:
+            interrupt.check()
+            fresh = embedding.embed_by_hash(points.changed_points(expected, results))
+            table = points.merge(own, fresh, results)
             if args.prune_orphans:
-                table = points.prune_orphans(table, lost, confirmed=args.yes)
+                table = points.prune_orphans(table, gone, confirmed=args.yes, filtered=bool(args.only), interrupted=interrupt.seen)
             staged = f"{path}-staged"
-            table.select(*columns).write.mode("overwrite").parquet(staged)
-            points.write_tenants(spark.read.schema(point_schema()).parquet(staged), path)
+            table.select(*columns, "dense").write.mode("overwrite").parquet(staged)
+            whole = spark.read.schema(point_schema()).parquet(staged)
+            if not points.foreign_tenants(whole, tenant).isEmpty():
+                raise ValueError("a row of another tenant is about to be written")
+            interrupt.check()
+            n = whole.count()
+            points.write_confirmed(lambda: points.write_tenants(whole, path, [tenant]), lambda: _written(spark, path, tenant) == n)
+            if settings.state:
+                sinks.write_json(settings.state, {"model": settings.embedding_model, "handshake": asdict(HANDSHAKE)})
         return report
 
 
+def _written(spark: SparkSession, path: str, tenant: str) -> int:
+    now = read_points(spark, path)
+    return 0 if now is None else now.where(retrieval.of_tenant(tenant)).count()
+
+
 def run_search(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> list[dict]:
     asked = retrieval.Query(settings.collection, settings.tenant, args.text, top_k=args.top_k, mode=args.mode, area=args.area, type=args.type, vault=args.vault, tags=tuple(args.tag)).validate()
     stored = read_points(spark, f"{settings.tables}/{settings.collection}")
     if stored is None:
         raise ValueError("the collection is empty")
-    query = embedding.embed_by_hash(spark.createDataFrame([(0, args.text)], "query_id int, text string")).withColumnRenamed("dense", "query_vector")
-    from noteloom.functions.text import tokens
-
-    query = query.withColumn("terms", F.map_from_arrays(tokens(F.col("text")), F.transform(tokens(F.col("text")), lambda _: F.lit(1)))).drop("text")
-    terms = stored.where(F.col("tenant_id") == settings.tenant).select("point_id", F.explode(tokens(F.col("text"))).alias("term")).withColumn("weight", F.lit(1))
+    embedding.verify(HANDSHAKE, applied_state(settings), settings.embedding_model or HANDSHAKE.model_revision)
+    query = retrieval.query_rows(spark, args.text, embedding.embed_by_hash)
+    terms = retrieval.terms_of(stored.where(retrieval.of_tenant(settings.tenant)), "point_id")
     rows = retrieval.format_results(retrieval.search(query, stored, terms, asked)).orderBy("position").collect()
     return [{"uid": r.uid, "chunk_index": r.chunk_index, "title": r.title, "breadcrumb": r.breadcrumb, "path": r.path, "score": r.score, "text": r.text, "untrusted": r.untrusted} for r in rows]
 
 
-def run_eval(spark: SparkSession, args: argparse.Namespace) -> tuple[bool, dict]:
+def run_eval(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> tuple[bool, dict]:
+    """Ask the golden questions; compare with the saved run, write the Markdown report, and tell whether the gate holds."""
     corpus = golden.read_corpus(spark, args.corpus)
-    questions, _, _ = golden.read_golden(spark, args.golden)
+    questions, groups, bounds = golden.read_golden(spark, args.golden)
     asked = questions.withColumn("question_id", F.monotonically_increasing_id()).withColumn("errored", ~F.coalesce(notes.valid_uid(F.col("uid")), F.lit(False)))
-    tenant = args.tenant
+    tenant, mode = args.tenant, "lexical"
     own = asked.where(~F.col("errored")).select(F.col("question_id").alias("query_id"), F.lit(tenant).alias("tenant_id"), F.col("question").alias("text"))
-    ranked = retrieval.lexical_search(own, corpus.where(F.col("tenant_id") == tenant), args.k).withColumnRenamed("query_id", "question_id")
-    report = evaluation.recall(evaluation.judge(asked, ranked, args.k))
-    verdict = evaluation.gate(report, args.threshold).first()
-    return bool(verdict["passed"]), verdict.asDict()
+    ranked = retrieval.lexical_search(own, corpus.where(retrieval.of_tenant(tenant)), args.k).withColumnRenamed("query_id", "question_id")
+    results = evaluation.judge(asked, ranked, args.k).persist()
+    report = evaluation.recall(results)
+    rows = report.collect()
+    verdict = evaluation.gate(report, args.threshold).first().asDict()
+    if settings.baseline and os.path.exists(settings.baseline):
+        before = evaluation.baseline_rows(spark, sinks.read_json(settings.baseline, evaluation.BASELINE_KEYS), args.k, mode)
+        verdict["delta"] = [r.asDict() for r in evaluation.baseline_delta(report, before).orderBy("area").collect()]
+    if args.save_baseline:
+        if not settings.baseline:
+            raise Usage("--save-baseline needs a baseline setting")
+        sinks.write_json(settings.baseline, evaluation.baseline_of(rows, args.k, mode))
+    if settings.report:
+        commit, dates = golden.commits(spark, args.golden)
+        since = F.lit(args.since).cast("timestamp") if args.since else F.lit(None).cast("timestamp")
+        stale = evaluation.stale_questions(asked.withColumn("identity", golden_identity(F.col("question"), F.col("uid"))), dates, since).collect() if commit else []
+        violations = evaluation.coverage_violations(asked, groups, *bounds).collect() if any(bounds) else []
+        listed = evaluation.outcomes(results).join(asked.select("question_id", "question"), "question_id").orderBy("question_id").collect()
+        with open(settings.report, "w", encoding="utf-8") as file:
+            file.write(evaluation.recall_markdown(rows, listed, args.k, mode, commit, stale, violations))
+    return bool(verdict["passed"]), verdict
 
 
 def parser() -> argparse.ArgumentParser:
@@ -125,11 +213,14 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--config", default=None)
     sub = out.add_subparsers(dest="command", required=True)
     sub.add_parser("schema")
-    sub.add_parser("stats")
+    stats = sub.add_parser("stats")
+    stats.add_argument("--tenant", default="")
     ingest = sub.add_parser("ingest")
     for flag in ("--dry-run", "--full", "--prune-orphans", "--yes"):
         ingest.add_argument(flag, action="store_true")
     ingest.add_argument("--only", default="")
+    ingest.add_argument("--vault", default="both")
+    ingest.add_argument("--human", action="store_true")
     search = sub.add_parser("search")
     search.add_argument("text")
     search.add_argument("--top-k", type=int, default=retrieval.TOP_K)
@@ -145,9 +236,23 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--tenant", required=True)
     run.add_argument("--k", type=int, default=5)
     run.add_argument("--threshold", type=float, default=0.75)
+    run.add_argument("--save-baseline", action="store_true")
+    run.add_argument("--since", default="", help="questions written after this time are stale")
     return out
 
 
+def outage_of(problem: BaseException) -> str:
+    """Which part failed: the embedder, the store of points, or something else."""
+    text = f"{type(problem).__name__} {problem}".lower()
+    if isinstance(problem, Interrupted):
+        return "interrupted"
+    if "embedder" in text:
+        return "embedder"
+    if isinstance(problem, (points.WriteFailed, schemas.SchemaDrift)) or "parquet" in text or "path_not_found" in text or "filesystem" in text:
+        return "store"
+    return "other"
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         args = parser().parse_args(argv)
@@ -159,7 +264,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             settings.require(args.command if args.command != "eval" else "")
         session = spark or get_session()
         if args.command == "ingest":
-            print(run_ingest(session, settings, args))
+            report = run_ingest(session, settings, args)
+            print(points.human_report(report) if args.human else json.dumps(report, ensure_ascii=False, separators=(",", ":")))
+            return FAILURE if report["failed"] else OK
         elif args.command == "search":
             print(sinks.envelope(run_search(session, settings, args)))
         elif args.command == "get":
@@ -172,16 +279,17 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             for (name,) in names:
                 stored = read_points(session, f"{settings.tables}/{name}")
                 if stored is not None:
-                    own = stored.select(F.lit(name).alias("collection"), "uid")
+                    own = stored.select(F.lit(name).alias("collection"), "tenant_id", "uid")
                     every = own if every is None else every.unionByName(own)
-            every = session.createDataFrame([], "collection string, uid string") if every is None else every
-            rows = points.collection_stats(every, session.createDataFrame(names, "collection string")).orderBy("collection").collect()
+            every = session.createDataFrame([], "collection string, tenant_id string, uid string") if every is None else every
+            rows = points.collection_stats(every, session.createDataFrame(names, "collection string"), args.tenant).orderBy("collection").collect()
             print(sinks.envelope([r.asDict() for r in rows]))
         elif args.command == "schema":
             for name, manifest in schemas.manifests(settings.embedding_model).items():
-                print(name, schemas.check_applied(manifest, read_points(session, f"{settings.tables}/{name}")))
+                applied = applied_state(settings) if name == settings.collection else None
+                print(name, schemas.check_applied(manifest, read_points(session, f"{settings.tables}/{name}"), applied["model"] if applied else None))
         else:
-            passed, verdict = run_eval(session, args)
+            passed, verdict = run_eval(session, settings, args)
             print(sinks.envelope(verdict))
             return OK if passed else GATE
         return OK
@@ -192,7 +300,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         print(sinks.envelope(error=str(e)))
         return LOCKED
     except Exception as e:  # noqa: BLE001 - the boundary of the process
-        print(sinks.envelope(error=str(e)))
+        secrets = {k.removeprefix(config.PREFIX).lower(): v for k, v in os.environ.items() if k.startswith(config.PREFIX)}
+        print(sinks.envelope(error=f"{outage_of(e)}: {config.scrub(str(e), secrets)}"))
         return FAILURE
 
 

@@ -11,7 +11,9 @@ import yaml
 from noteloom.schemas import COLLECTIONS, is_slug
 
 PREFIX = "NOTELOOM_"
-KEYS = ("tables", "collection", "tenant", "embedding_model", "golden", "baseline", "state", "locks")
+KEYS = ("tables", "collection", "tenant", "embedding_model", "golden", "baseline", "state", "locks", "report")
+#: Settings of one vault: folder, areas, folders and root files that the walk passes over.
+VAULT_KEYS = ("path", "areas", "exclude_folders", "exclude_root_files")
 #: What each command needs.
 REQUIRED = {"ingest": ("tables", "collection", "tenant", "embedding_model"), "search": ("tables", "collection", "tenant"), "stats": ("tables",), "eval": ("golden",), "schema": ("tables", "embedding_model")}
 
@@ -20,11 +22,33 @@ class ConfigError(ValueError):
     pass
 
 
+#: Settings whose names end so are secrets: shown as stars, taken out of messages.
+SECRET = ("key", "token", "password", "secret")
+STARS = "***"
+
+
+def is_secret(name: str) -> bool:
+    return name.lower().endswith(SECRET)
+
+
+def redacted(values: Mapping[str, str]) -> dict[str, str]:
+    return {k: STARS if v and is_secret(k) else v for k, v in values.items()}
+
+
+def scrub(message: str, values: Mapping[str, str]) -> str:
+    """A message without the value of any secret."""
+    for value in sorted((v for k, v in values.items() if v and is_secret(k)), key=len, reverse=True):
+        message = message.replace(value, STARS)
+    return message
+
+
 @dataclass(frozen=True)
 class Vault:
     name: str
     path: str
     areas: tuple[str, ...]
+    exclude_folders: tuple[str, ...] = ()
+    exclude_root_files: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -43,6 +67,15 @@ class Config:
             raise ConfigError(f"{command} needs {', '.join(absent)}")
         return self
 
+    def chosen(self, name: str) -> tuple[Vault, ...]:
+        """The vault of that name, or all of them for `both` and for nothing."""
+        if name in ("", "both"):
+            return self.vaults
+        own = tuple(v for v in self.vaults if v.name == name)
+        if not own:
+            raise ConfigError(f"unknown vault {name!r}; there are {', '.join(v.name for v in self.vaults) or 'none'}")
+        return own
+
 
 def load(path: str | None = None, environ: Mapping[str, str] | None = None) -> Config:
     environ = os.environ if environ is None else environ
@@ -61,8 +94,9 @@ def load(path: str | None = None, environ: Mapping[str, str] | None = None) -> C
             problems.append("a vault cannot be called 'both'")
         if not values.get(f"{key}_path") or not areas:
             problems.append(f"vault {name} needs a path and areas")
-        vaults.append(Vault(name, values.get(f"{key}_path", ""), areas))
-    owned = {f"vault_{n.replace('-', '_')}_{s}" for n in names for s in ("path", "areas")}
+        excluded = [tuple(x for x in values.get(f"{key}_{k}", "").split(",") if x) for k in VAULT_KEYS[2:]]
+        vaults.append(Vault(name, values.get(f"{key}_path", ""), areas, *excluded))
+    owned = {f"vault_{n.replace('-', '_')}_{s}" for n in names for s in VAULT_KEYS}
     problems += [f"setting {k} belongs to no vault" for k in sorted(values) if k.startswith("vault_") and k not in owned]
     problems += [f"unknown setting {k}" for k in sorted(values) if k not in KEYS and k != "vaults" and not k.startswith("vault_")]
     if values.get("collection") and values["collection"] not in COLLECTIONS:

@@ -35,6 +35,11 @@ def count_fields(text: Column) -> Column:
     return F.size(fields(text))
 
 
+def words(text: Column) -> Column:
+    """Lower-case runs of letters and digits, in order."""
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
+
+
 def tokens(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != ""))
+    return F.array_distinct(words(text))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noteloom.functions.arrays import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,12 +26,6 @@ def cosine(a: Column, b: Column, digits: int = 6) -> Column:
     return F.round(dot(a, b) / (norm(a) * norm(b)), digits)
 
 
-def term_counts(words: Column) -> Column:
-    """map word -> count of an array of words."""
-    keys = F.array_distinct(words)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(words, lambda w: w == k))))
-
-
 def sparse(weights: Column) -> Column:
     """map id -> weight to ascending (id, weight) pairs with positive weights."""
     return F.sort_array(F.map_entries(F.map_filter(weights, lambda _, v: v > 0)))
@@ -50,8 +46,9 @@ def sparse_error(indices: Column, values: Column) -> Column:
 
 def hash_embedding(text: Column, width: int = 64) -> Column:
     """A deterministic unit vector of a text, for tests and dry runs."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.pmod(F.xxhash64(text, i), F.lit(2000003)).cast("double") / 1000001.0) - 1.0)
-    return normalized(raw)
+    seed = F.md5(text)
+    number = lambda i: F.conv(F.substring(F.md5(F.concat(seed, F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("double")
+    return let(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: number(i) / float(1 << 31) - 1.0), normalized)
 
 
 def rrf(dense_rank: Column, sparse_rank: Column, k: int = 60, digits: int = 9) -> Column:

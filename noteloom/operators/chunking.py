@@ -7,11 +7,14 @@ white-space fields, so a range is measured by the difference of two running coun
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteloom.functions.arrays import fold, let, running_sum
+from noteloom.functions.stats import nearest_rank
 from noteloom.functions.text import SPACE, count_fields, is_blank, trim_space
 
 FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
@@ -38,18 +41,16 @@ def lines_of(body: Column) -> Column:
 
 def in_fence(lines: Column) -> Column:
     """Whether each line belongs to a fence; an open one runs to the end."""
-    shape = "struct<open:string,run:int,out:array<boolean>>"
-    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("run"), F.array().cast("array<boolean>").alias("out")).cast(shape)
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("run"), F.lit(False).alias("inside"))
     marks = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, FENCE, 1).alias("mark"), is_blank(F.regexp_extract(x, FENCE, 2)).alias("bare")))
 
     def step(s: Column, m: Column) -> Column:
         sign, size = F.substring(m["mark"], 1, 1), F.length(m["mark"])
         closes = (sign == s["open"]) & (size >= s["run"]) & m["bare"]
-        inside = (s["open"] != "") | (sign != "")
         opened = F.when(s["open"] == "", sign).when(closes, "").otherwise(s["open"])
-        return F.struct(opened.alias("open"), F.when(s["open"] == "", size).otherwise(s["run"]).alias("run"), F.concat(s["out"], F.array(inside)).alias("out")).cast(shape)
+        return F.struct(opened.alias("open"), F.when(s["open"] == "", size).otherwise(s["run"]).alias("run"), ((s["open"] != "") | (sign != "")).alias("inside"))
 
-    return F.aggregate(marks, start, step, lambda s: s["out"])
+    return fold(marks, start, "struct<open:string,run:int,inside:boolean>", step, lambda s: s["inside"], "boolean")
 
 
 def is_heading(line: Column) -> Column:
@@ -72,18 +73,15 @@ def is_delimiter_row(line: Column) -> Column:
 
 def in_table(lines: Column, fenced: Column) -> Column:
     """Whether each line belongs to a table: a row, a delimiter row, then rows, outside fences."""
-    shape = "struct<mode:int,out:array<boolean>>"
-    start = F.struct(F.lit(0).alias("mode"), F.array().cast("array<boolean>").alias("out")).cast(shape)
     # Arrays are zipped instead of indexed: a column named once inside a lambda would be computed for every element.
     after = F.slice(lines, F.lit(2), F.size(lines))
     pairs = F.zip_with(lines, after, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     marks = F.zip_with(pairs, fenced, lambda p, f: F.struct((is_table_row(p["x"]) & ~f).alias("row"), F.coalesce(is_delimiter_row(p["y"]), F.lit(False)).alias("opens")))
 
-    def step(s: Column, m: Column) -> Column:
-        mode = F.when(s["mode"] == 1, 2).when((s["mode"] == 2) & m["row"], 2).when((s["mode"] == 0) & m["row"] & m["opens"], 1).otherwise(0)
-        return F.struct(mode.alias("mode"), F.concat(s["out"], F.array(mode > 0)).alias("out")).cast(shape)
+    def step(mode: Column, m: Column) -> Column:
+        return F.when(mode == 1, 2).when((mode == 2) & m["row"], 2).when((mode == 0) & m["row"] & m["opens"], 1).otherwise(0)
 
-    return F.aggregate(marks, start, step, lambda s: s["out"])
+    return fold(marks, F.lit(0), "int", step, lambda mode: mode > 0, "boolean")
 
 
 def headings_of(lines: Column, fenced: Column, tabled: Column) -> Column:
@@ -93,9 +91,13 @@ def headings_of(lines: Column, fenced: Column, tabled: Column) -> Column:
     return F.transform(F.filter(every, lambda h: h["level"].between(1, 3) & ~h["held"]), lambda h: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["text"].alias("text")))
 
 
-def running_fields(lines: Column) -> Column:
-    """Fields before line 0, 1, ... and after the last."""
-    return F.aggregate(lines, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + count_fields(x))))
+Counter = Callable[[Column], Column]
+
+
+def running_fields(lines: Column, count: Counter = count_fields) -> Column:
+    """Tokens before line 0, 1, ... and after the last. count: tokens of a text, as a column; the white-space counter if
+    none is given. A counter must give the sum of its lines for a text."""
+    return F.concat(F.array(F.lit(0)), running_sum(F.transform(lines, count)))
 
 
 def breadcrumb_prefix(breadcrumb: Column, text: Column) -> Column:
@@ -103,13 +105,13 @@ def breadcrumb_prefix(breadcrumb: Column, text: Column) -> Column:
     return F.when(F.size(breadcrumb) > 0, F.concat(F.array_join(breadcrumb, " > "), F.lit("\n\n"), text)).otherwise(text)
 
 
-def _measured(counts: Column, breadcrumb: Column, start: Column, end: Column) -> Column:
-    head = F.when(F.size(breadcrumb) > 0, count_fields(F.array_join(breadcrumb, " > "))).otherwise(0)
+def _measured(counts: Column, breadcrumb: Column, start: Column, end: Column, count: Counter = count_fields) -> Column:
+    head = F.when(F.size(breadcrumb) > 0, count(F.array_join(breadcrumb, " > "))).otherwise(0)
     return F.get(counts, end) - F.get(counts, start) + head
 
 
-def _piece(counts: Column, start: Column, end: Column, breadcrumb: Column) -> Column:
-    return F.struct(start.alias("start"), end.alias("end"), breadcrumb.alias("breadcrumb"), _measured(counts, breadcrumb, start, end).alias("tokens")).cast(PIECE)
+def _piece(counts: Column, start: Column, end: Column, breadcrumb: Column, count: Counter = count_fields) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), breadcrumb.alias("breadcrumb"), _measured(counts, breadcrumb, start, end, count).alias("tokens")).cast(PIECE)
 
 
 def section_starts(headings: Column) -> Column:
@@ -121,7 +123,7 @@ def _last_text(headings: Column, level: int, line: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(headings, lambda h: (h["level"] == level) & (h["line"] <= line)), F.lit(-1))["text"], F.lit(""))
 
 
-def sections_of(headings: Column, starts: Column, counts: Column, n_lines: Column) -> Column:
+def sections_of(headings: Column, starts: Column, counts: Column, n_lines: Column, count: Counter = count_fields) -> Column:
     """Sections as pieces: each starts at a level-2 heading, the first possibly at the top of the note."""
     first = F.get(F.filter(headings, lambda h: h["level"] <= SECTION_LEVEL), F.lit(0))
     preamble = F.when(first["level"] == 1, F.array(first["text"])).otherwise(F.array().cast("array<string>"))
@@ -129,25 +131,25 @@ def sections_of(headings: Column, starts: Column, counts: Column, n_lines: Colum
 
     def one(start: Column, i: Column) -> Column:
         crumbs = F.filter(F.array(_last_text(headings, 1, start), _last_text(headings, 2, start)), lambda x: x != "")
-        return _piece(counts, start, F.coalesce(F.get(starts, i + 1), n_lines), F.when((i == 0) & ~opens_at_heading, preamble).otherwise(crumbs))
+        return _piece(counts, start, F.coalesce(F.get(starts, i + 1), n_lines), F.when((i == 0) & ~opens_at_heading, preamble).otherwise(crumbs), count)
 
     return F.transform(starts, one)
 
 
-def children_of(headings: Column, section: Column, counts: Column) -> Column:
+def children_of(headings: Column, section: Column, counts: Column, count: Counter = count_fields) -> Column:
     own = F.filter(headings, lambda h: (h["level"] == CHILD_LEVEL) & (h["line"] >= section["start"]) & (h["line"] < section["end"]))
     first = F.get(own, F.lit(0))["line"]
     none = F.array().cast(f"array<{PIECE}>")
-    head = F.when(first > section["start"], F.array(_piece(counts, section["start"], first, section["breadcrumb"]))).otherwise(none)
-    rest = F.transform(own, lambda h, i: _piece(counts, h["line"], F.coalesce(F.get(own, i + 1)["line"], section["end"]), F.concat(section["breadcrumb"], F.array(h["text"]))))
+    head = F.when(first > section["start"], F.array(_piece(counts, section["start"], first, section["breadcrumb"], count))).otherwise(none)
+    rest = F.transform(own, lambda h, i: _piece(counts, h["line"], F.coalesce(F.get(own, i + 1)["line"], section["end"]), F.concat(section["breadcrumb"], F.array(h["text"])), count))
     return F.when(F.size(own) > 0, F.concat(head, rest)).otherwise(none)
 
 
-def split_over_ceiling(sections: Column, headings: Column, counts: Column, ceiling: int) -> Column:
+def split_over_ceiling(sections: Column, headings: Column, counts: Column, ceiling: int, count: Counter = count_fields) -> Column:
     filled = lambda p: F.get(counts, p["end"]) > F.get(counts, p["start"])
 
     def one(s: Column) -> Column:
-        children = children_of(headings, s, counts)
+        children = children_of(headings, s, counts, count)
         return F.when((s["tokens"] <= ceiling) | (F.size(children) == 0), F.array(s)).otherwise(F.filter(children, filled))
 
     return F.flatten(F.transform(F.filter(sections, filled), one))
@@ -158,40 +160,41 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.slice(a, F.lit(1), F.when(~same[0], 0).when(~same[1], 1).when(~same[2], 2).otherwise(3))
 
 
-def merge_below_floor(pieces: Column, counts: Column, config: ChunkConfig) -> Column:
+def merge_below_floor(pieces: Column, counts: Column, config: ChunkConfig, count: Counter = count_fields) -> Column:
     """Greedy left fold: a piece below the floor absorbs the next as long as the union stays within the ceiling."""
-    shape = f"struct<now:{PIECE},out:array<{PIECE}>>"
-    start = F.struct(F.lit(None).cast(PIECE).alias("now"), F.array().cast(f"array<{PIECE}>").alias("out")).cast(shape)
+    none = F.lit(None).cast(PIECE)
+    start = F.struct(none.alias("now"), none.alias("full"))
 
     def step(s: Column, p: Column) -> Column:
-        union = _piece(counts, s["now"]["start"], p["end"], common_prefix(s["now"]["breadcrumb"], p["breadcrumb"]))
-        joins = (s["now"]["tokens"] < config.floor) & (union["tokens"] <= config.ceiling)
-        return (
-            F.when(s["now"].isNull(), F.struct(p.alias("now"), s["out"].alias("out")).cast(shape))
-            .when(joins, F.struct(union.alias("now"), s["out"].alias("out")).cast(shape))
-            .otherwise(F.struct(p.alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")).cast(shape))
+        union = _piece(counts, s["now"]["start"], p["end"], common_prefix(s["now"]["breadcrumb"], p["breadcrumb"]), count)
+        return let(
+            union,
+            lambda u: F.when(s["now"].isNull(), F.struct(p.alias("now"), none.alias("full")))
+            .when((s["now"]["tokens"] < config.floor) & (u["tokens"] <= config.ceiling), F.struct(u.alias("now"), none.alias("full")))
+            .otherwise(F.struct(p.alias("now"), s["now"].alias("full"))),
         )
 
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["now"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
+    return fold(pieces, start, f"struct<now:{PIECE},full:{PIECE}>", step, lambda s: s["full"], PIECE, lambda s: s["now"])
 
 
-def scan_lines(notes: DataFrame, body: str = "body") -> DataFrame:
+def scan_lines(notes: DataFrame, body: str = "body", count: Counter = count_fields) -> DataFrame:
     """Adds lines, fenced, tabled, headings and counts."""
     out = notes.withColumn("lines", lines_of(F.col(body)))
     out = out.withColumn("fenced", in_fence(F.col("lines")))
     out = out.withColumn("tabled", in_table(F.col("lines"), F.col("fenced")))
-    return out.withColumns({"headings": headings_of(F.col("lines"), F.col("fenced"), F.col("tabled")), "counts": running_fields(F.col("lines"))})
+    return out.withColumns({"headings": headings_of(F.col("lines"), F.col("fenced"), F.col("tabled")), "counts": running_fields(F.col("lines"), count)})
 
 
-def chunk_notes(notes: DataFrame, config: ChunkConfig | None = None, body: str = "body") -> DataFrame:
-    """One row per chunk: the columns of notes without the body, chunk_index, breadcrumb, text, tokens, oversize, error."""
+def chunk_notes(notes: DataFrame, config: ChunkConfig | None = None, body: str = "body", count: Counter = count_fields) -> DataFrame:
+    """One row per chunk: the columns of notes without the body, chunk_index, breadcrumb, text, tokens, oversize, error.
+    A note with an error in any chunk must not be stored (`failed_notes`)."""
     config = config or ChunkConfig()
     keep = [c for c in notes.columns if c != body]
-    scanned = scan_lines(notes, body)
+    scanned = scan_lines(notes, body, count)
     parts = scanned.withColumn("starts", F.when(F.size("lines") > 0, section_starts(F.col("headings"))).otherwise(F.array().cast("array<int>")))
-    parts = parts.withColumn("sections", sections_of(F.col("headings"), F.col("starts"), F.col("counts"), F.size("lines")))
-    parts = parts.withColumn("pieces", split_over_ceiling(F.col("sections"), F.col("headings"), F.col("counts"), config.ceiling))
-    parts = parts.withColumn("pieces", merge_below_floor(F.col("pieces"), F.col("counts"), config))
+    parts = parts.withColumn("sections", sections_of(F.col("headings"), F.col("starts"), F.col("counts"), F.size("lines"), count))
+    parts = parts.withColumn("pieces", split_over_ceiling(F.col("sections"), F.col("headings"), F.col("counts"), config.ceiling, count))
+    parts = parts.withColumn("pieces", merge_below_floor(F.col("pieces"), F.col("counts"), config, count))
     # Outer, because an inner explode adds a filter on the array, which pushes the whole chain below the scan columns and
     # computes it once more for every element.
     rows = parts.select(*keep, body, "lines", F.posexplode_outer("pieces").alias("chunk_index", "p")).where(F.col("p").isNotNull())
@@ -203,13 +206,33 @@ def chunk_notes(notes: DataFrame, config: ChunkConfig | None = None, body: str =
     )
 
 
-def calibration(chunks: DataFrame, key: str, config: ChunkConfig) -> DataFrame:
-    """Chunks per note, tokens per chunk, oversize and below-floor counts in one row."""
-    per_note = chunks.groupBy(key).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"), F.min("tokens").alias("least"), F.sum(F.col("oversize").cast("int")).alias("over"), F.sum((F.col("tokens") < config.floor).cast("int")).alias("under"))
-    return per_note.agg(
-        F.count("*").alias("notes"), F.sum("n").alias("chunks"), F.max("n").alias("most_chunks"), F.sum("tokens").alias("tokens"),
-        F.max("most").alias("largest"), F.min("least").alias("smallest"), F.sum("over").alias("oversize"), F.sum("under").alias("below_floor"),
+def failed_notes(chunks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Notes with a chunk over the hard limit, and why."""
+    return chunks.where(F.col("error").isNotNull()).groupBy(*key).agg(F.min("error").alias("error"))
+
+
+def calibration(notes: DataFrame, chunks: DataFrame, key: str, config: ChunkConfig) -> DataFrame:
+    """What a configuration does to a corpus, in one row: distributions of chunks per note and tokens per chunk, oversize
+    chunks, the largest one, and chunks below the floor by cause (alone in their note, last, or where merging stopped)."""
+    last = Window.partitionBy(key).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = chunks.withColumn("_last", F.max("chunk_index").over(last))
+    below = F.col("tokens") < config.floor
+    alone, final = F.col("_last") == 0, F.col("chunk_index") == F.col("_last")
+    counted = lambda c: F.count(F.when(c, 1))
+    of_chunks = placed.agg(
+        F.count("*").alias("chunks"), *_spread("tokens", "tokens"), counted(F.col("oversize")).alias("oversize"), counted(below).alias("below_floor"),
+        counted(below & alone).alias("below_alone"), counted(below & final & ~alone).alias("below_last"), counted(below & ~final).alias("below_rest"),
+        F.max(F.struct("tokens", F.col(key).alias("k"), F.col("chunk_index").alias("i"))).alias("_largest"),
     )
+    of_notes = chunks.groupBy(key).agg(F.count("*").alias("n")).agg(F.count("*").alias("chunked"), counted(F.col("n") == 1).alias("single"), *_spread("n", "per_note"))
+    total = notes.agg(F.count("*").alias("notes"))
+    # Three tables of one row.
+    out = total.crossJoin(of_notes).crossJoin(of_chunks)
+    return out.withColumn("empty", F.col("notes") - F.col("chunked")).withColumns({"largest_note": F.col("_largest.k"), "largest_chunk": F.col("_largest.i")}).drop("_largest")
+
+
+def _spread(column: str, name: str) -> list[Column]:
+    return [F.min(column).alias(f"{name}_min"), *[nearest_rank(column, p).alias(f"{name}_p{int(p * 100)}") for p in (0.5, 0.95)], F.max(column).alias(f"{name}_max"), F.sum(column).alias(f"{name}_sum")]
 
 
-__all__ = ["SPACE", "ChunkConfig", "calibration", "chunk_notes", "scan_lines"]
+__all__ = ["SPACE", "ChunkConfig", "calibration", "chunk_notes", "failed_notes", "scan_lines"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.vectors import hash_embedding
@@ -34,8 +37,33 @@ class Handshake:
             raise ValueError(f"the embedder differs in {', '.join(bad)}")
 
 
-def embed(chunks: DataFrame, load: Callable[[], Embed], width: int, batch: int = 32, attempts: int = 3) -> DataFrame:
-    """Adds `dense`. `load` runs once per worker; a batch is tried `attempts` times, then its task fails."""
+#: What an applied state holds about the model of a collection.
+STATE_KEYS = {"model", "handshake"}
+
+
+def verify(own: Handshake, applied: dict | None, model: str) -> bool:
+    """Before anything is embedded: whether the embedder is the one the collection was built with. False if nothing is
+    recorded yet (unverified); a difference raises."""
+    if applied is None:
+        return False
+    if applied["model"] != model:
+        raise ValueError(f"the stored vectors come from {applied['model']}, not {model}")
+    own.require(Handshake(**applied["handshake"]))
+    return True
+
+
+def probe(vectors: Sequence[Sequence[float]], sparse: Sequence[dict] | None = None, slack: float = 1e-3) -> None:
+    """What an embedder must show at its start: unit vectors, and sparse vectors that are not empty."""
+    for v in vectors:
+        if abs(math.sqrt(sum(x * x for x in v)) - 1) > slack:
+            raise ValueError("the embedder returns vectors that are not of unit length")
+    if sparse is not None and not all(sparse):
+        raise ValueError("the embedder returns empty sparse vectors")
+
+
+def embed(chunks: DataFrame, load: Callable[[], Embed], width: int, batch: int = 32, attempts: int = 3, delay: float = 0.5, in_flight: int = 2) -> DataFrame:
+    """Adds `dense`. `load` runs once per worker; `in_flight` batches go out at a time. A batch is tried `attempts` times
+    with a delay that doubles, then its task fails: a note gets all its vectors or none."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -49,13 +77,16 @@ def embed(chunks: DataFrame, load: Callable[[], Embed], width: int, batch: int =
                 except OSError:
                     if last == attempts - 1:
                         raise
+                    time.sleep(delay * 2**last)
             if len(out) != len(texts) or any(len(v) != width for v in out):
                 raise ValueError("the embedder returned other vectors than asked for")
             return out
 
-        for series in batches:
-            texts = series.tolist()
-            yield pd.Series([v for at in range(0, len(texts), batch) for v in once(texts[at : at + batch])], dtype=object)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for series in batches:
+                texts = series.tolist()
+                parts = pool.map(once, (texts[at : at + batch] for at in range(0, len(texts), batch)))
+                yield pd.Series([v for part in parts for v in part], dtype=object)
 
     return chunks.withColumn("dense", run(F.col("text")))
 
@@ -63,3 +94,30 @@ def embed(chunks: DataFrame, load: Callable[[], Embed], width: int, batch: int =
 def embed_by_hash(chunks: DataFrame, width: int = 64) -> DataFrame:
     """Deterministic vectors without a model, in column arithmetic."""
     return chunks.withColumn("dense", hash_embedding(F.col("text"), width))
+
+
+class CountStats:
+    """Calls, bytes and seconds that a token counter took, summed over all workers."""
+
+    def __init__(self, spark: SparkSession):
+        context = spark.sparkContext
+        self.calls, self.bytes, self.seconds = context.accumulator(0), context.accumulator(0), context.accumulator(0.0)
+
+    def snapshot(self) -> dict[str, float]:
+        return {"calls": self.calls.value, "bytes": self.bytes.value, "seconds": self.seconds.value}
+
+
+def counted(count: Callable[[str], int], stats: CountStats) -> Callable[[Column], Column]:
+    """A token counter for columns from one for strings, measured."""
+    calls, size, seconds = stats.calls, stats.bytes, stats.seconds
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        begun = time.perf_counter()
+        out = [count(t) for t in texts]
+        calls.add(len(out))
+        size.add(sum(len(t.encode()) for t in texts))
+        seconds.add(time.perf_counter() - begun)
+        return pd.Series(out, dtype="int32")
+
+    return run

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions.stats import nearest_rank, resolution, wilson
@@ -33,6 +35,62 @@ def recall(results: DataFrame) -> DataFrame:
     return grouped.select(F.when(F.col("overall") == 1, "*").otherwise(F.col("area")).alias("area"), "hits", "total", F.round(value, 6).alias("recall"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), "tied", "complete")
 
 
+def outcomes(results: DataFrame) -> DataFrame:
+    """The questions that a person looks at: question_id, area, kind (failed, errored or tied)."""
+    kind = F.when(F.col("errored"), "errored").when(~F.col("hit"), "failed").when(F.col("tied"), "tied")
+    return results.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("question_id", "area", "kind")
+
+
+METHOD = "Wilson 95 %"
+TITLES = {"failed": "Questions without their note", "tied": "Hits that a tie at the cut decided", "errored": "Questions that could not be asked"}
+
+
+def recall_markdown(report: Sequence[Row], listed: Sequence[Row], k: int, mode: str, commit: str = "", stale: Sequence[Row] = (), coverage: Sequence[Row] = ()) -> str:
+    """The report of a run for people. report: rows of `recall`; listed: rows of `outcomes` with their question."""
+    rows = {r["area"]: r for r in report}
+    total = rows.pop("*")
+    span = lambda r: f"{r['recall']:.4f} | {r['low']:.4f} to {r['high']:.4f}"
+    lines = ["# Recall", "", f"Mode {mode}, first {k} results, intervals by {METHOD}.", ""]
+    if not total["complete"]:
+        lines += ["**Incomplete: some questions could not be asked. They are in no number below, so this run passes no gate.**", ""]
+    lines += ["| area | hits | asked | recall | interval |", "|-|-|-|-|-|", f"| all | {total['hits']} | {total['total']} | {span(total)} |"]
+    lines += [f"| {a} | {r['hits']} | {r['total']} | {span(r)} |" for a, r in sorted(rows.items())]
+    for kind, title in TITLES.items():
+        own = [r for r in listed if r["kind"] == kind]
+        lines += ["", f"## {title}", "", *([f"* {r['question']} ({r['area']})" for r in own] or ["None."])]
+    lines += ["", "## Origin of the questions", "", f"Commit {commit}." if commit else "Nobody looked up the commit of the questions."]
+    lines += [f"* {r['question']}: {r['reason']}" for r in stale]
+    if coverage:
+        lines += ["", "## Coverage", "", *[f"* {r['kind']}: {r['area'] or 'all'} has {r['have']}, bound {r['bound']}" for r in coverage]]
+    return "\n".join(lines) + "\n"
+
+
+def decision_markdown(hybrid: Row, dense: Row, k: int, date: str) -> str:
+    """Which mode a collection should use, and the numbers behind it. Both are overall rows of `recall`."""
+    if not (hybrid["complete"] and dense["complete"]):
+        raise ValueError("a run is incomplete: its number is not the recall of the whole set")
+    if hybrid["total"] != dense["total"]:
+        raise ValueError(f"the runs asked {hybrid['total']} and {dense['total']} questions")
+    keep = "dense" if dense["recall"] > hybrid["recall"] else "hybrid"
+    lines = ["# Hybrid or dense", "", f"{date}, {hybrid['total']} questions, first {k} results, intervals by {METHOD}.", "", "| mode | hits | recall | interval |", "|-|-|-|-|"]
+    lines += [f"| {name} | {r['hits']} | {r['recall']:.4f} | {r['low']:.4f} to {r['high']:.4f} |" for name, r in (("hybrid", hybrid), ("dense", dense))]
+    return "\n".join([*lines, "", f"Keep {keep}: the larger recall, and hybrid if they are equal.", ""])
+
+
+BASELINE_KEYS = {"k", "mode", "recall"}
+
+
+def baseline_of(report: Sequence[Row], k: int, mode: str) -> dict:
+    """A run as the document that later runs are compared with."""
+    return {"k": k, "mode": mode, "recall": {r["area"]: r["recall"] for r in report}}
+
+
+def baseline_rows(spark: SparkSession, saved: dict, k: int, mode: str) -> DataFrame:
+    if (saved["k"], saved["mode"]) != (k, mode):
+        raise ValueError(f"the baseline is of mode {saved['mode']} and {saved['k']} results, not {mode} and {k}")
+    return spark.createDataFrame(sorted(saved["recall"].items()), "area string, recall double")
+
+
 def gate(report: DataFrame, threshold: float) -> DataFrame:
     """Whether the overall row is complete and at or above the threshold."""
     return report.where("area = '*'").select("hits", "total", "complete", (F.col("complete") & (F.col("recall") >= threshold)).alias("passed"))
@@ -93,7 +151,7 @@ def coverage_violations(questions: DataFrame, groups: DataFrame, min_total: int,
 def draw_note(status: DataFrame, cards: DataFrame, seed: int) -> DataFrame:
     """A note of the neediest area that is not full, the same for the same seed."""
     areas = status.where(~F.col("full")).select("area", "position")
-    return cards.join(areas, "area").orderBy("position", F.xxhash64(F.col("uid"), F.lit(seed)), "uid").limit(1).drop("position")
+    return cards.join(areas, "area").orderBy("position", F.md5(F.concat(F.lit(f"{seed}:"), "uid")), "uid").limit(1).drop("position")
 
 
 def latency_report(timings: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -130,7 +130,9 @@ def parse_notes(files: DataFrame, areas: Sequence[str]) -> DataFrame:
 
 def duplicate_uids(notes: DataFrame) -> DataFrame:
     """uids that two notes of one vault share, with their first two paths."""
-    return notes.groupBy("vault", "uid").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("path")).alias("paths")).where("n > 1").select("vault", "uid", "n", F.element_at("paths", 1).alias("first_path"), F.try_element_at("paths", F.lit(2)).alias("second_path"))
+    first = notes.groupBy("vault", "uid").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).where("n > 1")
+    later = notes.join(first, ["vault", "uid"]).where(F.col("path") > F.col("first_path")).groupBy("vault", "uid").agg(F.min("path").alias("second_path"))
+    return first.join(later, ["vault", "uid"], "left").select("vault", "uid", "n", "first_path", "second_path")
 
 
 def cross_vault_duplicates(notes: DataFrame) -> DataFrame:

@@ -1,18 +1,25 @@
-"""Retrieval: one filter builder, ranked legs, fusion, per-note cap, lookups. Every search takes a table of queries."""
+"""Retrieval: one filter builder, ranked legs, fusion, per-note cap, lookups. Every search takes a table of queries.
+
+Queries are the small side: they meet the points in broadcast blocks of bounded size (`in_blocks`), so points are never
+shuffled to be scored, and ranks are cut within each partition before any exchange.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import tokens
+from noteloom.functions.text import tokens, words
 from noteloom.functions.vectors import cosine, rrf
 from noteloom.schemas import FILTERABLE, RESULT_FIELDS
 
 MODES = ("hybrid", "dense")
 TOP_K, NOTE_CAP, LEG_MULTIPLIER, RRF_K, MAX_TOP_K, MAX_LIMIT = 5, 2, 4, 60, 1000, 2**31 - 1
+#: Queries, and rows of their terms, that are broadcast at a time.
+BLOCK_QUERIES, BLOCK_TERMS = 4096, 500_000
 TOOL_TOP_K, TOOL_MAX_TOP_K, MANY_CHUNKS = 5, 20, 64
 
 
@@ -64,25 +71,27 @@ def clamp_top_k(asked: int | None) -> int:
     return TOOL_TOP_K if not asked or asked < 0 else min(asked, TOOL_MAX_TOP_K)
 
 
+def of_tenant(tenant_id: str) -> Column:
+    """The tenant's points; the only comparison with a tenant there is."""
+    if not tenant_id:
+        raise QueryError("tenant_id is required")
+    return F.col("tenant_id") == tenant_id
+
+
 def build_filter(query: Query) -> Column:
     """The only place that makes a predicate on points: tenant first, null-safe guards, then the facets."""
-    out = F.col("tenant_id") == query.tenant_id
-    if not query.tenant_id:
-        raise QueryError("tenant_id is required")
-    if not query.include_archived:
-        out = out & ~F.col("status").eqNullSafe("archived")
-    if not query.include_private:
-        out = out & ~F.col("visibility").eqNullSafe("private")
-    for facet in ("area", "type", "vault", "uid"):
-        if value := getattr(query, facet):
-            out = out & (F.col(facet) == value)
+    out = of_tenant(query.tenant_id) & guards(query.include_archived, query.include_private)
+    facets = {facet: value for facet in ("area", "type", "vault", "uid") if (value := getattr(query, facet))}
+    check_filterable(*facets, *(["tags"] if query.tags else []))
+    for facet, value in facets.items():
+        out = out & (F.col(facet) == value)
     for tag in query.tags:
         out = out & F.array_contains("tags", tag)
     return out
 
 
 def guards(include_archived: bool = False, include_private: bool = False) -> Column:
-    """The same guards for tables of queries, whose tenant is a join key."""
+    """Neither archived nor private; a missing status or visibility passes."""
     out = F.lit(True)
     if not include_archived:
         out = out & ~F.col("status").eqNullSafe("archived")
@@ -91,6 +100,40 @@ def guards(include_archived: bool = False, include_private: bool = False) -> Col
     return out
 
 
+@dataclass(frozen=True)
+class Leg:
+    """One ranked list: by a dense or by a sparse vector."""
+
+    limit: int
+    dense: bool = False
+    sparse: bool = False
+
+
+@dataclass(frozen=True)
+class Request:
+    """What a search asks of the points: one leg alone, or legs to fuse."""
+
+    single: Leg | None = None
+    fused: tuple[Leg, ...] = ()
+
+    def validate(self) -> Request:
+        if (self.single is None) == (not self.fused):
+            raise QueryError("a request has either one leg or legs to fuse")
+        for leg in self.fused or (self.single,):
+            if leg is None or leg.dense == leg.sparse:
+                raise QueryError("a leg has either a dense or a sparse vector")
+            if leg.limit <= 0:
+                raise QueryError("a leg needs a limit")
+        return self
+
+
+def request_of(query: Query, cap: int = NOTE_CAP) -> Request:
+    limit = leg_limit(query.top_k, query.offset, cap)
+    if query.mode == "dense":
+        return Request(single=Leg(limit, dense=True)).validate()
+    return Request(fused=(Leg(limit, dense=True), Leg(limit, sparse=True))).validate()
+
+
 def check_filterable(*columns: str) -> None:
     """Strict mode: only declared columns may be filtered on."""
     if unknown := sorted(set(columns) - set(FILTERABLE)):
@@ -102,21 +145,43 @@ def _ranked(scored: DataFrame, order: list[Column], name: str, limit: int | None
     return out if limit is None else out.where(F.col(name) <= limit)
 
 
+def in_blocks(queries: DataFrame, rows: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(block) over broadcast blocks of whole queries with about `rows` rows each; one block for few queries."""
+    blocks = -(-queries.count() // rows)
+    if blocks <= 1:
+        return run(F.broadcast(queries))
+    out = None
+    for i in range(blocks):
+        own = run(F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def dense_leg(queries: DataFrame, points: DataFrame, limit: int, on: list[str] | None = None) -> DataFrame:
-    """queries: query_id, query_vector and the join keys `on`; points: point_id, dense. Adds the best `limit` ranks.
+    """queries: query_id, query_vector and the join keys `on` (tenant); points: point_id, dense. Adds the best `limit` ranks."""
 
-    Queries are the small side: they join on their keys (tenant), or are compared with every point if there are none.
-    """
-    pairs = points.join(queries, on) if on else points.crossJoin(queries)
-    scored = pairs.select("query_id", "point_id", cosine(F.col("query_vector"), F.col("dense")).alias("dense_score"))
-    return _ranked(scored, [F.desc("dense_score"), F.col("point_id")], "dense_rank", limit)
+    def score(block: DataFrame) -> DataFrame:
+        pairs = points.join(block, on) if on else points.crossJoin(block)
+        return pairs.select("query_id", "point_id", cosine(F.col("query_vector"), F.col("dense")).alias("dense_score"))
+
+    return _ranked(in_blocks(queries, BLOCK_QUERIES, score), [F.desc("dense_score"), F.col("point_id")], "dense_rank", limit)
 
 
 def sparse_leg(queries: DataFrame, terms: DataFrame, limit: int, on: list[str] | None = None) -> DataFrame:
     """Dot product over shared terms. queries: query_id, term, weight; terms: point_id, term, weight."""
-    q = queries.withColumnRenamed("weight", "query_weight")
-    scored = terms.join(q, [*(on or []), "term"]).groupBy("query_id", "point_id").agg(F.sum(F.col("weight").cast("double") * F.col("query_weight")).alias("sparse_score"))
-    return _ranked(scored.withColumn("sparse_score", F.round("sparse_score", 6)), [F.desc("sparse_score"), F.col("point_id")], "sparse_rank", limit)
+
+    def score(block: DataFrame) -> DataFrame:
+        q = block.withColumnRenamed("weight", "query_weight")
+        pairs = terms.join(F.broadcast(q), [*(on or []), "term"])
+        return pairs.groupBy("query_id", "point_id").agg(F.sum(F.col("weight").cast("double") * F.col("query_weight")).alias("sparse_score"))
+
+    scored = in_blocks(queries, BLOCK_TERMS, score).withColumn("sparse_score", F.round("sparse_score", 6))
+    return _ranked(scored, [F.desc("sparse_score"), F.col("point_id")], "sparse_rank", limit)
+
+
+def terms_of(rows: DataFrame, *key: str) -> DataFrame:
+    """How often each row's text has each word: the key columns, term, weight."""
+    return rows.select(*key, F.explode(words(F.col("text"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("weight"))
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -135,11 +200,22 @@ def cap_per_note(ranked: DataFrame, top_k: int, cap: int = NOTE_CAP, offset: int
 
 
 def lexical_search(queries: DataFrame, points: DataFrame, limit: int | None = None) -> DataFrame:
-    """Distinct shared tokens within a tenant, best first; ties by uid and chunk. queries: query_id, tenant_id, text."""
-    q = queries.select("query_id", "tenant_id", F.explode(tokens(F.col("text"))).alias("token"))
-    p = points.select("tenant_id", "uid", "chunk_index", F.explode(tokens(F.col("text"))).alias("token"))
-    scored = p.join(q, ["tenant_id", "token"]).groupBy("query_id", "uid", "chunk_index").agg(F.count("*").alias("score"))
-    return _ranked(scored, [F.desc("score"), F.col("uid"), F.col("chunk_index")], "rank", limit)
+    """Distinct shared tokens within a tenant, best first; ties by uid and chunk. queries: query_id, tenant_id, text.
+
+    Each point meets the questions of its tenant as one broadcast array and is scored in its own row, so that neither
+    words nor points are shuffled, and only the best of each partition leave it.
+    """
+    asked = queries.select("query_id", "tenant_id", tokens(F.col("text")).alias("words"))
+    own = points.select("tenant_id", "uid", "chunk_index", tokens(F.col("text")).alias("own"))
+
+    def score(block: DataFrame) -> DataFrame:
+        tenants = block.groupBy("tenant_id").agg(F.collect_list(F.struct("query_id", "words")).alias("asked"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("vocabulary"))
+        # Only words that some question has are compared with each question.
+        met = own.join(F.broadcast(tenants), "tenant_id").withColumn("met", F.array_intersect("own", "vocabulary"))
+        scores = F.filter(F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(F.array_intersect(q["words"], F.col("met"))).cast("long").alias("score"))), lambda x: x["score"] > 0)
+        return met.select("uid", "chunk_index", F.explode(scores).alias("s")).select("s.query_id", "uid", "chunk_index", "s.score")
+
+    return _ranked(in_blocks(asked, BLOCK_QUERIES, score), [F.desc("score"), F.col("uid"), F.col("chunk_index")], "rank", limit)
 
 
 def get_note(points: DataFrame, query: Query) -> DataFrame:
@@ -154,6 +230,12 @@ def exists(points: DataFrame, query: Query) -> bool:
     return not points.where(build_filter(query)).select("uid").limit(1).isEmpty()
 
 
+def exists_batch(points: DataFrame, probes: DataFrame, on: list[str]) -> DataFrame:
+    """probes: the columns `on`. Adds `alive`: whether any point under the guards has these values. Reads only `on` and the guards."""
+    living = points.where(guards()).select(*on).distinct().withColumn("_alive", F.lit(True))
+    return probes.join(living, on, "left").withColumn("alive", F.coalesce("_alive", F.lit(False))).drop("_alive")
+
+
 def is_dead_area(points: DataFrame, query: Query) -> bool:
     """After an empty answer: whether the area itself, under tenant and guards only, holds nothing."""
     return bool(query.area) and not exists(points, replace(query, type="", vault="", tags=(), uid=""))
@@ -171,14 +253,23 @@ def search(queries: DataFrame, points: DataFrame, terms: DataFrame, query: Query
     Points are filtered once, before both legs; vectors are not read after the legs.
     """
     query.validate()
-    limit = leg_limit(query.top_k, query.offset, cap)
+    request = request_of(query, cap)
     allowed = points.where(build_filter(query))
-    dense = dense_leg(queries.select("query_id", "query_vector"), allowed.select("point_id", "dense"), limit)
-    if query.mode == "dense":
-        ranked = dense.withColumnsRenamed({"dense_rank": "rank", "dense_score": "score"})
+    asked_vectors, dense_points = queries.select("query_id", "query_vector"), allowed.select("point_id", "dense")
+    if request.single:
+        ranked = dense_leg(asked_vectors, dense_points, request.single.limit).withColumnsRenamed({"dense_rank": "rank", "dense_score": "score"})
     else:
         own_terms = terms.join(allowed.select("point_id"), "point_id", "left_semi")
         asked = queries.select("query_id", F.explode("terms").alias("term", "weight"))
-        ranked = fuse(dense, sparse_leg(asked, own_terms, limit))
+        ranked = fuse(dense_leg(asked_vectors, dense_points, request.fused[0].limit), sparse_leg(asked, own_terms, request.fused[1].limit))
     shown = allowed.select("point_id", *RESULT_FIELDS)
-    return cap_per_note(ranked.join(shown, "point_id"), query.top_k, cap, query.offset)
+    # The window is cut before it meets the shown columns, so that few points are looked up.
+    window = ranked.where(F.col("rank") <= query.offset + window_size(query.top_k, cap))
+    return cap_per_note(window.join(shown, "point_id"), query.top_k, cap, query.offset)
+
+
+def query_rows(spark: SparkSession, text: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One question as search takes it: query_id, query_vector, terms (word -> how often)."""
+    row = embed(spark.createDataFrame([(0, text)], "query_id int, text string")).withColumnRenamed("dense", "query_vector")
+    counted = terms_of(row, "query_id").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    return row.drop("text").join(counted, "query_id", "left").withColumn("terms", F.coalesce("terms", F.create_map().cast("map<string,bigint>")))

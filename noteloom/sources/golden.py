@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import subprocess
+from datetime import datetime
 from typing import Any
 
 import yaml
@@ -80,3 +83,22 @@ def append_question(path: str, question: dict[str, Any]) -> None:
     with open(temporary, "w", encoding="utf-8") as file:
         file.write(after)
     os.replace(temporary, path)
+
+
+def commits(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """The newest commit of a golden file, and identity, committed: when each question first stood in it."""
+    folder, name = os.path.split(os.path.abspath(path))
+
+    def git(*args: str) -> str:
+        done = subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=False)
+        return done.stdout if done.returncode == 0 else ""
+
+    log = [line.split(" ") for line in git("log", "--format=%H %cI", "--", name).splitlines()]
+    first: dict[str, datetime] = {}
+    for commit, when in reversed(log):
+        data = yaml.load(git("show", f"{commit}:./{name}"), yaml.BaseLoader) or {}  # noqa: S506
+        for q in data.get("questions") or [] if isinstance(data, dict) else []:
+            if isinstance(q, dict) and q.get("question") and q.get("uid"):
+                identity = hashlib.sha256(f"{q['question']}\0{q['uid']}".encode()).hexdigest()
+                first.setdefault(identity, datetime.fromisoformat(when))
+    return (log[0][0] if log else ""), spark.createDataFrame(sorted(first.items()), "identity string, committed timestamp")

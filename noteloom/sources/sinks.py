@@ -43,10 +43,36 @@ def scope_key(*parts: str) -> str:
     return hashlib.sha256("".join(f"{len(p.encode())}:{p}" for p in parts).encode()).hexdigest()
 
 
+#: File systems whose locks do not hold between hosts.
+UNRELIABLE = ("nfs", "nfs4", "cifs", "smb3", "9p", "fuse.sshfs")
+
+
+def canonical(path: str) -> str:
+    """One spelling of a table's place: no scheme of the local disk, no links, dots or trailing slashes."""
+    if "://" in path and not path.startswith("file://"):
+        return path.rstrip("/")
+    local = path.removeprefix("file://").removeprefix("file:")
+    return os.path.realpath(local)
+
+
+def file_system(folder: str, mounts: str = "/proc/mounts") -> str:
+    """Type of the file system that holds a folder; empty where the system does not say."""
+    try:
+        with open(mounts, encoding="utf-8") as file:
+            rows = [line.split() for line in file]
+    except OSError:
+        return ""
+    own = [(r[1], r[2]) for r in rows if len(r) > 2 and (os.path.realpath(folder) + "/").startswith(r[1].rstrip("/") + "/")]
+    return max(own, key=lambda m: len(m[0]))[1] if own else ""
+
+
 @contextmanager
 def table_lock(folder: str, *scope: str) -> Iterator[None]:
-    """Exclusive, non-blocking lock per table, collection and tenant."""
+    """Exclusive, non-blocking lock per table, collection and tenant. It holds on one host; hosts that share a table need
+    a lock folder on a file system whose locks they share, and those known not to hold are refused."""
     os.makedirs(folder, exist_ok=True)
+    if (kind := file_system(folder)) in UNRELIABLE:
+        raise ValueError(f"locks do not hold on {kind}: {folder}")
     with open(os.path.join(folder, f"{scope_key(*scope)}.lock"), "w") as file:
         try:
             fcntl.flock(file, fcntl.LOCK_EX | fcntl.LOCK_NB)

@@ -1,7 +1,7 @@
 """Vault source: a driver-side walk that sees every Markdown file, then reading in parallel.
 
-Spark's file sources skip empty and `_`-prefixed files, which count here; the walk therefore lists paths itself and the
-bytes are read in Arrow batches from the same mounted folder.
+Spark's file sources skip empty and `_`-prefixed files, which count here; the walk therefore lists paths itself, what it
+takes is decided by columns, and the bytes are read in Arrow batches from the same mounted folder.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ import subprocess
 import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -26,32 +29,61 @@ def fold(path: str) -> str:
     return unicodedata.normalize("NFC", path.replace("\\", "/")).casefold().strip("/")
 
 
-def walk(root: str, exclude: Exclusions | None = None) -> tuple[list[str], list[str]]:
-    """Sorted relative paths of Markdown files, and violations (symbolic links), all collected."""
-    exclude = exclude or Exclusions()
-    folders, files = {fold(f) for f in exclude.folders}, {fold(f) for f in exclude.root_files}
-    paths, violations = [], []
+LISTING = "path string, link boolean, folder boolean"
+
+
+def list_files(root: str) -> list[tuple[str, bool, bool]]:
+    """(relative path, whether it is a symbolic link, whether it is a folder) of everything below a vault but what dot
+    folders hold; links are listed, never followed."""
+    out = []
     for top, inside, names in os.walk(root):
         relative = os.path.relpath(top, root).replace(os.sep, "/")
         prefix = "" if relative == "." else relative + "/"
-        for name in [*inside, *names]:
-            if os.path.islink(os.path.join(top, name)) and not name.startswith("."):
-                violations.append(f"symbolic link: {prefix}{name}")
-        inside[:] = sorted(d for d in inside if not d.startswith(".") and fold(prefix + d) not in folders and not os.path.islink(os.path.join(top, d)))
-        for name in sorted(names):
-            if not name.lower().endswith(".md") or os.path.islink(os.path.join(top, name)) or not prefix and fold(name) in files:
-                continue
-            paths.append(prefix + name)
-    return sorted(paths), sorted(violations)
+        inside[:] = sorted(d for d in inside if not d.startswith("."))
+        out += [(prefix + d, os.path.islink(os.path.join(top, d)), True) for d in inside]
+        out += [(prefix + n, os.path.islink(os.path.join(top, n)), False) for n in sorted(names)]
+    return out
+
+
+def folded(path: Column) -> Column:
+    """Paths as exclusions compare them: NFC, slashes, no case."""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series) -> pd.Series:
+        return paths.map(fold, na_action="ignore")
+
+    return run(path)
+
+
+def choose(listing: DataFrame, exclude: Exclusions | None = None) -> DataFrame:
+    """listing: path, link, folder. Adds `kind`: note, violation (a symbolic link), or null for what the walk passes over."""
+    exclude = exclude or Exclusions()
+    folders, files = [fold(f) for f in exclude.folders], [fold(f) for f in exclude.root_files]
+    out = listing.withColumn("_folded", folded(F.col("path"))) if folders or files else listing.withColumn("_folded", F.lit(""))
+    name = F.element_at(F.split("path", "/"), -1)
+    hidden = F.regexp_like("path", F.lit(r"(^|/)\.[^/]+/"))
+    inside = reduce(or_, [F.col("_folded").startswith(f + "/") | ((F.col("_folded") == f) & F.col("folder") & ~F.col("link")) for f in folders], F.lit(False))
+    at_root = ~F.contains("path", F.lit("/")) & F.col("_folded").isin(*files) if files else F.lit(False)
+    kind = (
+        F.when(hidden | inside, None)
+        .when(F.col("link"), F.when(~name.startswith("."), "violation"))
+        .when(~F.col("folder") & F.lower(name).endswith(".md") & ~at_root, "note")
+    )
+    return out.withColumn("kind", kind).drop("_folded")
+
+
+def walk(spark: SparkSession, root: str, exclude: Exclusions | None = None) -> tuple[DataFrame, list[str]]:
+    """Markdown files (path), and all violations, sorted."""
+    chosen = choose(spark.createDataFrame(list_files(root), LISTING), exclude)
+    violations = sorted(f"symbolic link: {r.path}" for r in chosen.where("kind = 'violation'").collect())
+    return chosen.where("kind = 'note'").select("path"), violations
 
 
 def read_vault(spark: SparkSession, root: str, vault: str, exclude: Exclusions | None = None) -> DataFrame:
     """vault, path, raw, modified. Fails if the walk met a violation."""
-    paths, violations = walk(root, exclude)
+    paths, violations = walk(spark, root, exclude)
     if violations:
         raise ValueError("; ".join(violations))
-    if not paths:
-        return spark.createDataFrame([], "vault string, path string, raw string, modified timestamp")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,8 +95,12 @@ def read_vault(spark: SparkSession, root: str, vault: str, exclude: Exclusions |
                 modified.append(int(os.path.getmtime(full)))
             yield pd.DataFrame({"vault": vault, "path": batch["path"], "raw": raw, "modified": pd.to_datetime(modified, unit="s", utc=True)})
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism))).mapInPandas(read, "vault string, path string, raw string, modified timestamp")
+    return paths.repartition(spark.sparkContext.defaultParallelism).mapInPandas(read, "vault string, path string, raw string, modified timestamp")
+
+
+def every_file(spark: SparkSession, root: str, vault: str) -> DataFrame:
+    """vault, path of all files there are: excluded, empty, unreadable and linked ones too."""
+    return spark.createDataFrame([(vault, p) for p, _, folder in list_files(root) if not folder], "vault string, path string")
 
 
 def git_dates(spark: SparkSession, root: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteloom import schemas
-from noteloom.functions.text import tokens
 from noteloom.operators import embedding, retrieval, security
 
 NO_RESULTS = "No results."
@@ -25,6 +24,13 @@ class Scope:
         if not self.tenant_id or self.collection not in schemas.COLLECTIONS:
             raise retrieval.QueryError("a scope needs a known collection and a tenant")
 
+    def check(self, area: str = "", note_type: str = "") -> None:
+        """Facets that a call may name."""
+        if area and area not in self.areas:
+            raise retrieval.QueryError(f"unknown area {area!r}")
+        if note_type and note_type not in schemas.NOTE_TYPES:
+            raise retrieval.QueryError(f"unknown type {note_type!r}")
+
 
 class KnowledgeTools:
     def __init__(self, scope: Scope, points: DataFrame):
@@ -32,16 +38,10 @@ class KnowledgeTools:
 
     def search_knowledge(self, text: str, top_k: int | None = None, area: str = "", note_type: str = "", tags: Sequence[str] = ()) -> str:
         """Framed results, best first; an empty answer says whether the area itself is empty."""
-        if area and area not in self._scope.areas:
-            raise retrieval.QueryError(f"unknown area {area!r}")
-        if note_type and note_type not in schemas.NOTE_TYPES:
-            raise retrieval.QueryError(f"unknown type {note_type!r}")
+        self._scope.check(area, note_type)
         asked = retrieval.Query(self._scope.collection, self._scope.tenant_id, text, top_k=retrieval.clamp_top_k(top_k), area=area, type=note_type, tags=tuple(tags)).validate()
-        spark = self._points.sparkSession
-        query = embedding.embed_by_hash(spark.createDataFrame([(0, text)], "query_id int, text string")).withColumnRenamed("dense", "query_vector")
-        query = query.withColumn("terms", F.map_from_arrays(tokens(F.col("text")), F.transform(tokens(F.col("text")), lambda _: F.lit(1)))).drop("text")
-        own = self._points.where(retrieval.build_filter(asked))
-        terms = own.select("point_id", F.explode(tokens(F.col("text"))).alias("term")).withColumn("weight", F.lit(1))
+        query = retrieval.query_rows(self._points.sparkSession, text, embedding.embed_by_hash)
+        terms = retrieval.terms_of(self._points.where(retrieval.build_filter(asked)), "point_id")
         rows = retrieval.format_results(retrieval.search(query, self._points, terms, asked))
         rows = rows.withColumn("path_error", security.path_error(F.col("path")))
         block = security.render_block(F.col("path"), F.col("title"), F.col("breadcrumb"), F.col("uid"), F.col("chunk_index"), F.col("score"), F.col("text"))
