@@ -72,13 +72,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passage i asks for note i, within its tenant; every 17th could not be asked."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     own = notes(spark, sf_dir).select(F.col("doc_id").alias("question_id"), "tenant_id", "uid", "area")
-    return items.join(own, "question_id").select("question_id", "question", "tenant_id", "uid", "area", F.lit(None).cast("int").alias("chunk_index"), (F.col("question_id") % 17 == 16).alias("errored"))
+    return items.join(own, "question_id", "left").select("question_id", "question", "tenant_id", "uid", "area", F.lit(None).cast("int").alias("chunk_index"), (F.col("question_id") % 17 == 16).alias("errored"))
 
 
 QUESTIONS_SQL = f"""{NOTES_SQL},
 questions AS (
   SELECT item_id AS question_id, b.text AS question, tenant_id, uid, area, item_id % 17 = 16 AS errored
-  FROM benchmark b JOIN notes n ON n.doc_id = b.item_id),
+  FROM benchmark b LEFT JOIN notes n ON n.doc_id = b.item_id),
 tokens AS (SELECT DISTINCT tenant_id, uid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '')) AS token FROM notes),
 asked AS (SELECT DISTINCT question_id, tenant_id, unnest(list_filter(regexp_split_to_array(lower(question), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '')) AS token FROM questions),
 scored AS (SELECT question_id, uid, count(*) AS score FROM asked JOIN tokens USING (tenant_id, token) GROUP BY ALL),
@@ -94,25 +94,26 @@ def lexical_ranked(spark: SparkSession, sf_dir: str, limit: int | None = None) -
     return lexical_search(asked, whole, limit).withColumnRenamed("query_id", "question_id")
 
 
-#: Lines turned into Markdown by position, so that headings, fences and tables occur.
-MARKS = ((11, "```go"), (13, "~~~"), (17, "| a | b |"), (18, "|---|:-:|"))
+#: Lines put before a line of a document by its position, so that headings, fences and tables occur. No line is cut.
+MARKS = ((11, ("```go",)), (13, ("~~~",)), (17, ("| a | b |", "|---|:-:|", "| c | d |")))
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     def mark(line: Column, i: Column) -> Column:
-        out = F.when(i % 23 == 1, F.concat(F.lit("# "), F.substring(line, 1, 20), F.lit(" #"))).when(i % 7 == 2, F.concat(F.lit("## "), F.substring(line, 1, 12))).when(i % 5 == 3, F.concat(F.lit("   ### "), F.substring(line, 1, 8), F.lit("##")))
-        for at, text in MARKS:
-            out = out.when(i % 29 == at, text)
-        return out.when(i % 29 == 19, F.concat(F.lit("| "), F.substring(line, 1, 9), F.lit(" | x |"))).when(i % 31 == 16, "```").otherwise(line)
+        own = F.when(i % 23 == 1, F.concat(F.lit("# "), line, F.lit(" #"))).when(i % 7 == 2, F.concat(F.lit("## "), line)).when(i % 5 == 3, F.concat(F.lit("   ### "), line, F.lit("##")))
+        own = own.when(i % 29 == 19, F.concat(F.lit("| "), line, F.lit(" | x |"))).otherwise(line)
+        before = F.when(i % 31 == 16, F.array(F.lit("```")))
+        for at, marks in MARKS:
+            before = before.when(i % 29 == at, F.array(*[F.lit(m) for m in marks]))
+        return F.concat(before.otherwise(F.array().cast("array<string>")), F.array(own))
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("body"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.flatten(F.transform(F.split("text", "\n", -1), mark)), "\n").alias("body"))
 
 
 MARKDOWN_SQL = f"""markdown AS (
-  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, j: CASE
-    WHEN (j - 1) % 23 = 1 THEN '# ' || substr(l, 1, 20) || ' #' WHEN (j - 1) % 7 = 2 THEN '## ' || substr(l, 1, 12) WHEN (j - 1) % 5 = 3 THEN '   ### ' || substr(l, 1, 8) || '##'
-    {" ".join(f"WHEN (j - 1) % 29 = {at} THEN '{text}'" for at, text in MARKS)}
-    WHEN (j - 1) % 29 = 19 THEN '| ' || substr(l, 1, 9) || ' | x |' WHEN (j - 1) % 31 = 16 THEN '```' ELSE l END), chr(10)) AS body
+  SELECT doc_id, array_to_string(flatten(list_transform(string_split(text, chr(10)), lambda l, j: list_concat(
+    CASE WHEN (j - 1) % 31 = 16 THEN ['```'] {" ".join(f"WHEN (j - 1) % 29 = {at} THEN {list(marks)}" for at, marks in MARKS)} ELSE [] END,
+    [CASE WHEN (j - 1) % 23 = 1 THEN '# ' || l || ' #' WHEN (j - 1) % 7 = 2 THEN '## ' || l WHEN (j - 1) % 5 = 3 THEN '   ### ' || l || '##' WHEN (j - 1) % 29 = 19 THEN '| ' || l || ' | x |' ELSE l END]))), chr(10)) AS body
   FROM documents),
 lines AS (
   SELECT doc_id, CAST(generate_subscripts(string_split(body, chr(10)), 1) - 1 AS INTEGER) AS line, unnest(string_split(body, chr(10))) AS text, len(string_split(body, chr(10))) AS n FROM markdown),

@@ -59,6 +59,17 @@ notes_found AS (SELECT tenant_id, uid, count(*) FILTER (wanted) AS wanted, coale
   min(chunk_index) FILTER (wanted AND copies IS NOT NULL AND (h <> point_hash OR t <> text OR ti <> title)) AS drifted FROM sides GROUP BY ALL)"""
 
 
+@query(f"""WITH {PROBLEMS_SQL},
+short AS (SELECT tenant_id, uid, chunk_index, substr(h, 1, 12) || '…' AS was, substr(point_hash, 1, 12) || '…' AS is_now, h <> point_hash AS hash_differs, CASE WHEN t <> text THEN 'text' ELSE 'title' END AS field FROM sides)
+SELECT n.tenant_id, n.uid, CASE WHEN doubled IS NOT NULL AND (missing IS NULL OR true) THEN 'duplicate chunk_index ' || doubled WHEN missing IS NOT NULL THEN 'missing chunk_index ' || missing
+  WHEN wanted <> found THEN 'found ' || found || ' points, expected ' || wanted WHEN drifted IS NOT NULL THEN 'chunk_index ' || drifted || CASE WHEN hash_differs THEN ': hash ' || was || ' is not ' || is_now ELSE ': field ' || field || ' differs' END END AS reason
+FROM notes_found n LEFT JOIN short s ON s.tenant_id = n.tenant_id AND s.uid = n.uid AND s.chunk_index = n.drifted""")
+def integrity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ING-5: the first failure in words."""
+    expected, stored = expected_and_stored(spark, sf_dir)
+    return points.integrity(expected, stored, FIELDS).select("tenant_id", "uid", "reason")
+
+
 @query(f"""WITH {PROBLEMS_SQL}
 SELECT tenant_id, uid, CASE WHEN doubled IS NOT NULL THEN 'duplicate' WHEN missing IS NOT NULL THEN 'missing' WHEN wanted <> found THEN 'count' WHEN drifted IS NOT NULL THEN 'drift' END AS problem,
   doubled IS NULL AND missing IS NULL AND wanted = found AND drifted IS NULL AS intact FROM notes_found""")
@@ -167,7 +178,14 @@ def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.state_counts(base.table(spark, sf_dir, "events").withColumnRenamed("event_type", "state"))
 
 
-@query()
+@query(f"""WITH {PROBLEMS_SQL},
+results AS (SELECT uid, CASE WHEN doubled IS NULL AND missing IS NULL AND wanted = found AND drifted IS NULL THEN 'skipped' ELSE 'pruned' END AS state, wanted FROM notes_found),
+live AS (SELECT uid, vault, path FROM notes WHERE doc_id % 8 <> 0 UNION ALL SELECT uid || 'x', vault, path FROM notes WHERE doc_id % 16 = 0),
+grouped AS (SELECT uid, arg_min(vault, chunk_index) AS vault, arg_min(path, chunk_index) AS path, count(*) AS points FROM points GROUP BY uid),
+lost AS (SELECT g.*, EXISTS (SELECT 1 FROM live l WHERE l.vault = g.vault AND l.path = g.path) AS path_claimed FROM grouped g WHERE vault = 'trabalho' AND NOT EXISTS (SELECT 1 FROM live l WHERE l.uid = g.uid))
+SELECT '{{"mode":"incremental","notes":' || (SELECT count(*) FROM results) || ',"counts":{{' || (SELECT string_agg('"' || state || '":' || n, ',' ORDER BY state) FROM (SELECT state, count(*) AS n FROM results GROUP BY state))
+  || '}},"points_written":' || (SELECT CAST(sum(wanted) FILTER (state = 'pruned') AS BIGINT) FROM results) || ',"failed":[],"orphans":[' || coalesce((SELECT string_agg(json_object('vault', vault, 'path', path, 'uid', uid, 'points', points, 'path_claimed', path_claimed), ',' ORDER BY path, uid) FROM lost), '')
+  || '],"on_disk":[]}}' AS report""")
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-4, ING-24: the JSON report of a run."""
     expected, stored = expected_and_stored(spark, sf_dir)
@@ -242,11 +260,12 @@ def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.baseline_delta(report, before)
 
 
-@query(f"WITH {RECALL_SQL} SELECT recall AS hybrid, recall AS dense, 'hybrid' AS keep FROM report WHERE area = '*'")
+@query(f"""WITH {RECALL_SQL},
+first AS (SELECT round(count(*) FILTER (EXISTS (SELECT 1 FROM ranked r WHERE r.question_id = q.question_id AND r.rank = 1 AND r.uid = q.uid))::DOUBLE / count(*), 6) AS recall FROM questions q WHERE NOT errored)
+SELECT f.recall AS hybrid, r.recall AS dense, CASE WHEN r.recall > f.recall THEN 'dense' ELSE 'hybrid' END AS keep FROM report r, first f WHERE area = '*'""")
 def mode_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-17: equal runs keep hybrid."""
-    report = recall_report(spark, sf_dir)
-    return evaluation.compare_modes(report, report)
+    """AGG-17: two runs with different cuts."""
+    return evaluation.compare_modes(evaluation.recall(judged(spark, sf_dir, 1)), recall_report(spark, sf_dir))
 
 
 @query(f"""WITH {base.QUESTIONS_SQL},
@@ -288,7 +307,9 @@ def coverage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.coverage_violations(base.questions(spark, sf_dir), coverage_groups(spark), 500, 600)
 
 
-@query()
+@query(f"""WITH {STATUS_SQL},
+ranked_areas AS (SELECT area, row_number() OVER (ORDER BY most > 0 AND have >= most, greatest(least - have, 0) DESC, have, area) AS position FROM status WHERE NOT (most > 0 AND have >= most))
+SELECT uid, n.area, title FROM notes n JOIN ranked_areas USING (area) ORDER BY position, md5('7:' || uid), uid LIMIT 1""")
 def draw_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-14: a feature of one row."""
     status = evaluation.coverage_status(base.questions(spark, sf_dir), coverage_groups(spark))
@@ -325,13 +346,6 @@ def ingest_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.ingest_verdict(runs, 1500).select("user_id", "unaccounted", "verdict")
 
 
-@query(f"""WITH {base.NOTES_SQL}, cases AS (SELECT tenant_id, count(*) FILTER (tenant_id = '') = 0 AS passed FROM notes GROUP BY tenant_id) SELECT count(*) AS cases, coalesce(bool_and(passed), false) AND count(*) > 0 AS passed FROM cases""")
-def suite_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-18, ISO-3."""
-    cases = base.notes(spark, sf_dir).groupBy("tenant_id").agg((F.count(F.when(F.col("tenant_id") == "", 1)) == 0).alias("passed"))
-    return evaluation.suite_verdict(cases)
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS slowest FROM events GROUP BY ALL")
 def windowed_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of the continuous report, over the finished table."""

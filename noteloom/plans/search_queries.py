@@ -23,8 +23,8 @@ def query(sql: str | None = None):
 
 
 #: Vectors of documents: the label is the tenant, every 50th vector is a query. Text terms come from the document.
-VECTORS_SQL = """vectors AS (SELECT vec_id AS point_id, label, embedding::DOUBLE[] AS dense, text FROM embeddings JOIN documents ON doc_id = vec_id),
-asked AS (SELECT point_id AS query_id, label, dense AS query_vector, text FROM vectors WHERE point_id % 50 = 0),
+VECTORS_SQL = """vectors AS (SELECT vec_id AS point_id, label, embedding::DOUBLE[] AS dense, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+asked AS (SELECT point_id AS query_id, label, dense AS query_vector FROM vectors WHERE point_id % 50 = 0),
 dense_scored AS (SELECT query_id, point_id, round(list_cosine_similarity(query_vector, v.dense), 6) AS dense_score FROM asked a JOIN vectors v ON a.label = v.label),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, point_id) AS dense_rank FROM dense_scored),
 words AS (SELECT point_id, label, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> '')) AS term FROM vectors),
@@ -35,38 +35,40 @@ LEG = retrieval.leg_limit(retrieval.TOP_K)
 
 
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
-    return base.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label", F.col("embedding").alias("dense")).join(docs, "point_id")
+    return base.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label", F.col("embedding").alias("dense"))
 
 
 def asked_of(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("point_id") % 50 == 0).select(F.col("point_id").alias("query_id"), "label", F.col("dense").alias("query_vector"))
 
 
-def terms_of(rows: DataFrame) -> DataFrame:
-    from noteloom.functions.text import NOT_WORD
+def dense_ranks(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    """Vectors alone: the dense leg needs no text."""
+    rows = vectors_of(spark, sf_dir)
+    return retrieval.dense_leg(asked_of(rows), rows, limit, on=["label"])
 
-    words = rows.select("point_id", "label", F.explode(F.filter(F.split(F.lower("text"), NOT_WORD), lambda w: w != "")).alias("term"))
-    return words.groupBy("point_id", "label", "term").agg(F.count("*").alias("weight"))
 
+def sparse_ranks(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    rows = vectors_of(spark, sf_dir).select("point_id", "label").join(docs, "point_id")
+    asked = retrieval.terms_of(rows.where(F.col("point_id") % 50 == 0), "point_id", "label").withColumnRenamed("point_id", "query_id")
+    return retrieval.sparse_leg(asked, retrieval.terms_of(rows, "point_id", "label"), limit, on=["label"])
 
-def legs(spark: SparkSession, sf_dir: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    rows = vectors_of(spark, sf_dir)
-    terms = terms_of(rows)
-    asked_terms = terms.where(F.col("point_id") % 50 == 0).select(F.col("point_id").alias("query_id"), "label", "term", "weight")
-    return retrieval.dense_leg(asked_of(rows), rows.select("point_id", "label", "dense"), limit, on=["label"]), retrieval.sparse_leg(asked_terms, terms, limit, on=["label"])
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fuse(dense_ranks(spark, sf_dir, LEG), sparse_ranks(spark, sf_dir, LEG))
 
 
 @query(f"WITH {VECTORS_SQL} SELECT query_id, point_id, dense_score, CAST(dense_rank AS INTEGER) AS dense_rank FROM dense WHERE dense_rank <= {LEG}")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-1, TOP-5."""
-    return legs(spark, sf_dir, LEG)[0]
+    return dense_ranks(spark, sf_dir, LEG)
 
 
 @query(f"WITH {VECTORS_SQL} SELECT query_id, point_id, sparse_score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse WHERE sparse_rank <= {LEG}")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-2."""
-    return legs(spark, sf_dir, LEG)[1]
+    return sparse_ranks(spark, sf_dir, LEG)
 
 
 FUSED_SQL = f"""{VECTORS_SQL},
@@ -79,13 +81,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 @query(f"WITH {FUSED_SQL} SELECT query_id, point_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {retrieval.TOP_K}")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-3, JON-9."""
-    return retrieval.fuse(*legs(spark, sf_dir, LEG)).where(F.col("rank") <= retrieval.TOP_K)
+    return fused(spark, sf_dir).where(F.col("rank") <= retrieval.TOP_K)
 
 
 @query(f"WITH {VECTORS_SQL} SELECT query_id, point_id, dense_score AS score, CAST(dense_rank AS INTEGER) AS rank FROM dense WHERE dense_rank <= {retrieval.TOP_K}")
 def dense_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-4."""
-    return legs(spark, sf_dir, retrieval.TOP_K)[0].withColumnsRenamed({"dense_score": "score", "dense_rank": "rank"})
+    return dense_ranks(spark, sf_dir, retrieval.TOP_K).withColumnsRenamed({"dense_score": "score", "dense_rank": "rank"})
 
 
 CAP, WINDOW = retrieval.NOTE_CAP, retrieval.window_size(retrieval.TOP_K)
@@ -97,7 +99,7 @@ final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p
 SELECT query_id, point_id, CAST(rank AS INTEGER) AS rank, CAST(position AS INTEGER) AS position FROM final WHERE position <= {retrieval.TOP_K}""")
 def cap_per_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-6, TOP-7, TOP-8: points that share a remainder count as one note."""
-    ranked = retrieval.fuse(*legs(spark, sf_dir, LEG)).withColumn("uid", F.col("point_id") % 7)
+    ranked = fused(spark, sf_dir).withColumn("uid", F.col("point_id") % 7)
     return retrieval.cap_per_note(ranked, retrieval.TOP_K).select("query_id", "point_id", "rank", "position")
 
 
@@ -144,11 +146,14 @@ def get_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.get_note(base.line_points(spark, sf_dir), asked).select("uid", "chunk_index", "text", "path", "title", F.array_join("headings", " > ").alias("breadcrumb"))
 
 
-@query(f"""WITH {base.LINES_SQL}
-SELECT tenant_id, area, count(*) AS points, bool_or(status IS DISTINCT FROM 'archived' AND visibility IS DISTINCT FROM 'private') AS alive FROM points GROUP BY ALL""")
+@query(f"""WITH {base.LINES_SQL},
+probes AS (SELECT DISTINCT tenant_id, a.area FROM notes, (VALUES ('de'), ('en'), ('es'), ('fr'), ('pt')) a(area))
+SELECT tenant_id, area, EXISTS (SELECT 1 FROM points p WHERE p.tenant_id = q.tenant_id AND p.area = q.area AND status IS DISTINCT FROM 'archived' AND visibility IS DISTINCT FROM 'private') AS alive FROM probes q""")
 def exists_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-10, FIL-12: which areas of a tenant answer at all."""
-    return base.line_points(spark, sf_dir).groupBy("tenant_id", "area").agg(F.count("*").alias("points"), F.bool_or(retrieval.guards()).alias("alive"))
+    areas = spark.createDataFrame([(a,) for a in ("de", "en", "es", "fr", "pt")], "area string")
+    probes = base.notes(spark, sf_dir).select("tenant_id").distinct().crossJoin(F.broadcast(areas))  # five areas
+    return retrieval.exists_batch(base.line_points(spark, sf_dir), probes, ["tenant_id", "area"])
 
 
 @query(f"""WITH {base.LINES_SQL}
@@ -168,6 +173,20 @@ def embedding_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "embeddings").select("vec_id", broken.alias("v")).select("vec_id", vectors.embedding_error(F.col("v"), 64).alias("error"))
 
 
+@query("""WITH asked AS (SELECT vec_id, CASE vec_id % 7 WHEN 0 THEN [3, 1, 2] WHEN 1 THEN [1, 2] WHEN 2 THEN [] ELSE [1, 5, 9] END AS ids,
+  CASE vec_id % 7 WHEN 2 THEN []::DOUBLE[] WHEN 3 THEN [0.0::DOUBLE, 1.0, 1.0] WHEN 4 THEN ['nan'::DOUBLE, 1.0, 1.0] ELSE [embedding[1]::DOUBLE + 3.0, 1.0, 2.0] END AS w FROM embeddings)
+SELECT vec_id, CASE WHEN len(ids) <> len(w) THEN 'lengths' WHEN len(ids) = 0 THEN 'empty' WHEN list_sort(list_distinct(ids)) <> ids THEN 'order'
+  WHEN len(list_filter(w, lambda x: x IS NULL OR NOT isfinite(x) OR x = 0)) > 0 THEN 'values' END AS error FROM asked""")
+def sparse_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-22: sparse vectors."""
+    kind = F.col("vec_id") % 7
+    ids = F.when(kind == 0, F.array(F.lit(3), F.lit(1), F.lit(2))).when(kind == 1, F.array(F.lit(1), F.lit(2))).when(kind == 2, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(5), F.lit(9)))
+    three = lambda first: F.array(first, F.lit(1.0), F.lit(1.0))
+    own = F.array(F.get("embedding", F.lit(0)).cast("double") + 3.0, F.lit(1.0), F.lit(2.0))
+    weights = F.when(kind == 2, F.array().cast("array<double>")).when(kind == 3, three(F.lit(0.0))).when(kind == 4, three(F.lit(float("nan")))).otherwise(own)
+    return base.table(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"), weights.alias("w")).select("vec_id", vectors.sparse_error(F.col("ids"), F.col("w")).alias("error"))
+
+
 @query("""WITH weights AS (SELECT vec_id, unnest(embedding) AS w, generate_subscripts(embedding, 1) AS i FROM embeddings)
 SELECT vec_id, string_agg(CAST((i * 37) % 64 AS VARCHAR), ',' ORDER BY (i * 37) % 64) AS ids, count(*) AS n FROM weights WHERE w > 0 GROUP BY vec_id""")
 def sparse_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +196,13 @@ def sparse_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(pairs, lambda p: p["key"].cast("string")), ",").alias("ids"), F.size(pairs).cast("long").alias("n"))
 
 
-@query()
+@query("""WITH raw AS (SELECT doc_id, list_transform(range(16), lambda i: CAST('0x' || substr(md5(md5(text) || ':' || i), 1, 8) AS BIGINT)::DOUBLE / 2147483648.0::DOUBLE - 1.0::DOUBLE) AS v FROM documents),
+unit AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM raw)
+SELECT doc_id, len(v) AS width, round(v[1] / n, 6) AS first, round(v[16] / n, 6) AS last, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 6) AS square FROM unit""")
 def fake_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-24, ING-22: unit vectors made from the text alone."""
+    """PRJ-24: unit vectors made from the text alone."""
     rows = embedding.embed_by_hash(base.table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
-    return rows.select("doc_id", F.round(vectors.norm(F.col("dense")), 6).alias("length"), F.size("dense").alias("width"))
+    return rows.select("doc_id", F.size("dense").cast("long").alias("width"), F.round(F.get("dense", F.lit(0)), 6).alias("first"), F.round(F.get("dense", F.lit(15)), 6).alias("last"), F.round(vectors.dot(F.col("dense"), F.col("dense")), 6).alias("square"))
 
 
 @query(f"""WITH {base.QUESTIONS_SQL},
