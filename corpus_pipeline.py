@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Stages that filter keep every document they do not
-reject, null ids and texts included.
+reject, null ids and texts included. Ties between copies go to the smallest id; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import decontamination, jaccard_join, pii, sentencepieces, toxicity
+from noteloom.llm import decontamination, jaccard_join, pii, sentencepieces, toxicity, url_filter
 from noteloom.llm.common import materialize, scratch, stage_path, table
 
 
@@ -23,14 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component stays; of repeated rows (same id and text) one."""
+    """The smallest doc_id of each component stays; of repeated rows (same id and text) one. Documents without an id stay.
+
+    Which ids go is told by a Bloom cascade over all ids, which is exact for them, so that no text is shuffled for it.
+    """
     path = stage_path(spark, "components")
     with scratch(spark):
         jaccard_join.ngram_components(docs).write.parquet(path)
-    linked = spark.read.parquet(path)
-    later = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
-    repeated = linked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    linked = spark.read.parquet(path).where(F.col("doc_id").isNotNull())
+    ids = linked.groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("listed"), F.count("*").alias("rows"))
+    gone = url_filter.BloomCascade.build(ids.select("key", "listed"))
+    kept = gone.add_listed(docs, F.col("doc_id").cast("long"), "_gone").where(F.col("doc_id").isNull() | ~F.col("_gone")).select(docs.columns)
+    repeated = ids.where("rows > 1").select(F.col("key").alias("doc_id"))
     if repeated.isEmpty():
         return kept
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
