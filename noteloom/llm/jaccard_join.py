@@ -570,3 +570,17 @@ def _count_only(words: int):
             yield pd.DataFrame({"doc_id": none, "n_shingles": [len(shingler.hashes(t)) for t in batch["text"]], "component_id": none, "n_links": 0})
 
     return run
+
+
+def oracle(percent: int = PERCENT, words: int = WORDS) -> str:
+    """For tables whose ids are distinct."""
+    last = words - 1
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {last}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {last}, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.smallest AS component_id, coalesce(l.n, 0) AS n_links
+FROM docs d JOIN (SELECT x, min(y) AS smallest FROM reach GROUP BY x) r ON r.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = d.doc_id"""

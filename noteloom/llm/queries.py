@@ -68,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_signature_tree_join": jaccard_join.oracle(),
+    "op4_minimax_sharding": sharding.oracle(),
     "op8_bloom_cascade": url_filter.oracle(),
     "op9_chat_template": chat_template.oracle(),
     "op10_pivot_topk": topk_search.oracle(),

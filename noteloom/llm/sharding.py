@@ -181,3 +181,41 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     return dealt.join(starts, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") + F.col("shift")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def crc_table() -> list[int]:
+    """The 256 steps of CRC-32, from its polynomial."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ 0xEDB88320 * (byte & 1)
+        out.append(byte)
+    return out
+
+
+def oracle(shards: int = 40) -> str:
+    """For tables whose ids are distinct."""
+    cut = "held > 0 AND shares > 1 AND (held + bytes > cap OR (held + bytes - aim > 0 AND held + bytes - aim > bytes / 2.0::DOUBLE))"
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + {OVERHEAD} AS BIGINT) AS size FROM documents),
+crcs AS (SELECT text, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen(text)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])) AS c FROM (SELECT DISTINCT text, hex(encode(text)) AS h, {crc_table()}::BIGINT[] AS t FROM docs)),
+units AS (SELECT i, bytes, text, sum(bytes) OVER (ORDER BY i) AS p FROM (SELECT row_number() OVER (ORDER BY min(doc_id) NULLS FIRST) AS i, text, sum(size) AS bytes FROM docs GROUP BY text)),
+total AS (SELECT CAST(sum(bytes) AS BIGINT) AS t, CAST(max(bytes) AS BIGINT) AS m FROM units),
+search AS (
+  SELECT greatest(m, (t + {shards - 1}) // {shards}) AS low, t AS high, (greatest(m, (t + {shards - 1}) // {shards}) + t) // 2 AS mid, 0 AS used, 0::BIGINT AS spot FROM total
+  UNION ALL
+  SELECT CASE WHEN NOT finished THEN low WHEN fits THEN low ELSE mid + 1 END, CASE WHEN finished AND fits THEN mid ELSE high END,
+    CASE WHEN NOT finished THEN mid WHEN fits THEN (low + mid) // 2 ELSE (mid + 1 + high) // 2 END, CASE WHEN finished THEN 0 ELSE used END, CASE WHEN finished THEN 0 ELSE spot END
+  FROM (SELECT low, high, mid, used + 1 AS used, CAST(max(p) AS BIGINT) AS spot, max(p) = any_value(t) OR used + 1 >= {shards} AS finished, max(p) = any_value(t) AS fits
+    FROM search, units, total WHERE low < high AND p <= search.spot + mid GROUP BY low, high, mid, used)),
+capacity AS (SELECT low AS cap FROM search WHERE low = high LIMIT 1),
+walk AS (
+  SELECT even, 0::BIGINT AS i, 0 AS shard, 0::BIGINT AS held, t AS rest, {shards} AS shares, CASE WHEN even THEN t / {shards}::DOUBLE ELSE cap END AS aim, cap FROM total, capacity, (VALUES (true), (false)) e(even)
+  UNION ALL
+  SELECT even, u.i, CASE WHEN cut THEN shard + 1 ELSE shard END, CASE WHEN cut THEN u.bytes ELSE held + u.bytes END, CASE WHEN cut THEN rest - held ELSE rest END, CASE WHEN cut THEN shares - 1 ELSE shares END,
+    CASE WHEN cut AND even THEN (rest - held) / (shares - 1)::DOUBLE ELSE aim END, cap
+  FROM (SELECT w.*, u.i AS next, CAST(u.bytes AS BIGINT) AS bytes, {cut} AS cut FROM walk w JOIN units u ON u.i = w.i + 1) x JOIN (SELECT i, CAST(bytes AS BIGINT) AS bytes FROM units) u ON u.i = x.next),
+chosen AS (SELECT bool_and(held <= cap) FILTER (even) AS even FROM walk),
+placed AS (SELECT d.*, w.shard FROM docs d JOIN units u ON u.text = d.text JOIN walk w ON w.i = u.i JOIN chosen c ON c.even = w.even)
+SELECT doc_id, size, xor(c, 4294967295) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard FROM placed JOIN crcs USING (text)"""
