@@ -106,7 +106,8 @@ def _placed(matches: Column, gaps: Column) -> Column:
         )
         return _let(_running(sizes, lambda a, b: a + b, 0), place)
 
-    return _let(F.struct(matches.alias("m"), gaps.alias("g")), whole)
+    none = F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>")
+    return F.when(F.size(matches) > 0, _let(F.struct(matches.alias("m"), gaps.alias("g")), whole)).otherwise(none)
 
 
 def _digits(text: Column) -> Column:
@@ -283,7 +284,7 @@ def _apart(spans: Column) -> Column:
         ends = _running(F.transform(x, lambda s: s["end"]), F.greatest, 0)
         return _let(ends, lambda e: F.filter(x, lambda s, i: (i == 0) | (F.get(e, i - 1) <= s["start"])))
 
-    return _let(spans, whole)
+    return _let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(whole(x)))
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
