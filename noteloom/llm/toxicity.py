@@ -46,7 +46,7 @@ MARGIN = 4.0
 #: The same of the readings of a spaced run, which has an edge or none at every gap.
 SPACED_MARGIN = 8.0
 #: Tokens whose words a worker keeps.
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 60_000
 
 #: What a sign may stand for in disguised words.
 LEET = {
@@ -97,7 +97,7 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             held.append(text)
             size += len(text)
-            if size > 1_000_000:
+            if size > 250_000:
                 add(held)
                 held, size = [], 0
         if held:
