@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import threading
 import uuid
@@ -59,13 +60,30 @@ class _Scopes(threading.local):
 _SCOPES = _Scopes()
 
 
+#: Tables that a later action may still read, and the file system settings to delete them with when the driver ends.
+_LEFT: list[tuple[object, object]] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; it is deleted with its scope, or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _SCOPES.open:
         _SCOPES.open[-1].append(path)
+    else:
+        _LEFT.append((spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()))
     return path
 
 
+@atexit.register
+def _delete_left() -> None:
+    while _LEFT:
+        target, settings = _LEFT.pop()
+        try:
+            target.getFileSystem(settings).delete(target, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            return
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables written inside once their result is stored elsewhere."""
