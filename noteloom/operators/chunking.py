@@ -119,40 +119,75 @@ def section_starts(headings: Column) -> Column:
     return F.when(F.coalesce(F.get(own, F.lit(0)) == 0, F.lit(False)), own).otherwise(F.concat(F.array(F.lit(0)), own))
 
 
-def _last_text(headings: Column, level: int, line: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.filter(headings, lambda h: (h["level"] == level) & (h["line"] <= line)), F.lit(-1))["text"], F.lit(""))
+#: A section before it is measured: its line, the last headings of levels 1 and 2 up to there, and the place of its first
+#: heading in the list of headings.
+OPENING = "struct<line:int,h1:string,h2:string,at:int>"
+
+
+def openings_of(headings: Column) -> Column:
+    """One for each heading of level 2, in one pass over the headings."""
+    state = F.struct(F.lit("").alias("h1"), F.lit("").alias("h2"), F.lit(-1).alias("at"), F.lit(None).cast("int").alias("line"))
+
+    def step(s: Column, h: Column) -> Column:
+        section = h["level"] == SECTION_LEVEL
+        return F.struct(F.when(h["level"] == 1, h["text"]).otherwise(s["h1"]).alias("h1"), F.when(section, h["text"]).otherwise(s["h2"]).alias("h2"), (s["at"] + 1).alias("at"), F.when(section, h["line"]).alias("line"))
+
+    def opening(s: Column) -> Column:
+        return F.when(s["line"].isNotNull(), F.struct(s["line"].alias("line"), s["h1"].alias("h1"), s["h2"].alias("h2"), s["at"].alias("at")))
+
+    return fold(headings, state, "struct<h1:string,h2:string,at:int,line:int>", step, opening, OPENING)
 
 
 def sections_of(headings: Column, starts: Column, counts: Column, n_lines: Column, count: Counter = count_fields) -> Column:
     """Sections as pieces: each starts at a level-2 heading, the first possibly at the top of the note."""
-    first = F.get(F.filter(headings, lambda h: h["level"] <= SECTION_LEVEL), F.lit(0))
-    preamble = F.when(first["level"] == 1, F.array(first["text"])).otherwise(F.array().cast("array<string>"))
-    opens_at_heading = F.exists(headings, lambda h: (h["level"] == SECTION_LEVEL) & (h["line"] == 0))
+    return F.transform(_placed_sections(headings, starts, counts, n_lines, count), lambda s: s["piece"])
+
 
-    def one(start: Column, i: Column) -> Column:
-        crumbs = F.filter(F.array(_last_text(headings, 1, start), _last_text(headings, 2, start)), lambda x: x != "")
-        return _piece(counts, start, F.coalesce(F.get(starts, i + 1), n_lines), F.when((i == 0) & ~opens_at_heading, preamble).otherwise(crumbs), count)
+def _placed_sections(headings: Column, starts: Column, counts: Column, n_lines: Column, count: Counter) -> Column:
+    """Sections and the places of their headings: array<struct<piece, first, last>>."""
+    none = F.array().cast("array<string>")
 
-    return F.transform(starts, one)
+    def whole(opened: Column) -> Column:
+        first = F.get(F.filter(headings, lambda h: h["level"] <= SECTION_LEVEL), F.lit(0))
+        preamble = F.when(first["level"] == 1, F.array(first["text"])).otherwise(none)
+        top = F.struct(F.lit(0).alias("line"), F.lit("").alias("h1"), F.lit("").alias("h2"), F.lit(-1).alias("at")).cast(OPENING)
+        has_top = F.size(starts) > F.size(opened)
+
+        def one(o: Column, i: Column, every: Column) -> Column:
+            following = F.get(every, i + 1)
+            crumbs = F.when(o["at"] < 0, preamble).otherwise(F.filter(F.array(o["h1"], o["h2"]), lambda x: x != ""))
+            piece = _piece(counts, o["line"], F.coalesce(following["line"], n_lines), crumbs, count)
+            return F.struct(piece.alias("piece"), (o["at"] + 1).alias("first"), F.coalesce(following["at"], F.size(headings)).alias("last"))
+
+        every = F.when(has_top, F.concat(F.array(top), opened)).otherwise(opened)
+        return let(every, lambda e: F.transform(e, lambda o, i: one(o, i, e)))
+
+    return F.when(F.size(starts) > 0, let(openings_of(headings), whole))
 
 
 def children_of(headings: Column, section: Column, counts: Column, count: Counter = count_fields) -> Column:
-    own = F.filter(headings, lambda h: (h["level"] == CHILD_LEVEL) & (h["line"] >= section["start"]) & (h["line"] < section["end"]))
-    first = F.get(own, F.lit(0))["line"]
-    none = F.array().cast(f"array<{PIECE}>")
-    head = F.when(first > section["start"], F.array(_piece(counts, section["start"], first, section["breadcrumb"], count))).otherwise(none)
-    rest = F.transform(own, lambda h, i: _piece(counts, h["line"], F.coalesce(F.get(own, i + 1)["line"], section["end"]), F.concat(section["breadcrumb"], F.array(h["text"])), count))
-    return F.when(F.size(own) > 0, F.concat(head, rest)).otherwise(none)
+    """Pieces of a section (with the places of its headings) that its level-3 headings cut; none if it has none."""
+    none, s = F.array().cast(f"array<{PIECE}>"), section["piece"]
+
+    def whole(own: Column) -> Column:
+        first = F.get(own, F.lit(0))["line"]
+        head = F.when(first > s["start"], F.array(_piece(counts, s["start"], first, s["breadcrumb"], count))).otherwise(none)
+        rest = F.transform(own, lambda h, i: _piece(counts, h["line"], F.coalesce(F.get(own, i + 1)["line"], s["end"]), F.concat(s["breadcrumb"], F.array(h["text"])), count))
+        return F.when(F.size(own) > 0, F.concat(head, rest)).otherwise(none)
+
+    return let(F.filter(F.slice(headings, section["first"] + 1, section["last"] - section["first"]), lambda h: h["level"] == CHILD_LEVEL), whole)
 
 
 def split_over_ceiling(sections: Column, headings: Column, counts: Column, ceiling: int, count: Counter = count_fields) -> Column:
+    """Pieces: each section, or its children if it is over the ceiling and has some; blank ones are dropped."""
     filled = lambda p: F.get(counts, p["end"]) > F.get(counts, p["start"])
 
     def one(s: Column) -> Column:
-        children = children_of(headings, s, counts, count)
-        return F.when((s["tokens"] <= ceiling) | (F.size(children) == 0), F.array(s)).otherwise(F.filter(children, filled))
+        whole = F.array(s["piece"])
+        children = let(children_of(headings, s, counts, count), lambda c: F.when(F.size(c) == 0, whole).otherwise(F.filter(c, filled)))
+        return F.when(s["piece"]["tokens"] <= ceiling, whole).otherwise(children)
 
-    return F.flatten(F.transform(F.filter(sections, filled), one))
+    return F.flatten(F.transform(F.filter(sections, lambda s: filled(s["piece"])), one))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -192,7 +227,7 @@ def chunk_notes(notes: DataFrame, config: ChunkConfig | None = None, body: str =
     keep = [c for c in notes.columns if c != body]
     scanned = scan_lines(notes, body, count)
     parts = scanned.withColumn("starts", F.when(F.size("lines") > 0, section_starts(F.col("headings"))).otherwise(F.array().cast("array<int>")))
-    parts = parts.withColumn("sections", sections_of(F.col("headings"), F.col("starts"), F.col("counts"), F.size("lines"), count))
+    parts = parts.withColumn("sections", _placed_sections(F.col("headings"), F.col("starts"), F.col("counts"), F.size("lines"), count))
     parts = parts.withColumn("pieces", split_over_ceiling(F.col("sections"), F.col("headings"), F.col("counts"), config.ceiling, count))
     parts = parts.withColumn("pieces", merge_below_floor(F.col("pieces"), F.col("counts"), config, count))
     # Outer, because an inner explode adds a filter on the array, which pushes the whole chain below the scan columns and

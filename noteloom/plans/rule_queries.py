@@ -404,3 +404,46 @@ def isolation_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = out.unionByName(c)
     verdict = evaluation.suite_verdict(out).select(F.lit("suite").alias("case_name"), F.col("cases").alias("rows"), "passed")
     return out.unionByName(verdict)
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'embedder' WHEN 3 THEN 'interrupted' WHEN 4 THEN 'other' ELSE 'store' END AS category FROM events""")
+def outage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outage classes, error categories: which part a failure is put down to."""
+    from noteloom import cli
+
+    problems = (ValueError("the embedder differs in dim"), points.WriteFailed("not confirmed"), schemas.SchemaDrift("missing column uid"), cli.Interrupted("stop"), ValueError("unknown"), OSError("FileSystem closed"))
+    return judged(base.table(spark, sf_dir, "events").select("event_id"), "category", lambda r: cli.outage_of(problems[r.event_id % 6]))
+
+
+@query("""SELECT event_id, 'cannot reach host with ***' AS message, 'embedder_token=***,tables=t' || event_id AS shown FROM events""")
+def secret_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret redaction in settings and messages."""
+    values = lambda r: {"embedder_token": f"s3cr3t-{r.event_id}", "tables": f"t{r.event_id}"}
+    rows = judged(base.table(spark, sf_dir, "events").select("event_id"), "message", lambda r: config.scrub(f"cannot reach host with s3cr3t-{r.event_id}", values(r)))
+    return judged(rows, "shown", lambda r: ",".join(f"{k}={v}" for k, v in config.redacted(values(r)).items()))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'the embedder returns vectors that are not of unit length' WHEN event_id % 4 = 2 THEN 'the embedder returns empty sparse vectors' ELSE 'ready' END AS verdict FROM events""")
+def probe_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Startup probe: unit vectors within 1e-3, sparse vectors that are not empty."""
+
+    def rule(r: Any) -> str:
+        length = 1.01 if r.event_id % 4 == 1 else 1.0005 if r.event_id % 4 == 3 else 1.0
+        embedding.probe([[0.6 * length, 0.8 * length]], [{} if r.event_id % 4 == 2 else {7: 0.5}])
+        return "ready"
+
+    return judged(base.table(spark, sf_dir, "events").select("event_id"), "verdict", rule)
+
+
+@query(f"""WITH {base.NOTES_SQL} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'locks do not hold on nfs4: /mnt/' || area WHEN 1 THEN 'ext4' ELSE '' END AS verdict FROM notes""")
+def lock_file_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unreliable lock file systems are refused."""
+
+    def rule(r: Any) -> str:
+        with tempfile.NamedTemporaryFile("w") as mounts:
+            mounts.write("/dev/a /var ext4 rw 0 0\nhost:/x /mnt nfs4 rw 0 0\n")
+            mounts.flush()
+            folder = (f"/mnt/{r.area}", f"/var/{r.area}", f"/{r.area}")[r.doc_id % 3]
+            return sinks.check_file_system(folder, mounts.name)
+
+    return judged(base.notes(spark, sf_dir).select("doc_id", "area"), "verdict", rule).select("doc_id", "verdict")

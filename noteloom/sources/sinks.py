@@ -66,13 +66,18 @@ def file_system(folder: str, mounts: str = "/proc/mounts") -> str:
     return max(own, key=lambda m: len(m[0]))[1] if own else ""
 
 
+def check_file_system(folder: str, mounts: str = "/proc/mounts") -> str:
+    if (kind := file_system(folder, mounts)) in UNRELIABLE:
+        raise ValueError(f"locks do not hold on {kind}: {folder}")
+    return kind
+
+
 @contextmanager
 def table_lock(folder: str, *scope: str) -> Iterator[None]:
     """Exclusive, non-blocking lock per table, collection and tenant. It holds on one host; hosts that share a table need
     a lock folder on a file system whose locks they share, and those known not to hold are refused."""
     os.makedirs(folder, exist_ok=True)
-    if (kind := file_system(folder)) in UNRELIABLE:
-        raise ValueError(f"locks do not hold on {kind}: {folder}")
+    check_file_system(folder)
     with open(os.path.join(folder, f"{scope_key(*scope)}.lock"), "w") as file:
         try:
             fcntl.flock(file, fcntl.LOCK_EX | fcntl.LOCK_NB)

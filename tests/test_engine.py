@@ -396,6 +396,42 @@ def test_nothing_else_imports_the_optional_subpackage():
             assert not [x for x in imports_of(path) if x.startswith("noteloom.llm")], path
 
 
+def import_graph():
+    """Module to the modules of the package that it imports, inside functions too."""
+    names = {".".join(("noteloom", *path.relative_to(ROOT).with_suffix("").parts)).removesuffix(".__init__"): path for path in ROOT.rglob("*.py")}
+    graph = {}
+    for name, path in names.items():
+        found = set()
+        for node in ast.walk(ast.parse(path.read_text())):
+            if isinstance(node, ast.Import):
+                found |= {a.name for a in node.names}
+            elif isinstance(node, ast.ImportFrom) and node.module:
+                found |= {node.module, *(f"{node.module}.{a.name}" for a in node.names)}
+        graph[name] = {x for x in found if x in names and x != name}
+    return graph
+
+
+def reached(graph, start):
+    seen, left = set(), [start]
+    while left:
+        for x in graph[left.pop()] - seen:
+            seen.add(x)
+            left.append(x)
+    return seen
+
+
+def test_layers_hold_through_all_imports():
+    graph = import_graph()
+    assert reached({"a": {"b"}, "b": {"c"}, "c": set()}, "a") == {"b", "c"}
+    below = {"noteloom.functions": ("noteloom.functions",), "noteloom.operators": ("noteloom.functions", "noteloom.operators", "noteloom.schemas", "noteloom"), "noteloom.sources": ("noteloom.sources", "noteloom.schemas", "noteloom")}
+    for name in graph:
+        for layer, allowed in below.items():
+            if name.startswith(layer + "."):
+                assert all(x in allowed or x.startswith(tuple(a + "." for a in allowed if a != "noteloom")) for x in reached(graph, name)), (name, reached(graph, name))
+        if not name.startswith("noteloom.llm"):
+            assert not [x for x in reached(graph, name) if x.startswith("noteloom.llm")], name
+
+
 def is_column(node, name=None):
     return isinstance(node, ast.Call) and getattr(node.func, "attr", "") == "col" and (name is None or [a.value for a in node.args if isinstance(a, ast.Constant)] == [name])
 

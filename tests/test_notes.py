@@ -195,3 +195,16 @@ def test_chunk_config():
     for floor, ceiling in ((0, 5), (6, 5), (1, 9000)):
         with pytest.raises(ValueError):
             chunking.ChunkConfig(floor, ceiling)
+
+
+def test_long_notes_take_near_linear_time(spark):
+    import time
+
+    from noteloom.operators import chunking
+
+    lines = ["## a", "word", "```", "x", "```", "| a |", "|---|", "| b |", "", "text of a line"]
+    notes = [(1, "\n".join(lines * 2000)), (2, "z" * 1_000_000), (3, "\n" * 20_000), (4, "w " * 500_000)]
+    begun = time.perf_counter()
+    rows = chunking.chunk_notes(spark.createDataFrame(notes, "id long, body string")).groupBy("id").count().collect()
+    assert time.perf_counter() - begun < 150
+    assert {r.id for r in rows} == {1, 2, 4}
