@@ -3,8 +3,8 @@
 A character language model (4-grams of the words of all texts, smoothed towards shorter contexts) and a channel model
 (leetspeak signs, separators between letters, repeated letters) give each disguised word a lattice; Viterbi decoding
 restores it, without a beam. A gap in a run of spaced signs is dropped or ends a word, so a run can hold several words;
-the words of all likely readings and the run read as one word count. Restored and plain words are the features of a
-logistic regression.
+the words of all likely readings and the run read as one word count. Restored and plain words and their stems (first
+letters, STEMS) are the features of a logistic regression.
 
 Words have bounds in the channel model, so that texts of any length take linear time: a run of more than RUN equal signs
 reads as RUN, a disguised token is one word and has at most MAX_TOKEN signs (a longer one is not a word; the plain words
@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,8 @@ RUN, MAX_TOKEN, MAX_SPELLED = 3, 64, 24
 MARGIN = 4.0
 #: The same of the readings of a spaced run, which has an edge or none at every gap.
 SPACED_MARGIN = 8.0
+#: Letters of stems.
+STEMS = (4, 5)
 #: Tokens whose words a worker keeps.
 CACHE_TOKENS = 60_000
 
@@ -139,6 +141,12 @@ def _letters(path: tuple) -> str:
 State = tuple[int, int, int, str, int]  # the last three letters, the last sign, the start of the word
 
 
+def with_stems(words: Iterable[str]) -> set[str]:
+    """Words and the first letters (STEMS) of longer ones, marked as such: inflected words share them."""
+    out = set(words)
+    return out.union([f"{w[:n]}*" for w in out for n in STEMS if len(w) > n])
+
+
 def _short_runs(token: str) -> str:
     return _LONG_RUN.sub(lambda m: m[1] * RUN, token)
 
@@ -223,7 +231,7 @@ class Restorer:
             out.update(self.decode(_GAP.sub("", m[0])))
             usual = Counter(_GAP.findall(m[0])).most_common(1)[0][0]
             out.update(self.split(_GAP.sub(lambda g: GAP if g[0] == usual else ODD_GAP, m[0])))  # noqa: B023
-        return out
+        return with_stems(out)
 
     def of_token(self, token: str) -> tuple[str, ...]:
         """Plain words of a token (signs without white space, in lower case) and what it may stand for."""
@@ -238,7 +246,7 @@ class Restorer:
         plain = token.isalpha()
         triple = _TRIPLE.search(token)
         if plain and not triple:
-            return (token,)
+            return (token, *[f"{token[:n]}*" for n in STEMS if len(token) > n])
         out = set(_WORD.findall(token))
         if not plain:
             whole = token.strip(_EDGE).translate(_FOLD)
@@ -254,7 +262,7 @@ class Restorer:
             for letters in _LETTERS.findall(token):
                 if _TRIPLE.search(letters):
                     out.update(self.decode(letters))
-        return tuple(out)
+        return tuple(with_stems(out))
 
     def words(self, text: str) -> set[str]:
         """Plain words of a text and what its disguised words restore to."""
