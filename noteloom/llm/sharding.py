@@ -54,16 +54,17 @@ class Ranges:
         low, high = self.units.agg(F.min("key"), F.max("key")).first()
         self.segments: list[Segment] = []
         if low is not None:
-            cell = 1 << (int(high - low) // first).bit_length()
+            # Widths are powers of two, so that all cells of a width lie on one grid.
+            self.origin, cell = int(low), 1 << (int(high - low) // first).bit_length()
             self.segments = self._cells([int(low)], 2 * first * cell, 2 * first)
 
     def _cells(self, lows: list[int], width: int, fan: int) -> list[Segment]:
         """Cells of the ranges of this width that begin at `lows`."""
         finer, key = max(1, width // fan), F.col("key")
-        origins = F.array(*[_number(x) for x in lows])
-        place = F.size(F.filter(origins, lambda x: x <= key)) - 1
-        cells = self.units.withColumn("place", place).where(F.col("place") >= 0).withColumn("inside", (key - F.get(origins, F.col("place"))).cast(KEY))
-        cells = cells.where(F.col("inside") < _number(width)).withColumn("width", _number(finer)).withColumn("cell", F.expr("inside div width"))
+        places = self.units.sparkSession.createDataFrame([(i, Decimal(x)) for i, x in enumerate(lows)], f"place int, low {KEY}")  # where a cut may fall
+        low = (key - ((key - _number(self.origin)) % _number(width)).cast(KEY)).cast(KEY)
+        cells = self.units.withColumn("low", low).join(F.broadcast(places), "low").withColumn("inside", (key - F.col("low")).cast(KEY))
+        cells = cells.withColumn("width", _number(finer)).withColumn("cell", F.expr("inside div width"))
         rows = cells.groupBy("place", "cell").agg(F.sum("bytes"), F.max("bytes"), F.count("*")).collect()
         return [Segment(lows[r[0]] + r[1] * finer, finer, r[2], r[3], r[4]) for r in sorted(rows)]
 
