@@ -121,6 +121,14 @@ def test_jaccard_join_null_ids_and_empty_tables(spark):
     assert jaccard_join.ngram_components(docs_of(spark, [])).count() == 0
 
 
+def test_jaccard_join_of_long_texts(spark):
+    base = words(150_000, 3, 10**6)
+    rows = [(1, base), (2, base.replace("w5", "W5", 40)), (3, base + " tail of words"), (4, "x" * 1_000_000), (5, "x" * 1_000_000 + " "), (6, "\t \n" * 200_000), (7, words(150_000, 4, 10**6))]
+    got = {r.doc_id: r for r in jaccard_join.ngram_components(docs_of(spark, rows)).collect()}
+    assert [got[i].component_id for i in range(1, 8)] == [1, 1, 1, 4, 4, 6, 7]
+    assert got[1].n_shingles == len(shingles(base)) and (got[4].n_shingles, got[6].n_shingles) == (1, 0)
+
+
 def test_signature_tree_drops_no_link():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 400).astype(np.uint64)
@@ -571,6 +579,10 @@ def test_conversations_round_trip(spark):
     assert got[3].turns_sha256 == digest([("a\nb<|turn|>", "&lt;")]) and got[3].loss_chars == 0
     assert got[-7].n_turns == 2 and got[-7].loss_chars == len(chat_template.EXTRA_CONVERSATION[1]) and got[None].n_turns == 1
     assert chat_template.format_conversations(table.limit(0)).count() == 0
+    long = [(9, 0, "user", "[INST]" * 100_000), (9, 1, "assistant", "<|end|>&" * 100_000), *[(8, i, "assistant", "a") for i in range(3000)]]
+    table = spark.createDataFrame(long, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_template.read_back(chat_template.format_conversations(table)).collect()}
+    assert got[9].turns_sha256 == digest([r[2:] for r in long[:2]]) and got[9].loss_chars == 800_000 and (got[8].n_turns, got[8].loss_chars) == (3000, 3000)
 
 
 def test_top_k_equals_brute_force(spark):
