@@ -8,9 +8,9 @@ import os
 import signal
 import sys
 import threading
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +19,38 @@ from noteloom import config, schemas
 from noteloom.functions.identity import golden_identity
 from noteloom.operators import chunking, embedding, evaluation, notes, points, retrieval
 from noteloom.session import get_session, path_exists
-from noteloom.sources import golden, sinks, vault
+from noteloom.sources import embedder, golden, sinks, vault
 
 OK, FAILURE, USAGE, LOCKED, GATE = 0, 1, 2, 3, 4
 PIPELINE = {"chunker_version": schemas.CHUNKER_VERSION, "floor_tokens": "256", "ceiling_tokens": "1024", "merge_rule": schemas.MERGE_RULE}
-#: The built-in embedder; a real one goes through operators.embedding.embed.
-HASH_EMBEDDER = {"model_revision": "hash-1", "tokenizer_revision": "none", "dim": "64", "normalization": "l2", "pooling": "none", "precision": "fp64", "sparse_params": ""}
-HANDSHAKE = embedding.Handshake(**{**HASH_EMBEDDER, "dim": int(HASH_EMBEDDER["dim"])})
+#: The built-in embedder; a real one is a service at the address of the setting `embedder`.
+HANDSHAKE = schemas.Handshake("hash-1", "none", 64, "l2", "none", "fp64")
 
 
 class Usage(ValueError):
     pass
 
 
+@dataclass(frozen=True)
+class Embedder:
+    handshake: schemas.Handshake
+    passages: Callable[[DataFrame], DataFrame]
+    queries: Callable[[DataFrame], DataFrame]
+
+
+def embedder_of(settings: config.Config) -> Embedder:
+    """The service that the settings name, or the built-in embedder. Asking the service who it is comes before any work."""
+    if not settings.embedder:
+        return Embedder(HANDSHAKE, embedding.embed_by_hash, embedding.embed_by_hash)
+    service = embedder.Service(settings.embedder)
+    said = service.handshake()
+
+    def through(kind: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda rows: embedding.embed(rows, lambda: lambda texts: [dense for dense, _ in service.embed(texts, kind)], said.dim)
+
+    return Embedder(said, through("passage"), through("query"))
+
+
 class Interrupted(RuntimeError):
     pass
 
@@ -110,10 +129,10 @@ def scan(spark: SparkSession, vaults: Sequence[config.Vault]) -> DataFrame:
     return good
 
 
-def expected_of(chunks: DataFrame, tenant: str, model: str) -> DataFrame:
+def expected_of(chunks: DataFrame, tenant: str, model: str, handshake: schemas.Handshake = HANDSHAKE) -> DataFrame:
     stamp = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     rows = chunks.withColumns({"tenant_id": F.lit(tenant), "headings": F.coalesce("breadcrumb", F.array().cast("array<string>")), "created": F.date_format(F.col("created").cast("timestamp"), stamp), "updated": F.date_format("updated", stamp), "embedding_model": F.lit(model)})
-    return points.expected_points(rows, PIPELINE, HASH_EMBEDDER)
+    return points.expected_points(rows, PIPELINE, {k: str(v) for k, v in asdict(handshake).items()})
 
 
 def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> dict:
@@ -121,14 +140,15 @@ def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Name
     check_flags(args.dry_run, args.prune_orphans, args.only, args.yes)
     path, tenant = f"{settings.tables}/{settings.collection}", settings.tenant
     vaults = settings.chosen(args.vault)
-    embedding.verify(HANDSHAKE, applied_state(settings), settings.embedding_model)
+    model = embedder_of(settings)
+    embedding.verify(model.handshake, applied_state(settings), settings.embedding_model)
     with sinks.table_lock(settings.locks or "/tmp/noteloom-locks", sinks.canonical(path), tenant), interruptible(spark) as interrupt:
         found = scan(spark, vaults)
         chosen = found.where(notes.glob_filter(F.concat_ws("/", "vault", "path"), args.only))
         chunks = chunking.chunk_notes(chosen)
         failed = chunking.failed_notes(chunks, ["uid"]).withColumn("tenant_id", F.lit(tenant))
         columns = [f.name for f in schemas.PAYLOAD] + ["point_id"]
-        expected = expected_of(chunks.join(failed.select("uid"), "uid", "left_anti"), tenant, settings.embedding_model).select(*columns).persist()
+        expected = expected_of(chunks.join(failed.select("uid"), "uid", "left_anti"), tenant, settings.embedding_model, model.handshake).select(*columns).persist()
         stored = read_points(spark, path)
         own = spark.createDataFrame([], point_schema()) if stored is None else stored.where(retrieval.of_tenant(tenant))
         scanned = chosen.select(F.lit(tenant).alias("tenant_id"), "uid")
@@ -144,7 +164,7 @@ def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Name
         report = json.loads(points.ingest_report(results, gone, "dry-run" if args.dry_run else "full" if args.full else "incremental", kept).first()["report"])
         if not args.dry_run:
             interrupt.check()
-            fresh = embedding.embed_by_hash(points.changed_points(expected, results))
+            fresh = model.passages(points.changed_points(expected, results))
             table = points.merge(own, fresh, results)
             if args.prune_orphans:
                 table = points.prune_orphans(table, gone, confirmed=args.yes, filtered=bool(args.only), interrupted=interrupt.seen)
@@ -157,7 +177,7 @@ def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Name
             n = whole.count()
             points.write_confirmed(lambda: points.write_tenants(whole, path, [tenant]), lambda: _written(spark, path, tenant) == n)
             if settings.state:
-                sinks.write_json(settings.state, {"model": settings.embedding_model, "handshake": asdict(HANDSHAKE)})
+                sinks.write_json(settings.state, {"model": settings.embedding_model, "handshake": asdict(model.handshake)})
         return report
 
 
@@ -171,8 +191,9 @@ def run_search(spark: SparkSession, settings: config.Config, args: argparse.Name
     stored = read_points(spark, f"{settings.tables}/{settings.collection}")
     if stored is None:
         raise ValueError("the collection is empty")
-    embedding.verify(HANDSHAKE, applied_state(settings), settings.embedding_model or HANDSHAKE.model_revision)
-    query = retrieval.query_rows(spark, args.text, embedding.embed_by_hash)
+    model, applied = embedder_of(settings), applied_state(settings)
+    embedding.verify(model.handshake, applied, settings.embedding_model or (applied or {}).get("model", ""))
+    query = retrieval.query_rows(spark, args.text, model.queries)
     terms = retrieval.terms_of(stored.where(retrieval.of_tenant(settings.tenant)), "point_id")
     rows = retrieval.format_results(retrieval.search(query, stored, terms, asked)).orderBy("position").collect()
     return [{"uid": r.uid, "chunk_index": r.chunk_index, "title": r.title, "breadcrumb": r.breadcrumb, "path": r.path, "score": r.score, "text": r.text, "untrusted": r.untrusted} for r in rows]

@@ -11,7 +11,7 @@ import yaml
 from noteloom.schemas import COLLECTIONS, is_slug
 
 PREFIX = "NOTELOOM_"
-KEYS = ("tables", "collection", "tenant", "embedding_model", "golden", "baseline", "state", "locks", "report")
+KEYS = ("tables", "collection", "tenant", "embedding_model", "golden", "baseline", "state", "locks", "report", "embedder")
 #: Settings of one vault: folder, areas, folders and root files that the walk passes over.
 VAULT_KEYS = ("path", "areas", "exclude_folders", "exclude_root_files")
 #: What each command needs.

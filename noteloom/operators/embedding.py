@@ -6,37 +6,17 @@ import math
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.vectors import hash_embedding
+from noteloom.schemas import Handshake
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
-@dataclass(frozen=True)
-class Handshake:
-    """The seven settings that index and embedder must agree on."""
-
-    model_revision: str
-    tokenizer_revision: str
-    dim: int
-    normalization: str
-    pooling: str
-    precision: str
-    sparse_params: str = ""
-
-    def mismatches(self, other: Handshake) -> list[str]:
-        return [f.name for f in fields(self) if getattr(self, f.name) != getattr(other, f.name)]
-
-    def require(self, other: Handshake) -> None:
-        if bad := self.mismatches(other):
-            raise ValueError(f"the embedder differs in {', '.join(bad)}")
-
-
 #: What an applied state holds about the model of a collection.
 STATE_KEYS = {"model", "handshake"}
 

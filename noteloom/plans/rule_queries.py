@@ -98,7 +98,7 @@ def chunk_config_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(rows, "error", lambda r: None if chunking.ChunkConfig(r.floor, r.ceiling) else "")
 
 
-HANDSHAKE = embedding.Handshake("r1", "t1", 64, "l2", "cls", "fp32", "s")
+HANDSHAKE = schemas.Handshake("r1", "t1", 64, "l2", "cls", "fp32", "s")
 FIELDS = ("model_revision", "tokenizer_revision", "dim", "normalization", "pooling", "precision", "sparse_params")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -40,6 +40,26 @@ RESULT_FIELDS = ("uid", "chunk_index", "text", "path", "headings", "title")
 FILTERABLE = ("tenant_id", "uid", "area", "type", "status", "visibility", "vault", "tags", "chunk_index")
 
 
+@dataclass(frozen=True)
+class Handshake:
+    """The seven settings that index and embedder must agree on."""
+
+    model_revision: str
+    tokenizer_revision: str
+    dim: int
+    normalization: str
+    pooling: str
+    precision: str
+    sparse_params: str = ""
+
+    def mismatches(self, other: Handshake) -> list[str]:
+        return [f.name for f in fields(self) if getattr(self, f.name) != getattr(other, f.name)]
+
+    def require(self, other: Handshake) -> None:
+        if bad := self.mismatches(other):
+            raise ValueError(f"the embedder differs in {', '.join(bad)}")
+
+
 class SchemaDrift(ValueError):
     """The stored table does not have the shape or model that the manifest states."""
 

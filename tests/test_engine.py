@@ -1,8 +1,11 @@
 """Retrieval, points, evaluation, sources, streaming and the command line; guards have twins that prove they can fail."""
 
 import ast
+import http.server
+import json
 import os
 import pathlib
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 import noteloom
 from noteloom import cli, config, schemas
 from noteloom.operators import embedding, evaluation, points, retrieval
-from noteloom.sources import golden, sinks, vault
+from noteloom.sources import embedder, golden, sinks, vault
 from noteloom.streaming import continuous
 
 ROOT = pathlib.Path(noteloom.__file__).parent
@@ -160,9 +163,9 @@ def test_embedder_contract(spark):
     assert [r.dense for r in got] == [[1.0, 1.0], [2.0, 1.0]]
     with pytest.raises(Exception, match="other vectors"):
         embedding.embed(rows, lambda: lambda texts: [[1.0]], 2).collect()
-    a = embedding.Handshake("r", "t", 2, "l2", "cls", "fp32")
+    a = schemas.Handshake("r", "t", 2, "l2", "cls", "fp32")
     with pytest.raises(ValueError, match="dim"):
-        a.require(embedding.Handshake("r", "t", 3, "l2", "cls", "fp32"))
+        a.require(schemas.Handshake("r", "t", 3, "l2", "cls", "fp32"))
 
 
 def test_vault_walk(spark, tmp_path):
@@ -209,8 +212,6 @@ def test_command_line_end_to_end(spark, tmp_path, monkeypatch, capsys):
 
 
 def test_notes_without_chunks_blank_files_and_oversize(spark, tmp_path, monkeypatch, capsys):
-    import json
-
     root = tmp_path / "vault"
     (root / "area" / "old").mkdir(parents=True)
     for n in range(1, 6):
@@ -306,10 +307,72 @@ def test_embedder_start(spark):
     for bad in (([[1.0, 1.0]], None), ([[0.6, 0.8]], [{}])):
         with pytest.raises(ValueError):
             embedding.probe(*bad)
-    own = embedding.Handshake("r", "t", 2, "l2", "cls", "fp32")
+    own = schemas.Handshake("r", "t", 2, "l2", "cls", "fp32")
     assert not embedding.verify(own, None, "m")
 
 
+class Answers(http.server.BaseHTTPRequestHandler):
+    """An embedding service of two dimensions that fails once, then works."""
+
+    failures = 1
+
+    def answer(self, code, data):
+        self.send_response(code)
+        self.end_headers()
+        self.wfile.write(json.dumps(data).encode())
+
+    def do_GET(self):  # noqa: N802
+        self.answer(200, {"model_revision": "m", "tokenizer_revision": "t", "dense_dim": 2, "normalized": True, "pooling": "cls", "precision": "float16", "sparse": {"b": "2", "a": "1"}})
+
+    def do_POST(self):  # noqa: N802
+        texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["inputs"]
+        if Answers.failures:
+            Answers.failures -= 1
+            return self.answer(503, {})
+        if self.path == "/tokenize":
+            return self.answer(200, {"counts": [len(t.split()) for t in texts]})
+        if "refuse" in texts:
+            return self.answer(413, {"error": "too long"})
+        self.answer(200, {"dense": [[0.6, 0.8] if "fox" in t else [0.8, 0.6] for t in texts], "sparse": [{"indices": [1], "values": [0.5]} for _ in texts]})
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def service():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+
+
+def test_embedding_service(spark, service, tmp_path, monkeypatch, capsys):
+    own = embedder.Service(service, delay=0.01)
+    assert own.handshake() == schemas.Handshake("m", "t", 2, "l2", "cls", "fp16", "a=1,b=2")
+    Answers.failures = 1
+    assert own.count(["a b", ""]) == [2, 0]
+    assert own.embed(["the fox"], "query") == [([0.6, 0.8], {1: 0.5})]
+    with pytest.raises(ValueError, match="413"):
+        own.embed(["refuse"], "query")
+    for bad in ("ftp://x", "nothing"):
+        with pytest.raises(ValueError):
+            embedder.Service(bad)
+    root = tmp_path / "vault"
+    (root / "area").mkdir(parents=True)
+    for n, body in ((1, "the quick brown fox"), (2, "an unrelated text")):
+        (root / "area" / f"{n}.md").write_text(NOTE.format(U(n), body))
+    settings = {"TABLES": tmp_path / "tables", "COLLECTION": "interno", "TENANT": "t", "EMBEDDING_MODEL": "m", "EMBEDDER": service, "LOCKS": tmp_path / "locks", "STATE": tmp_path / "state.json", "VAULTS": "main", "VAULT_MAIN_PATH": root, "VAULT_MAIN_AREAS": "area"}
+    for key, value in settings.items():
+        monkeypatch.setenv(config.PREFIX + key, str(value))
+    Answers.failures = 1
+    assert cli.main(["ingest"], spark) == cli.OK
+    assert {tuple(r.dense) for r in cli.read_points(spark, f"{tmp_path}/tables/interno").collect()} == {(0.6, 0.8), (0.8, 0.6)}
+    assert cli.main(["search", "fox", "--mode", "dense", "--top-k", "1"], spark) == cli.OK and U(1) in capsys.readouterr().out
+    monkeypatch.delenv(config.PREFIX + "EMBEDDER")  # the built-in embedder is another model
+    assert cli.main(["search", "fox"], spark) == cli.FAILURE and "embedder: the embedder differs in model_revision" in capsys.readouterr().out
+
+
 def test_report_and_decision_documents(spark, tmp_path):
     import subprocess
 
