@@ -41,8 +41,9 @@ def _joined_with_hubs(both: DataFrame, least: DataFrame, limit: int) -> DataFram
     return marked.where(F.col("hub").isNotNull()).select("a", "b", F.col("hub").alias("m")).unionByName(rest)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges: (src, dst). Returns (id, component) for every node of an edge; component is the smallest id reached."""
+def connected_components(edges: DataFrame, roots: bool = True) -> DataFrame:
+    """edges: (src, dst). Returns (id, component) for every node of an edge; component is the smallest id reached. Without
+    `roots`, nodes that are the smallest of their component are left out."""
     now = edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     now = materialize(now, "edges")
     total, state = now.count(), None
@@ -54,4 +55,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         total, state = found[0], found
     stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if not roots:
+        return stars
     return stars.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

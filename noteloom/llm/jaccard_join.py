@@ -548,10 +548,11 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     # Rows of one set (src = dst) have the number of its links in a pair of blocks, the others are the forest.
     links = materialize(own.unionByName(pairs).repartition(F.xxhash64("ids", "other_ids")).mapInPandas(_join_blocks(percent), "src long, dst long, n_links long"), "links")
 
-    linked = connected_components(links)  # component: smallest stand-in doc_id
+    linked = connected_components(links, roots=False)  # component: smallest stand-in doc_id
     counted = links.where(F.col("n_links") > 0).groupBy(F.col("src").alias("id")).agg(F.sum("n_links").alias("others"))
     stand_in = candidates.select("print", F.col("n").alias("n_shingles"), F.col("doc_id").alias("id"))
-    joined = stand_in.join(linked, "id").join(counted, "id").select("print", "n_shingles", "component", "others")
+    # A set with links that no other stands before is the smallest of its component.
+    joined = stand_in.join(counted, "id").join(linked, "id", "left").select("print", "n_shingles", F.coalesce("component", "id").alias("component"), "others")
     by_set = by_set.join(joined, ["print", "n_shingles"], "left")
     smallest = by_set.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("smallest"))
     n_links = (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
