@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
@@ -52,6 +52,29 @@ def set_for_now(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]
             spark.conf.set(k, v)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of a partition whose worker gives freed memory back when it is done: workers live for many stages."""
+
+    def outer(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return outer
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 class _Scopes(threading.local):
     def __init__(self) -> None:
         self.open: list[list[str]] = []

@@ -8,7 +8,7 @@ some other document has can be common, so a document can link only if at least 8
    meet in one partition;
 2. each partition keeps the shingles of two rows or more, which come back to their documents with their frequency;
 3. documents with fewer than 80 % shared shingles are done; the others, one per distinct set, form candidate families:
-   components of the graph of documents and the rare-first prefix shingles, of which linked documents share one;
+   components of the graph that links documents of one rare-first prefix shingle, of which linked documents share one;
 4. each family, in blocks of bounded bytes, is joined by signature trees: nodes hold OR-combined bitmaps and size
    ranges, a dual traversal drops node pairs whose largest possible overlap is too small, and every leaf pair left by
    the bitmap difference is checked exactly. A block's own node (bitmap and size range) drops pairs of blocks before
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bounded_batches, join_hot_keys, materialize
+from noteloom.llm.common import bounded_batches, join_hot_keys, materialize, trimmed
 from noteloom.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -309,6 +309,26 @@ def _explode_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(t) for t in tokens]), "token": np.concatenate(tokens)})
 
 
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by token: links of each document to the one before it with its token. A token may go on in the
+    next task, so the first and the last document are linked to a node of their token; should its number be that of a
+    document, two families are one, which costs time but no link."""
+    last: tuple[int, int] | None = None
+    for batch in batches:
+        token, doc = batch["token"].to_numpy(np.int64), batch["doc_id"].to_numpy(np.int64)
+        if not len(token):
+            continue
+        if last is None:
+            yield pd.DataFrame({"src": doc[:1], "dst": ~token[:1]})
+        else:
+            token, doc = np.append(last[0], token), np.append(last[1], doc)
+        same = token[1:] == token[:-1]
+        yield pd.DataFrame({"src": doc[1:][same], "dst": doc[:-1][same]})
+        last = (int(token[-1]), int(doc[-1]))
+    if last is not None:
+        yield pd.DataFrame({"src": [last[1]], "dst": [~last[0]]}, dtype=np.int64)
+
+
 def _bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
     at = (tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
     out = np.zeros(bits // 64, np.uint64)
@@ -513,19 +533,19 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     chars = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(chars / 6 / PART_TOKENS) + 1)
     known = documents.where(F.col("doc_id").isNotNull()).select(ids.alias("doc_id"), "text")
-    packed = known.mapInPandas(_shingle(parts, words, _frequent(known, chars, words)), _PACK)
+    packed = known.mapInPandas(trimmed(_shingle(parts, words, _frequent(known, chars, words))), _PACK)
     # Document rows (part -1) and frequent shingles are dealt out by row, the others by part: as many parts to each task.
     tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     task = F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.pmod(F.xxhash64("doc_ids"), F.lit(tasks))).cast("int")
     dealt = packed.repartitionById(tasks, task).sortWithinPartitions("part")
-    both = materialize(dealt.mapInPandas(_share(parts), _SHARED), "shingles")
+    both = materialize(dealt.mapInPandas(trimmed(_share(parts)), _SHARED), "shingles")
     all_docs = both.where(F.col("bucket") == -1).select("doc_ids", "sizes", "prints").mapInPandas(_unpack_documents, "doc_id long, n_shingles long, print long")
 
     back = both.where(F.col("bucket") >= 0).repartitionById(tasks, F.col("bucket")).sortWithinPartitions("bucket")
-    candidates = materialize(back.mapInPandas(_gather(percent), _CANDIDATE), "candidates")
+    candidates = materialize(back.mapInPandas(trimmed(_gather(percent)), _CANDIDATE), "candidates")
     prefix = materialize(candidates.select("doc_id", "prefix").mapInPandas(_explode_prefixes, "doc_id long, token long"), "prefix")
-    heads = materialize(prefix.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1), "heads")
-    edges = join_hot_keys(prefix, heads, ["token"], "n", ["head"]).where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).distinct()
+    # Documents of one token are linked along sorted runs, so a token of many documents is split freely.
+    edges = prefix.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").mapInPandas(_chain, "src long, dst long")
     families = connected_components(edges).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "family")
 
     by_set = materialize(all_docs.where(F.col("n_shingles") > 0).groupBy("print", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")), "sets")
@@ -546,7 +566,7 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     other = blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("ids", "sizes", "data")])
     pairs = meet.join(blocks.select("block", "ids", "sizes", "data"), "block").join(other, "other").select(*own.columns)
     # Rows of one set (src = dst) have the number of its links in a pair of blocks, the others are the forest.
-    links = materialize(own.unionByName(pairs).repartition(F.xxhash64("ids", "other_ids")).mapInPandas(_join_blocks(percent), "src long, dst long, n_links long"), "links")
+    links = materialize(own.unionByName(pairs).repartition(F.xxhash64("ids", "other_ids")).mapInPandas(trimmed(_join_blocks(percent)), "src long, dst long, n_links long"), "links")
 
     linked = connected_components(links, roots=False)  # component: smallest stand-in doc_id
     counted = links.where(F.col("n_links") > 0).groupBy(F.col("src").alias("id")).agg(F.sum("n_links").alias("others"))

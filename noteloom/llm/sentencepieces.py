@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bounded_batches, filesystem, materialize, set_for_now, stage_path
+from noteloom.llm.common import bounded_batches, filesystem, materialize, set_for_now, stage_path, trimmed
 
 SPACE = "▁"
 #: Boundaries in one long.
@@ -376,7 +376,7 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
     if not _is_scan(documents):
         documents = materialize(documents, "documents")
     texts = documents.select("text", _block().alias("block")).where(F.col("text").isNotNull() & (F.col("text") != ""))
-    used = materialize(texts.mapInPandas(_distinct_words(table.pattern), "block long, word string"), "words")
+    used = materialize(texts.mapInPandas(trimmed(_distinct_words(table.pattern)), "block long, word string"), "words")
     splits = used.agg(F.count_distinct("block")).first()[0]
     folder, folders = stage_path(spark, "lexicon"), max(1, min(FOLDERS, splits))
     group = F.pmod(F.col("block"), F.lit(folders)).cast("int")
@@ -415,7 +415,7 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
                 yield pd.DataFrame({"doc_id": piece["doc_id"].astype("Int64"), "n_pieces": np.array([len(x) for x in ids], np.int64), "ids": ids, "exact": exact})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _block().alias("block")).withColumn("group", group)
-    return rows.mapInPandas(run, "doc_id long, n_pieces long, ids array<int>, exact boolean")
+    return rows.mapInPandas(trimmed(run), "doc_id long, n_pieces long, ids array<int>, exact boolean")
 
 
 def decoder_sizes(decoder: BatchDecoder, lists: list[np.ndarray]) -> np.ndarray:

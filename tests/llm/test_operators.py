@@ -88,7 +88,7 @@ def test_jaccard_join_with_frequent_shingles_hubs_and_hot_sets(spark, monkeypatc
 
     monkeypatch.setattr(common, "LEAST_HOT", 2)
     monkeypatch.setattr(common, "HOT_KEYS", 20)
-    monkeypatch.setattr(components, "HUB_EDGES", 10)
+    monkeypatch.setattr(components, "ONE_TASK", 0)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
     boilerplate = words(60, 77, 3000)
@@ -146,10 +146,41 @@ def test_signature_tree_drops_no_link():
     assert len(forest) < len(sets)
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(60))
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, one_task):
+    from noteloom.llm import common, components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    r = random.Random(1)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)] + [(-5, 1 << 62), (1 << 62, 300)]
+    r.shuffle(edges)
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(6)).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(60)) and got[300] == -5
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_contraction_equals_union_find():
+    import pandas as pd
+
+    from noteloom.llm import components
+
+    r = random.Random(2)
+    for size in (1, 10, 300, 2000):
+        pairs = [(r.randrange(size * 2), r.randrange(size * 2)) for _ in range(size)]
+        parent = {x: x for p in pairs for x in p}
+
+        def find(x):
+            while parent[x] != x:  # noqa: B023
+                x = parent[x]  # noqa: B023
+            return x
+
+        for x, y in pairs:
+            x, y = sorted((find(x), find(y)))
+            parent[y] = x
+        frame = pd.DataFrame(pairs, columns=["a", "b"])
+        out = pd.concat(components._contract_all(iter([frame[:7], frame[7:]])))
+        assert {(a, b) for a, b in out.itertuples(index=False)} == {(x, find(x)) for x in parent if find(x) != x}
 
 
 def test_toxicity_restores_disguised_words(spark):
