@@ -53,15 +53,33 @@ def set_for_now(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of a partition whose worker gives freed memory back when it is done: workers live for many stages."""
+    """A function of a partition whose worker drops what other functions kept, and gives freed memory back when it is
+    done: workers live for many stages."""
 
     def outer(batches: Iterator) -> Iterator:
+        drop_kept()
         yield from run(batches)
         release_memory()
 
     return outer
 
 
+#: What a worker built last.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, build: Callable[[], object]) -> object:
+    """What `build` gives, held for the worker's next tasks until it meets another key or a trimmed function."""
+    if key not in _KEPT:
+        drop_kept()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def drop_kept() -> None:
+    _KEPT.clear()
+
+
 def release_memory() -> None:
     import ctypes
     import gc

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bounded_batches, filesystem, materialize, stage_path
+from noteloom.llm.common import bounded_batches, filesystem, kept, materialize, stage_path
 
 ERROR_RATE = 0.08
 SLICE_CHARS = 4_000_000
@@ -143,17 +143,12 @@ def store_slices(benchmark: DataFrame, slice_chars: int = SLICE_CHARS) -> tuple[
     return folder, slices
 
 
-#: The automaton of the slice that a worker met last, for its next tasks.
-_LAST: dict[tuple[str, int, float], Matcher] = {}
-
-
 def matcher_of(folder: str, number: int, error_rate: float) -> Matcher:
+    """The automaton of a slice, kept for the worker's next tasks."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    key = (folder, number, error_rate)
-    if key not in _LAST:
-        _LAST.clear()
+    def build() -> Matcher:
         files, root = filesystem(folder)
         items: list[tuple[int, str]] = []
         for info in files.get_file_info(fs.FileSelector(f"{root}/slice={number}", allow_not_found=True)):
@@ -161,8 +156,9 @@ def matcher_of(folder: str, number: int, error_rate: float) -> Matcher:
                 with files.open_input_file(info.path) as source:
                     rows = pq.ParquetFile(source).read(["item_id", "text"])
                 items += zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)
-        _LAST[key] = Matcher(sorted(items), error_rate)
-    return _LAST[key]
+        return Matcher(sorted(items), error_rate)
+
+    return kept(("matcher", folder, number, error_rate), build)
 
 
 def slice_matches(folder: str, number: int, error_rate: float, text: Column) -> Column:

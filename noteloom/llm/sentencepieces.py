@@ -281,8 +281,8 @@ def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
         return run
 
     out = "word string, blocks array<bigint>, ids binary"
-    return folded.select("word", "blocks", short_state.alias("state")).mapInPandas(pieces_of(cut_at), out).unionByName(
-        long_words.select("word", "blocks", F.col("state").cast(shape).alias("state")).mapInPandas(pieces_of(cut_long), out)
+    return folded.select("word", "blocks", short_state.alias("state")).mapInPandas(trimmed(pieces_of(cut_at)), out).unionByName(
+        long_words.select("word", "blocks", F.col("state").cast(shape).alias("state")).mapInPandas(trimmed(pieces_of(cut_long)), out)
     )
 
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bounded_batches, materialize
+from noteloom.llm.common import bounded_batches, materialize, release_memory, trimmed
 
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
@@ -123,7 +123,7 @@ class CharModel:
     @classmethod
     def fit(cls, texts: DataFrame) -> CharModel:
         """texts: text, without nulls."""
-        grams = texts.mapInPandas(_count_grams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        grams = texts.mapInPandas(trimmed(_count_grams), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         counts = np.zeros(SYMBOLS**ORDER, np.int64)
         for row in grams.toLocalIterator():  # at most SYMBOLS ** ORDER rows
             counts[row["gram"]] = row["n"]
@@ -314,7 +314,7 @@ class ToxicityModel:
             for batch in batches:
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"].astype("int32"), "words": [sorted(restorer.words(t)) for t in batch["text"]]})
 
-        rows = materialize(sample.mapInPandas(features, "doc_id long, toxic int, words array<string>"), "training")
+        rows = materialize(sample.mapInPandas(trimmed(features), "doc_id long, toxic int, words array<string>"), "training")
         n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         prior = (positive + 0.5) / (n + 1)
         if not positive or positive == n:
@@ -330,6 +330,8 @@ class ToxicityModel:
             for texts in batches:
                 z = [bias + math.fsum(weights[w] for w in finder.find(t)) if t else bias for t in texts]
                 yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700))))
+            del finder
+            release_memory()
 
         return run(text)
 

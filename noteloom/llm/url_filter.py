@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import filesystem, materialize, stage_path
+from noteloom.llm.common import filesystem, kept, materialize, stage_path
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -108,10 +108,6 @@ def _assemble(sizes: list[int]):
     return run
 
 
-#: The filters of the part that a worker met last.
-_LAST: dict[tuple[str, int], list[Level]] = {}
-
-
 class BloomCascade:
     """Exact membership for every key of a stated universe."""
 
@@ -163,12 +159,11 @@ class BloomCascade:
         return rows.withColumn("_salt", salt).repartition("_part", "_salt").sortWithinPartitions("_part").drop("_salt")
 
     def _levels(self, part: int, upto: int) -> list[Level]:
+        """The filters of a part, kept for the worker's next tasks."""
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        key = (f"{self.folder}#{upto}", part)
-        if key not in _LAST:
-            _LAST.clear()
+        def build() -> list[Level]:
             files, root = filesystem(self.folder)
             levels = []
             for number in range(upto):
@@ -179,8 +174,9 @@ class BloomCascade:
                             words += b"".join(pq.ParquetFile(source).read(["words"])["words"].to_pylist())
                 if words:
                     levels.append(Level(self.sizes[number][part], self.hashes, np.frombuffer(words, np.uint64)))
-            _LAST[key] = levels
-        return _LAST[key]
+            return levels
+
+        return kept(("levels", self.folder, upto, part), build)
 
     def _accepted_by(self, number: int) -> Column:
         """Whether level `number` of its part accepts a key."""
