@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import chat_template, decontamination, jaccard_join, pii, sentencepieces, sharding, token_store, topk_search, toxicity, url_filter
+from noteloom.llm import chat_template, decontamination, jaccard_join, merkle_manifest, pii, sentencepieces, sharding, token_store, topk_search, toxicity, url_filter
 from noteloom.llm.common import materialize, table
 
 
@@ -54,6 +54,10 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op13_pregel_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.build_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_signature_tree_join": op1_signature_tree_join,
     "op2_noisy_channel_toxicity": op2_noisy_channel_toxicity,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bloom_cascade": op8_bloom_cascade,
     "op9_chat_template": op9_chat_template,
     "op10_pivot_topk": op10_pivot_topk,
+    "op13_pregel_merkle": op13_pregel_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,4 +78,5 @@ ORACLES: dict[str, str] = {
     "op8_bloom_cascade": url_filter.oracle(),
     "op9_chat_template": chat_template.oracle(),
     "op10_pivot_topk": topk_search.oracle(),
+    "op13_pregel_merkle": merkle_manifest.oracle(),
 }
