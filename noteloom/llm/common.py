@@ -186,3 +186,20 @@ def filesystem(uri: str):
     if not urlparse(uri).scheme:
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+def block_batches(folder: str, block: int, columns: list[str]) -> Iterator:
+    """Rows of a block from the Parquet files of a folder, which are sorted by block; only the row groups near it are read."""
+    import pyarrow.parquet as pq
+    from pyarrow import compute, fs
+
+    files, root = filesystem(folder)
+    for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if not info.path.endswith(".parquet"):
+            continue
+        with files.open_input_file(info.path) as source:
+            file = pq.ParquetFile(source)
+            place = file.schema_arrow.names.index("block")
+            near = [i for i in range(file.num_row_groups) if (s := file.metadata.row_group(i).column(place).statistics) is None or s.min <= block <= s.max]
+            for batch in file.iter_batches(batch_size=20_000, row_groups=near, columns=["block", *columns]):
+                yield batch.filter(compute.equal(batch.column("block"), block))

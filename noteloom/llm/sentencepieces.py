@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bounded_batches, filesystem, materialize, set_for_now, stage_path, trimmed
+from noteloom.llm.common import block_batches, bounded_batches, materialize, set_for_now, stage_path, trimmed
 
 SPACE = "▁"
 #: Boundaries in one long.
@@ -321,21 +321,9 @@ def _distinct_words(pattern: str):
 
 def _read_lexicon(folder: str, group: int, block: int) -> dict[str, bytes]:
     """Ids of a block's words as bytes; rows of a folder are sorted by block."""
-    import pyarrow.parquet as pq
-    from pyarrow import compute, fs
-
-    files, root = filesystem(folder)
     known: dict[str, bytes] = {}
-    for info in files.get_file_info(fs.FileSelector(f"{root}/group={group}", allow_not_found=True)):
-        if not info.path.endswith(".parquet"):
-            continue
-        with files.open_input_file(info.path) as source:
-            file = pq.ParquetFile(source)
-            place = file.schema_arrow.names.index("block")
-            near = [i for i in range(file.num_row_groups) if (s := file.metadata.row_group(i).column(place).statistics) is None or s.min <= block <= s.max]
-            for batch in file.iter_batches(batch_size=20_000, row_groups=near, columns=["block", "word", "ids"]):
-                batch = batch.filter(compute.equal(batch.column("block"), block))
-                known.update(zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True))
+    for batch in block_batches(f"{folder}/group={group}", block, ["word", "ids"]):
+        known.update(zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True))
     return known
 
 

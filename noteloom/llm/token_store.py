@@ -75,12 +75,13 @@ class WordEncoder:
     """Ids of texts as bytes. A text is cut into pre-tokens by the tokenizer's own published pattern and each distinct
     pre-token is encoded by the library once; texts with signs on which pattern engines may differ go to it whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         setup = json.loads(self.tokenizer.to_str())
         split = setup["pre_tokenizer"] or {}
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and setup["normalizer"] is None
@@ -112,7 +113,7 @@ class WordEncoder:
     def _keep(self, words: list[str], raw: bytes, cuts: list[int]) -> None:
         self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
-    def _sure(self, text: str) -> bool:
+    def sure(self, text: str) -> bool:
         """Whether all pattern engines agree on the signs of a text."""
         if self.by_word and not any(x in text for x in self.special):
             try:
@@ -123,7 +124,7 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of a few texts at a time, as little-endian bytes."""
-        cut = [[_PRE_TOKEN.findall(p) for p in _pieces(t)] if self._sure(t) else None for t in texts]
+        cut = [[_PRE_TOKEN.findall(p) for p in text_pieces(t)] if self.sure(t) else None for t in texts]
         # The first CACHE_WORDS pre-tokens, among them all frequent ones, stay known; rare ones only for these texts.
         missing = list(set().union(*(words for pieces in cut if pieces for words in pieces)).difference(self.known))
         self._learn(missing)
@@ -150,7 +151,7 @@ def _groups(texts: list[str]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
-def _pieces(text: str) -> Iterator[str]:
+def text_pieces(text: str) -> Iterator[str]:
     """Long texts in pieces, cut before a single space between visible signs, where a pre-token always starts."""
     at = 0
     while len(text) - at > PIECE_CHARS and (m := _CUT.search(text, at + PIECE_CHARS)):
