@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import chat_template, cross_tokenizer, decontamination, jaccard_join, merkle_manifest, pii, sentencepieces, sharding, token_store, topk_search, toxicity, url_filter
+from noteloom.llm import attention_quality, chat_template, cross_tokenizer, decontamination, jaccard_join, merkle_manifest, pii, sentencepieces, sharding, token_store, topk_search, toxicity, url_filter
 from noteloom.llm.common import materialize, table
 
 
@@ -54,6 +54,10 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_union_find_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokenizer.align(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bloom_cascade": op8_bloom_cascade,
     "op9_chat_template": op9_chat_template,
     "op10_pivot_topk": op10_pivot_topk,
+    "op11_attention_quality": op11_attention_quality,
     "op12_union_find_alignment": op12_union_find_alignment,
     "op13_pregel_merkle": op13_pregel_merkle,
 }
