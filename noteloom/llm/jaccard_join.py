@@ -23,8 +23,9 @@ every link is checked on whole sets. Copies collapse by fingerprint, first withi
 apart by a 64-bit fingerprint and their size.
 
 Nulls: a null text has no shingles; such documents, and null doc_ids, link with nothing (component_id is the doc_id).
-A text of fewer than `words` words is one shingle. Repeated rows are each returned and link through their equal sets.
-Empty tables give no rows; further columns are not read.
+A text of fewer than `words` words is one shingle. Rows are the documents, whether or not ids repeat: repeated rows are each
+returned and link through their equal sets, rows of one id with different texts link only if their sets do, so that an
+id can have several component_ids. Empty tables give no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def _shingle(parts: int, words: int, frequent: np.ndarray):
 
 _SHARED = "bucket int, doc_ids binary, sizes binary, prints binary, lengths binary, tokens binary, counts binary"
 _SHARED_NAMES = ["bucket", "doc_ids", "sizes", "prints", "lengths", "tokens", "counts"]
-_CANDIDATE = "doc_id long, n long, print long, tokens binary, prefix binary"
+_CANDIDATE = "print long, n long, tokens binary, prefix binary"
 
 
 def _unpack_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,7 +268,7 @@ def _gather(percent: int):
     which linked documents share one; rare shingles come first."""
 
     def of(held: list) -> pd.DataFrame:
-        ids, sizes, prints = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in held]) for c in ("doc_ids", "sizes", "prints"))
+        sizes, prints = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in held]) for c in ("sizes", "prints"))
         lengths = np.concatenate([np.frombuffer(r.lengths, np.int32) for r in held])
         tokens = np.concatenate([np.frombuffer(r.tokens, np.uint64) for r in held])
         counts = np.concatenate([np.frombuffer(r.counts, np.uint8) for r in held])
@@ -285,8 +286,8 @@ def _gather(percent: int):
             if 100 * len(mine) < percent * n:
                 continue
             rare = np.lexsort((mine, counts[own][at]))[: len(mine) - -(-percent * n // 100) + 1]
-            out.append((int(ids[rows].min()), n, int(prints[rows[0]]), mine.tobytes(), mine[rare].tobytes()))
-        return pd.DataFrame(out, columns=["doc_id", "n", "print", "tokens", "prefix"])
+            out.append((int(prints[rows[0]]), n, mine.tobytes(), mine[rare].tobytes()))
+        return pd.DataFrame(out, columns=["print", "n", "tokens", "prefix"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -306,16 +307,16 @@ def _explode_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for batch in batches:
         tokens = [np.frombuffer(p, np.int64) for p in batch["prefix"]]
         if tokens:
-            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(t) for t in tokens]), "token": np.concatenate(tokens)})
+            yield pd.DataFrame({"print": np.repeat(batch["print"].to_numpy(), [len(t) for t in tokens]), "token": np.concatenate(tokens)})
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by token: links of each document to the one before it with its token. A token may go on in the
-    next task, so the first and the last document are linked to a node of their token; should its number be that of a
-    document, two families are one, which costs time but no link."""
+    """Rows come sorted by token: links of each set to the one before it with its token. A token may go on in the next
+    task, so the first and the last set are linked to a node of their token; should its number be that of a set, two
+    families are one, which costs time but no link."""
     last: tuple[int, int] | None = None
     for batch in batches:
-        token, doc = batch["token"].to_numpy(np.int64), batch["doc_id"].to_numpy(np.int64)
+        token, doc = batch["token"].to_numpy(np.int64), batch["print"].to_numpy(np.int64)
         if not len(token):
             continue
         if last is None:
@@ -510,7 +511,7 @@ def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = np.array([r.weight for r in held], np.int64)
         return pd.DataFrame([{
             "family": family, "low": sizes.min(), "high": sizes.max(), "most": lengths.max(), "fewest": fewest, "bits": node.view(np.int64),
-            "ids": np.array([r.doc_id for r in held], np.int64).tobytes(), "sizes": np.concatenate([sizes, lengths, weights]).tobytes(), "data": np.concatenate(sets).tobytes(),
+            "ids": np.array([r.print for r in held], np.int64).tobytes(), "sizes": np.concatenate([sizes, lengths, weights]).tobytes(), "data": np.concatenate(sets).tobytes(),
         }])
 
     for batch in batches:
@@ -525,8 +526,9 @@ def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield block()
 
 
-def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links."""
+def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int = WORDS, sets: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links; on demand also the fingerprint of each row's set and a fingerprint that
+    tells its component apart, for rows with an id."""
     spark = documents.sparkSession
     bounded_batches(spark)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(None).cast("long"))
@@ -543,15 +545,15 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
 
     back = both.where(F.col("bucket") >= 0).repartitionById(tasks, F.col("bucket")).sortWithinPartitions("bucket")
     candidates = materialize(back.mapInPandas(trimmed(_gather(percent)), _CANDIDATE), "candidates")
-    prefix = materialize(candidates.select("doc_id", "prefix").mapInPandas(_explode_prefixes, "doc_id long, token long"), "prefix")
-    # Documents of one token are linked along sorted runs, so a token of many documents is split freely.
-    edges = prefix.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").mapInPandas(_chain, "src long, dst long")
-    families = connected_components(edges).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "family")
+    prefix = materialize(candidates.select("print", "prefix").mapInPandas(_explode_prefixes, "print long, token long"), "prefix")
+    # Sets of one token are linked along sorted runs, so a token of many sets is split freely.
+    edges = prefix.repartitionByRange("token", "print").sortWithinPartitions("token", "print").mapInPandas(_chain, "src long, dst long")
+    families = connected_components(edges).withColumnRenamed("id", "print").withColumnRenamed("component", "family")
 
     by_set = materialize(all_docs.where(F.col("n_shingles") > 0).groupBy("print", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")), "sets")
     weights = by_set.select("print", F.col("n_shingles").alias("n"), "weight")
-    members = candidates.join(families, "doc_id").join(weights, ["print", "n"]).select("family", "n", "doc_id", "tokens", "weight")
-    blocks = materialize(members.repartitionByRange("family", "n", "doc_id").sortWithinPartitions("family", "n", "doc_id").mapInPandas(_pack_blocks, _BLOCKS).withColumn("block", F.expr("uuid()")), "blocks")
+    members = candidates.join(families, "print").join(weights, ["print", "n"]).select("family", "n", "print", "tokens", "weight")
+    blocks = materialize(members.repartitionByRange("family", "n", "print").sortWithinPartitions("family", "n", "print").mapInPandas(_pack_blocks, _BLOCKS).withColumn("block", F.expr("uuid()")), "blocks")
     own = blocks.select("ids", "sizes", "data", *[F.lit(None).cast("binary").alias(f"other_{c}") for c in ("ids", "sizes", "data")])
     # Blocks of one family meet only if their size ranges and the overlap that their bitmaps allow leave a link possible.
     several = blocks.groupBy("family").count().where("count > 1").select("family")
@@ -568,21 +570,36 @@ def ngram_components(documents: DataFrame, percent: int = PERCENT, words: int =
     # Rows of one set (src = dst) have the number of its links in a pair of blocks, the others are the forest.
     links = materialize(own.unionByName(pairs).repartition(F.xxhash64("ids", "other_ids")).mapInPandas(trimmed(_join_blocks(percent)), "src long, dst long, n_links long"), "links")
 
-    linked = connected_components(links, roots=False)  # component: smallest stand-in doc_id
-    counted = links.where(F.col("n_links") > 0).groupBy(F.col("src").alias("id")).agg(F.sum("n_links").alias("others"))
-    stand_in = candidates.select("print", F.col("n").alias("n_shingles"), F.col("doc_id").alias("id"))
+    # Nodes are sets: rows of one id with different texts are documents of their own.
+    linked = connected_components(links, roots=False).withColumnRenamed("id", "print")
+    counted = links.where(F.col("n_links") > 0).groupBy(F.col("src").alias("print")).agg(F.sum("n_links").alias("others"))
     # A set with links that no other stands before is the smallest of its component.
-    joined = stand_in.join(counted, "id").join(linked, "id", "left").select("print", "n_shingles", F.coalesce("component", "id").alias("component"), "others")
-    by_set = by_set.join(joined, ["print", "n_shingles"], "left")
+    joined = counted.join(linked, "print", "left").select("print", F.coalesce("component", "print").alias("component"), "others")
+    by_set = by_set.join(joined, "print", "left")
     smallest = by_set.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("smallest"))
     n_links = (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
-    named = by_set.join(smallest, "component", "left").select("print", "n_shingles", "weight", F.coalesce("smallest", "first").alias("component_id"), n_links)
-    out = join_hot_keys(all_docs, materialize(named, "named"), ["print", "n_shingles"], "weight", ["component_id", "n_links"])
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = by_set.join(smallest, "component", "left").select("print", "n_shingles", "weight", F.coalesce("smallest", "first").alias("component_id"), n_links, F.coalesce("component", "print").alias("component"))
+    out = join_hot_keys(all_docs, materialize(named, "named"), ["print", "n_shingles"], "weight", ["component_id", "n_links", "component"])
+    more = ["print", F.coalesce("component", "print").alias("component")] if sets else []
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
+    if sets:
+        return out
     unknown = documents.where(F.col("doc_id").isNull()).select("doc_id", "text")
     return out.unionByName(unknown.mapInPandas(_count_only(words), "doc_id long, n_shingles long, component_id long, n_links long"))
 
 
+def with_prints(documents: DataFrame, name: str, plain: str, words: int = WORDS) -> DataFrame:
+    """documents with the fingerprint of each text's set in `name`, and in `plain` the text itself where it has no words."""
+
+    @F.pandas_udf("long")
+    def prints(texts: pd.Series) -> pd.Series:
+        shingler = Shingler(words)
+        return pd.Series([fingerprint(shingler.hashes(t)) for t in texts], dtype="int64")
+
+    empty = fingerprint(np.zeros(0, np.uint64))
+    return documents.withColumn(name, prints("text")).withColumn(plain, F.when(F.col(name) == empty, F.col("text")))
+
+
 def _count_only(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)

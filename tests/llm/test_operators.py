@@ -115,6 +115,17 @@ def test_blocks_of_a_family_count_every_link():
         assert 0 < want.sum() < want.size and (of_a == want @ right.weights).all() and (of_b == left.weights @ want).all()
 
 
+def test_jaccard_join_of_repeated_ids_takes_rows_as_documents(spark):
+    a, b = words(60, 1, 500), words(60, 2, 500)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, b + " z"), (5, words(60, 3, 500)), (5, a + " q")]
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in jaccard_join.ngram_components(docs_of(spark, rows)).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5), (5, 2, 1)]
+    # What two texts of one id link with stays apart.
+    rows = [(9, a), (9, b), (2, a + " x"), (3, b + " y"), (4, b + " z")]
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in jaccard_join.ngram_components(docs_of(spark, rows)).collect())
+    assert got == [(2, 1, 2), (3, 2, 3), (4, 2, 3), (9, 1, 2), (9, 2, 3)]
+
+
 def test_jaccard_join_null_ids_and_empty_tables(spark):
     got = jaccard_join.ngram_components(docs_of(spark, [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")])).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in got) == [(False, 1), (False, 1), (True, None)]

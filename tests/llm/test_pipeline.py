@@ -76,3 +76,16 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     got = [(x.doc_id, list(x.ids)) for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).collect()]
     order = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_rows_of_one_id_with_different_texts_are_documents_of_their_own(spark):
+    a, u, v = "a b c d e f g h i j k l m n o p q r s t", "nothing like the others stands in this row at all", "and this one too is alone with its own few words here"
+    rows = [(1, a), (5, a + " x"), (5, u), (5, u), (7, v), (7, u + " y z"), (8, ""), (8, None), (8, " "), (8, ""), (9, v.upper()), (3, a + " w"), (3, a + " w y"), (None, u), (2, a + " q"), (2, a + " q")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    want = [(1, a), (5, u), (7, v), (7, u + " y z"), (8, ""), (8, None), (8, " "), (None, u)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    # The smallest id itself repeats: one row of its component stays, whatever else has that id.
+    docs = spark.createDataFrame([(1, a), (1, a + " x"), (1, u), (4, a + " y")], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 2 and (1, u) in got and all(i == 1 for i, _ in got)
