@@ -23,21 +23,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component stays; of repeated rows (same id and text) one. Documents without an id stay.
+    """One row of each component stays, that of the smallest doc_id. Rows are told apart by id and set of shingles, so a
+    row whose id repeats stays if nothing like its text does; of rows with one id and set (without words: one id and text)
+    one stays. Documents without an id stay.
 
-    Which ids go is told by a Bloom cascade over all ids, which is exact for them, so that no text is shuffled for it.
+    Which ids go is told by a Bloom cascade over all ids, which is exact for them, so that no text is shuffled for it; only
+    rows whose ids repeat meet their decision by a join.
     """
     path = stage_path(spark, "components")
     with scratch(spark):
-        jaccard_join.ngram_components(docs).write.parquet(path)
-    linked = spark.read.parquet(path).where(F.col("doc_id").isNotNull())
-    ids = linked.groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("listed"), F.count("*").alias("rows"))
-    gone = url_filter.BloomCascade.build(ids.select("key", "listed"))
-    kept = gone.add_listed(docs, F.col("doc_id").cast("long"), "_gone").where(F.col("doc_id").isNull() | ~F.col("_gone")).select(docs.columns)
-    repeated = ids.where("rows > 1").select(F.col("key").alias("doc_id"))
-    if repeated.isEmpty():
+        jaccard_join.ngram_components(docs, sets=True).write.parquet(path)
+    linked = spark.read.parquet(path)
+    ids = materialize(linked.groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("listed"), F.count("*").alias("rows")), "ids")
+    repeats = F.col("rows") > 1
+    gone = url_filter.BloomCascade.build(ids.select("key", (F.col("listed") & ~repeats).alias("listed")))
+    doc_id = F.col("doc_id").cast("long")
+    kept = gone.add_listed(docs, doc_id, "_gone").where(F.col("doc_id").isNull() | ~F.col("_gone")).select(docs.columns)
+    if ids.where(repeats).isEmpty():
         return kept
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+    several = url_filter.BloomCascade.build(ids.select("key", repeats.alias("listed"))).add_listed(kept, doc_id, "_repeats")
+    once = several.where(F.col("doc_id").isNull() | ~F.col("_repeats")).select(docs.columns)
+    # Of a component the row of the smallest id and, for that id, of the smallest fingerprint.
+    first = linked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "component").agg(F.min("print").alias("_print")).drop("component")
+    first = first.join(ids.where(repeats).select(F.col("key").alias("doc_id")), "doc_id", "left_semi")
+    rest = jaccard_join.with_prints(several.where(F.col("doc_id").isNotNull() & F.col("_repeats")).select(docs.columns), "_print", "_plain")
+    rest = rest.join(first.withColumnRenamed("doc_id", "_id"), (F.col("_id") == doc_id) & first["_print"].eqNullSafe(rest["_print"]), "left_semi")
+    return once.unionByName(rest.dropDuplicates(["doc_id", "_print", "_plain"]).select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
