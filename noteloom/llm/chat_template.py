@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm.common import flagged, nullable
+
 TURN, END = "<|turn|>", "<|end|>\n"
 TEMPLATE = (
     "{% for m in messages %}"
@@ -386,13 +388,13 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
         for batch in batches:
             done = [render([{"role": r["role"], "text": r["text"]} for r in rows]) for rows in batch["rows"]]
             yield pd.DataFrame({
-                "conv_id": batch["conv_id"],
+                "conv_id": nullable(batch, "conv_id"),
                 "formatted": [x for x, _ in done],
                 "loss_starts": [[a for a, _ in s] for _, s in done],
                 "loss_ends": [[b for _, b in s] for _, s in done],
             })
 
-    return grouped.mapInPandas(run, "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>")
+    return grouped.select(*flagged("conv_id"), "rows").mapInPandas(run, "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -401,17 +403,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for conv_id, text, starts, ends in zip(batch["conv_id"], batch["formatted"], batch["loss_starts"], batch["loss_ends"], strict=True):
+            for text, starts, ends in zip(batch["formatted"], batch["loss_starts"], batch["loss_ends"], strict=True):
                 turns = []
                 for piece in text.split(TURN)[1:]:
                     role, _, body = piece.removesuffix(END).partition("\n")
                     turns.append((unescape(role), unescape(body)))
                 loss = "".join(unescape(text[a:b]) for a, b in zip(starts, ends, strict=True))
                 digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                rows.append((conv_id, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                rows.append((len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            out = pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            out.insert(0, "conv_id", nullable(batch, "conv_id"))
+            yield out
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select(*flagged("conv_id"), "formatted", "loss_starts", "loss_ends").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: The extra conversation of the contract.

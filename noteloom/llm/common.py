@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,6 +66,17 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return outer
 
 
+def flagged(name: str) -> list[Column]:
+    """A long column for pandas, which would read a nullable one as floats: the number, 0 for null, and whether it is null."""
+    value = F.col(name).cast("long")
+    return [F.coalesce(value, F.lit(0).cast("long")).alias(name), value.isNull().alias(f"no_{name}")]
+
+
+def nullable(batch: pd.DataFrame, name: str) -> pd.arrays.IntegerArray:
+    """The column back from its `flagged` form, exact for all longs."""
+    return pd.arrays.IntegerArray(batch[name].to_numpy(np.int64), batch[f"no_{name}"].to_numpy(bool))
+
+
 #: What a worker built last.
 _KEPT: dict[tuple, object] = {}
 

@@ -8,7 +8,8 @@ for such a file the fold takes the edges of the same lattice by rank, then place
 boundaries removes the boundaries inside it. That is what the merges do: as long as its ends are boundaries, what lies
 between evolves like the piece on its own, and each piece on its own is complete by its turn (`PieceTable.load` checks
 that of every piece). Ids equal the library's. Signs outside the table become byte pieces. Words of any length take this
-way; the boundaries of a word are the bits of one long, or of an array of longs if it has more than `LIMB` signs.
+way: substrings come from windows of a word, and the boundaries of a word are the bits of one long. Words of LIMB signs or
+more, whose state would be copied with every edge of such a fold, run the same fold over the same edges in Arrow batches.
 
 Each input split is a block: its distinct words get their ids as rows of the lexicon in the shared folder, and the
 scan that encodes the block's texts reads only those, so texts are never shuffled and no task holds the whole
@@ -22,7 +23,7 @@ rows; further columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +31,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import block_batches, bounded_batches, materialize, set_for_now, stage_path, trimmed
+from noteloom.llm.common import block_batches, bounded_batches, flagged, materialize, nullable, set_for_now, stage_path, trimmed
 
 SPACE = "▁"
-#: Boundaries in one long.
+#: Words of fewer signs have their boundaries in one long.
 LIMB = 62
+#: Substrings are taken from windows of WINDOW signs and the longest piece, and those from windows of OUTER signs.
+WINDOW, OUTER = 64, 4096
 #: Splits whose words are encoded together, and folders of the lexicon.
 SPLITS, FOLDERS = 1024, 4096
 #: Words whose edges a task groups by hash before it sorts.
@@ -149,28 +152,14 @@ def _replay_merges(word: Column, edges: Column) -> Column:
     return F.aggregate(edges, everything, step)
 
 
-def _replay_long(n: Column, edges: Column) -> Column:
-    """The same for a word of any length n: an array of longs with LIMB boundaries each. An edge touches two at most."""
-    full = F.lit((1 << LIMB) - 1)
-    everything = F.transform(F.sequence(F.lit(0), F.floor(n / LIMB).cast("int")), lambda i: full)
-
-    def bit(bounds: Column, at: Column) -> Column:
-        return F.shiftright(F.get(bounds, F.floor(at / LIMB).cast("int")), 0).bitwiseAND(_power(at % LIMB)) != 0
-
-    def step(bounds: Column, e: Column) -> Column:
-        start = _start_of(e)
-        end = start + e.bitwiseAND(63).cast("int")
-        limb = F.floor((start + 1) / LIMB).cast("int")
-        low, high = start + 1 - limb * LIMB, end - limb * LIMB  # inside the first limb, and perhaps beyond it
-        first = F.get(bounds, limb).bitwiseAND(F.bitwise_not(_power(F.least(high, F.lit(LIMB))) - _power(low)))
-        second = F.get(bounds, limb + 1).bitwiseAND(F.bitwise_not(_power(high - LIMB) - 1))
-        tail = F.size(bounds) - limb
-        new = F.when(
-            high > LIMB, F.concat(F.slice(bounds, F.lit(1), limb), F.array(first, second), F.slice(bounds, limb + 3, F.greatest(tail - 2, F.lit(0))))
-        ).otherwise(F.concat(F.slice(bounds, F.lit(1), limb), F.array(first), F.slice(bounds, limb + 2, tail - 1)))
-        return F.when(bit(bounds, start) & bit(bounds, end), new).otherwise(bounds)
-
-    return F.aggregate(edges, everything, step)
+def replay_long(n: int, edges: np.ndarray) -> list[int]:
+    """The same for a word of any length n: its boundaries."""
+    bounds = bytearray(b"\x01") * (n + 1)
+    for start, size in zip((edges >> 6 & (1 << 26) - 1).tolist(), (edges & 63).tolist(), strict=True):
+        end = start + size
+        if bounds[start] and bounds[end]:
+            bounds[start + 1 : end] = bytes(size - 1)
+    return np.flatnonzero(np.frombuffer(bounds, np.uint8)).tolist()
 
 
 def _bytes_of(word: Column, start: Column, first_byte: int) -> Column:
@@ -190,10 +179,21 @@ def cut_at(word: str, bounds: int) -> list[str]:
     return out
 
 
-def cut_long(word: str, limbs: np.ndarray) -> list[str]:
-    bits = np.unpackbits(np.asarray(limbs, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :LIMB].ravel()
-    at = np.flatnonzero(bits[: len(word) + 1])
-    return [word[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+def viterbi_long(edges: list, byte_ids: Callable[[int], list[int]]) -> list[int]:
+    """Ids of the best path over edges sorted by end and start; ties go to the first start, as in the fold of columns."""
+    best, back = [0.0], [(0, 0)]
+    for e in edges:
+        score = best[e["start"]] + e["score"]
+        if e["end"] == len(best):
+            best.append(score)
+            back.append((e["start"], e["id"]))
+        elif score > best[-1]:
+            best[-1], back[-1] = score, (e["start"], e["id"])
+    out, at = [], len(best) - 1
+    while at:
+        at, i = back[at]
+        out.append([i] if i >= 0 else byte_ids(at))
+    return [i for ids in reversed(out) for i in ids]
 
 
 def _viterbi(edges: Column) -> Column:
@@ -229,15 +229,24 @@ def _lattice(words: DataFrame, table: PieceTable, key: list[str], carried: list[
     ranked = sorted(table.pieces, key=lambda x: (-x[2], x[1]))
     ranks = {s: r for r, (_, _, s) in reversed(list(enumerate(ranked)))}  # equal scores share a rank
     pieces = F.broadcast(spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in table.pieces], "piece string, id int, score double, rank int"))  # the model's vocabulary
-    ends = F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + table.longest))
-    starts = words.select(*{*key, "word", *carried}, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    starts = starts.withColumns({c: F.when(F.col("start") == 0, F.col(c)) for c in carried})
-    parts = starts.select(*{*key, "word", *carried}, "start", F.explode(ends).alias("end"))
+    # Substrings are taken from windows, and those from windows of a word, so that no row carries more than a small window.
+    def windows(text: str, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.length(text) - 1, F.lit(size)), lambda i: F.substring(text, i + 1, F.lit(size + table.longest)))
+
+    outer = words.select(*key, *carried, F.posexplode(windows("word", OUTER)).alias("far", "outer"))
+    named = outer.select(*key, *carried, "far", F.posexplode(windows("outer", WINDOW)).alias("near", "window")).where(F.col("near") < OUTER // WINDOW)
+    base = (F.col("far") * OUTER + F.col("near") * WINDOW).alias("base")
+    own = F.least(F.length("window"), F.lit(WINDOW))
+    starts = named.select(*key, *carried, base, "window", F.explode(F.sequence(F.lit(0), own - 1)).alias("local"))
+    starts = starts.withColumns({c: F.when(F.col("base") + F.col("local") == 0, F.col(c)) for c in carried})
+    ends = F.sequence(F.col("local") + 1, F.least(F.length("window"), F.col("local") + table.longest))
+    parts = starts.select(*key, *carried, "base", "window", "local", F.explode(ends).alias("stop"))
+    parts = parts.withColumns({"start": F.col("base") + F.col("local"), "end": F.col("base") + F.col("stop")})
     parts = parts.withColumns({c: F.when(F.col("end") == 1, F.col(c)) for c in carried})
     if table.merges:
         # Signs are boundaries of their own; one edge of one sign keeps words that nothing can merge.
         parts = parts.where((F.col("end") > F.col("start") + 1) | (F.col("start") == 0))
-    lattice = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start"))).join(pieces, "piece", "left")
+    lattice = parts.withColumn("piece", F.substring("window", F.col("local") + 1, F.col("stop") - F.col("local"))).join(pieces, "piece", "left")
     return lattice.where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
 
 
@@ -261,28 +270,33 @@ def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
     named = long.withColumns({"key": key, "n": F.length("word")})
     edges = _lattice(named, table, ["key", "n", "salt"], []).groupBy("key", "n", "salt").agg(_edges(table))
     if table.merges:
-        short_state, long_state, shape = _replay_merges(F.col("word"), F.col("edges")), _replay_long(F.col("n"), F.col("edges")), "array<bigint>"
+        short_state = _replay_merges(F.col("word"), F.col("edges"))
     else:
         short_state = _trace(F.col("word"), _viterbi(F.col("edges")), table.first_byte)
-        long_state, shape = _viterbi(F.col("edges")), "array<int>"
-    long_words = named.select("key", "n", "salt", "word", "blocks").join(edges.select("key", "n", "salt", long_state.alias("state")), ["key", "n", "salt"])
-    if not table.merges:
-        long_words = long_words.withColumn("state", _trace(F.col("word"), F.col("state"), table.first_byte))
+    long_words = named.select("key", "n", "salt", "word", "blocks").join(edges, ["key", "n", "salt"])
     known = {p: i for p, i, _ in table.pieces}
     kind, merges, ids_of = table.kind, table.merges, table.ids_of
 
-    def pieces_of(cut):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                words, states = batch["word"], batch["state"].tolist()
-                lists = [[x for part in cut(w, b) for x in ids_of(part, known)] for w, b in zip(words, states, strict=True)] if merges else states
-                yield pd.DataFrame({"word": words, "blocks": batch["blocks"], "ids": [np.array(i, kind).tobytes() for i in lists]})
+    def of_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words, states = batch["word"], batch["state"].tolist()
+            lists = [[x for part in cut_at(w, b) for x in ids_of(part, known)] for w, b in zip(words, states, strict=True)] if merges else states
+            yield pd.DataFrame({"word": words, "blocks": batch["blocks"], "ids": [np.array(i, kind).tobytes() for i in lists]})
 
-        return run
+    def of_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = []
+            for word, own in zip(batch["word"], batch["edges"], strict=True):
+                if merges:
+                    at = replay_long(len(word), np.asarray(own, np.int64))
+                    ids.append([x for a, b in zip(at[:-1], at[1:], strict=True) for x in ids_of(word[a:b], known)])
+                else:
+                    ids.append(viterbi_long(own, lambda i: ids_of(word[i], {})))  # noqa: B023
+            yield pd.DataFrame({"word": batch["word"], "blocks": batch["blocks"], "ids": [np.array(i, kind).tobytes() for i in ids]})
 
     out = "word string, blocks array<bigint>, ids binary"
-    return folded.select("word", "blocks", short_state.alias("state")).mapInPandas(trimmed(pieces_of(cut_at)), out).unionByName(
-        long_words.select("word", "blocks", F.col("state").cast(shape).alias("state")).mapInPandas(trimmed(pieces_of(cut_long)), out)
+    return folded.select("word", "blocks", short_state.alias("state")).mapInPandas(trimmed(of_short), out).unionByName(
+        long_words.select("word", "blocks", "edges").mapInPandas(trimmed(of_long), out)
     )
 
 
@@ -400,9 +414,9 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
                 back = decoder.raw(np.concatenate(ids)) if ids else b""
                 exact = [t == back[e - n : e] for t, e, n in zip(plain, ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
                 exact = [ok and SPACE not in (text or "") for ok, text in zip(exact, piece["text"].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": piece["doc_id"].astype("Int64"), "n_pieces": np.array([len(x) for x in ids], np.int64), "ids": ids, "exact": exact})
+                yield pd.DataFrame({"doc_id": nullable(piece, "doc_id"), "n_pieces": np.array([len(x) for x in ids], np.int64), "ids": ids, "exact": exact})
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _block().alias("block")).withColumn("group", group)
+    rows = documents.select(*flagged("doc_id"), "text", _block().alias("block")).withColumn("group", group)
     return rows.mapInPandas(trimmed(run), "doc_id long, n_pieces long, ids array<int>, exact boolean")
 
 
@@ -417,6 +431,6 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": [decode_ids(np.asarray(x, np.int64), parts) if len(x) else "" for x in batch["ids"]]})
+            yield pd.DataFrame({"doc_id": nullable(batch, "doc_id"), "text": [decode_ids(np.asarray(x, np.int64), parts) if len(x) else "" for x in batch["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select(*flagged("doc_id"), "ids").mapInPandas(run, "doc_id long, text string")

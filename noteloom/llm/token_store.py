@@ -15,8 +15,7 @@ filter and index, finds the block by binary search and reads only it.
 Shards are ranges of (doc_id, hash of the text), as many as the table's bytes ask for, so that a repeated id can fill
 several shards; a writer keeps 8 bytes for each key of its shard.
 
-Nulls: a null text is empty (its only id is the end id); a null doc_id is stored under the smallest key and read back as
-null. Repeated rows are all kept, those of one id in the order of a hash of their texts. Empty tables give no files and
+Nulls: a null text is empty (its only id is the end id); a null doc_id is stored before all others and read back as null. Repeated rows are all kept, those of one id in the order of a hash of their texts. Empty tables give no files and
 no rows; further columns are not read. Files are written under a temporary name and then moved, so a task that runs twice
 leaves one file.
 """
@@ -47,6 +46,8 @@ INDEX_ENTRY = struct.Struct("<16s16sQQQ")
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
 END_ID = 0
+#: The smallest long.
+LEAST = -(1 << 63)
 #: Stored bytes of the input for each shard, and tasks that read the shards back.
 SHARD_BYTES, READERS = 128 << 20, 20_000
 #: Where Spark cannot tell the bytes of a plan it names a huge number.
@@ -170,8 +171,16 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _key(doc_id: int | None) -> bytes:
-    return bytes(8) if doc_id is None else (doc_id + (1 << 63)).to_bytes(8, "big")
+def _key(doc_id: int | None, number: int = 0) -> bytes:
+    """Null has the id part of the smallest long and comes before it: the running numbers of that one have their top bit set."""
+    if doc_id is None:
+        return bytes(8) + number.to_bytes(8, "big")
+    return (doc_id + (1 << 63)).to_bytes(8, "big") + (number | (doc_id == LEAST) << 63).to_bytes(8, "big")
+
+
+def _id_of(key: bytes) -> int | None:
+    doc_id = int.from_bytes(key[:8], "big") + LEAST
+    return None if doc_id == LEAST and key[8] < 128 else doc_id
 
 
 def _varint(n: int) -> bytes:
@@ -267,12 +276,12 @@ class ShardReader:
         for entry in self.index:
             for key, value in self._entries(entry):
                 ids = np.frombuffer(value, f"<u{self.id_bytes}")
-                yield (None if key[:8] == bytes(8) else int.from_bytes(key[:8], "big") - (1 << 63)), start, ids
+                yield _id_of(key), start, ids
                 start += len(ids)
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every row with this doc_id."""
-        key = _key(doc_id)
+        key = _key(doc_id)[:8]
         at = (_bloom_bits(np.array([xxhash.xxh3_64_intdigest(key)], np.uint64)) % np.uint64(len(self.bloom) * 8)).ravel()
         if not all(self.bloom[int(x) >> 3] >> (int(x) & 7) & 1 for x in at):
             return []
@@ -282,7 +291,7 @@ class ShardReader:
         out = []
         while i < len(self.index) and self.index[i][0][:8] <= key:
             if self.index[i][1][:8] >= key:
-                out += [np.frombuffer(v, f"<u{self.id_bytes}") for k, v in self._entries(self.index[i]) if k[:8] == key]
+                out += [np.frombuffer(v, f"<u{self.id_bytes}") for k, v in self._entries(self.index[i]) if k[:8] == key and _id_of(k) == doc_id]
             i += 1
         return out
 
@@ -300,7 +309,7 @@ def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int
         files, root = filesystem(folder)
         number = TaskContext.get().partitionId()
         name = f"shard-{number:06d}.sst"
-        encoder, writer, out, last, run_number = encoder_for(tokenizer), None, None, None, 0
+        encoder, writer, out, last, run_number = encoder_for(tokenizer), None, None, None, -1
         temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
         end = np.array([END_ID], encoder.kind).tobytes()
         for batch in batches:
@@ -311,10 +320,10 @@ def write_shards(documents: DataFrame, tokenizer: str | None = None, shards: int
             ids, none, texts = batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"].tolist()
             for group in _groups(texts):
                 for doc_id, unknown, value in zip(ids[group], none[group], encoder.encode_all(texts[group]), strict=True):
-                    key = _key(None if unknown else doc_id)
-                    run_number = run_number + 1 if key == last else 0
-                    last = key
-                    writer.add(key + run_number.to_bytes(8, "big"), value + end)
+                    own = None if unknown else doc_id
+                    run_number = run_number + 1 if own == last and run_number >= 0 else 0
+                    last = own
+                    writer.add(_key(own, run_number), value + end)
         if writer is not None:
             writer.close()
             out.close()
@@ -355,5 +364,7 @@ def read_shards(spark, folder: str, manifest: DataFrame) -> DataFrame:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return frame.astype({"doc_id": "Int64"})
+    ids = [r[0] for r in rows]
+    frame = pd.DataFrame([r[1:] for r in rows], columns=["start", "n_tokens", "ids_crc32"], dtype=np.int64)
+    frame.insert(0, "doc_id", pd.arrays.IntegerArray(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], bool)))
+    return frame

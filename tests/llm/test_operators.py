@@ -405,9 +405,10 @@ def test_sentencepiece_equals_the_library(spark):
 
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
     rows = [(1, None), (2, ""), (3, "Hello  world\nfoo\tbar 漢字😀  x"), (4, "a" * 2000), (5, " lead"), (6, "été—naïve, 12.5% ж1ж a1b2 the the"), (7, "\n\n \n"), (7, "\n\n \n"), (None, "null id")]
+    rows += [((1 << 60) + 1, "a large id beside a null one"), (-(1 << 63), "the smallest"), ((1 << 63) - 1, "the largest")]
     r = random.Random(3)
     # Words around the size of one long, and far beyond it.
-    rows += [(-100 - n, "".join(r.choice("theanori") for _ in range(n))) for n in (*range(58, 66), 122, 123, 124, 125, 700, 20_000)]
+    rows += [(-100 - n, "".join(r.choice("theanori") for _ in range(n))) for n in (*range(58, 66), 122, 123, 124, 125, 700, 4095, 4096, 4097, 20_000, 1_000_000)]
     rows += [(-99, "漢字仮名" * 400), (-98, "▁ a▁▁ b")]
     rows += [(r.doc_id + 10, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     encoded = sentencepieces.encode(docs_of(spark, rows))
@@ -429,7 +430,7 @@ def test_pieces_out_of_the_order_of_their_ranks_are_found():
 def test_viterbi_fold_is_optimal(spark):
     pieces = (("▁", 3, -1.0), ("a", 4, -2.0), ("b", 5, -2.5), ("ab", 6, -2.0), ("▁ab", 7, -6.0), ("ba", 8, -1.5), ("aba", 9, -4.0))
     table = sentencepieces.PieceTable(pieces, 100, 400, "", False)
-    texts = ["".join(p) for n in range(1, 7) for p in itertools.product("ab", repeat=n)] + ["ab" * 40, "b" * 61, "a" * 62 + "b", "aéb"]
+    texts = ["".join(p) for n in range(1, 7) for p in itertools.product("ab", repeat=n)] + ["b" * 70, "ab" * 40, "b" * 61, "a" * 62 + "b", "ab" * 4500, "aéb", "b" * 70 + "é" + "a" * 70]
     words_of = spark.createDataFrame([("▁" + t, 0, [0]) for t in texts], "word string, salt int, blocks array<bigint>")
     got = {r.word: np.frombuffer(r.ids, table.kind).tolist() for r in sentencepieces.encode_words(words_of, table).collect()}
     assert len(got) == len(texts)
@@ -441,10 +442,11 @@ def test_viterbi_fold_is_optimal(spark):
         return scores[-1]
 
     scores, names = {i: s for _, i, s in pieces}, {i: p for p, i, _ in pieces}
-    for t in texts[:-1]:
+    for t in texts[:-2]:
         assert "".join(names[i] for i in got["▁" + t]) == "▁" + t
         assert sum(scores[i] for i in got["▁" + t]) == pytest.approx(best("▁" + t))
     assert got["▁aéb"] == [3, 4, 100 + 0xC3, 100 + 0xA9, 5]
+    assert got["▁" + texts[-1]] == got["▁" + "b" * 70] + [100 + 0xC3, 100 + 0xA9] + [4] * 70
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -542,7 +544,7 @@ def test_token_shards_read_back_exactly(spark, tmp_path):
     tokenizer = Tokenizer.from_file(token_store.default_tokenizer())
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows += [(10_000, None), (10_001, ""), (10_002, "a  b   c\n d <|endoftext|> e\x1c漢字 it's"), (10_002, "again"), (-3, "negative"), (None, "no id"), (10_003, "y " * 60_000)]
-    rows += [((1 << 62) + 1, "a large id"), (10_004, "z" * 300_000)]
+    rows += [((1 << 62) + 1, "a large id"), (10_004, "z" * 300_000), (-(1 << 63), "the smallest"), (-(1 << 63), "the smallest again"), (None, "no id again")]
     folder, manifest = token_store.write_shards(docs_of(spark, rows), folder=str(tmp_path / "shards"), shards=3)
     got = token_store.read_shards(spark, folder, manifest).collect()
     signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)
@@ -560,9 +562,9 @@ def test_token_shards_read_back_exactly(spark, tmp_path):
     for r in manifest.collect():
         with fs.LocalFileSystem().open_input_file(f"{folder}/{r['file']}") as source:
             reader = token_store.ShardReader(source)
-            for i in (0, 10_002, None, 77_777, -3):
+            for i in (0, 10_002, None, 77_777, -3, -(1 << 63)):
                 found.setdefault(i, []).extend(x.tolist() for x in reader.get(i))
-    assert len(found[10_002]) == 2 and found[77_777] == [] and len(found[None]) == 1
+    assert len(found[10_002]) == 2 and found[77_777] == [] and len(found[None]) == 2 and len(found[-(1 << 63)]) == 2
     assert found[0] == [[*tokenizer.encode(rows[0][1], add_special_tokens=False).ids, 0]]
     _, empty = token_store.write_shards(docs_of(spark, []), folder=str(tmp_path / "none"))
     assert token_store.read_shards(spark, str(tmp_path / "none"), empty).count() == 0
@@ -612,14 +614,14 @@ def test_template_language():
 
 
 def test_conversations_round_trip(spark):
-    rows = [(1, 1, "assistant", "b <|end|>\n&amp; [INST]"), (1, 0, "user", None), (2, 0, None, "x"), (2, 0, "assistant", "same turn"), (2, None, "system", "first"), (3, 0, "a\nb<|turn|>", "&lt;"), (None, 0, "user", "no id")]
+    rows = [(1, 1, "assistant", "b <|end|>\n&amp; [INST]"), (1, 0, "user", None), (2, 0, None, "x"), (2, 0, "assistant", "same turn"), (2, None, "system", "first"), (3, 0, "a\nb<|turn|>", "&lt;"), (None, 0, "user", "no id"), ((1 << 60) + 1, 0, "user", "a large id")]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     got = {r.conv_id: r for r in chat_template.read_back(chat_template.format_conversations(chat_template.with_extra(table))).collect()}
     digest = lambda turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     assert got[1].turns_sha256 == digest([("user", ""), ("assistant", rows[0][3])]) and got[1].loss_sha256 == hashlib.sha256(rows[0][3].encode()).hexdigest()
     assert got[2].turns_sha256 == digest([("system", "first"), ("", "x"), ("assistant", "same turn")])
     assert got[3].turns_sha256 == digest([("a\nb<|turn|>", "&lt;")]) and got[3].loss_chars == 0
-    assert got[-7].n_turns == 2 and got[-7].loss_chars == len(chat_template.EXTRA_CONVERSATION[1]) and got[None].n_turns == 1
+    assert got[-7].n_turns == 2 and got[-7].loss_chars == len(chat_template.EXTRA_CONVERSATION[1]) and got[None].n_turns == 1 and got[(1 << 60) + 1].n_turns == 1
     assert chat_template.format_conversations(table.limit(0)).count() == 0
     long = [(9, 0, "user", "[INST]" * 100_000), (9, 1, "assistant", "<|end|>&" * 100_000), *[(8, i, "assistant", "a") for i in range(3000)]]
     table = spark.createDataFrame(long, "conv_id long, turn long, role string, text string")
