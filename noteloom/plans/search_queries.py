@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import vectors
-from noteloom.operators import embedding, retrieval
+from noteloom.functions.text import words
+from noteloom.operators import embedding, postings, retrieval
 from noteloom.plans import base
 
 QUERIES, ORACLES = {}, {}
@@ -71,6 +72,40 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_ranks(spark, sf_dir, LEG)
 
 
+def lists_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions' terms, posting lists and bounds of the texts of documents that have a vector; the label is the tenant."""
+    docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    rows = vectors_of(spark, sf_dir).select("point_id", F.col("label").alias("tenant_id")).join(docs, "point_id")
+    entries = rows.select("tenant_id", "point_id", F.explode(words(F.col("text"))).alias("word")).groupBy("tenant_id", "point_id", F.xxhash64("word").alias("id")).agg(F.count("*").cast("double").alias("weight"))
+    stored = entries.groupBy("tenant_id", "point_id").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("sparse")).withColumns({"seq": F.lit(1).cast("bigint"), "sparse": postings.checked(F.col("sparse"))})
+    lists = postings.postings_of(stored)
+    asked = lists.where(F.col("point_id") % 50 == 0).select(F.col("point_id").alias("query_id"), "tenant_id", "term", "weight")
+    return asked, lists, postings.bounds_of(lists)
+
+
+def posting_ranks(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    asked, lists, bounds = lists_of(spark, sf_dir)
+    ranked = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.top_points(block, lists, bounds, limit))
+    return ranked.select("query_id", "point_id", "sparse_score", "sparse_rank")
+
+
+@query(f"WITH {VECTORS_SQL} SELECT query_id, point_id, sparse_score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse WHERE sparse_rank <= {LEG}")
+def posting_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP-2, PRJ-21: posting lists with MaxScore bounds give what the whole dot product gives."""
+    return posting_ranks(spark, sf_dir, LEG)
+
+
+@query(f"""WITH {VECTORS_SQL},
+largest AS (SELECT label, term, max(weight) AS largest, count(*) AS n FROM terms GROUP BY ALL),
+shares AS (SELECT t.point_id AS query_id, t.label, t.term, t.weight, l.n, t.weight * l.largest AS share FROM terms t JOIN largest l ON t.label = l.label AND t.term = l.term WHERE t.point_id % 50 = 0)
+SELECT query_id, count(*) AS lists, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(share) AS DOUBLE) AS shares FROM shares GROUP BY query_id""")
+def posting_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP-2: lists, their entries and the largest possible score of each question."""
+    asked, _, bounds = lists_of(spark, sf_dir)
+    told = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.with_shares(block, bounds))
+    return told.groupBy("query_id").agg(F.count("*").alias("lists"), F.sum("n").alias("entries"), F.sum("share").alias("shares"))
+
+
 FUSED_SQL = f"""{VECTORS_SQL},
 fused AS (
   SELECT query_id, point_id, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0), 9) AS score
