@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.functions.vectors import hash_embedding
+from noteloom.functions.text import words
+from noteloom.functions.vectors import embedding_error, hash_embedding
+from noteloom.operators.postings import SPARSE, checked
 from noteloom.schemas import Handshake
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -71,11 +74,61 @@ def embed(chunks: DataFrame, load: Callable[[], Embed], width: int, batch: int =
     return chunks.withColumn("dense", run(F.col("text")))
 
 
+BOTH = f"struct<dense:array<double>,sparse:{SPARSE}>"
+
+
+def embed_both(chunks: DataFrame, load: Callable[[], Callable[[Sequence[str]], Sequence[tuple[Sequence[float], Mapping[int, float]]]]], width: int, batch: int = 32, attempts: int = 3, delay: float = 0.5, in_flight: int = 2) -> DataFrame:
+    """Adds `dense` and `sparse`, from a model that gives both for each text. A vector that may not be stored fails the
+    task: one of another width, not finite or zero, or a sparse one that is empty, repeats an id or has an odd weight."""
+
+    @F.pandas_udf(BOTH)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        with ThreadPoolExecutor(in_flight) as pool:
+            for series in batches:
+                texts = series.tolist()
+                parts = pool.map(lambda own: _tried(model, own, attempts, delay), (texts[at : at + batch] for at in range(0, len(texts), batch)))  # noqa: B023
+                both = [v for part in parts for v in part]
+                if len(both) != len(texts):
+                    raise ValueError("the embedder returned other vectors than asked for")
+                sparse = [[{"id": int(i), "weight": float(w)} for i, w in sorted(own.items())] for _, own in both]
+                yield pd.DataFrame({"dense": pd.Series([list(map(float, d)) for d, _ in both], dtype=object), "sparse": pd.Series(sparse, dtype=object)})
+
+    made = chunks.withColumn("_both", run(F.col("text")))
+    problem = embedding_error(F.col("_both.dense"), width)
+    dense = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("dense vector: "), problem)).cast("array<double>")).otherwise(F.col("_both.dense"))
+    return made.withColumns({"dense": dense, "sparse": checked(F.col("_both.sparse"))}).drop("_both")
+
+
+def _tried(model: Callable, texts: Sequence[str], attempts: int, delay: float):
+    for last in range(attempts):
+        try:
+            return list(model(texts))
+        except OSError:
+            if last == attempts - 1:
+                raise
+            time.sleep(delay * 2**last)
+
+
 def embed_by_hash(chunks: DataFrame, width: int = 64) -> DataFrame:
     """Deterministic vectors without a model, in column arithmetic."""
     return chunks.withColumn("dense", hash_embedding(F.col("text"), width))
 
 
+def sparse_by_hash(chunks: DataFrame) -> DataFrame:
+    """Adds `sparse`: how often each word occurs, under a number of the word."""
+
+    @F.pandas_udf(SPARSE)
+    def run(ids: pd.Series) -> pd.Series:
+        return pd.Series([[{"id": i, "weight": float(n)} for i, n in sorted(Counter(own.tolist()).items())] for own in ids], dtype=object)
+
+    return chunks.withColumn("sparse", run(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))))
+
+
+def both_by_hash(chunks: DataFrame, width: int = 64) -> DataFrame:
+    return sparse_by_hash(embed_by_hash(chunks, width))
+
+
 class CountStats:
     """Calls, bytes and seconds that a token counter took, summed over all workers."""
 

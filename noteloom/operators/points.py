@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.functions.identity import fingerprint_fields, point_hash, point_id
+from noteloom.functions.identity import NUL, fingerprint_fields, point_hash, point_id
 from noteloom.operators.retrieval import of_tenant
 
 KEY, NOTE = ["tenant_id", "uid", "chunk_index"], ["tenant_id", "uid"]
@@ -50,6 +50,40 @@ def integrity(expected: DataFrame, stored: DataFrame, fields: Sequence[str]) ->
     return notes.select("tenant_id", "uid", F.coalesce(F.when(early, F.col("first.reason")), count, F.col("first.reason")).alias("reason")).withColumn("intact", F.col("reason").isNull())
 
 
+def _known(columns: Sequence[str]) -> list[Column]:
+    """Columns and which of them are null, for hashes that pass over nulls."""
+    return [F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns]), *map(F.col, columns)]
+
+
+def point_digests(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """tenant_id, uid, n, digest: one hash over the points of a note, of their order, hashes and payloads."""
+    compared = [c for c in fields if c not in LOOSE_FIELDS and c not in KEY]
+    own = F.struct("chunk_index", "point_hash", F.xxhash64(*_known(compared)).alias("payload"))
+    return rows.groupBy(*NOTE).agg(F.count("*").alias("n"), F.sha2(F.to_json(F.sort_array(F.collect_list(own))), 256).alias("digest"))
+
+
+def source_digest(notes: DataFrame, settings: Mapping[str, str], fields: Sequence[str], body: str = "body") -> Column:
+    """A hash of all that a note's points are made from: its text and metadata, and the settings of pipeline and embedder."""
+    made = F.lit(NUL.join(f"{k}={settings[k]}" for k in sorted(settings)))
+    return F.sha2(F.concat_ws(NUL, made, F.to_json(F.struct(*sorted(fields))), F.col(body)), 256)
+
+
+def differing(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """tenant_id, uid of notes whose digests are not the same on both sides; both: tenant_id, uid, digest."""
+    own, have = expected.select(*NOTE, F.col("digest").alias("_own")), stored.select(*NOTE, F.col("digest").alias("_have"))
+    return own.join(have, NOTE, "full_outer").where(~F.col("_own").eqNullSafe(F.col("_have"))).select(*NOTE)
+
+
+def integrity_by_digest(expected: DataFrame, stored: DataFrame, fields: Sequence[str], known: DataFrame | None = None) -> DataFrame:
+    """What `integrity` tells, with the payloads of differing notes alone. known: stored digests, if they were kept."""
+    have = point_digests(stored, fields) if known is None else known
+    wanted = point_digests(expected, fields)
+    odd = differing(wanted, have)
+    told = integrity(expected.join(odd, NOTE, "left_semi"), stored.join(odd, NOTE, "left_semi"), fields)
+    same = wanted.select(*NOTE).join(odd, NOTE, "left_anti").select(*NOTE, F.lit(None).cast("string").alias("reason"), F.lit(True).alias("intact"))
+    return told.unionByName(same)
+
+
 def upsert(stored: DataFrame, fresh: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Keyed merge: fresh rows replace stored ones with the same key; replaying it changes nothing."""
     return stored.join(fresh.select(*key), list(key), "left_anti").select(*fresh.columns).unionByName(fresh)

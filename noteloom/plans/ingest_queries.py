@@ -70,6 +70,13 @@ def integrity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.integrity(expected, stored, FIELDS).select("tenant_id", "uid", "reason")
 
 
+@query(ORACLES["integrity_reasons"])
+def digest_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ING-1 to ING-5, ING-12, JON-1: only notes whose digests differ open their points; the reasons are the same."""
+    expected, stored = expected_and_stored(spark, sf_dir)
+    return points.integrity_by_digest(expected, stored, FIELDS).select("tenant_id", "uid", "reason")
+
+
 @query(f"""WITH {PROBLEMS_SQL}
 SELECT tenant_id, uid, CASE WHEN doubled IS NOT NULL THEN 'duplicate' WHEN missing IS NOT NULL THEN 'missing' WHEN wanted <> found THEN 'count' WHEN drifted IS NOT NULL THEN 'drift' END AS problem,
   doubled IS NULL AND missing IS NULL AND wanted = found AND drifted IS NULL AS intact FROM notes_found""")
