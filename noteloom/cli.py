@@ -15,11 +15,11 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom import config, schemas
+from noteloom import config, index, outage, schemas
 from noteloom.functions.identity import golden_identity
-from noteloom.operators import chunking, embedding, evaluation, notes, points, retrieval
-from noteloom.session import get_session, path_exists
-from noteloom.sources import embedder, golden, sinks, vault
+from noteloom.operators import chunking, counting, embedding, evaluation, measuring, notes, points, retrieval
+from noteloom.session import get_session
+from noteloom.sources import embedder, golden, lease, sinks, vault
 
 OK, FAILURE, USAGE, LOCKED, GATE = 0, 1, 2, 3, 4
 PIPELINE = {"chunker_version": schemas.CHUNKER_VERSION, "floor_tokens": "256", "ceiling_tokens": "1024", "merge_rule": schemas.MERGE_RULE}
@@ -36,23 +36,21 @@ class Embedder:
     handshake: schemas.Handshake
     passages: Callable[[DataFrame], DataFrame]
     queries: Callable[[DataFrame], DataFrame]
+    #: Token counts of texts by the model, if it has a tokenizer of its own.
+    count: Callable[[Sequence[str]], Sequence[int]] | None = None
 
 
 def embedder_of(settings: config.Config) -> Embedder:
     """The service that the settings name, or the built-in embedder. Asking the service who it is comes before any work."""
     if not settings.embedder:
-        return Embedder(HANDSHAKE, embedding.embed_by_hash, embedding.embed_by_hash)
+        return Embedder(HANDSHAKE, embedding.both_by_hash, embedding.both_by_hash)
     service = embedder.Service(settings.embedder)
     said = service.handshake()
 
     def through(kind: str) -> Callable[[DataFrame], DataFrame]:
-        return lambda rows: embedding.embed(rows, lambda: lambda texts: [dense for dense, _ in service.embed(texts, kind)], said.dim)
+        return lambda rows: embedding.embed_both(rows, lambda: lambda texts: service.embed(texts, kind), said.dim)
 
-    return Embedder(said, through("passage"), through("query"))
-
-
-class Interrupted(RuntimeError):
-    pass
+    return Embedder(said, through("passage"), through("query"), service.count)
 
 
 class Interrupt:
@@ -62,7 +60,7 @@ class Interrupt:
 
     def check(self) -> None:
         if self.seen:
-            raise Interrupted("interrupted; nothing was written")
+            raise outage.Interrupted("interrupted; nothing was written")
 
 
 @contextmanager
@@ -85,12 +83,8 @@ def interruptible(spark: SparkSession) -> Iterator[Interrupt]:
             signal.signal(signal.SIGINT, before)
 
 
-def point_schema() -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.PAYLOAD) + ", point_id string, dense array<double>"
-
-
-def read_points(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.schema(point_schema()).parquet(path) if path_exists(spark, path) else None
+def index_of(spark: SparkSession, settings: config.Config, collection: str = "") -> index.Index:
+    return index.Index(spark, f"{settings.tables}/{collection or settings.collection}")
 
 
 def applied_state(settings: config.Config) -> dict | None:
@@ -136,69 +130,71 @@ def expected_of(chunks: DataFrame, tenant: str, model: str, handshake: schemas.H
 
 
 def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> dict:
-    """Scan, compare, embed what changed, write one new table for the tenant, record the model."""
+    """Scan, compare by digests, chunk and embed what changed, commit one new state of the table, record the model."""
     check_flags(args.dry_run, args.prune_orphans, args.only, args.yes)
-    path, tenant = f"{settings.tables}/{settings.collection}", settings.tenant
-    vaults = settings.chosen(args.vault)
-    model = embedder_of(settings)
+    tenant, vaults, model, own = settings.tenant, settings.chosen(args.vault), embedder_of(settings), index_of(spark, settings)
     embedding.verify(model.handshake, applied_state(settings), settings.embedding_model)
-    with sinks.table_lock(settings.locks or "/tmp/noteloom-locks", sinks.canonical(path), tenant), interruptible(spark) as interrupt:
-        found = scan(spark, vaults)
-        chosen = found.where(notes.glob_filter(F.concat_ws("/", "vault", "path"), args.only))
-        chunks = chunking.chunk_notes(chosen)
+    made_by = PIPELINE | {f"embedder_{k}": str(v) for k, v in asdict(model.handshake).items()} | {"model": settings.embedding_model}
+
+    def expected_points(changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        chunks = chunking.chunk_notes(changed) if model.count is None else counting.chunk_notes(changed, lambda: model.count)
         failed = chunking.failed_notes(chunks, ["uid"]).withColumn("tenant_id", F.lit(tenant))
-        columns = [f.name for f in schemas.PAYLOAD] + ["point_id"]
-        expected = expected_of(chunks.join(failed.select("uid"), "uid", "left_anti"), tenant, settings.embedding_model, model.handshake).select(*columns).persist()
-        stored = read_points(spark, path)
-        own = spark.createDataFrame([], point_schema()) if stored is None else stored.where(retrieval.of_tenant(tenant))
-        scanned = chosen.select(F.lit(tenant).alias("tenant_id"), "uid")
-        results = points.classify(expected, own, [c for c in columns if c != "point_id"], args.full, scanned, failed).persist()
+        rows = expected_of(chunks.join(failed.select("uid"), "uid", "left_anti"), tenant, settings.embedding_model, model.handshake)
+        return rows.select(*index.PAYLOAD, "point_id"), failed
+
+    with lease.held(spark, settings.locks or f"{settings.tables}/_locks", sinks.canonical(own.table.root)) as held, interruptible(spark) as interrupt:
+        clock = measuring.Clock()
+        found = scan(spark, vaults).persist()
+        chosen = found.where(notes.glob_filter(F.concat_ws("/", "vault", "path"), args.only))
+        clock.lap("scan", found.count)
+        run = own.compare(chosen, tenant, made_by, expected_points, args.full, args.verify)
         # A filtered run has not seen the other notes, so it knows nothing about orphans.
-        lost = points.orphans(own, found, ["-"] if args.only else [v.name for v in vaults])
+        lost = own.orphans(run, tenant, found, ["-"] if args.only else [v.name for v in vaults])
         files = None
         for v in vaults:
             seen = vault.every_file(spark, v.path, v.name)
             files = seen if files is None else files.unionByName(seen)
         split = points.on_disk(lost, files).persist()
         gone, kept = split.where("state = 'prunable'"), split.where("state = 'on_disk'")
-        report = json.loads(points.ingest_report(results, gone, "dry-run" if args.dry_run else "full" if args.full else "incremental", kept).first()["report"])
+        report = json.loads(points.ingest_report(run.results, gone, "dry-run" if args.dry_run else "full" if args.full else "incremental", kept).first()["report"])
+        clock.lap("compare")
         if not args.dry_run:
             interrupt.check()
-            fresh = model.passages(points.changed_points(expected, results))
-            table = points.merge(own, fresh, results)
-            if args.prune_orphans:
-                table = points.prune_orphans(table, gone, confirmed=args.yes, filtered=bool(args.only), interrupted=interrupt.seen)
-            staged = f"{path}-staged"
-            table.select(*columns, "dense").write.mode("overwrite").parquet(staged)
-            whole = spark.read.schema(point_schema()).parquet(staged)
-            if not points.foreign_tenants(whole, tenant).isEmpty():
-                raise ValueError("a row of another tenant is about to be written")
-            interrupt.check()
-            n = whole.count()
-            points.write_confirmed(lambda: points.write_tenants(whole, path, [tenant]), lambda: _written(spark, path, tenant) == n)
+            if args.prune_orphans and (why := points.prune_refusal(args.yes, bool(args.only), interrupt.seen)):
+                raise points.PruneRefused(why)
+            own.write(run, tenant, model.passages, gone if args.prune_orphans else None, held, interrupt.check)
+            own.table.expire()
             if settings.state:
                 sinks.write_json(settings.state, {"model": settings.embedding_model, "handshake": asdict(model.handshake)})
+            clock.lap("write")
+        report["phases_ms"] = clock.phases
         return report
 
 
-def _written(spark: SparkSession, path: str, tenant: str) -> int:
-    now = read_points(spark, path)
-    return 0 if now is None else now.where(retrieval.of_tenant(tenant)).count()
-
-
 def run_search(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> list[dict]:
     asked = retrieval.Query(settings.collection, settings.tenant, args.text, top_k=args.top_k, mode=args.mode, area=args.area, type=args.type, vault=args.vault, tags=tuple(args.tag)).validate()
-    stored = read_points(spark, f"{settings.tables}/{settings.collection}")
-    if stored is None:
-        raise ValueError("the collection is empty")
+    own = index_of(spark, settings)
+    state = own.current()
+    if state is None:
+        raise outage.StoreDown("the collection is empty")
     model, applied = embedder_of(settings), applied_state(settings)
     embedding.verify(model.handshake, applied, settings.embedding_model or (applied or {}).get("model", ""))
-    query = retrieval.query_rows(spark, args.text, model.queries)
-    terms = retrieval.terms_of(stored.where(retrieval.of_tenant(settings.tenant)), "point_id")
-    rows = retrieval.format_results(retrieval.search(query, stored, terms, asked)).orderBy("position").collect()
+    rows = retrieval.format_results(own.ask(asked, args.text, model.queries, state)).orderBy("position").collect()
     return [{"uid": r.uid, "chunk_index": r.chunk_index, "title": r.title, "breadcrumb": r.breadcrumb, "path": r.path, "score": r.score, "text": r.text, "untrusted": r.untrusted} for r in rows]
 
 
+def run_schema(spark: SparkSession, settings: config.Config, manifest: schemas.Manifest, applied: str | None, apply: bool) -> str:
+    """`verified`, or `create` and with `apply` `created`; drift raises. A collection is created empty, under its lease."""
+    own = index_of(spark, settings, manifest.name)
+    state = own.current()
+    told = schemas.check_applied(manifest, None if state is None else own.points(state), applied)
+    if told == "create" and apply:
+        with lease.held(spark, settings.locks or f"{settings.tables}/_locks", sinks.canonical(own.table.root)) as held:
+            own.create(held.number)
+        return "created"
+    return told
+
+
 def run_eval(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> tuple[bool, dict]:
     """Ask the golden questions; compare with the saved run, write the Markdown report, and tell whether the gate holds."""
     corpus = golden.read_corpus(spark, args.corpus)
@@ -233,13 +229,14 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="noteloom")
     out.add_argument("--config", default=None)
     sub = out.add_subparsers(dest="command", required=True)
-    sub.add_parser("schema")
+    sub.add_parser("schema").add_argument("--apply", action="store_true", help="create the collections that are not there")
     stats = sub.add_parser("stats")
     stats.add_argument("--tenant", default="")
     ingest = sub.add_parser("ingest")
     for flag in ("--dry-run", "--full", "--prune-orphans", "--yes"):
         ingest.add_argument(flag, action="store_true")
     ingest.add_argument("--only", default="")
+    ingest.add_argument("--verify", action="store_true", help="compare stored points, not digests alone")
     ingest.add_argument("--vault", default="both")
     ingest.add_argument("--human", action="store_true")
     search = sub.add_parser("search")
@@ -262,18 +259,6 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def outage_of(problem: BaseException) -> str:
-    """Which part failed: the embedder, the store of points, or something else."""
-    text = f"{type(problem).__name__} {problem}".lower()
-    if isinstance(problem, Interrupted):
-        return "interrupted"
-    if "embedder" in text:
-        return "embedder"
-    if isinstance(problem, (points.WriteFailed, schemas.SchemaDrift)) or "parquet" in text or "path_not_found" in text or "filesystem" in text:
-        return "store"
-    return "other"
-
-
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         args = parser().parse_args(argv)
@@ -291,16 +276,16 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         elif args.command == "search":
             print(sinks.envelope(run_search(session, settings, args)))
         elif args.command == "get":
-            stored = read_points(session, f"{settings.tables}/{settings.collection}")
-            rows = [] if stored is None else retrieval.get_note(stored, retrieval.Query(settings.collection, settings.tenant, uid=args.uid)).collect()
+            own = index_of(session, settings)
+            rows = retrieval.get_note(own.points(own.current(), settings.tenant), retrieval.Query(settings.collection, settings.tenant, uid=args.uid)).collect()
             print(sinks.envelope([r.asDict() for r in rows]))
         elif args.command == "stats":
             names = [(c,) for c in schemas.COLLECTIONS]
             every = None
             for (name,) in names:
-                stored = read_points(session, f"{settings.tables}/{name}")
-                if stored is not None:
-                    own = stored.select(F.lit(name).alias("collection"), "tenant_id", "uid")
+                of_name = index_of(session, settings, name)
+                if (state := of_name.current()) is not None:
+                    own = of_name.points(state).select(F.lit(name).alias("collection"), "tenant_id", "uid")
                     every = own if every is None else every.unionByName(own)
             every = session.createDataFrame([], "collection string, tenant_id string, uid string") if every is None else every
             rows = points.collection_stats(every, session.createDataFrame(names, "collection string"), args.tenant).orderBy("collection").collect()
@@ -308,7 +293,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         elif args.command == "schema":
             for name, manifest in schemas.manifests(settings.embedding_model).items():
                 applied = applied_state(settings) if name == settings.collection else None
-                print(name, schemas.check_applied(manifest, read_points(session, f"{settings.tables}/{name}"), applied["model"] if applied else None))
+                print(name, run_schema(session, settings, manifest, applied["model"] if applied else None, args.apply))
         else:
             passed, verdict = run_eval(session, settings, args)
             print(sinks.envelope(verdict))
@@ -322,7 +307,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return LOCKED
     except Exception as e:  # noqa: BLE001 - the boundary of the process
         secrets = {k.removeprefix(config.PREFIX).lower(): v for k, v in os.environ.items() if k.startswith(config.PREFIX)}
-        print(sinks.envelope(error=f"{outage_of(e)}: {config.scrub(str(e), secrets)}"))
+        print(sinks.envelope(error=f"{outage.part_of(e)}: {config.scrub(str(e), secrets)}"))
         return FAILURE
 
 

@@ -241,6 +241,19 @@ def chunk_notes(notes: DataFrame, config: ChunkConfig | None = None, body: str =
     )
 
 
+def scan_sections(notes: DataFrame, body: str = "body") -> DataFrame:
+    """Adds lines, ends (whether the body ends its last line) and sections: pieces that are not blank, each with those that
+    its level-3 headings cut, before anything is measured: array<struct<piece, children>>."""
+    scanned = scan_lines(notes, body)
+    starts = F.when(F.size("lines") > 0, section_starts(F.col("headings"))).otherwise(F.array().cast("array<int>"))
+    placed = scanned.withColumn("placed", _placed_sections(F.col("headings"), starts, F.col("counts"), F.size("lines"), count_fields))
+    filled = lambda p: F.get(F.col("counts"), p["end"]) > F.get(F.col("counts"), p["start"])
+    children = lambda s: F.filter(children_of(F.col("headings"), s, F.col("counts")), filled)
+    sections = F.transform(F.filter("placed", lambda s: filled(s["piece"])), lambda s: F.struct(s["piece"].alias("piece"), children(s).alias("children")))
+    none = F.array().cast(f"array<struct<piece:{PIECE},children:array<{PIECE}>>>")
+    return placed.select(*[c for c in notes.columns], "lines", F.col(body).endswith("\n").alias("ends"), F.coalesce(sections, none).alias("sections"))
+
+
 def failed_notes(chunks: DataFrame, key: Sequence[str]) -> DataFrame:
     """Notes with a chunk over the hard limit, and why."""
     return chunks.where(F.col("error").isNotNull()).groupBy(*key).agg(F.min("error").alias("error"))

@@ -9,13 +9,13 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import words
 from noteloom.functions.vectors import embedding_error, hash_embedding
 from noteloom.operators.postings import SPARSE, checked
-from noteloom.schemas import Handshake
+from noteloom.schemas import EmbedderMismatch, Handshake
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
@@ -30,7 +30,7 @@ def verify(own: Handshake, applied: dict | None, model: str) -> bool:
     if applied is None:
         return False
     if applied["model"] != model:
-        raise ValueError(f"the stored vectors come from {applied['model']}, not {model}")
+        raise EmbedderMismatch(f"the stored vectors come from {applied['model']}, not {model}")
     own.require(Handshake(**applied["handshake"]))
     return True
 
@@ -127,30 +127,3 @@ def sparse_by_hash(chunks: DataFrame) -> DataFrame:
 
 def both_by_hash(chunks: DataFrame, width: int = 64) -> DataFrame:
     return sparse_by_hash(embed_by_hash(chunks, width))
-
-
-class CountStats:
-    """Calls, bytes and seconds that a token counter took, summed over all workers."""
-
-    def __init__(self, spark: SparkSession):
-        context = spark.sparkContext
-        self.calls, self.bytes, self.seconds = context.accumulator(0), context.accumulator(0), context.accumulator(0.0)
-
-    def snapshot(self) -> dict[str, float]:
-        return {"calls": self.calls.value, "bytes": self.bytes.value, "seconds": self.seconds.value}
-
-
-def counted(count: Callable[[str], int], stats: CountStats) -> Callable[[Column], Column]:
-    """A token counter for columns from one for strings, measured."""
-    calls, size, seconds = stats.calls, stats.bytes, stats.seconds
-
-    @F.pandas_udf("int")
-    def run(texts: pd.Series) -> pd.Series:
-        begun = time.perf_counter()
-        out = [count(t) for t in texts]
-        calls.add(len(out))
-        size.add(sum(len(t.encode()) for t in texts))
-        seconds.add(time.perf_counter() - begun)
-        return pd.Series(out, dtype="int32")
-
-    return run

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.text import tokens, words
 from noteloom.functions.vectors import cosine, rrf
+from noteloom.operators.postings import SPARSE, top_points
 from noteloom.schemas import FILTERABLE, RESULT_FIELDS
 
 MODES = ("hybrid", "dense")
@@ -247,29 +248,86 @@ def format_results(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"breadcrumb": F.array_join(F.coalesce("headings", F.array().cast("array<string>")), " > "), "untrusted": F.lit(True), "error": missing})
 
 
-def search(queries: DataFrame, points: DataFrame, terms: DataFrame, query: Query, cap: int = NOTE_CAP) -> DataFrame:
-    """Batch hybrid or dense search in one plan. queries: query_id, query_vector, terms (map word -> weight).
+#: Columns of a table of questions that say what it may be answered with; null (for tags: null or empty) allows all.
+RESTRICTIONS = {"area": "string", "type": "string", "vault": "string", "uid": "string", "tags": "array<string>", "include_archived": "boolean", "include_private": "boolean"}
+ATTRIBUTES = ("tenant_id", "area", "type", "vault", "uid", "tags", "status", "visibility")
 
-    Points are filtered once, before both legs; vectors are not read after the legs.
-    """
-    query.validate()
-    request = request_of(query, cap)
-    allowed = points.where(build_filter(query))
-    asked_vectors, dense_points = queries.select("query_id", "query_vector"), allowed.select("point_id", "dense")
+
+def restricted(questions: DataFrame) -> DataFrame:
+    """questions with all columns of RESTRICTIONS, those that were missing null."""
+    return questions.withColumns({c: F.lit(None).cast(kind) for c, kind in RESTRICTIONS.items() if c not in questions.columns})
+
+
+def allowed(q: str, p: str) -> Column:
+    """The filter as a relation between a question and a point, under their aliases: tenant, guards, facets, all tags."""
+    asked, point = (lambda c: F.col(f"{q}.{c}")), (lambda c: F.col(f"{p}.{c}"))
+    out = asked("tenant_id") == point("tenant_id")
+    out = out & (F.coalesce(asked("include_archived"), F.lit(False)) | ~point("status").eqNullSafe("archived"))
+    out = out & (F.coalesce(asked("include_private"), F.lit(False)) | ~point("visibility").eqNullSafe("private"))
+    for facet in ("area", "type", "vault", "uid"):
+        out = out & (asked(facet).isNull() | F.coalesce(asked(facet) == point(facet), F.lit(False)))
+    missing = F.size(F.array_except(asked("tags"), F.coalesce(point("tags"), F.array().cast("array<string>"))))
+    return out & (asked("tags").isNull() | (missing == 0))
+
+
+def dense_batch(questions: DataFrame, points: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` points of each question by cosine, among those it allows. questions: query_id, query_vector,
+    tenant_id and RESTRICTIONS."""
+
+    def score(block: DataFrame) -> DataFrame:
+        met = points.select("point_id", "dense", *ATTRIBUTES).alias("p").join(block.alias("q"), allowed("q", "p"))
+        return met.select("q.query_id", "p.point_id", cosine(F.col("q.query_vector"), F.col("p.dense")).alias("dense_score"))
+
+    return _ranked(in_blocks(questions, BLOCK_QUERIES, score), [F.desc("dense_score"), F.col("point_id")], "dense_rank", limit)
+
+
+def sparse_batch(questions: DataFrame, points: DataFrame, lists: DataFrame, bounds: DataFrame, limit: int) -> DataFrame:
+    """The same by the dot product of sparse vectors, from posting lists. questions: also `sparse` (id, weight)."""
+    asked = questions.select("query_id", "tenant_id", F.explode("sparse").alias("s")).select("query_id", "tenant_id", F.col("s.id").alias("term"), F.col("s.weight").alias("weight"))
+    filters = questions.drop("query_vector", "sparse")
+
+    def eligible(found: DataFrame) -> DataFrame:
+        # Questions of a block are few; what they found meets the point of the same version, and its filter.
+        with_filter = found.join(F.broadcast(filters), "query_id").alias("q")
+        own = points.select("point_id", "seq", *ATTRIBUTES).alias("p")
+        met = with_filter.join(own, (F.col("q.point_id") == F.col("p.point_id")) & (F.col("q.seq") == F.col("p.seq")) & allowed("q", "p"), "left_semi")
+        return met.select(*found.columns)
+
+    ranked = in_blocks(asked, BLOCK_TERMS, lambda block: top_points(block, lists, bounds, limit, eligible))
+    return ranked.select("query_id", "point_id", "sparse_score", "sparse_rank")
+
+
+def search_batch(questions: DataFrame, points: DataFrame, lists: DataFrame, bounds: DataFrame, mode: str = "hybrid", top_k: int = TOP_K, offset: int = 0, cap: int = NOTE_CAP) -> DataFrame:
+    """Many questions, each with its own tenant and filter, in one plan. questions: query_id, tenant_id, query_vector, sparse
+    and what there is of RESTRICTIONS. points: with seq; lists, bounds: see `postings`. Filters come before ranks."""
+    questions = restricted(questions)
+    request = request_of(Query("-", "-", "-", top_k=top_k, offset=offset, mode=mode).validate(), cap)
     if request.single:
-        ranked = dense_leg(asked_vectors, dense_points, request.single.limit).withColumnsRenamed({"dense_rank": "rank", "dense_score": "score"})
+        ranked = dense_batch(questions, points, request.single.limit).withColumnsRenamed({"dense_rank": "rank", "dense_score": "score"})
     else:
-        own_terms = terms.join(allowed.select("point_id"), "point_id", "left_semi")
-        asked = queries.select("query_id", F.explode("terms").alias("term", "weight"))
-        ranked = fuse(dense_leg(asked_vectors, dense_points, request.fused[0].limit), sparse_leg(asked, own_terms, request.fused[1].limit))
-    shown = allowed.select("point_id", *RESULT_FIELDS)
+        ranked = fuse(dense_batch(questions, points, request.fused[0].limit), sparse_batch(questions, points, lists, bounds, request.fused[1].limit))
     # The window is cut before it meets the shown columns, so that few points are looked up.
-    window = ranked.where(F.col("rank") <= query.offset + window_size(query.top_k, cap))
-    return cap_per_note(window.join(shown, "point_id"), query.top_k, cap, query.offset)
+    window = ranked.where(F.col("rank") <= offset + window_size(top_k, cap))
+    return cap_per_note(window.join(points.select("point_id", *RESULT_FIELDS), "point_id"), top_k, cap, offset)
+
+
+def questions_of(rows: DataFrame, query: Query) -> DataFrame:
+    """Embedded questions (query_id, query_vector, sparse) under one query's tenant and filter."""
+    given = {c: F.lit(getattr(query, c)) for c in ("area", "type", "vault", "uid") if getattr(query, c)}
+    check_filterable(*given, *(["tags"] if query.tags else []))
+    tags = {"tags": F.array(*[F.lit(t) for t in query.tags])} if query.tags else {}
+    of_tenant(query.tenant_id)
+    return restricted(rows.withColumns({"tenant_id": F.lit(query.tenant_id), **given, **tags, "include_archived": F.lit(query.include_archived), "include_private": F.lit(query.include_private)}))
+
+
+def search(rows: DataFrame, points: DataFrame, lists: DataFrame, bounds: DataFrame, query: Query, cap: int = NOTE_CAP) -> DataFrame:
+    """Questions (query_id, query_vector, sparse) that share a filter."""
+    query.validate()
+    return search_batch(questions_of(rows, query), points.where(build_filter(query)), lists.where(of_tenant(query.tenant_id)), bounds.where(of_tenant(query.tenant_id)), query.mode, query.top_k, query.offset, cap)
 
 
-def query_rows(spark: SparkSession, text: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One question as search takes it: query_id, query_vector, terms (word -> how often)."""
-    row = embed(spark.createDataFrame([(0, text)], "query_id int, text string")).withColumnRenamed("dense", "query_vector")
-    counted = terms_of(row, "query_id").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
-    return row.drop("text").join(counted, "query_id", "left").withColumn("terms", F.coalesce("terms", F.create_map().cast("map<string,bigint>")))
+def query_rows(spark: SparkSession, text: str, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[int]]:
+    """One question, embedded once: query_id, query_vector, sparse; and its terms."""
+    row = embed(spark.createDataFrame([(0, text)], "query_id int, text string")).select("dense", "sparse").first()
+    made = spark.createDataFrame([(0, row.dense, row.sparse)], f"query_id int, query_vector array<double>, sparse {SPARSE}")
+    return made, [s.id for s in row.sparse]

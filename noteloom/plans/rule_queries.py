@@ -1,11 +1,7 @@
-"""Queries over the rules that guard a run: what a walk takes, what a request may ask, when a write may go ahead. Tables of
-cases are made from the test tables; each row goes through the same function that the engine calls."""
+"""Queries over walks, scopes, runs, reports, embedders and isolation; rules without rows of their own are in the tests."""
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,11 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom import config, schemas
-from noteloom.operators import chunking, embedding, evaluation, points, retrieval
+from noteloom.operators import embedding, evaluation, measuring, points, retrieval
 from noteloom.plans import base, ingest_queries
 from noteloom.session import shared_path
-from noteloom.sources import golden, sinks, vault
+from noteloom.sources import sinks, vault
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,91 +65,6 @@ def vault_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.choose(listing, vault.Exclusions(("SKIP", "AÇÃO"), ("readme.MD",))).select("doc_id", "path", "kind")
 
 
-@query(f"""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'tenant_id is required' WHEN event_id % 11 = 0 THEN 'collection is required' WHEN event_id % 7 = 0 THEN 'text is required'
-  WHEN user_id % 5 = 0 THEN 'top_k must be positive' WHEN user_id % 6 = 5 THEN 'top_k is at most {retrieval.MAX_TOP_K}' WHEN user_id % 9 = 1 THEN 'offset must not be negative' WHEN user_id % 10 = 2 THEN 'mode is one of hybrid, dense' ELSE 'legs: ' || CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END END AS verdict,
-  CAST(CASE WHEN user_id % 5 = 0 THEN {retrieval.TOOL_TOP_K} ELSE least(CASE WHEN user_id % 6 = 5 THEN 1001 ELSE user_id % 6 + 1 + 20 * (user_id % 3) END, {retrieval.TOOL_MAX_TOP_K}) END AS INTEGER) AS clamped FROM events""")
-def query_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-7, FIL-9, TOP-15: the first rule a query breaks, the legs of one that runs, and the clamp of a tool's top_k."""
-
-    def rule(r: Any) -> str:
-        asked = retrieval.Query(
-            "" if r.event_id % 11 == 0 else "interno", "" if r.event_id % 13 == 0 else "t", " " if r.event_id % 7 == 0 else "x", top_k=r.top_k,
-            offset=-1 if r.user_id % 9 == 1 else 0, mode="fuzzy" if r.user_id % 10 == 2 else "dense" if r.user_id % 2 == 0 else "hybrid",
-        ).validate()
-        request = retrieval.request_of(asked)
-        return f"legs: {len(request.fused) or 1}"
-
-    user = F.col("user_id")
-    top_k = F.when(user % 5 == 0, 0).when(user % 6 == 5, 1001).otherwise(user % 6 + 1 + 20 * (user % 3)).cast("int")
-    clamped = judged(base.table(spark, sf_dir, "events").select("event_id", "user_id", top_k.alias("top_k")), "verdict", rule)
-    return judged(clamped, "tool", lambda r: str(retrieval.clamp_top_k(r.top_k))).select("event_id", "verdict", F.col("tool").cast("int").alias("clamped"))
-
-
-@query(f"""SELECT event_id, floor, ceiling, CASE WHEN NOT (0 < floor AND floor <= ceiling AND ceiling <= {chunking.HARD_LIMIT}) THEN 'need 0 < floor <= ceiling <= {chunking.HARD_LIMIT}, got ' || floor || ' and ' || ceiling END AS error
-FROM (SELECT event_id, CAST(event_id % 5 * 256 AS INTEGER) AS floor, CAST(user_id % 6 * 2048 AS INTEGER) AS ceiling FROM events)""")
-def chunk_config_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-18."""
-    rows = base.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 5 * 256).cast("int").alias("floor"), (F.col("user_id") % 6 * 2048).cast("int").alias("ceiling"))
-    return judged(rows, "error", lambda r: None if chunking.ChunkConfig(r.floor, r.ceiling) else "")
-
-
-HANDSHAKE = schemas.Handshake("r1", "t1", 64, "l2", "cls", "fp32", "s")
-FIELDS = ("model_revision", "tokenizer_revision", "dim", "normalization", "pooling", "precision", "sparse_params")
-
-
-@query(f"""SELECT event_id, CASE WHEN event_id % 10 = 8 THEN 'unverified' WHEN event_id % 10 = 9 THEN 'the stored vectors come from m0, not m1' WHEN event_id % 10 = 7 THEN 'verified'
-  ELSE 'the embedder differs in ' || ([{", ".join(f"'{f}'" for f in FIELDS)}])[event_id % 10 + 1] END AS verdict FROM events""")
-def handshake_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-23, ING-21, ING-23, boot handshake: one changed setting, another model, nothing recorded, all the same."""
-    recorded = dict(zip(FIELDS, ("r1", "t1", 64, "l2", "cls", "fp32", "s"), strict=True))
-
-    def rule(r: Any) -> str:
-        case = r.event_id % 10
-        other = recorded | ({FIELDS[case]: 1 if FIELDS[case] == "dim" else "other"} if case < len(FIELDS) else {})
-        applied = None if case == 8 else {"model": "m0" if case == 9 else "m1", "handshake": other}
-        return "verified" if embedding.verify(HANDSHAKE, applied, "m1") else "unverified"
-
-    return judged(base.table(spark, sf_dir, "events").select("event_id"), "verdict", rule).select("event_id", "verdict")
-
-
-BITS = {name: f"event_id // {1 << i} % 2 = 1" for i, name in enumerate(("filtered", "unscanned", "interrupted", "yes", "dry"))}
-
-
-@query(f"""SELECT event_id, CASE WHEN {BITS["filtered"]} THEN 'the run was filtered' WHEN {BITS["unscanned"]} THEN 'orphans were not scanned' WHEN {BITS["interrupted"]} THEN 'the run was interrupted' WHEN NOT ({BITS["yes"]}) THEN 'not confirmed' END AS refusal,
-  CASE WHEN {BITS["dry"]} THEN '--prune-orphans does not go with --dry-run' WHEN {BITS["filtered"]} THEN '--prune-orphans does not go with --only' WHEN NOT ({BITS["yes"]}) THEN '--prune-orphans needs --yes' END AS flags FROM events""")
-def prune_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ING-13, ING-14, ING-15, ING-16, ING-18, prune confirmation."""
-    from noteloom import cli
-
-    bit = lambda r, i: int(r.event_id) >> i & 1 == 1
-    rows = judged(base.table(spark, sf_dir, "events").select("event_id"), "refusal", lambda r: points.prune_refusal(bit(r, 3), bit(r, 0), bit(r, 2), not bit(r, 1)))
-    return judged(rows, "flags", lambda r: cli.check_flags(bit(r, 4), True, "x" if bit(r, 0) else "", bit(r, 3)))
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 5 >= 3 OR event_id % 7 = 6 THEN 'not confirmed after 3 attempts' ELSE 'confirmed' END AS outcome,
-  CAST(CASE WHEN event_id % 7 = 6 THEN 3 ELSE least(event_id % 5 + 1, 3) END AS INTEGER) AS attempts FROM events""")
-def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ING-9, ING-10: writes that fail some times, or whose rows never show."""
-
-    def rule(r: Any) -> str:
-        tries: list[int] = []
-
-        def write() -> None:
-            tries.append(1)
-            if len(tries) <= r.event_id % 5:
-                raise OSError("lost")
-
-        try:
-            points.write_confirmed(write, lambda: r.event_id % 7 != 6)
-            said = "confirmed"
-        except points.WriteFailed as e:
-            said = str(e)
-        return f"{said}|{len(tries)}"
-
-    rows = judged(base.table(spark, sf_dir, "events").select("event_id"), "said", rule)
-    return rows.select("event_id", F.split_part("said", F.lit("|"), F.lit(1)).alias("outcome"), F.split_part("said", F.lit("|"), F.lit(2)).cast("int").alias("attempts"))
-
-
 @query(f"""WITH {base.NOTES_SQL}
 SELECT doc_id, CASE WHEN area NOT IN ('en', 'fr') THEN 'unknown area "' || area || '"' WHEN doc_id % 4 = 1 THEN 'unknown type "essay"' END AS error FROM notes""")
 def scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,53 +76,6 @@ def scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.translate("error", "'", '"').alias("error"))
 
 
-@query(f"""SELECT i AS case_number, CASE WHEN i = 0 THEN 'create' WHEN i = 1 THEN 'verified' WHEN i = 2 THEN 'the stored vectors come from m0, not m1' WHEN i % 2 = 1 THEN 'column ' || f || ' is binary, not ' || t ELSE 'missing column ' || f || CASE WHEN filterable THEN '; filterable column ' || f || ' is missing' ELSE '' END END AS verdict
-FROM (SELECT unnest(range(0, {3 + 2 * len(schemas.PAYLOAD)})) AS i) LEFT JOIN (VALUES {", ".join(f"({n}, '{f.name}', '{f.dataType.simpleString()}', {f.name in schemas.FILTERABLE})" for n, f in enumerate(schemas.PAYLOAD))}) c(n, f, t, filterable) ON n = (i - 3) // 2""")
-def schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-15, ING-20, ING-21: every column missing or of another type, another model, no table, the right one."""
-    manifest, empty = schemas.manifests("m1")["interno"], spark.createDataFrame([], schemas.PAYLOAD)
-
-    def said(stored: DataFrame | None, model: str | None = None) -> str:
-        try:
-            return schemas.check_applied(manifest, stored, model)
-        except schemas.SchemaDrift as e:
-            return str(e)
-
-    verdicts = [said(None), said(empty, "m1"), said(empty, "m0")]
-    for f in schemas.PAYLOAD:
-        verdicts += [said(empty.withColumn(f.name, F.lit(None).cast("binary"))), said(empty.drop(f.name))]
-    return spark.createDataFrame(list(enumerate(verdicts)), "case_number long, verdict string")
-
-
-#: Environments and what loading them says.
-CASES = (
-    ({"TENANT": "a"}, "search needs tables, collection"),
-    ({"TABLES": "x", "COLLECTION": "interno", "TENANT": "t", "VAULTS": "a", "VAULT_A_PATH": "/p", "VAULT_A_AREAS": "x,y", "VAULT_A_EXCLUDE_FOLDERS": "z"}, "a /p x,y z"),
-    ({"VAULTS": "both", "VAULT_BOTH_PATH": "/p", "VAULT_BOTH_AREAS": "x"}, "a vault cannot be called 'both'"),
-    ({"VAULT_OLD_PATH": "/p"}, "setting vault_old_path belongs to no vault"),
-    ({"VAULTS": "a", "VAULT_A_AREAS": "Bad"}, "area 'Bad'; vault a needs a path and areas"),
-    ({"COLLECTION": "other", "WHAT": "1"}, "unknown setting what; collection is one of interno, clientes, base_paga"),
-)
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(said)})" for i, (_, said) in enumerate(CASES)) + ") c(case_number, verdict)")
-def config_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Config overlay, requirement groups, vault roster and settings, vault selection: all problems of an environment at once."""
-
-    def said(environment: dict[str, str]) -> str:
-        try:
-            own = config.load(None, {config.PREFIX + k: v for k, v in environment.items()}).require("search")
-            return "; ".join(f"{v.name} {v.path} {','.join(v.areas)} {','.join(v.exclude_folders)}" for v in own.chosen("both"))
-        except config.ConfigError as e:
-            return str(e)
-
-    return spark.createDataFrame([(i, said(e)) for i, (e, _) in enumerate(CASES)], "case_number int, verdict string")
-
-
 @query(f"""WITH {base.NOTES_SQL}
 SELECT doc_id, sha256(strlen('/data/' || area) || ':' || '/data/' || area || strlen(tenant_id) || ':' || tenant_id) AS scope FROM notes""")
 def lock_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,37 +134,6 @@ def tenant_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.assert_rows(own, rows.where(retrieval.of_tenant("src1")).count()).select("tenant_id", "uid", "chunk_index", "title")
 
 
-@query(f"""WITH {base.QUESTIONS_SQL}
-SELECT question, uid, area, CAST(question_id % 3 AS INTEGER) AS chunk_index, 'g' AS name, CAST(1 AS INTEGER) AS min, CAST(9 AS INTEGER) AS max, 'p' || question_id AS path FROM questions WHERE uid IS NOT NULL""")
-def golden_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-10, SRC-11, SRC-12: a golden set written question by question, a corpus file, and both read back."""
-    known = base.questions(spark, sf_dir).where(F.col("uid").isNotNull())  # a question needs the note that answers it
-    rows = known.select("question_id", "question", "uid", "area", "tenant_id").orderBy("question_id").collect()  # a golden set is written by hand
-    with tempfile.TemporaryDirectory() as folder:  # files of the author's own machine, gone when they are read
-        path, corpus = os.path.join(folder, "golden.yaml"), os.path.join(folder, "corpus.yaml")
-        with open(path, "w", encoding="utf-8") as file:
-            file.write(f"coverage: {{min_total: 1, max_total: 0, groups: [{{name: g, areas: [{', '.join(sorted({r.area for r in rows}))}], min: 1, max: 9}}]}}\nquestions:\n")
-        for r in rows:
-            golden.append_question(path, {"question": r.question, "uid": r.uid, "area": r.area, "chunk_index": r.question_id % 3})
-        with open(corpus, "w", encoding="utf-8") as file:
-            json.dump({"chunks": [{"uid": r.uid, "chunk_index": 0, "tenant_id": r.tenant_id, "area": r.area, "path": f"p{r.question_id}", "text": r.question} for r in rows]}, file)
-        questions, groups, _ = golden.read_golden(spark, path)
-        chunks = golden.read_corpus(spark, corpus)
-    out = questions.join(groups, "area").join(chunks.select("uid", "path"), "uid")
-    return out.select("question", "uid", "area", "chunk_index", "name", "min", "max", "path")
-
-
-@query(f"""WITH {ingest_queries.RECALL_SQL} SELECT area, recall AS before, recall AS now, 0.0::DOUBLE AS delta, false AS regressed FROM report""")
-def state_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-3, SNK-6: a baseline saved, loaded and compared with the run it came from."""
-    report = ingest_queries.recall_report(spark, sf_dir).persist()
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "baseline.json")
-        sinks.write_json(path, evaluation.baseline_of(report.collect(), 5, "lexical"))  # one row per area
-        before = evaluation.baseline_rows(spark, sinks.read_json(path, evaluation.BASELINE_KEYS), 5, "lexical")
-    return evaluation.baseline_delta(report, before)
-
-
 LINE_SQL = """'| ' || CASE area WHEN '*' THEN 'all' ELSE area END || ' | ' || hits || ' | ' || total || ' | ' || printf('%.4f', recall) || ' | ' || printf('%.4f', low) || ' to ' || printf('%.4f', high) || ' |'"""
 
 
@@ -350,13 +182,16 @@ def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \n]+'), lambda w: w <> '')) AS INTEGER) AS tokens, (SELECT count(*) FROM documents) AS calls, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS bytes FROM documents""")
 def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-20, CON-3: a token counter for strings as a column, with its calls and bytes."""
-    stats = embedding.CountStats(spark)
-    count = embedding.counted(lambda t: len([w for w in t.replace("\n", " ").split(" ") if w]), stats)
+    """CHK-20, CON-3: a token counter for strings as a column, with its calls and bytes, which are observed with the rows."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len([w for w in t.replace("\n", " ").split(" ") if w]) for t in texts], dtype="int32")
+
+    rows, seen = measuring.with_token_counts(base.table(spark, sf_dir, "documents").select("doc_id", "text"), count)
     path = shared_path(spark, "counted")
-    base.table(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).alias("tokens")).write.parquet(path)
-    seen = stats.snapshot()
-    return spark.read.parquet(path).withColumns({"calls": F.lit(int(seen["calls"])).cast("long"), "bytes": F.lit(int(seen["bytes"])).cast("long")})
+    rows.drop("text").write.parquet(path)
+    return spark.read.parquet(path).withColumns({c: F.lit(int(seen()[c])).cast("long") for c in ("calls", "bytes")})
 
 
 #: Tenants that a hostile caller may name.
@@ -406,44 +241,3 @@ def isolation_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(verdict)
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'embedder' WHEN 3 THEN 'interrupted' WHEN 4 THEN 'other' ELSE 'store' END AS category FROM events""")
-def outage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outage classes, error categories: which part a failure is put down to."""
-    from noteloom import cli
-
-    problems = (ValueError("the embedder differs in dim"), points.WriteFailed("not confirmed"), schemas.SchemaDrift("missing column uid"), cli.Interrupted("stop"), ValueError("unknown"), OSError("FileSystem closed"))
-    return judged(base.table(spark, sf_dir, "events").select("event_id"), "category", lambda r: cli.outage_of(problems[r.event_id % 6]))
-
-
-@query("""SELECT event_id, 'cannot reach host with ***' AS message, 'embedder_token=***,tables=t' || event_id AS shown FROM events""")
-def secret_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secret redaction in settings and messages."""
-    values = lambda r: {"embedder_token": f"s3cr3t-{r.event_id}", "tables": f"t{r.event_id}"}
-    rows = judged(base.table(spark, sf_dir, "events").select("event_id"), "message", lambda r: config.scrub(f"cannot reach host with s3cr3t-{r.event_id}", values(r)))
-    return judged(rows, "shown", lambda r: ",".join(f"{k}={v}" for k, v in config.redacted(values(r)).items()))
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'the embedder returns vectors that are not of unit length' WHEN event_id % 4 = 2 THEN 'the embedder returns empty sparse vectors' ELSE 'ready' END AS verdict FROM events""")
-def probe_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Startup probe: unit vectors within 1e-3, sparse vectors that are not empty."""
-
-    def rule(r: Any) -> str:
-        length = 1.01 if r.event_id % 4 == 1 else 1.0005 if r.event_id % 4 == 3 else 1.0
-        embedding.probe([[0.6 * length, 0.8 * length]], [{} if r.event_id % 4 == 2 else {7: 0.5}])
-        return "ready"
-
-    return judged(base.table(spark, sf_dir, "events").select("event_id"), "verdict", rule)
-
-
-@query(f"""WITH {base.NOTES_SQL} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'locks do not hold on nfs4: /mnt/' || area WHEN 1 THEN 'ext4' ELSE '' END AS verdict FROM notes""")
-def lock_file_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unreliable lock file systems are refused."""
-
-    def rule(r: Any) -> str:
-        with tempfile.NamedTemporaryFile("w") as mounts:
-            mounts.write("/dev/a /var ext4 rw 0 0\nhost:/x /mnt nfs4 rw 0 0\n")
-            mounts.flush()
-            folder = (f"/mnt/{r.area}", f"/var/{r.area}", f"/{r.area}")[r.doc_id % 3]
-            return sinks.check_file_system(folder, mounts.name)
-
-    return judged(base.notes(spark, sf_dir).select("doc_id", "area"), "verdict", rule).select("doc_id", "verdict")

@@ -40,6 +40,10 @@ RESULT_FIELDS = ("uid", "chunk_index", "text", "path", "headings", "title")
 FILTERABLE = ("tenant_id", "uid", "area", "type", "status", "visibility", "vault", "tags", "chunk_index")
 
 
+class EmbedderMismatch(ValueError):
+    """The embedder is not the one that an index was built with."""
+
+
 @dataclass(frozen=True)
 class Handshake:
     """The seven settings that index and embedder must agree on."""
@@ -57,7 +61,7 @@ class Handshake:
 
     def require(self, other: Handshake) -> None:
         if bad := self.mismatches(other):
-            raise ValueError(f"the embedder differs in {', '.join(bad)}")
+            raise EmbedderMismatch(f"the embedder differs in {', '.join(bad)}")
 
 
 class SchemaDrift(ValueError):

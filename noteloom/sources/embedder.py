@@ -15,7 +15,9 @@ from urllib.error import HTTPError
 from urllib.parse import urlparse
 from urllib.request import Request, urlopen
 
-from noteloom.schemas import Handshake
+from noteloom.schemas import EmbedderMismatch, Handshake
+
+__all__ = ["EmbedderMismatch", "Refused", "Service", "ServiceError"]
 
 #: Other names of precisions.
 PRECISIONS = {"float32": "fp32", "float16": "fp16", "bfloat16": "bf16"}
@@ -26,6 +28,10 @@ class ServiceError(OSError):
     """The embedder answered with a failure of its own; asking again may help."""
 
 
+class Refused(ValueError):
+    """The embedder refused a request, or its answer does not fit it; asking again changes nothing."""
+
+
 @dataclass(frozen=True)
 class Service:
     endpoint: str
@@ -47,7 +53,7 @@ class Service:
         except HTTPError as e:
             if e.code >= 500:
                 raise ServiceError(f"the embedder answered {e.code} to {path}") from e
-            raise ValueError(f"the embedder refused {path}: {e.code} {e.read(300).decode(errors='replace')}") from e
+            raise Refused(f"the embedder refused {path}: {e.code} {e.read(300).decode(errors='replace')}") from e
 
     def handshake(self) -> Handshake:
         """The seven settings, in the words that an index uses; one that is absent is empty and so matches nothing."""
@@ -67,9 +73,9 @@ class Service:
         said = self._call("/embed", {"inputs": list(texts), "kind": kind})
         dense, sparse = said.get("dense") or [], said.get("sparse") or []
         if not len(dense) == len(sparse) == len(texts):
-            raise ValueError(f"the embedder returned {len(dense)} dense and {len(sparse)} sparse vectors for {len(texts)} texts")
+            raise Refused(f"the embedder returned {len(dense)} dense and {len(sparse)} sparse vectors for {len(texts)} texts")
         if any(len(s["indices"]) != len(s["values"]) for s in sparse):
-            raise ValueError("the embedder returned a sparse vector with indices and values of different length")
+            raise Refused("the embedder returned a sparse vector with indices and values of different length")
         return [(list(map(float, d)), dict(zip(map(int, s["indices"]), map(float, s["values"]), strict=True))) for d, s in zip(dense, sparse, strict=True)]
 
     def count(self, texts: Sequence[str]) -> list[int]:
@@ -83,5 +89,5 @@ class Service:
                     raise
                 time.sleep(self.delay)
         if len(counts) != len(texts):
-            raise ValueError(f"the embedder counted {len(counts)} of {len(texts)} texts")
+            raise Refused(f"the embedder counted {len(counts)} of {len(texts)} texts")
         return [int(c) for c in counts]

@@ -1,13 +1,10 @@
-"""Driver-side sinks: atomic JSON state, strict baseline, result envelope, exclusive table lock."""
+"""Driver-side sinks: atomic JSON state, strict baseline, result envelope; the scope of a lock and where one may lie."""
 
 from __future__ import annotations
 
-import fcntl
 import hashlib
 import json
 import os
-from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import Any
 
 
@@ -70,17 +67,3 @@ def check_file_system(folder: str, mounts: str = "/proc/mounts") -> str:
     if (kind := file_system(folder, mounts)) in UNRELIABLE:
         raise ValueError(f"locks do not hold on {kind}: {folder}")
     return kind
-
-
-@contextmanager
-def table_lock(folder: str, *scope: str) -> Iterator[None]:
-    """Exclusive, non-blocking lock per table, collection and tenant. It holds on one host; hosts that share a table need
-    a lock folder on a file system whose locks they share, and those known not to hold are refused."""
-    os.makedirs(folder, exist_ok=True)
-    check_file_system(folder)
-    with open(os.path.join(folder, f"{scope_key(*scope)}.lock"), "w") as file:
-        try:
-            fcntl.flock(file, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except OSError as e:
-            raise LockHeld("another run holds the lock") from e
-        yield

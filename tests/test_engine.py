@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import noteloom
-from noteloom import cli, config, schemas
-from noteloom.operators import embedding, evaluation, points, retrieval
-from noteloom.sources import embedder, golden, sinks, vault
+from noteloom import cli, config, index, outage, schemas
+from noteloom.operators import embedding, evaluation, points, postings, retrieval
+from noteloom.sources import embedder, golden, lease, sinks, vault
 from noteloom.streaming import continuous
 
 ROOT = pathlib.Path(noteloom.__file__).parent
@@ -75,11 +75,13 @@ def test_query_validation():
 def test_search_caps_and_pages(spark):
     rows = [point("t", n, c, text="w", dense=(1.0, n * 0.01 + c * 0.001)) for n in range(4) for c in range(3)]
     stored = spark.createDataFrame(rows, POINTS)
-    terms = stored.select("point_id", F.lit("w").alias("term"), F.lit(1).alias("weight"))
-    asked = spark.createDataFrame([(0, [1.0, 0.0], {"w": 1})], "query_id int, query_vector array<double>, terms map<string,int>")
-    got = retrieval.search(asked, stored, terms, retrieval.Query("interno", "t", "w", top_k=4)).orderBy("position").collect()
+    stored = stored.withColumns({"seq": F.lit(1).cast("bigint"), "sparse": F.array(F.struct(F.lit(7).cast("bigint").alias("id"), F.lit(1.0).alias("weight")))})
+    lists = postings.postings_of(stored)
+    bounds = postings.bounds_of(lists)
+    asked = spark.createDataFrame([(0, [1.0, 0.0], [(7, 1.0)])], f"query_id int, query_vector array<double>, sparse {postings.SPARSE}")
+    got = retrieval.search(asked, stored, lists, bounds, retrieval.Query("interno", "t", "w", top_k=4)).orderBy("position").collect()
     assert len(got) == 4 and max(sum(r.uid == x.uid for x in got) for r in got) <= 2 and [r.position for r in got] == [1, 2, 3, 4]
-    dense = retrieval.search(asked, stored, terms, retrieval.Query("interno", "t", "w", top_k=3, mode="dense"), cap=0).orderBy("position").collect()
+    dense = retrieval.search(asked, stored, lists, bounds, retrieval.Query("interno", "t", "w", top_k=3, mode="dense"), cap=0).orderBy("position").collect()
     assert [r.point_id for r in dense] == ["t-0-0", "t-0-1", "t-0-2"]
     assert not retrieval.is_dead_area(stored, retrieval.Query("interno", "t", "w", area="a", tags=("none",)))
     assert retrieval.is_dead_area(stored, retrieval.Query("interno", "t", "w", area="zzz"))
@@ -182,6 +184,11 @@ def test_vault_walk(spark, tmp_path):
         vault.read_vault(spark, str(tmp_path), "v")
 
 
+def points_at(spark, tmp_path):
+    own = index.Index(spark, f"{tmp_path}/tables/interno")
+    return own.points(own.current())
+
+
 NOTE = "---\nuid: {}\ntype: concept\nstatus: stable\ncreated: 2026-08-07\ntags: [a]\n---\n# Title\n\n{}\n"
 
 
@@ -207,7 +214,7 @@ def test_command_line_end_to_end(spark, tmp_path, monkeypatch, capsys):
     (root / "area" / "3.md").write_text("no front matter")
     assert cli.main(["ingest"], spark) == cli.FAILURE
     (root / "area" / "3.md").unlink()
-    with sinks.table_lock(str(tmp_path / "locks"), f"{tmp_path}/tables/interno", "t"):
+    with lease.held(spark, str(tmp_path / "locks"), sinks.canonical(f"{tmp_path}/tables/interno")):
         assert cli.main(["ingest"], spark) == cli.LOCKED
 
 
@@ -221,7 +228,7 @@ def test_notes_without_chunks_blank_files_and_oversize(spark, tmp_path, monkeypa
     for key, value in settings.items():
         monkeypatch.setenv(config.PREFIX + key, str(value))
     assert cli.main(["ingest"], spark) == cli.OK
-    stored = lambda: {int(r.uid[-12:], 16): r.text for r in cli.read_points(spark, f"{tmp_path}/tables/interno").collect()}
+    stored = lambda: {int(r.uid[-12:], 16): r.text for r in points_at(spark, tmp_path).collect()}
     assert sorted(stored()) == [1, 2, 3, 4, 5, 7] and sinks.read_json(str(tmp_path / "state.json"), embedding.STATE_KEYS)["model"] == "hash-1"
     capsys.readouterr()
     (root / "area" / "1.md").write_text(NOTE.format(U(1), "").split("# Title")[0])  # front matter only
@@ -270,7 +277,7 @@ def test_interrupt_refuses_to_write(spark):
     with cli.interruptible(spark) as state:
         state.check()
         os.kill(os.getpid(), 2)
-        with pytest.raises(cli.Interrupted):
+        with pytest.raises(outage.Interrupted):
             state.check()
     with pytest.raises(points.PruneRefused, match="interrupted"):
         points.prune_orphans(spark.createDataFrame(note(1, "a"), STORED), None, confirmed=True, interrupted=True)
@@ -367,7 +374,7 @@ def test_embedding_service(spark, service, tmp_path, monkeypatch, capsys):
         monkeypatch.setenv(config.PREFIX + key, str(value))
     Answers.failures = 1
     assert cli.main(["ingest"], spark) == cli.OK
-    assert {tuple(r.dense) for r in cli.read_points(spark, f"{tmp_path}/tables/interno").collect()} == {(0.6, 0.8), (0.8, 0.6)}
+    assert {tuple(r.dense) for r in points_at(spark, tmp_path).collect()} == {(0.6, 0.8), (0.8, 0.6)}
     assert cli.main(["search", "fox", "--mode", "dense", "--top-k", "1"], spark) == cli.OK and U(1) in capsys.readouterr().out
     monkeypatch.delenv(config.PREFIX + "EMBEDDER")  # the built-in embedder is another model
     assert cli.main(["search", "fox"], spark) == cli.FAILURE and "embedder: the embedder differs in model_revision" in capsys.readouterr().out
