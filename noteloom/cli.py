@@ -11,6 +11,7 @@ import threading
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,17 @@ def index_of(spark: SparkSession, settings: config.Config, collection: str = "")
     return index.Index(spark, f"{settings.tables}/{collection or settings.collection}")
 
 
+@contextmanager
+def locked(spark: SparkSession, settings: config.Config, own: index.Index) -> Iterator[lease.Lease]:
+    """The lease of a collection, in the folder of the setting or beside the tables. Local folders must be on a file system
+    whose files hosts see alike."""
+    folder = settings.locks or f"{settings.tables}/_locks"
+    if "://" not in folder:
+        sinks.check_file_system(folder)
+    with lease.held(spark, folder, sinks.canonical(own.table.root)) as held:
+        yield held
+
+
 def applied_state(settings: config.Config) -> dict | None:
     """What the last run recorded about the model, if a state file is configured and there."""
     return sinks.read_json(settings.state, embedding.STATE_KEYS) if settings.state and os.path.exists(settings.state) else None
@@ -142,8 +154,9 @@ def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Name
         rows = expected_of(chunks.join(failed.select("uid"), "uid", "left_anti"), tenant, settings.embedding_model, model.handshake)
         return rows.select(*index.PAYLOAD, "point_id"), failed
 
-    with lease.held(spark, settings.locks or f"{settings.tables}/_locks", sinks.canonical(own.table.root)) as held, interruptible(spark) as interrupt:
-        clock = measuring.Clock()
+    clock = measuring.Clock()
+    with locked(spark, settings, own) as held, interruptible(spark) as interrupt:
+        clock.lap("lock")
         found = scan(spark, vaults).persist()
         chosen = found.where(notes.glob_filter(F.concat_ws("/", "vault", "path"), args.only))
         clock.lap("scan", found.count)
@@ -189,24 +202,47 @@ def run_schema(spark: SparkSession, settings: config.Config, manifest: schemas.M
     state = own.current()
     told = schemas.check_applied(manifest, None if state is None else own.points(state), applied)
     if told == "create" and apply:
-        with lease.held(spark, settings.locks or f"{settings.tables}/_locks", sinks.canonical(own.table.root)) as held:
+        with locked(spark, settings, own) as held:
             own.create(held.number)
         return "created"
     return told
 
 
+def ranked_answers(spark: SparkSession, settings: config.Config, args: argparse.Namespace, asked: DataFrame, mode: str) -> DataFrame:
+    """question_id, uid, chunk_index, score, rank of the first k answers: of the corpus file, or of the stored collection."""
+    own = asked.where(~F.col("errored")).select(F.col("question_id").alias("query_id"), F.lit(args.tenant).alias("tenant_id"), F.col("question").alias("text"))
+    if mode == "lexical":
+        if not args.corpus:
+            raise Usage("--mode lexical needs --corpus")
+        corpus = golden.read_corpus(spark, args.corpus)
+        return retrieval.lexical_search(own, corpus.where(retrieval.of_tenant(args.tenant)), args.k).withColumnRenamed("query_id", "question_id")
+    table, model, applied = index_of(spark, settings), embedder_of(settings), applied_state(settings)
+    embedding.verify(model.handshake, applied, settings.embedding_model or (applied or {}).get("model", ""))
+    if (state := table.current()) is None:
+        raise outage.StoreDown("the collection is empty")
+    questions = model.queries(own).withColumnRenamed("dense", "query_vector").drop("text").persist()
+    found = table.search(questions, [args.tenant], mode=mode, top_k=args.k, snapshot=state)
+    return found.select(F.col("query_id").alias("question_id"), "uid", "chunk_index", "score", F.col("position").alias("rank"))
+
+
 def run_eval(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> tuple[bool, dict]:
-    """Ask the golden questions; compare with the saved run, write the Markdown report, and tell whether the gate holds."""
-    corpus = golden.read_corpus(spark, args.corpus)
+    """Ask the golden questions; compare with the saved run, write the Markdown reports, and tell whether the gate holds."""
     questions, groups, bounds = golden.read_golden(spark, args.golden)
     asked = questions.withColumn("question_id", F.monotonically_increasing_id()).withColumn("errored", ~F.coalesce(notes.valid_uid(F.col("uid")), F.lit(False)))
-    tenant, mode = args.tenant, "lexical"
-    own = asked.where(~F.col("errored")).select(F.col("question_id").alias("query_id"), F.lit(tenant).alias("tenant_id"), F.col("question").alias("text"))
-    ranked = retrieval.lexical_search(own, corpus.where(retrieval.of_tenant(tenant)), args.k).withColumnRenamed("query_id", "question_id")
-    results = evaluation.judge(asked, ranked, args.k).persist()
+    mode = args.mode
+    results = evaluation.judge(asked, ranked_answers(spark, settings, args, asked, mode), args.k).persist()
     report = evaluation.recall(results)
     rows = report.collect()
     verdict = evaluation.gate(report, args.threshold).first().asDict()
+    if args.compare:
+        other = evaluation.recall(evaluation.judge(asked, ranked_answers(spark, settings, args, asked, "dense"), args.k))
+        both = {"hybrid": report, "dense": other} if mode == "hybrid" else {}
+        if not both:
+            raise Usage("--compare goes with --mode hybrid")
+        total = {name: r.where("area = '*'").first() for name, r in both.items()}
+        with open(args.compare, "w", encoding="utf-8") as file:
+            file.write(evaluation.decision_markdown(total["hybrid"], total["dense"], args.k, datetime.now(UTC).date().isoformat()))
+        verdict["keep"] = evaluation.compare_modes(report, other).first()["keep"]
     if settings.baseline and os.path.exists(settings.baseline):
         before = evaluation.baseline_rows(spark, sinks.read_json(settings.baseline, evaluation.BASELINE_KEYS), args.k, mode)
         verdict["delta"] = [r.asDict() for r in evaluation.baseline_delta(report, before).orderBy("area").collect()]
@@ -225,6 +261,77 @@ def run_eval(spark: SparkSession, settings: config.Config, args: argparse.Namesp
     return bool(verdict["passed"]), verdict
 
 
+def run_golden(spark: SparkSession, settings: config.Config, args: argparse.Namespace, answers: Iterator[str], say: Callable[[str], None]) -> int:
+    """An authoring session: cards of notes from the neediest areas, one question each. An empty line skips a note, `.`
+    ends the session. A note is offered once, notes that have a question never. Returns how many were saved."""
+    found = scan(spark, settings.chosen(args.vault))
+    cards = notes.note_cards(found).join(found.select("uid", "area"), "uid").persist()
+    saved = turn = 0
+    offered: set[str] = set()
+    while True:
+        questions, groups, (_, most) = golden.read_golden(spark, args.golden, allow_empty=True)
+        status = evaluation.coverage_status(questions, groups).persist()
+        have = questions.count()
+        if turn == 0:
+            say("\n".join([f"{have} questions", *[f"  {r.area}: {r.have} of {r.min} to {r.max or 'any'}" for r in status.orderBy("position").collect()]]))
+        asked = {r.uid for r in questions.select("uid").distinct().collect()} | offered  # a golden set is written by hand
+        if most and have >= most:
+            break
+        card = evaluation.draw_note(status, cards.where(~F.col("uid").isin(*asked)) if asked else cards, args.seed + turn).first()
+        if card is None:
+            break
+        turn += 1
+        offered.add(card.uid)
+        say(f"{card.area}: {card.title}\n{card.path}\n{card.excerpt}")
+        text = next(answers, ".").strip()
+        if text == ".":
+            break
+        if not text:
+            say("skipped")
+            continue
+        golden.append_question(args.golden, {"question": text, "uid": card.uid, "area": card.area, "author": args.author, "date": datetime.now(UTC).date().isoformat()})
+        saved += 1
+        say(f"saved: {have + 1}")
+    return saved
+
+
+def run_measure_search(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> tuple[bool, list[dict]]:
+    """Searches one after another, with the milliseconds of embedder, store, the rest and all; gates hold for all of it."""
+    own, model = index_of(spark, settings), embedder_of(settings)
+    if (state := own.current()) is None:
+        raise outage.StoreDown("the collection is empty")
+    questions = [r.question for r in golden.read_golden(spark, args.golden)[0].select("question").collect()]  # a golden set
+    timings = []
+    for at in range(args.warm + args.count):
+        asked = retrieval.Query(settings.collection, settings.tenant, questions[at % len(questions)]).validate()
+        clock = measuring.Clock()
+        question, terms = retrieval.query_rows(spark, asked.text, model.queries)
+        clock.lap("embed")
+        rows = own.ranked(asked, question, terms, state)
+        clock.lap("overhead")
+        found = rows.collect()
+        clock.lap("store")
+        [r.asDict() for r in found]
+        clock.lap("overhead")
+        if at >= args.warm:
+            timings.append((*[float(clock.phases[p]) for p in ("embed", "store", "overhead")], clock.total))
+    report = measuring.search_report(spark.createDataFrame(timings, ", ".join(f"{p} double" for p in measuring.PHASES)), args.p95, args.p99)
+    rows = [r.asDict() for r in report.collect()]
+    return all(r["passed"] for r in rows), rows
+
+
+def run_measure_ingest(spark: SparkSession, settings: config.Config, args: argparse.Namespace) -> tuple[bool, dict]:
+    """A run that should find nothing to do, by phases. One that reprocessed notes is no measurement."""
+    clock = measuring.Clock()
+    report = run_ingest(spark, settings, parser().parse_args(["ingest"]))
+    total, phases = clock.total, report["phases_ms"]
+    reprocessed = sum(n for state, n in (report["counts"] or {}).items() if state != "skipped")
+    work = sum(v for k, v in phases.items() if k not in ("lock", "scan"))
+    row = spark.createDataFrame([(total, phases.get("lock", 0.0), phases["scan"], work, report["notes"], reprocessed)], "total double, lock double, scan double, orchestrate double, notes long, reprocessed long")
+    verdict = evaluation.ingest_verdict(row, args.gate).first().asDict()
+    return verdict["verdict"] == "passed", verdict
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="noteloom")
     out.add_argument("--config", default=None)
@@ -250,11 +357,25 @@ def parser() -> argparse.ArgumentParser:
     get.add_argument("uid")
     run = sub.add_parser("eval")
     run.add_argument("--golden", required=True)
-    run.add_argument("--corpus", required=True)
+    run.add_argument("--corpus", default="")
+    run.add_argument("--mode", default="lexical", choices=["lexical", *retrieval.MODES])
+    run.add_argument("--compare", default="", help="write the decision between hybrid and dense to this file")
     run.add_argument("--tenant", required=True)
     run.add_argument("--k", type=int, default=5)
     run.add_argument("--threshold", type=float, default=0.75)
     run.add_argument("--save-baseline", action="store_true")
+    session = sub.add_parser("golden")
+    session.add_argument("golden")
+    session.add_argument("--vault", default="both")
+    session.add_argument("--author", default="")
+    session.add_argument("--seed", type=int, default=0)
+    measured = sub.add_parser("measure-search")
+    measured.add_argument("--golden", required=True)
+    measured.add_argument("--count", type=int, default=30)
+    measured.add_argument("--warm", type=int, default=1)
+    measured.add_argument("--p95", type=float, default=3000.0)
+    measured.add_argument("--p99", type=float, default=5000.0)
+    sub.add_parser("measure-ingest").add_argument("--gate", type=float, default=60_000.0)
     run.add_argument("--since", default="", help="questions written after this time are stale")
     return out
 
@@ -267,7 +388,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     try:
         settings = config.load(args.config)
         if args.command != "get":
-            settings.require(args.command if args.command != "eval" else "")
+            settings.require(args.command if args.command != "eval" or args.mode != "lexical" else "")
         session = spark or get_session()
         if args.command == "ingest":
             report = run_ingest(session, settings, args)
@@ -290,6 +411,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             every = session.createDataFrame([], "collection string, tenant_id string, uid string") if every is None else every
             rows = points.collection_stats(every, session.createDataFrame(names, "collection string"), args.tenant).orderBy("collection").collect()
             print(sinks.envelope([r.asDict() for r in rows]))
+        elif args.command == "golden":
+            print(f"{run_golden(session, settings, args, iter(sys.stdin.readline, ''), print)} saved")
+        elif args.command in ("measure-search", "measure-ingest"):
+            passed, said = (run_measure_search if args.command == "measure-search" else run_measure_ingest)(session, settings, args)
+            print(sinks.envelope(said))
+            return OK if passed else GATE
         elif args.command == "schema":
             for name, manifest in schemas.manifests(settings.embedding_model).items():
                 applied = applied_state(settings) if name == settings.collection else None

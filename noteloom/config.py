@@ -15,7 +15,7 @@ KEYS = ("tables", "collection", "tenant", "embedding_model", "golden", "baseline
 #: Settings of one vault: folder, areas, folders and root files that the walk passes over.
 VAULT_KEYS = ("path", "areas", "exclude_folders", "exclude_root_files")
 #: What each command needs.
-REQUIRED = {"ingest": ("tables", "collection", "tenant", "embedding_model"), "search": ("tables", "collection", "tenant"), "stats": ("tables",), "eval": ("golden",), "schema": ("tables", "embedding_model")}
+REQUIRED = {"ingest": ("tables", "collection", "tenant", "embedding_model"), "search": ("tables", "collection", "tenant"), "stats": ("tables",), "eval": ("tables", "collection"), "measure-search": ("tables", "collection", "tenant"), "measure-ingest": ("tables", "collection", "tenant", "embedding_model"), "schema": ("tables", "embedding_model")}
 
 
 class ConfigError(ValueError):

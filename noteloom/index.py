@@ -184,9 +184,11 @@ class Index:
         return retrieval.search_batch(questions, stored, lists, bounds, mode, top_k, offset)
 
     def ask(self, asked: retrieval.Query, text: str, embed: Callable[[DataFrame], DataFrame], snapshot: Snapshot | None = None) -> DataFrame:
-        """One question under its filter. It is embedded once; only the lists of its terms and the points of its tenant are
-        read."""
-        state = snapshot or self.current()
+        """One question under its filter, embedded once."""
         question, terms = retrieval.query_rows(self.spark, text, embed)
-        lists, bounds = self.lists(state, [asked.tenant_id], terms)
-        return retrieval.search(question, self.table.read(state, "points", POINTS, tenant_id=[asked.tenant_id]), lists, bounds, asked)
+        return self.ranked(asked, question, terms, snapshot or self.current())
+
+    def ranked(self, asked: retrieval.Query, question: DataFrame, terms: Sequence[int], snapshot: Snapshot | None) -> DataFrame:
+        """Answers to one embedded question; only the lists of its terms and the points of its tenant are read."""
+        lists, bounds = self.lists(snapshot, [asked.tenant_id], terms)
+        return retrieval.search(question, self.table.read(snapshot, "points", POINTS, tenant_id=[asked.tenant_id]), lists, bounds, asked)

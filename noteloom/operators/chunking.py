@@ -267,15 +267,16 @@ def calibration(notes: DataFrame, chunks: DataFrame, key: str, config: ChunkConf
     below = F.col("tokens") < config.floor
     alone, final = F.col("_last") == 0, F.col("chunk_index") == F.col("_last")
     counted = lambda c: F.count(F.when(c, 1))
-    of_chunks = placed.agg(
+    # The last chunk of a note stands for it.
+    placed = placed.withColumn("_n", F.when(final, F.col("_last") + 1))
+    of_both = placed.agg(
         F.count("*").alias("chunks"), *_spread("tokens", "tokens"), counted(F.col("oversize")).alias("oversize"), counted(below).alias("below_floor"),
         counted(below & alone).alias("below_alone"), counted(below & final & ~alone).alias("below_last"), counted(below & ~final).alias("below_rest"),
         F.max(F.struct("tokens", F.col(key).alias("k"), F.col("chunk_index").alias("i"))).alias("_largest"),
+        F.count("_n").alias("chunked"), counted(F.col("_n") == 1).alias("single"), *_spread("_n", "per_note"),
     )
-    of_notes = chunks.groupBy(key).agg(F.count("*").alias("n")).agg(F.count("*").alias("chunked"), counted(F.col("n") == 1).alias("single"), *_spread("n", "per_note"))
     total = notes.agg(F.count("*").alias("notes"))
-    # Three tables of one row.
-    out = total.crossJoin(of_notes).crossJoin(of_chunks)
+    out = total.crossJoin(of_both)  # one row each
     return out.withColumn("empty", F.col("notes") - F.col("chunked")).withColumns({"largest_note": F.col("_largest.k"), "largest_chunk": F.col("_largest.i")}).drop("_largest")
 
 

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.operators.evaluation import latency_report
+
 #: Column groups of a measured search, in milliseconds.
 PHASES = ("embed", "store", "overhead", "total")
 
@@ -33,6 +35,14 @@ class Clock:
         return round(1000 * (time.perf_counter() - self.begun), 3)
 
 
+def search_report(timings: DataFrame, p95_gate: float, p99_gate: float) -> DataFrame:
+    """phase, n, p50, p95, p99, slowest, note, passed of each phase, from the columns PHASES; the gates are for the total."""
+    by_phase = timings.select(F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(i).alias("place"), F.col(p).alias("ms")) for i, p in enumerate(PHASES)])).alias("t")).select("t.*")
+    report = latency_report(by_phase, ["phase", "place"])
+    held = (F.col("phase") != "total") | ((F.col("p95") <= p95_gate) & (F.col("p99") <= p99_gate))
+    return report.withColumn("passed", held).orderBy("place").drop("place")
+
+
 def observed(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Callable[[], dict[str, Any]]]:
     """rows, and a function that gives aggregates over them once they were computed. A task that runs twice counts once,
     because the values of a partition come with its result."""

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from noteloom import schemas
 from noteloom.functions.identity import golden_identity
 from noteloom.functions.stats import resolution, wilson
-from noteloom.operators import evaluation, notes, points
-from noteloom.plans import base
+from noteloom.operators import evaluation, measuring, notes, points
+from noteloom.plans import base, search_queries
 
 QUERIES, ORACLES = {}, {}
 
@@ -267,12 +267,22 @@ def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.baseline_delta(report, before)
 
 
-@query(f"""WITH {RECALL_SQL},
-first AS (SELECT round(count(*) FILTER (EXISTS (SELECT 1 FROM ranked r WHERE r.question_id = q.question_id AND r.rank = 1 AND r.uid = q.uid))::DOUBLE / count(*), 6) AS recall FROM questions q WHERE NOT errored)
-SELECT f.recall AS hybrid, r.recall AS dense, CASE WHEN r.recall > f.recall THEN 'dense' ELSE 'hybrid' END AS keep FROM report r, first f WHERE area = '*'""")
+#: Every 50th vector asks for itself, or for the one behind it; ranks as in `search_queries`.
+MODES_SQL = f"""{search_queries.FUSED_SQL},
+want AS (SELECT query_id, query_id + CASE WHEN query_id % 100 = 50 THEN 1 ELSE 0 END AS point_id FROM asked),
+runs AS (SELECT (SELECT count(*) FROM want JOIN ranked USING (query_id, point_id) WHERE rank <= 5) AS hybrid_hits, (SELECT count(*) FROM want JOIN dense USING (query_id, point_id) WHERE dense_rank <= 5) AS dense_hits, (SELECT count(*) FROM want) AS total),
+rates AS (SELECT round(hybrid_hits::DOUBLE / total, 6) AS hybrid, round(dense_hits::DOUBLE / total, 6) AS dense FROM runs)"""
+
+
+@query(f"WITH {MODES_SQL} SELECT hybrid, dense, CASE WHEN dense > hybrid THEN 'dense' ELSE 'hybrid' END AS keep FROM rates")
 def mode_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-17: two runs with different cuts."""
-    return evaluation.compare_modes(evaluation.recall(judged(spark, sf_dir, 1)), recall_report(spark, sf_dir))
+    """AGG-17, EVA-1: recall of a hybrid and of a dense run over the same questions."""
+    number = F.col("query_id")
+    asked = search_queries.asked_of(search_queries.vectors_of(spark, sf_dir)).select(number.alias("question_id"), (number + F.when(number % 100 == 50, 1).otherwise(0)).cast("string").alias("uid"), F.lit(None).cast("int").alias("chunk_index"), F.lit("a").alias("area"), F.lit(False).alias("errored"))
+    shown = lambda ranked, score, rank: ranked.select(number.alias("question_id"), F.col("point_id").cast("string").alias("uid"), F.lit(0).alias("chunk_index"), F.col(score).alias("score"), F.col(rank).alias("rank"))
+    hybrid = shown(search_queries.fused(spark, sf_dir), "score", "rank")
+    dense = shown(search_queries.dense_ranks(spark, sf_dir, search_queries.LEG), "dense_score", "dense_rank")
+    return evaluation.compare_modes(*[evaluation.recall(evaluation.judge(asked, ranked, 5)) for ranked in (hybrid, dense)])
 
 
 @query(f"""WITH {base.QUESTIONS_SQL},
@@ -333,6 +343,17 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.latency_report(base.table(spark, sf_dir, "events").withColumnRenamed("value", "ms"), ["event_type"])
 
 
+PHASES_SQL = "(VALUES " + ", ".join(f"('{p}', {share})" for p, share in (("embed", 0.25), ("store", 0.5), ("overhead", 0.25), ("total", 1.0))) + ") p(phase, share)"
+
+
+@query(f"SELECT *, {NOTE_SQL}, phase <> 'total' OR (p95 <= 450 AND p99 <= 500) AS passed FROM (SELECT phase, {LATENCY.replace('value', '(value * share)')} FROM events, {PHASES_SQL} GROUP BY phase)")
+def search_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-8, AGG-9: percentiles of embedder, store, the rest and all of it; gates hold for all of it."""
+    shares = {"embed": 0.25, "store": 0.5, "overhead": 0.25, "total": 1.0}
+    timings = base.table(spark, sf_dir, "events").select(*[(F.col("value") * share).alias(p) for p, share in shares.items()])
+    return measuring.search_report(timings, 450.0, 500.0)
+
+
 @query(f"SELECT *, {NOTE_SQL}, p95 <= 200 AND p99 <= 400 AS passed FROM (SELECT {LATENCY} FROM events)")
 def latency_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-9."""

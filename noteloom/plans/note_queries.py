@@ -178,7 +178,7 @@ fold AS (
 @query(f"WITH RECURSIVE {FENCES_SQL} SELECT doc_id, line, fenced FROM fold")
 def fence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-2."""
-    return chunking.scan_lines(base.markdown(spark, sf_dir)).select("doc_id", F.posexplode("fenced").alias("line", "fenced"))
+    return chunking.scan_lines(base.markdown(spark, sf_dir)).select("doc_id", F.posexplode_outer("fenced").alias("line", "fenced")).where(F.col("line").isNotNull())
 
 
 TABLES_SQL = f"""{FENCES_SQL},
@@ -200,13 +200,13 @@ heads AS (
 @query(f"WITH RECURSIVE {TABLES_SQL} SELECT doc_id, line, mode > 0 AS tabled FROM scan")
 def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-3, CHK-4, CHK-5."""
-    return chunking.scan_lines(base.markdown(spark, sf_dir)).select("doc_id", F.posexplode("tabled").alias("line", "tabled"))
+    return chunking.scan_lines(base.markdown(spark, sf_dir)).select("doc_id", F.posexplode_outer("tabled").alias("line", "tabled")).where(F.col("line").isNotNull())
 
 
 @query(f"WITH RECURSIVE {TABLES_SQL} SELECT doc_id, line, CAST(level AS INTEGER) AS level, text FROM heads WHERE level BETWEEN 1 AND 3")
 def heading_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-6, CHK-7."""
-    return chunking.scan_lines(base.markdown(spark, sf_dir)).select("doc_id", F.inline("headings"))
+    return chunking.scan_lines(base.markdown(spark, sf_dir)).select("doc_id", F.inline_outer("headings")).where(F.col("line").isNotNull())
 
 
 SECTIONS_SQL = f"""{TABLES_SQL},
@@ -226,7 +226,7 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-8, CHK-9, CHK-10."""
     scanned = chunking.scan_lines(base.markdown(spark, sf_dir)).where(F.size("lines") > 0).withColumn("starts", chunking.section_starts(F.col("headings")))
     sections = chunking.sections_of(F.col("headings"), F.col("starts"), F.col("counts"), F.size("lines"))
-    return scanned.select("doc_id", F.explode(sections).alias("s")).select("doc_id", "s.start", F.col("s.end").alias("stop"), F.array_join("s.breadcrumb", " > ").alias("breadcrumb"))
+    return scanned.select("doc_id", F.explode_outer(sections).alias("s")).where(F.col("s").isNotNull()).select("doc_id", "s.start", F.col("s.end").alias("stop"), F.array_join("s.breadcrumb", " > ").alias("breadcrumb"))
 
 
 SMALL = chunking.ChunkConfig(floor=40, ceiling=120)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import vectors
-from noteloom.functions.text import words
+from noteloom.functions.text import tokens, words
 from noteloom.operators import embedding, postings, retrieval
 from noteloom.plans import base
 
@@ -144,6 +144,54 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.lexical_ranked(spark, sf_dir, 5).select("question_id", "uid", "chunk_index", "score", "rank")
 
 
+def lexical_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words of the questions, and posting lists of the words of all notes."""
+    lists, bounds = postings.token_lists(base.notes(spark, sf_dir).select("tenant_id", F.col("uid").alias("point_id"), "text"), tokens(F.col("text")))
+    asked = base.questions(spark, sf_dir).where(F.col("tenant_id").isNotNull()).select(F.col("question_id").alias("query_id"), "tenant_id", F.explode(F.transform(tokens(F.col("question")), lambda w: F.xxhash64(w))).alias("term"))
+    return asked, lists, bounds
+
+
+@query(f"WITH {base.QUESTIONS_SQL} SELECT question_id, uid, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
+def lexical_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP-11, JON-17: the rows of lexical_search from posting lists, rare words first, with a stop bound per question."""
+    asked, lists, bounds = lexical_lists(spark, sf_dir)
+    ranked = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.top_by_words(block, lists, bounds, 5))
+    return ranked.select(F.col("query_id").alias("question_id"), F.col("point_id").alias("uid"), "score", "rank")
+
+
+@query(f"""WITH {base.QUESTIONS_SQL},
+n AS (SELECT tenant_id, token, count(*) AS n FROM tokens GROUP BY ALL),
+placed AS (SELECT question_id, tenant_id, token, n, row_number() OVER (PARTITION BY question_id ORDER BY n, token) AS place FROM asked JOIN n USING (tenant_id, token))
+SELECT question_id, count(*) AS lists, CAST(sum(n) AS BIGINT) AS entries FROM placed GROUP BY question_id""")
+def lexical_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP-11: lists of the words of each question, and their entries; `visited` of the operator tells how many are looked at."""
+    asked, lists, bounds = lexical_lists(spark, sf_dir)
+    told = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.visited(block.withColumn("weight", F.lit(1.0)), lists, bounds, 5, postings.LEXICAL_HEAD))
+    return told.select(F.col("query_id").alias("question_id"), "lists", "entries")
+
+
+#: Vectors as points with the filter columns of the note of their number; each question has a filter of its own.
+BATCH_SQL = f"""{base.NOTES_SQL},
+points AS (SELECT e.vec_id AS point_id, e.label AS tenant_id, e.embedding::DOUBLE[] AS dense, n.area, n.type, n.vault, n.uid, n.tags, n.status, n.visibility FROM embeddings e LEFT JOIN notes n ON n.doc_id = e.vec_id),
+asked AS (SELECT point_id AS query_id, tenant_id, dense AS query_vector, CASE WHEN point_id % 3 = 0 THEN area END AS area, CASE WHEN point_id % 3 = 1 THEN tags END AS tags, point_id % 4 = 0 AS wide FROM points WHERE point_id % 50 = 0),
+met AS (SELECT query_id, point_id, round(list_cosine_similarity(query_vector, dense), 6) AS dense_score FROM asked q JOIN points p ON q.tenant_id = p.tenant_id
+  WHERE (wide OR (p.status IS DISTINCT FROM 'archived' AND p.visibility IS DISTINCT FROM 'private')) AND (q.area IS NULL OR coalesce(q.area = p.area, false)) AND (q.tags IS NULL OR len(list_filter(q.tags, lambda t: NOT coalesce(list_contains(p.tags, t), false))) = 0))"""
+
+
+@query(f"WITH {BATCH_SQL} SELECT * FROM (SELECT query_id, point_id, dense_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, point_id) AS INTEGER) AS dense_rank FROM met) WHERE dense_rank <= {LEG}")
+def filtered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL-1 to FIL-6: many tenants in one plan, each question with its own facets, tags and guards."""
+    own = base.notes(spark, sf_dir).select(F.col("doc_id").alias("point_id"), "area", "type", "vault", "uid", "tags", "status", "visibility")
+    points = vectors_of(spark, sf_dir).withColumnRenamed("label", "tenant_id").join(own, "point_id", "left")
+    asked = points.where(F.col("point_id") % 50 == 0)
+    number = F.col("point_id")
+    questions = retrieval.restricted(asked.select(
+        number.alias("query_id"), "tenant_id", F.col("dense").alias("query_vector"), F.when(number % 3 == 0, F.col("area")).alias("area"), F.when(number % 3 == 1, F.col("tags")).alias("tags"),
+        (number % 4 == 0).alias("include_archived"), (number % 4 == 0).alias("include_private"),
+    ))
+    return retrieval.dense_batch(questions, points, LEG)
+
+
 @query(f"""WITH {base.QUESTIONS_SQL},
 own AS (SELECT r.question_id, r.uid, r.score, row_number() OVER (PARTITION BY r.question_id ORDER BY r.score DESC, r.uid) AS rank
   FROM scored r JOIN notes n USING (uid) WHERE n.status IS DISTINCT FROM 'archived' AND n.visibility IS DISTINCT FROM 'private')

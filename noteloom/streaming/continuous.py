@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,7 @@ def ingest_stream(points: DataFrame, table: str, checkpoint: str, transform: Cal
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = newest(transform(batch) if transform else batch, version).persist()
-        staged = f"{table}-staged"
+        staged = f"{table}-staged-{uuid.uuid4().hex}"  # of this batch alone
         merged = fresh
         if path_exists(spark, table):
             stored = spark.read.schema(fresh.schema).parquet(table).join(fresh.select("tenant_id").distinct(), "tenant_id", "left_semi")

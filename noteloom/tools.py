@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom import schemas
+from noteloom import deadline, index, schemas
 from noteloom.operators import embedding, retrieval, security
 
 NO_RESULTS = "No results."
@@ -33,16 +33,25 @@ class Scope:
 
 
 class KnowledgeTools:
-    def __init__(self, scope: Scope, points: DataFrame):
-        self._scope, self._points = scope, points
+    """Tools over one state of an index, which is read anew after `refresh`."""
+
+    def __init__(self, scope: Scope, own: index.Index, embed: Callable[[DataFrame], DataFrame] = embedding.both_by_hash, seconds: float = deadline.SEARCH_SECONDS):
+        self._scope, self._index, self._embed, self._seconds = scope, own, embed, seconds
+        self.refresh()
+
+    def refresh(self) -> None:
+        self._state = self._index.current()
+        self._points = self._index.points(self._state, self._scope.tenant_id)
 
     def search_knowledge(self, text: str, top_k: int | None = None, area: str = "", note_type: str = "", tags: Sequence[str] = ()) -> str:
-        """Framed results, best first; an empty answer says whether the area itself is empty."""
+        """Framed results, best first; an empty answer says whether the area itself is empty. A search that takes longer than
+        it may is cancelled."""
         self._scope.check(area, note_type)
         asked = retrieval.Query(self._scope.collection, self._scope.tenant_id, text, top_k=retrieval.clamp_top_k(top_k), area=area, type=note_type, tags=tuple(tags)).validate()
-        query = retrieval.query_rows(self._points.sparkSession, text, embedding.embed_by_hash)
-        terms = retrieval.terms_of(self._points.where(retrieval.build_filter(asked)), "point_id")
-        rows = retrieval.format_results(retrieval.search(query, self._points, terms, asked))
+        return deadline.within(self._index.spark, self._seconds, lambda: self._search(asked, text, area))
+
+    def _search(self, asked: retrieval.Query, text: str, area: str) -> str:
+        rows = retrieval.format_results(self._index.ask(asked, text, self._embed, self._state))
         rows = rows.withColumn("path_error", security.path_error(F.col("path")))
         block = security.render_block(F.col("path"), F.col("title"), F.col("breadcrumb"), F.col("uid"), F.col("chunk_index"), F.col("score"), F.col("text"))
         found = rows.select("position", "error", "path_error", block.alias("block")).orderBy("position").collect()
