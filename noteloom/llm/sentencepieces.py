@@ -222,31 +222,35 @@ def _trace(word: Column, best: Column, first_byte: int) -> Column:
     return F.aggregate(F.sequence(F.size(best), F.lit(2), F.lit(-1)), start, step, lambda s: s["ids"])
 
 
-def _lattice(words: DataFrame, table: PieceTable, key: list[str], carried: list[str]) -> DataFrame:
+def _lattice(words: DataFrame, table: PieceTable, key: list[str], carried: list[str], long: bool) -> DataFrame:
     """Edges of each word: the columns `key`, start, end, id, score and rank. The columns `carried` come with one edge of
     each word, null with the others."""
     spark = words.sparkSession
     ranked = sorted(table.pieces, key=lambda x: (-x[2], x[1]))
     ranks = {s: r for r, (_, _, s) in reversed(list(enumerate(ranked)))}  # equal scores share a rank
     pieces = F.broadcast(spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in table.pieces], "piece string, id int, score double, rank int"))  # the model's vocabulary
-    # Substrings are taken from windows, and those from windows of a word, so that no row carries more than a small window.
-    def windows(text: str, size: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.length(text) - 1, F.lit(size)), lambda i: F.substring(text, i + 1, F.lit(size + table.longest)))
-
-    outer = words.select(*key, *carried, F.posexplode(windows("word", OUTER)).alias("far", "outer"))
-    named = outer.select(*key, *carried, "far", F.posexplode(windows("outer", WINDOW)).alias("near", "window")).where(F.col("near") < OUTER // WINDOW)
-    base = (F.col("far") * OUTER + F.col("near") * WINDOW).alias("base")
-    own = F.least(F.length("window"), F.lit(WINDOW))
-    starts = named.select(*key, *carried, base, "window", F.explode(F.sequence(F.lit(0), own - 1)).alias("local"))
-    starts = starts.withColumns({c: F.when(F.col("base") + F.col("local") == 0, F.col(c)) for c in carried})
-    ends = F.sequence(F.col("local") + 1, F.least(F.length("window"), F.col("local") + table.longest))
-    parts = starts.select(*key, *carried, "base", "window", "local", F.explode(ends).alias("stop"))
+    if long:
+        # Substrings are taken from windows, and those from windows of a word, so that no row carries more than a small one.
+        def windows(text: str, size: int) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.length(text) - 1, F.lit(size)), lambda i: F.substring(text, i + 1, F.lit(size + table.longest)))
+
+        outer = words.select(*key, *carried, F.posexplode(windows("word", OUTER)).alias("far", "outer"))
+        inner = outer.select(*key, *carried, "far", F.posexplode(windows("outer", WINDOW)).alias("near", "window")).where(F.col("near") < OUTER // WINDOW)
+        text, own = "window", F.least(F.length("window"), F.lit(WINDOW))
+        starts = inner.select(*key, *carried, text, (F.col("far") * OUTER + F.col("near") * WINDOW).alias("base"), F.explode(F.sequence(F.lit(0), own - 1)).alias("local"))
+    else:
+        text = "word"
+        starts = words.select(*{*key, *carried, text}, F.lit(0).alias("base"), F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("local"))
+    first = F.col("base") + F.col("local") == 0
+    starts = starts.withColumns({c: F.when(first, F.col(c)) for c in carried})
+    stops = F.sequence(F.col("local") + 1, F.least(F.length(text), F.col("local") + table.longest))
+    parts = starts.select(*{*key, *carried, text}, "base", "local", F.explode(stops).alias("stop"))
     parts = parts.withColumns({"start": F.col("base") + F.col("local"), "end": F.col("base") + F.col("stop")})
     parts = parts.withColumns({c: F.when(F.col("end") == 1, F.col(c)) for c in carried})
     if table.merges:
         # Signs are boundaries of their own; one edge of one sign keeps words that nothing can merge.
         parts = parts.where((F.col("end") > F.col("start") + 1) | (F.col("start") == 0))
-    lattice = parts.withColumn("piece", F.substring("window", F.col("local") + 1, F.col("stop") - F.col("local"))).join(pieces, "piece", "left")
+    lattice = parts.withColumn("piece", F.substring(text, F.col("local") + 1, F.col("stop") - F.col("local"))).join(pieces, "piece", "left")
     return lattice.where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
 
 
@@ -266,9 +270,9 @@ def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
     hash and length, so that they are not copied with each edge, and meet their text again by a join."""
     short, long = words.where(F.length("word") < LIMB), words.where(F.length("word") >= LIMB)
     key = F.xxhash64("word", F.reverse("word"))
-    folded = _lattice(short, table, ["word", "salt"], ["blocks"]).groupBy("word", "salt").agg(_edges(table), F.first("blocks", ignorenulls=True).alias("blocks"))
+    folded = _lattice(short, table, ["word", "salt"], ["blocks"], False).groupBy("word", "salt").agg(_edges(table), F.first("blocks", ignorenulls=True).alias("blocks"))
     named = long.withColumns({"key": key, "n": F.length("word")})
-    edges = _lattice(named, table, ["key", "n", "salt"], []).groupBy("key", "n", "salt").agg(_edges(table))
+    edges = _lattice(named, table, ["key", "n", "salt"], [], True).groupBy("key", "n", "salt").agg(_edges(table))
     if table.merges:
         short_state = _replay_merges(F.col("word"), F.col("edges"))
     else:
