@@ -8,7 +8,7 @@ import os
 import signal
 import sys
 import threading
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
@@ -37,6 +37,8 @@ class Embedder:
     handshake: schemas.Handshake
     passages: Callable[[DataFrame], DataFrame]
     queries: Callable[[DataFrame], DataFrame]
+    #: Both vectors of one question, without a job.
+    question: Callable[[SparkSession, str], tuple[Sequence[float], Mapping[int, float]]]
     #: Token counts of texts by the model, if it has a tokenizer of its own.
     count: Callable[[Sequence[str]], Sequence[int]] | None = None
 
@@ -44,14 +46,14 @@ class Embedder:
 def embedder_of(settings: config.Config) -> Embedder:
     """The service that the settings name, or the built-in embedder. Asking the service who it is comes before any work."""
     if not settings.embedder:
-        return Embedder(HANDSHAKE, embedding.both_by_hash, embedding.both_by_hash)
+        return Embedder(HANDSHAKE, embedding.both_by_hash, embedding.both_by_hash, embedding.hash_question)
     service = embedder.Service(settings.embedder)
     said = service.handshake()
 
     def through(kind: str) -> Callable[[DataFrame], DataFrame]:
         return lambda rows: embedding.embed_both(rows, lambda: lambda texts: service.embed(texts, kind), said.dim)
 
-    return Embedder(said, through("passage"), through("query"), service.count)
+    return Embedder(said, through("passage"), through("query"), lambda spark, text: service.embed([text], "query")[0], service.count)
 
 
 class Interrupt:
@@ -192,7 +194,7 @@ def run_search(spark: SparkSession, settings: config.Config, args: argparse.Name
         raise outage.StoreDown("the collection is empty")
     model, applied = embedder_of(settings), applied_state(settings)
     embedding.verify(model.handshake, applied, settings.embedding_model or (applied or {}).get("model", ""))
-    rows = retrieval.format_results(own.ask(asked, args.text, model.queries, state)).orderBy("position").collect()
+    rows = retrieval.format_results(own.ask(asked, *model.question(spark, args.text), state)).orderBy("position").collect()
     return [{"uid": r.uid, "chunk_index": r.chunk_index, "title": r.title, "breadcrumb": r.breadcrumb, "path": r.path, "score": r.score, "text": r.text, "untrusted": r.untrusted} for r in rows]
 
 
@@ -305,10 +307,9 @@ def run_measure_search(spark: SparkSession, settings: config.Config, args: argpa
     for at in range(args.warm + args.count):
         asked = retrieval.Query(settings.collection, settings.tenant, questions[at % len(questions)]).validate()
         clock = measuring.Clock()
-        question, terms = retrieval.query_rows(spark, asked.text, model.queries)
+        vector, weights = model.question(spark, asked.text)
         clock.lap("embed")
-        rows = own.ranked(asked, question, terms, state)
-        clock.lap("overhead")
+        rows = own.ask(asked, vector, weights, state)
         found = rows.collect()
         clock.lap("store")
         [r.asDict() for r in found]

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from noteloom import schemas
 from noteloom.operators import points, postings, retrieval
@@ -23,6 +25,8 @@ PAYLOAD = [f.name for f in schemas.PAYLOAD]
 ROWS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.PAYLOAD if f.name != "tenant_id") + f", point_id string, dense array<double>, sparse {postings.SPARSE}, seq bigint"
 POINTS = f"{ROWS}, run string, tenant_id string, bucket int"
 DIGESTS = "uid string, n bigint, source string, vault string, path string"
+#: Entries of posting lists that one question sums in one job.
+ONE_JOB = 5_000_000
 #: Metadata of a note that its points carry.
 NOTE_FIELDS = ("uid", "vault", "path", "area", "sub", "type", "status", "visibility", "tags", "title", "lang", "created")
 
@@ -130,7 +134,7 @@ class Index:
             if pruned is not None:
                 merged = merged.join(pruned.select("uid"), "uid", "left_anti")
             placed = merged.withColumn("bucket", note_bucket(F.col("uid"), buckets))
-            placed = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64("uid"), F.lit(buckets * 8)))
+            placed = placed.hint("rebalance", "bucket")  # few files for small buckets, several for large ones
             parts = self.table.stage(placed, "points", ["tenant_id", "bucket"], name)
             if not all(self._unescaped(p, "tenant_id") == tenant for p in parts):
                 raise ValueError("a row of another tenant is about to be written")
@@ -183,12 +187,23 @@ class Index:
         lists, bounds = self.lists(state, tenants, terms)
         return retrieval.search_batch(questions, stored, lists, bounds, mode, top_k, offset)
 
-    def ask(self, asked: retrieval.Query, text: str, embed: Callable[[DataFrame], DataFrame], snapshot: Snapshot | None = None) -> DataFrame:
-        """One question under its filter, embedded once."""
-        question, terms = retrieval.query_rows(self.spark, text, embed)
-        return self.ranked(asked, question, terms, snapshot or self.current())
+    def ask(self, asked: retrieval.Query, vector: retrieval.Vector, weights: retrieval.Weights, snapshot: Snapshot | None = None) -> DataFrame:
+        """Answers to one embedded question. Both legs run side by side as jobs of their own, each over the points of the
+        tenant and the lists of the question's terms; what they bring is fused here, and its rows are looked up.
 
-    def ranked(self, asked: retrieval.Query, question: DataFrame, terms: Sequence[int], snapshot: Snapshot | None) -> DataFrame:
-        """Answers to one embedded question; only the lists of its terms and the points of its tenant are read."""
-        lists, bounds = self.lists(snapshot, [asked.tenant_id], terms)
-        return retrieval.search(question, self.table.read(snapshot, "points", POINTS, tenant_id=[asked.tenant_id]), lists, bounds, asked)
+        A question whose lists are long (ONE_JOB entries) goes the way of many questions, which looks at parts of them.
+        """
+        state = snapshot or self.current()
+        request = retrieval.request_of(asked.validate())
+        points = self.table.read(state, "points", POINTS, tenant_id=[asked.tenant_id])
+        legs = [lambda: retrieval.best_dense(points, asked, vector, (request.single or request.fused[0]).limit)]
+        if not request.single:
+            lists, bounds = self.lists(state, [asked.tenant_id], list(weights))
+            if (bounds.agg(F.sum("n")).first()[0] or 0) > ONE_JOB:
+                made = self.spark.createDataFrame([(0, list(map(float, vector)), sorted((int(t), float(w)) for t, w in weights.items()))], f"query_id int, query_vector array<double>, sparse {postings.SPARSE}")
+                return retrieval.search(made, points, lists, bounds, asked)
+            legs.append(lambda: retrieval.best_sparse(points, lists, asked, weights, request.fused[1].limit))
+        with ThreadPoolExecutor(len(legs)) as pool:
+            done = [pool.submit(inheritable_thread_target(self.spark)(leg)) for leg in legs]
+            found = retrieval.fused_window([f.result() for f in done], asked)
+        return retrieval.shown(points, asked, found)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import words
@@ -125,5 +125,14 @@ def sparse_by_hash(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("sparse", run(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))))
 
 
+def hash_question(spark: SparkSession, text: str, width: int = 64) -> tuple[list[float], dict[int, float]]:
+    """Both vectors of one text, computed with the plan: a table of constants needs no job."""
+    row = spark.sql("SELECT * FROM VALUES (:text) AS t(text)", args={"text": text})
+    ids = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    counted = F.transform(F.array_distinct("ids"), lambda i: F.struct(i.alias("id"), F.size(F.filter("ids", lambda x: x == i)).alias("n")))
+    got = row.select(hash_embedding(F.col("text"), width).alias("dense"), ids.alias("ids")).select("dense", counted.alias("sparse")).first()
+    return list(got.dense), {s.id: float(s.n) for s in got.sparse}
+
+
 def both_by_hash(chunks: DataFrame, width: int = 64) -> DataFrame:
     return sparse_by_hash(embed_by_hash(chunks, width))

@@ -6,15 +6,16 @@ shuffled to be scored, and ranks are cut within each partition before any exchan
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import tokens, words
 from noteloom.functions.vectors import cosine, rrf
-from noteloom.operators.postings import SPARSE, top_points
+from noteloom.operators.postings import top_points
 from noteloom.schemas import FILTERABLE, RESULT_FIELDS
 
 MODES = ("hybrid", "dense")
@@ -326,8 +327,59 @@ def search(rows: DataFrame, points: DataFrame, lists: DataFrame, bounds: DataFra
     return search_batch(questions_of(rows, query), points.where(build_filter(query)), lists.where(of_tenant(query.tenant_id)), bounds.where(of_tenant(query.tenant_id)), query.mode, query.top_k, query.offset, cap)
 
 
-def query_rows(spark: SparkSession, text: str, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[int]]:
-    """One question, embedded once: query_id, query_vector, sparse; and its terms."""
-    row = embed(spark.createDataFrame([(0, text)], "query_id int, text string")).select("dense", "sparse").first()
-    made = spark.createDataFrame([(0, row.dense, row.sparse)], f"query_id int, query_vector array<double>, sparse {SPARSE}")
-    return made, [s.id for s in row.sparse]
+Vector, Weights = Sequence[float], Mapping[int, float]
+
+
+def literal(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def best_dense(points: DataFrame, query: Query, vector: Vector, limit: int) -> list[tuple[str, str, float]]:
+    """(point_id, uid, score) of one question by cosine. The vector is a constant of the plan, and the best of each
+    partition are all that leaves it."""
+    scored = points.where(build_filter(query)).select("point_id", "uid", cosine(literal(vector), F.col("dense")).alias("score"))
+    return [tuple(r) for r in scored.orderBy(F.desc("score"), "point_id").limit(limit).collect()]
+
+
+def best_sparse(points: DataFrame, lists: DataFrame, query: Query, weights: Weights, limit: int) -> list[tuple[str, str, float]]:
+    """The same from the posting lists of the question's terms."""
+    if not weights:
+        return []
+    asked = F.create_map(*[F.lit(x) for t, w in weights.items() for x in (int(t), float(w))])
+    summed = lists.where(F.col("term").isin(list(map(int, weights)))).groupBy("point_id", "seq").agg(F.sum(F.col("weight") * F.element_at(asked, F.col("term").cast("bigint"))).alias("sum"))
+    own = points.where(build_filter(query)).select("point_id", "seq", "uid")
+    scored = summed.join(own, ["point_id", "seq"]).select("point_id", "uid", F.round("sum", 6).alias("score"))
+    return [tuple(r) for r in scored.orderBy(F.desc("score"), "point_id").limit(limit).collect()]
+
+
+def _half_up(x: float, digits: int) -> float:
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def fused_window(legs: Sequence[Sequence[tuple[str, str, float]]], query: Query, cap: int = NOTE_CAP, k: int = RRF_K) -> list[tuple[str, float]]:
+    """(point_id, score) in order, of legs as long as their limits: what `fuse` and `cap_per_note` give for one question."""
+    if len(legs) == 1:
+        ranked = [(p, uid, score) for p, uid, score in legs[0]]
+    else:
+        shares: dict[str, list[float]] = {}
+        notes = {p: uid for leg in legs for p, uid, _ in leg}
+        for leg in legs:
+            for rank, (p, *_) in enumerate(leg, 1):
+                shares.setdefault(p, []).append(1.0 / (k + rank))
+        ranked = sorted(((p, notes[p], _half_up(sum(own), 9)) for p, own in shares.items()), key=lambda r: (-r[2], r[0]))
+    taken: dict[str, int] = {}
+    out = []
+    for p, uid, score in ranked[query.offset : query.offset + window_size(query.top_k, cap)]:
+        taken[uid] = taken.get(uid, 0) + 1
+        if cap <= 0 or taken[uid] <= cap:
+            out.append((p, score))
+    return out[: query.top_k]
+
+
+def shown(points: DataFrame, query: Query, found: Sequence[tuple[str, float]]) -> DataFrame:
+    """The rows of found points with position and score."""
+    own = points.where(of_tenant(query.tenant_id) & F.col("point_id").isin([p for p, _ in found])).select("point_id", *RESULT_FIELDS)
+    if not found:
+        return own.withColumns({"position": F.lit(0), "score": F.lit(0.0)})
+    placed = F.create_map(*[x for i, (p, score) in enumerate(found, 1) for x in (F.lit(p), F.struct(F.lit(i).alias("position"), F.lit(score).alias("score")))])
+    return own.withColumn("_at", F.element_at(placed, F.col("point_id"))).withColumns({"position": F.col("_at.position"), "score": F.col("_at.score")}).drop("_at")

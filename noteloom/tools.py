@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from noteloom import deadline, index, schemas
@@ -35,7 +35,7 @@ class Scope:
 class KnowledgeTools:
     """Tools over one state of an index, which is read anew after `refresh`."""
 
-    def __init__(self, scope: Scope, own: index.Index, embed: Callable[[DataFrame], DataFrame] = embedding.both_by_hash, seconds: float = deadline.SEARCH_SECONDS):
+    def __init__(self, scope: Scope, own: index.Index, embed: Callable[[SparkSession, str], tuple] = embedding.hash_question, seconds: float = deadline.SEARCH_SECONDS):
         self._scope, self._index, self._embed, self._seconds = scope, own, embed, seconds
         self.refresh()
 
@@ -51,7 +51,7 @@ class KnowledgeTools:
         return deadline.within(self._index.spark, self._seconds, lambda: self._search(asked, text, area))
 
     def _search(self, asked: retrieval.Query, text: str, area: str) -> str:
-        rows = retrieval.format_results(self._index.ask(asked, text, self._embed, self._state))
+        rows = retrieval.format_results(self._index.ask(asked, *self._embed(self._index.spark, text), self._state))
         rows = rows.withColumn("path_error", security.path_error(F.col("path")))
         block = security.render_block(F.col("path"), F.col("title"), F.col("breadcrumb"), F.col("uid"), F.col("chunk_index"), F.col("score"), F.col("text"))
         found = rows.select("position", "error", "path_error", block.alias("block")).orderBy("position").collect()

@@ -6,6 +6,7 @@ import json
 import os
 import pathlib
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -522,12 +523,22 @@ def test_only_one_place_makes_point_predicates():
         assert len(found) == (1 if path.name == "retrieval.py" else 0), path
 
 
-def test_tools_keep_their_scope(spark):
+def index_with(spark, root, rows):
+    """An index of one state that holds these points."""
+    own = index.Index(spark, root, buckets=4)
+    full = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.PAYLOAD], "point_id")
+    stored = embedding.both_by_hash(full).withColumns({"seq": F.lit(1).cast("bigint"), "bucket": index.note_bucket(F.col("uid"), 4)})
+    lists = postings.postings_of(stored, 4)
+    parts = {name: own.table.stage(made, name, ["tenant_id", "bucket"], "1") for name, made in (("points", stored), ("postings", postings.in_lists(lists)), ("bounds", postings.bounds_of(lists)))}
+    own.table.commit(None, parts, info={"buckets": 4})
+    return own
+
+
+def test_tools_keep_their_scope(spark, tmp_path):
     from noteloom import tools
 
     stored = spark.createDataFrame([point("t1", 1, text="alpha beta"), point("t2", 2, text="alpha gamma"), *[point("t1", 3, c, text=f"c{c}") for c in range(64)]], POINTS)
-    stored = embedding.embed_by_hash(stored.drop("dense"))
-    own = tools.KnowledgeTools(tools.Scope("interno", "t1", ("a", "b")), stored)
+    own = tools.KnowledgeTools(tools.Scope("interno", "t1", ("a", "b")), index_with(spark, str(tmp_path / "t"), stored))
     answer = own.search_knowledge("alpha", top_k=3)
     assert "alpha beta" in answer and "gamma" not in answer and answer.startswith(security_open())
     assert own.search_knowledge("alpha", area="b").startswith("No results. The area 'b'")
@@ -540,6 +551,62 @@ def test_tools_keep_their_scope(spark):
         tools.Scope("interno", "", ())
 
 
+def test_a_search_that_takes_too_long_is_cancelled(spark):
+    from noteloom import deadline
+
+    @F.udf("long")
+    def slow(i):
+        import time
+
+        time.sleep(60)
+        return i
+
+    begun = time.perf_counter()
+    with pytest.raises(outage.DeadlineExceeded) as e:
+        deadline.within(spark, 1.0, lambda: spark.range(2).select(slow("id")).collect())
+    assert outage.part_of(e.value) == "deadline" and time.perf_counter() - begun < 30
+    assert deadline.within(spark, 30.0, lambda: spark.range(3).count()) == 3 and not spark.sparkContext.getJobTags()
+    with pytest.raises(KeyError):
+        deadline.within(spark, 30.0, lambda: {}["x"])
+
+
+def test_evaluation_of_the_stored_collection(spark, tmp_path, monkeypatch, capsys):
+    root = tmp_path / "vault"
+    (root / "area").mkdir(parents=True)
+    words = ["amber", "birch", "cedar", "dahlia", "elm"]
+    for n, word in enumerate(words, 1):
+        (root / "area" / f"{n}.md").write_text(NOTE.format(U(n), f"all about {word} and {word}"))
+    path = tmp_path / "golden.yaml"
+    path.write_text("coverage: {min_total: 1, max_total: 6, groups: [{name: g, areas: [area], min: 2, max: 6}]}\nquestions:\n" + "".join(f"  - {{question: 'what is {w}', uid: {U(n)}, area: area}}\n" for n, w in enumerate(words[:4], 1)))
+    settings = {"TABLES": tmp_path / "tables", "COLLECTION": "interno", "TENANT": "t", "EMBEDDING_MODEL": "hash-1", "LOCKS": tmp_path / "locks", "VAULTS": "main", "VAULT_MAIN_PATH": root, "VAULT_MAIN_AREAS": "area"}
+    for key, value in settings.items():
+        monkeypatch.setenv(config.PREFIX + key, str(value))
+    assert cli.main(["schema"], spark) == cli.OK and "interno create\n" in capsys.readouterr().out
+    assert cli.main(["schema", "--apply"], spark) == cli.OK and "interno created\n" in capsys.readouterr().out
+    assert cli.main(["schema"], spark) == cli.OK and "interno verified\n" in capsys.readouterr().out
+    assert cli.main(["ingest"], spark) == cli.OK
+    assert set(json.loads(capsys.readouterr().out)["phases_ms"]) == {"lock", "scan", "compare", "write"}
+    decision = tmp_path / "decision.md"
+    asked = ["eval", "--golden", str(path), "--tenant", "t", "--k", "2", "--mode", "hybrid", "--threshold", "1.0", "--compare", str(decision)]
+    assert cli.main(asked, spark) == cli.OK
+    assert json.loads(capsys.readouterr().out)["data"]["hits"] == 4 and "Keep hybrid" in decision.read_text() and "4 questions" in decision.read_text()
+    assert cli.main([*asked[:7], "--mode", "dense", "--compare", str(decision)], spark) == cli.USAGE
+    assert cli.main(["eval", "--golden", str(path), "--tenant", "other", "--mode", "hybrid"], spark) == cli.GATE  # another tenant has no notes
+    capsys.readouterr()
+    assert cli.main(["measure-search", "--golden", str(path), "--count", "2", "--p95", "1e9", "--p99", "1e9"], spark) == cli.OK
+    rows = json.loads(capsys.readouterr().out)["data"]
+    assert [r["phase"] for r in rows] == ["embed", "store", "overhead", "total"] and all(r["n"] == 2 for r in rows) and rows[3]["p95"] >= rows[1]["p95"] > 0
+    assert cli.main(["measure-ingest", "--gate", "1e9"], spark) == cli.OK and '"reprocessed": 0' in capsys.readouterr().out
+    (root / "area" / "1.md").write_text(NOTE.format(U(1), "other words"))
+    assert cli.main(["measure-ingest", "--gate", "1e9"], spark) == cli.GATE and "not measured" in capsys.readouterr().out
+    # One note has no question yet; after it the session ends by itself.
+    args = cli.parser().parse_args(["golden", str(path), "--author", "me"])
+    said = []
+    assert cli.run_golden(spark, config.load(), args, iter(["what is an elm?\n"]), said.append) == 1
+    assert golden.read_golden(spark, str(path))[0].where(f"uid = '{U(5)}' AND author = 'me'").count() == 1 and "4 questions" in said[0] and "all about elm" in said[1] and said[-1] == "saved: 5"
+    assert cli.run_golden(spark, config.load(), args, iter(["never asked\n"]), said.append) == 0
+
+
 def security_open():
     from noteloom.operators.security import OPEN_TAG
 
