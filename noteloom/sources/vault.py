@@ -1,7 +1,8 @@
-"""Vault source: a driver-side walk that sees every Markdown file, then reading in parallel.
+"""Vault source: a walk that sees every Markdown file, then reading in parallel.
 
-Spark's file sources skip empty and `_`-prefixed files, which count here; the walk therefore lists paths itself, what it
-takes is decided by columns, and the bytes are read in Arrow batches from the same mounted folder.
+Spark's file sources skip empty and `_`-prefixed files, which count here; a source of its own therefore lists folders in
+tasks (`vault_listing`), what the walk takes is decided by columns, and the bytes are read in Arrow batches through the
+file system of the path: a mounted folder, or any that Arrow can open.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.sources.vault_listing import is_local, listing, local, open_file
+
+#: Violations that a message names.
+MOST_TOLD = 100
+
 
 @dataclass(frozen=True)
 class Exclusions:
@@ -29,22 +35,6 @@ def fold(path: str) -> str:
     return unicodedata.normalize("NFC", path.replace("\\", "/")).casefold().strip("/")
 
 
-LISTING = "path string, link boolean, folder boolean"
-
-
-def list_files(root: str) -> list[tuple[str, bool, bool]]:
-    """(relative path, whether it is a symbolic link, whether it is a folder) of everything below a vault but what dot
-    folders hold; links are listed, never followed."""
-    out = []
-    for top, inside, names in os.walk(root):
-        relative = os.path.relpath(top, root).replace(os.sep, "/")
-        prefix = "" if relative == "." else relative + "/"
-        inside[:] = sorted(d for d in inside if not d.startswith("."))
-        out += [(prefix + d, os.path.islink(os.path.join(top, d)), True) for d in inside]
-        out += [(prefix + n, os.path.islink(os.path.join(top, n)), False) for n in sorted(names)]
-    return out
-
-
 def folded(path: Column) -> Column:
     """Paths as exclusions compare them: NFC, slashes, no case."""
 
@@ -73,9 +63,9 @@ def choose(listing: DataFrame, exclude: Exclusions | None = None) -> DataFrame:
 
 
 def walk(spark: SparkSession, root: str, exclude: Exclusions | None = None) -> tuple[DataFrame, list[str]]:
-    """Markdown files (path), and all violations, sorted."""
-    chosen = choose(spark.createDataFrame(list_files(root), LISTING), exclude)
-    violations = sorted(f"symbolic link: {r.path}" for r in chosen.where("kind = 'violation'").collect())
+    """Markdown files (path), and violations, sorted; the first MOST_TOLD of many."""
+    chosen = choose(listing(spark, root), exclude)
+    violations = sorted(f"symbolic link: {r.path}" for r in chosen.where("kind = 'violation'").orderBy("path").limit(MOST_TOLD).collect())
     return chosen.where("kind = 'note'").select("path"), violations
 
 
@@ -89,10 +79,10 @@ def read_vault(spark: SparkSession, root: str, vault: str, exclude: Exclusions |
         for batch in batches:
             raw, modified = [], []
             for path in batch["path"]:
-                full = os.path.join(root, path)
-                with open(full, encoding="utf-8", newline="") as file:
-                    raw.append(file.read())
-                modified.append(int(os.path.getmtime(full)))
+                file, changed = open_file(root, path)
+                with file:
+                    raw.append(file.read().decode())
+                modified.append(int(changed))
             yield pd.DataFrame({"vault": vault, "path": batch["path"], "raw": raw, "modified": pd.to_datetime(modified, unit="s", utc=True)})
 
     return paths.repartition(spark.sparkContext.defaultParallelism).mapInPandas(read, "vault string, path string, raw string, modified timestamp")
@@ -100,12 +90,14 @@ def read_vault(spark: SparkSession, root: str, vault: str, exclude: Exclusions |
 
 def every_file(spark: SparkSession, root: str, vault: str) -> DataFrame:
     """vault, path of all files there are: excluded, empty, unreadable and linked ones too."""
-    return spark.createDataFrame([(vault, p) for p, _, folder in list_files(root) if not folder], "vault string, path string")
+    return listing(spark, root).where("NOT folder").select(F.lit(vault).alias("vault"), "path")
 
 
 def git_dates(spark: SparkSession, root: str) -> DataFrame:
     """path, committed: one log of the repository around the vault; empty outside a repository."""
-    done = subprocess.run(["git", "-C", root, "log", "--format=%x00%cI", "--name-only", "--relative", "--", "."], capture_output=True, text=True, check=False)
+    if not is_local(root):
+        return spark.createDataFrame([], "path string, committed timestamp")
+    done = subprocess.run(["git", "-C", local(root), "log", "--format=%x00%cI", "--name-only", "--relative", "--", "."], capture_output=True, text=True, check=False)
     rows, when = [], None
     for line in done.stdout.splitlines() if done.returncode == 0 else []:
         if line.startswith("\0"):
@@ -123,7 +115,7 @@ def check_vaults(settings: dict[str, tuple[str, Sequence[str]]]) -> None:
     for name, (root, areas) in sorted(settings.items()):
         if not is_slug(name):
             problems.append(f"vault name {name!r}")
-        if not os.path.isdir(root):
+        if is_local(root) and not os.path.isdir(local(root)):
             problems.append(f"vault {name}: no folder {root}")
         problems += [f"vault {name}: area {a!r}" for a in areas if not is_slug(a)]
     if problems:

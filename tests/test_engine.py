@@ -180,6 +180,8 @@ def test_vault_walk(spark, tmp_path):
     paths = sorted(r.path for r in listed.collect())
     assert paths == ["a/.hidden.md", "a/_draft.MD", "a/x.md", "b/empty.md"] and violations == []
     assert sorted(r.path for r in vault.read_vault(spark, str(tmp_path), "v", vault.Exclusions(("skip",))).collect()) == ["README.md", "a/.hidden.md", "a/_draft.MD", "a/x.md", "b/empty.md"]
+    by_uri = vault.read_vault(spark, f"file://{tmp_path}", "v", vault.Exclusions(("skip",)))
+    assert sorted((r.path, r.raw) for r in by_uri.collect()) == [(p, "" if "empty" in p else "x") for p in ["README.md", "a/.hidden.md", "a/_draft.MD", "a/x.md", "b/empty.md"]]
     os.symlink(tmp_path / "a/x.md", tmp_path / "b/link.md")
     with pytest.raises(ValueError, match="symbolic"):
         vault.read_vault(spark, str(tmp_path), "v")
@@ -523,6 +525,32 @@ def test_only_one_place_makes_point_predicates():
         assert len(found) == (1 if path.name == "retrieval.py" else 0), path
 
 
+def test_folders_of_a_vault_are_partitions(spark, tmp_path, monkeypatch):
+    from noteloom.sources import vault_listing
+
+    want = set()
+    for i in range(6):
+        for j in range(3):
+            folder = tmp_path / f"f{i}" / f"g{j}" / "deep" / "er"
+            folder.mkdir(parents=True)
+            (folder / "n.md").write_text("x")
+    (tmp_path / ".dot").mkdir()
+    (tmp_path / ".dot" / "n.md").write_text("x")
+    os.symlink(tmp_path / "f0", tmp_path / "f1" / "again")
+    for top, inside, names in os.walk(tmp_path):
+        inside[:] = [d for d in inside if not d.startswith(".")]
+        for name in [*inside, *names]:
+            path = os.path.join(top, name)
+            want.add((os.path.relpath(path, tmp_path), os.path.islink(path), os.path.isdir(path)))
+    for enough in (1, 8, 32):
+        monkeypatch.setattr(vault_listing, "ENOUGH", enough)
+        rows = vault_listing.listing(spark, str(tmp_path))
+        found = [tuple(r) for r in rows.collect()]
+        assert set(found) == want and len(found) == len(want)
+        assert rows.rdd.getNumPartitions() > 6
+    assert vault_listing.listing(spark, str(tmp_path / "f0/g0/deep/er")).count() == 1
+
+
 def index_with(spark, root, rows):
     """An index of one state that holds these points."""
     own = index.Index(spark, root, buckets=4)
