@@ -1,13 +1,12 @@
-"""Measured phases and counts: laps of a run, observed rows, and what a listener heard of its queries."""
+"""Measured phases and counts: laps of a run, percentiles by phase, and counts observed with the rows."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from noteloom.operators.evaluation import latency_report
@@ -44,42 +43,13 @@ def search_report(timings: DataFrame, p95_gate: float, p99_gate: float) -> DataF
 
 
 def observed(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Callable[[], dict[str, Any]]]:
-    """rows, and a function that gives aggregates over them once they were computed. A task that runs twice counts once,
-    because the values of a partition come with its result."""
+    """rows, and a function that gives aggregates over them once they were computed. An attempt of a task that fails counts
+    nothing, because its values come with its result."""
     seen = Observation()
     return rows.observe(seen, *[c.alias(n) for n, c in counts.items()]), lambda: seen.get
 
 
 def with_token_counts(texts: DataFrame, count: Callable[[Column], Column], column: str = "text") -> tuple[DataFrame, Callable[[], dict[str, Any]]]:
-    """Adds `tokens`; the counts (calls, bytes, tokens) are exact under retries."""
+    """Adds `tokens`; the counts (calls, bytes, tokens) are exact when tasks fail and run again."""
     rows = texts.withColumn("tokens", count(F.col(column)))
     return observed(rows, calls=F.count("*"), bytes=F.coalesce(F.sum(F.octet_length(column)), F.lit(0)), tokens=F.coalesce(F.sum("tokens"), F.lit(0)))
-
-
-@contextmanager
-def heard(spark: SparkSession):
-    """A list that fills with (name of the action, milliseconds) of each query that ends inside."""
-    from pyspark import java_gateway
-
-    out: list[tuple[str, float]] = []
-    gateway = spark._sc._gateway
-    java_gateway.ensure_callback_server_started(gateway)
-
-    class Listener:
-        def onSuccess(self, name, execution, nanos):  # noqa: N802 - the names of the interface
-            out.append((name, nanos / 1e6))
-
-        def onFailure(self, name, execution, problem):  # noqa: N802
-            out.append((f"{name} failed", 0.0))
-
-        class Java:
-            implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
-
-    listener = Listener()
-    manager = spark._jsparkSession.listenerManager()
-    manager.register(listener)
-    try:
-        yield out
-        spark._jsc.sc().listenerBus().waitUntilEmpty()
-    finally:
-        manager.unregister(listener)
