@@ -182,6 +182,9 @@ def run_ingest(spark: SparkSession, settings: config.Config, args: argparse.Name
             if settings.state:
                 sinks.write_json(settings.state, {"model": settings.embedding_model, "handshake": asdict(model.handshake)})
             clock.lap("write")
+        for rows in (found, split):
+            rows.unpersist()
+        run.release()
         report["phases_ms"] = clock.phases
         return report
 

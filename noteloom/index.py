@@ -43,6 +43,12 @@ class Run:
     results: DataFrame  # tenant_id, uid, chunks, state, reason
     expected: DataFrame  # points of the notes whose digests differ
     sources: DataFrame  # uid, source, vault, path of all scanned notes
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what the run kept in memory."""
+        for rows in self.kept:
+            rows.unpersist()
 
 
 class Index:
@@ -78,8 +84,8 @@ class Index:
             return self.spark.createDataFrame([], DIGESTS)
         name = f"digests_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE TABLE {name} ({DIGESTS}) USING parquet CLUSTERED BY (uid) SORTED BY (uid) INTO {self.buckets(snapshot)} BUCKETS LOCATION '{self.table.root}/digests/{parts[0]}'")
-        rows = self.spark.table(name)
-        rows.schema  # noqa: B018 - analysed while the name is there; the files stay
+        rows = self.spark.table(name)  # analysed while the name is there
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
         return rows
 
     def _write_digests(self, rows: DataFrame, tenant: str, run: str, buckets: int) -> list[str]:
@@ -107,7 +113,7 @@ class Index:
         fields = [c for c in PAYLOAD if c != "point_id"]
         stored = self.points(base, tenant).drop("dense", "sparse", "seq").join(scanned.select("uid"), "uid", "left_semi")
         results = points.classify(expected, stored, fields, full, scanned, failed).unionByName(same).persist()
-        return Run(base, results, expected, met.select("uid", "source", "vault", "path"))
+        return Run(base, results, expected, met.select("uid", "source", "vault", "path"), (met, expected, results))
 
     def orphans(self, run: Run, tenant: str, live: DataFrame, vaults: Sequence[str]) -> DataFrame:
         """Stored notes that no live note has, told by the digests alone."""
