@@ -23,8 +23,8 @@ SPARSE = "array<struct<id:bigint,weight:double>>"
 POSTINGS = "term bigint, point_id string, seq bigint, weight double, run string, tenant_id string, bucket int"
 BOUNDS = "term bigint, n bigint, largest double, run string, tenant_id string, bucket int"
 BUCKETS = 16
-#: Terms of a question whose lists give the first bound, and what rounding may move a score by.
-HEAD, SLACK = 2, 1e-6
+#: Share of a question's terms whose lists give the first bound, two terms at least, and what rounding may move a score by.
+HEAD_SHARE, LEAST_HEAD, SLACK = 0.75, 2, 1e-6
 #: Runs of postings of a tenant after which they are written anew.
 MOST_RUNS = 8
 
@@ -72,13 +72,13 @@ def with_shares(asked: DataFrame, bounds: DataFrame) -> DataFrame:
     # Of equal shares the rarer term first: its list is shorter.
     order = Window.partitionBy("query_id").orderBy(F.desc("share"), "n", "term")
     after = Window.partitionBy("query_id").orderBy(F.desc("share"), "n", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return shares.withColumns({"place": F.row_number().over(order), "rest": F.sum("share").over(after)})
+    return shares.withColumns({"place": F.row_number().over(order), "rest": F.sum("share").over(after), "terms": F.count("*").over(Window.partitionBy("query_id"))})
 
 
-def split_terms(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit: int, eligible: Eligible | None = None, head: int = HEAD) -> DataFrame:
+def split_terms(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit: int, eligible: Eligible | None = None) -> DataFrame:
     """Terms of questions with the score that the answer reaches at least (`least`), and whether they are `needed`."""
     shares = with_shares(asked, bounds)
-    first = _scored(postings, shares.where(F.col("place") <= head))
+    first = _scored(postings, shares.where(F.col("place") <= F.greatest(F.lit(LEAST_HEAD), F.ceil(F.col("terms") * HEAD_SHARE))))
     first = eligible(first) if eligible else first
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     least = first.withColumn("rank", rank).where(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
@@ -86,13 +86,13 @@ def split_terms(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit:
     return told.withColumn("needed", F.col("rest") >= F.col("least") - SLACK)
 
 
-def top_points(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit: int, eligible: Eligible | None = None, head: int = HEAD) -> DataFrame:
+def top_points(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit: int, eligible: Eligible | None = None) -> DataFrame:
     """query_id, point_id, sparse_score, sparse_rank of the best `limit` points of each question.
 
     asked: query_id, tenant_id, term, weight (positive), few enough to be broadcast (`retrieval.in_blocks`). postings:
     tenant_id, term, point_id, seq, weight. eligible: keeps the rows (query_id, point_id, seq) that may be answers.
     """
-    told = split_terms(asked, postings, bounds, limit, eligible, head)
+    told = split_terms(asked, postings, bounds, limit, eligible)
     beyond = told.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(~F.col("needed"), F.col("rest"))), F.lit(0.0)).alias("beyond"))
     reached = _scored(postings, told.where("needed")).join(F.broadcast(beyond), "query_id").where(F.col("score") + F.col("beyond") >= F.col("least") - SLACK)
     reached = (eligible(reached) if eligible else reached).select("query_id", "point_id", "seq", "score")
@@ -104,10 +104,10 @@ def top_points(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit:
     return scored.withColumn("sparse_rank", rank).where(F.col("sparse_rank") <= limit)
 
 
-def visited(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit: int, head: int = HEAD) -> DataFrame:
+def visited(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit: int) -> DataFrame:
     """query_id, lists, needed, entries, visited: how many of a question's terms, and of the entries of their lists, are a
     reason to look at a point."""
-    told = split_terms(asked, postings, bounds, limit, head=head)
+    told = split_terms(asked, postings, bounds, limit)
     own = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
     return told.groupBy("query_id").agg(F.count("*").alias("lists"), own(F.col("needed"), F.lit(1)).alias("needed"), F.sum("n").alias("entries"), own(F.col("needed"), F.col("n")).alias("visited"))
 
@@ -120,14 +120,10 @@ def token_lists(rows: DataFrame, words: Column) -> tuple[DataFrame, DataFrame]:
     return lists, bounds_of(lists)
 
 
-#: Rare words of a question whose lists give the first bound of a lexical search.
-LEXICAL_HEAD = 8
-
-
 def top_by_words(asked: DataFrame, lists: DataFrame, bounds: DataFrame, limit: int) -> DataFrame:
     """Distinct shared words, best first, ties by point: rare words first, and words that are left when the k-th score is
     out of reach bring no new point. asked: query_id, tenant_id, term."""
-    ranked = top_points(asked.withColumn("weight", F.lit(1.0)), lists, bounds, limit, head=LEXICAL_HEAD)
+    ranked = top_points(asked.withColumn("weight", F.lit(1.0)), lists, bounds, limit)
     return ranked.select("query_id", "point_id", F.col("sparse_score").cast("long").alias("score"), F.col("sparse_rank").alias("rank"))
 
 

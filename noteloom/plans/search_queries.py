@@ -166,7 +166,7 @@ SELECT question_id, count(*) AS lists, CAST(sum(n) AS BIGINT) AS entries FROM pl
 def lexical_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-11: lists of the words of each question, and their entries; `visited` of the operator tells how many are looked at."""
     asked, lists, bounds = lexical_lists(spark, sf_dir)
-    told = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.visited(block.withColumn("weight", F.lit(1.0)), lists, bounds, 5, postings.LEXICAL_HEAD))
+    told = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.visited(block.withColumn("weight", F.lit(1.0)), lists, bounds, 5))
     return told.select(F.col("query_id").alias("question_id"), "lists", "entries")
 
 
