@@ -6,10 +6,11 @@ restores it, without a beam. A gap in a run of spaced signs is dropped or ends a
 the words of all likely readings and the run read as one word count. Restored and plain words and their stems (first
 letters, STEMS) are the features of a logistic regression.
 
-Words have bounds in the channel model, so that texts of any length take linear time: a run of more than RUN equal signs
-reads as RUN, a disguised token is one word and has at most MAX_TOKEN signs (a longer one is not a word; the plain words
-in it still count), and a word of a spaced run has at most MAX_SPELLED signs with gaps (a run has any number of words,
-and one plain letter at least).
+Tokens and runs of any length are decoded, in linear time. A word of more than WHOLE letters is no feature itself, its
+stems are; so the readings of a spaced run that are inside one long word are told apart by its first letters only. Which
+readings are followed is decided by the best score of the rest of the run, which a backward pass gives: all that can end
+within the margin, no others. The channel reads more than RUN equal signs as RUN, a disguised token as one word, and a
+spaced run without any plain letter as numbers.
 
 The language model counts every text; its table is bounded by the alphabet. The classifier is fitted on at most
 `TRAIN_ROWS` labelled rows, chosen by a hash of doc_id among those whose crc32(doc_id) mod 5 is not 0.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,15 +42,15 @@ FOLDS, HELD_OUT = 5, 0
 SYMBOLS = 27
 ORDER = 4
 SMOOTHING = 3.0
-RUN, MAX_TOKEN, MAX_SPELLED = 3, 64, 24
+RUN = 3
 #: Hypotheses whose log probability is within this of the best count as restorations too.
 MARGIN = 4.0
 #: The same of the readings of a spaced run, which has an edge or none at every gap.
 SPACED_MARGIN = 8.0
-#: Letters of stems.
-STEMS = (4, 5)
-#: Tokens whose words a worker keeps.
-CACHE_TOKENS = 60_000
+#: Letters of stems, and the most letters of a word that is a feature as a whole.
+STEMS, WHOLE = (4, 5), 24
+#: Tokens whose words a worker keeps, the most signs of such a token, and moves between nodes that it keeps.
+CACHE_TOKENS, CACHE_SIGNS, CACHE_MOVES = 60_000, 64, 300_000
 
 #: What a sign may stand for in disguised words.
 LEET = {
@@ -138,13 +140,17 @@ def _letters(path: tuple) -> str:
     return "".join(reversed(letters))
 
 
-State = tuple[int, int, int, str, int]  # the last three letters, the last sign, the start of the word
+#: A node of the lattice: the last three letters and the last sign.
+Node = tuple[int, int, int, str]
+START: Node = (0, 0, 0, "")
+#: What a move does to the word, unless it adds a letter (1 to 26).
+NOTHING, END_OF_WORD = 0, -1
 
 
 def with_stems(words: Iterable[str]) -> set[str]:
-    """Words and the first letters (STEMS) of longer ones, marked as such: inflected words share them."""
-    out = set(words)
-    return out.union([f"{w[:n]}*" for w in out for n in STEMS if len(w) > n])
+    """Words of at most WHOLE letters and the first letters (STEMS) of longer ones, marked as such: inflected words share them."""
+    given = set(words)
+    return {w for w in given if len(w) <= WHOLE}.union([f"{w[:n]}*" for w in given for n in STEMS if len(w) > n])
 
 
 def _short_runs(token: str) -> str:
@@ -155,72 +161,121 @@ class Restorer:
     def __init__(self, log: np.ndarray):
         self.log = log.tolist()
         self.known: dict[str, tuple[str, ...]] = {}
+        self.moves: dict[tuple[Node, str], tuple[tuple[Node, float, int], ...]] = {}
+        self.nodes: dict[Node, Node] = {START: START}
 
-    def _step(self, states: dict, sign: str) -> dict:
-        """States to (score, path) after one more sign."""
-        log = self.log
-        after: dict[State, tuple[float, tuple]] = {}
-        if "a" <= sign <= "z":
-            options = ((ord(sign) - 96, KEPT),)
-        else:
-            options = tuple((ord(c) - 96, SWAPPED) for c in LEET.get(sign, ""))
-        codes = [code for code, _ in options]
-        for (a, b, c, last, start), (score, path) in states.items():
-            row = log[a][b][c]
-            for code, channel in options:
-                new = score + channel + row[code]
-                key = (b, c, code, sign, start)
-                if key not in after or after[key][0] < new:
-                    after[key] = (new, (path, code))
-            drop = None
-            if sign == last or c and c in codes:
-                drop = REPEATED
-            elif not sign.isalnum():
-                drop = DROPPED
-            elif not options:
-                drop = 3 * DROPPED
-            if drop is not None:
-                key = (a, b, c, sign, start)
-                new = score + drop
-                if key not in after or after[key][0] < new:
-                    after[key] = (new, path)
-        return after
+    def _moves(self, node: Node, sign: str) -> tuple[tuple[Node, float, int], ...]:
+        """Next nodes with the log probability of the move, and what it does to the word."""
+        known = self.moves.get((node, sign))
+        if known is None:
+            if len(self.moves) > CACHE_MOVES:
+                self.moves.clear()
+                self.nodes = {START: START}
+            found = self._gap_moves(node, sign) if sign in GAPS else self._sign_moves(node, sign)
+            known = self.moves[node, sign] = tuple((self.nodes.setdefault(n, n), score, does) for n, score, does in found)
+        return known
+
+    def _gap_moves(self, node: Node, sign: str) -> list[tuple[Node, float, int]]:
+        a, b, c, _ = node
+        drop, edge = GAPS[sign]
+        out = [] if sign == END else [(node, drop, NOTHING)]
+        if c:  # a word has a letter
+            out.append((START, edge + self.log[a][b][c][0], END_OF_WORD))
+        return out
+
+    def _sign_moves(self, node: Node, sign: str) -> list[tuple[Node, float, int]]:
+        a, b, c, last = node
+        plain = "a" <= sign <= "z"
+        codes = [ord(x) - 96 for x in (sign if plain else LEET.get(sign, ""))]
+        channel, row = KEPT if plain else SWAPPED, self.log[a][b][c]
+        out = [((b, c, code, sign), channel + row[code], code) for code in codes]
+        if sign == last or c and c in codes:
+            out.append(((a, b, c, sign), REPEATED, NOTHING))
+        elif not sign.isalnum():
+            out.append(((a, b, c, sign), DROPPED, NOTHING))
+        elif not codes:
+            out.append(((a, b, c, sign), 3 * DROPPED, NOTHING))
+        return out
 
     def decode(self, token: str) -> list[str]:
         """Likely plain words behind a disguised one, best first."""
-        token, log = _short_runs(token), self.log
-        if len(token) > MAX_TOKEN:
-            return []
-        states: dict[State, tuple[float, tuple]] = {(0, 0, 0, "", 0): (0.0, ())}
-        for sign in token:
-            states = self._step(states, sign)
-        done = sorted(((score + log[a][b][c][0], path) for (a, b, c, *_), (score, path) in states.items()), key=lambda x: -x[0])
+        log, moves = self.log, self._moves
+        states: dict[Node, tuple[float, tuple]] = {START: (0.0, ())}
+        for sign in _short_runs(token):
+            after: dict[Node, tuple[float, tuple]] = {}
+            for node, (score, path) in states.items():
+                for target, cost, code in moves(node, sign):
+                    new = score + cost
+                    if target not in after or after[target][0] < new:
+                        after[target] = (new, (path, code) if code else path)
+            states = after
+        done = sorted(((score + log[a][b][c][0], path) for (a, b, c, _), (score, path) in states.items()), key=lambda x: -x[0])
         return list(dict.fromkeys(_letters(path) for score, path in done if path and score >= done[0][0] - MARGIN))
 
+    def _futures(self, signs: str) -> tuple[list[tuple[Node, ...]], list[array], float]:
+        """The nodes before each sign, the best score of what follows each of them, and the best score of all."""
+        moves = self._moves
+        layers, best = [], {START: 0.0}
+        for sign in signs:
+            layers.append(tuple(best))
+            after: dict[Node, float] = {}
+            for node, score in best.items():
+                for target, cost, _ in moves(node, sign):
+                    if score + cost > after.get(target, -math.inf):
+                        after[target] = score + cost
+            best = after
+        futures, ahead = [], dict.fromkeys(best, 0.0)
+        for nodes, sign in zip(reversed(layers), reversed(signs)):
+            scores = array("d", (max((cost + ahead[target] for target, cost, _ in moves(node, sign)), default=-math.inf) for node in nodes))
+            futures.append(scores)
+            ahead = dict(zip(nodes, scores))
+        return layers, futures[::-1], best.get(START, -math.inf)
+
     def split(self, run: str) -> list[str]:
-        """The words of all readings of a spaced run that are within SPACED_MARGIN of the best one."""
-        log = self.log
-        states: dict[State, tuple[float, tuple]] = {(0, 0, 0, "", 0): (0.0, ())}
-        best, found = {0: 0.0}, []  # best score up to a word's start; start, end, score and path of words
-        for at, sign in enumerate(run + END, 1):
-            if sign not in GAPS:
-                states = self._step({k: v for k, v in states.items() if at - k[4] < 2 * MAX_SPELLED}, sign)
-                continue
-            drop, edge = GAPS[sign]
-            ends = [(score + edge + log[a][b][c][0], start, path) for (a, b, c, _, start), (score, path) in states.items() if path]
-            states = {key: (score + drop, path) for key, (score, path) in states.items()}
-            if ends:
+        """The words of all readings of a spaced run that are within SPACED_MARGIN of the best one; stems of those of more
+        than WHOLE letters."""
+        moves, signs = self._moves, run + END
+        layers, futures, top = self._futures(signs)
+        if top == -math.inf:
+            return []
+        least = top - SPACED_MARGIN - 1e-9
+        layers.append((START,))
+        futures.append(array("d", [0.0]))
+        words: dict[str, None] = {}
+        # Nodes with the place where the word began, or the first letters of a long word: score, word and its letters.
+        states: dict[tuple[Node, int | str], tuple[float, str, int]] = {(START, 0): (0.0, "", 0)}
+        for at, sign in enumerate(signs, 1):
+            ahead = dict(zip(layers[at], futures[at]))
+            after: dict[tuple[Node, int | str], tuple[float, str, int]] = {}
+            edge = -math.inf
+            for (node, begun), (score, word, n) in states.items():
+                for target, cost, does in moves(node, sign):
+                    new = score + cost
+                    if new + ahead[target] < least:
+                        continue
+                    if does == END_OF_WORD:
+                        edge = max(edge, new)
+                        words.update(dict.fromkeys([word] if n <= WHOLE else [f"{word[:k]}*" for k in STEMS]))
+                        continue
+                    origin, text, count = begun, word, n
+                    if does and n <= WHOLE:
+                        text, count = word + chr(does + 96), n + 1
+                        if count > WHOLE:
+                            origin = text = text[: max(STEMS)]
+                    key = (target, origin)
+                    if key not in after or after[key][0] < new:
+                        after[key] = (new, text, count)
+            # Equal words at one node have the same rest: only the best one goes on.
+            leading: dict[tuple[Node, str, bool], tuple[Node, int | str]] = {}
+            for key, (score, text, count) in after.items():
+                same = (key[0], text, count > WHOLE)
+                if same not in leading or after[leading[same]][0] < score:
+                    leading[same] = key
+            states = {key: after[key] for key in leading.values()}
+            if edge > -math.inf:
                 # Whatever follows an edge is the same for all words that end there.
-                best[at] = max(ends)[0]
-                found += [(start, at, score - best[start], path) for score, start, path in ends if score >= best[at] - SPACED_MARGIN]
-                states[0, 0, 0, "", at] = (best[at], ())
-        end = len(run) + 1
-        rest = {end: 0.0}
-        for start, to, score, _ in reversed(found):
-            if to in rest:
-                rest[start] = max(rest.get(start, -np.inf), score + rest[to])
-        least = best.get(end, 0.0) - SPACED_MARGIN
-        return list(dict.fromkeys(_letters(path) for start, to, score, path in found if to in rest and best[start] + score + rest[to] >= least))
+                states[START, at] = (edge, "", 0)
+        return list(words)
 
     def spaced(self, text: str) -> set[str]:
         """Words of the spaced runs of a text in lower case."""
@@ -235,6 +290,8 @@ class Restorer:
 
     def of_token(self, token: str) -> tuple[str, ...]:
         """Plain words of a token (signs without white space, in lower case) and what it may stand for."""
+        if len(token) > CACHE_SIGNS:
+            return self._of_token(token)
         known = self.known.get(token)
         if known is None:
             if len(self.known) > CACHE_TOKENS:
@@ -246,7 +303,7 @@ class Restorer:
         plain = token.isalpha()
         triple = _TRIPLE.search(token)
         if plain and not triple:
-            return (token, *[f"{token[:n]}*" for n in STEMS if len(token) > n])
+            return (*([token] if len(token) <= WHOLE else []), *[f"{token[:n]}*" for n in STEMS if len(token) > n])
         out = set(_WORD.findall(token))
         if not plain:
             whole = token.strip(_EDGE).translate(_FOLD)
@@ -256,7 +313,7 @@ class Restorer:
             core = core.strip(_EDGE)
             for form in {core, whole} if 0 < decoration <= 2 else {core}:
                 form = _short_runs(form)
-                if 1 < len(form) <= MAX_TOKEN and not form.isalpha() and _LEET_TOKEN.fullmatch(form):
+                if len(form) > 1 and not form.isalpha() and _LEET_TOKEN.fullmatch(form):
                     out.update(self.decode(form))
         if triple:
             for letters in _LETTERS.findall(token):
@@ -290,7 +347,7 @@ class FeatureFinder:
                     self.full.clear()
                 if found:
                     self.full[token] = frozenset(found)
-                else:
+                elif len(token) <= CACHE_SIGNS:
                     self.empty.add(token)
             out |= found
         return out

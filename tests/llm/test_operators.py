@@ -267,13 +267,91 @@ def test_viterbi_restores_what_all_readings_give():
         assert sorted(round(scores[x], 6) for x in got) == sorted(round(scores[x], 6) for x in want) or sure <= set(got)
 
 
+def every_split(restorer, run, whole):
+    """Words of all readings of a spaced run with the best score of a reading that holds each, one by one."""
+    letter = {c: 1 + i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    log, best = restorer.log, {}
+
+    def ended(word, score):
+        context = [letter[c] for c in ("```" + word)[-3:] if c != "`"]
+        context = [0] * (3 - len(context)) + context
+        return score + log[context[0]][context[1]][context[2]][0]
+
+    def go(at, last, word, words, score):
+        if at == len(run):
+            if word:
+                for w in {*words, word}:
+                    best[w] = max(best.get(w, -np.inf), ended(word, score))
+            return
+        sign = run[at]
+        if sign in toxicity.GAPS:
+            drop, edge = toxicity.GAPS[sign]
+            go(at + 1, last, word, words, score + drop)
+            if word:
+                go(at + 1, "", "", (*words, word), ended(word, score) + edge)
+            return
+        stands = sign if sign in letter else toxicity.LEET.get(sign, "")
+        cost = toxicity.KEPT if sign in letter else toxicity.SWAPPED
+        context = [0] * (3 - len(word[-3:])) + [letter[c] for c in word[-3:]]
+        for c in stands:
+            go(at + 1, sign, word + c, words, score + cost + log[context[0]][context[1]][context[2]][letter[c]])
+        if sign == last or word and word[-1] in stands:
+            go(at + 1, sign, word, words, score + toxicity.REPEATED)
+        elif not sign.isalnum():
+            go(at + 1, sign, word, words, score + toxicity.DROPPED)
+        elif not stands:
+            go(at + 1, sign, word, words, score + 3 * toxicity.DROPPED)
+
+    go(0, "", "", (), 0.0)
+    out = {}
+    for w, score in best.items():
+        for name in [w] if len(w) <= whole else [f"{w[:n]}*" for n in toxicity.STEMS]:
+            out[name] = max(out.get(name, -np.inf), score)
+    return out
+
+
+@pytest.mark.parametrize("whole", [24, 5])
+def test_split_finds_the_words_of_all_readings(monkeypatch, whole):
+    """Words found are those of readings within the margin; one reading is kept for each end of three letters."""
+    monkeypatch.setattr(toxicity, "WHOLE", whole)
+    r = random.Random(9)
+    plain = ["the", "garden", "i", "think", "y", "a", "river", "stupid", "moron", "idiot", "am"]
+    restorer = restorer_of(" ".join(r.choice(plain) for _ in range(3000)))
+    found = 0
+    for _ in range(150):
+        letters = "".join(r.choice(plain) for _ in range(3))[: r.randrange(3, 9)]
+        letters = letters.replace("i", "1") if r.random() < 0.4 else letters
+        run = "".join(c + r.choice(toxicity.GAP * 3 + toxicity.ODD_GAP) for c in letters)[:-1]
+        every = every_split(restorer, run, whole)
+        top = max(every.values(), default=0)
+        want = {w for w, score in every.items() if score >= top - toxicity.SPACED_MARGIN + 1e-6}
+        loose = {w for w, score in every.items() if score >= top - toxicity.SPACED_MARGIN - 1e-6}
+        got = set(restorer.split(run))
+        assert got <= loose, run
+        for w in want - got:  # a better reading of the same signs has the same end
+            assert any(x[-3:] == w[-3:] and every[x] >= every[w] for x in got), (run, w)
+        assert {w for w, score in every.items() if score == top} & got
+        found += len(got)
+    assert found > 300
+
+
+def test_disguised_words_of_any_length():
+    r = random.Random(3)
+    plain = ["the", "garden", "river", "you", "are", "stupid", "moron", "idiot"]
+    restorer = restorer_of(" ".join(r.choice(plain) for _ in range(5000)))
+    assert "idio*" in restorer.words("1d10t" + "garden-r1ver." * 30)
+    assert "idiot" in restorer.words("-.".join("-.*~" * 20).join("id10t"))  # 60 signs between letters
+    spelled = " ".join("the garden you are river ".replace(" ", "") * 12)
+    assert {"idiot", "moron"} <= restorer.words(f"{spelled} i d i o t m o r o n {spelled}")
+
+
 def test_toxicity_takes_long_texts_in_linear_time():
     import time
 
     restorer = restorer_of("the garden of the quiet river is a place for an idiot")
     finder = toxicity.FeatureFinder(np.array(restorer.log), {"idiot", "garden"})
     n = 1_000_000
-    texts = ["x" * n, "ab" * (n // 2), "7" * n, "-" * n, "!" * n, "a1" * (n // 2), "a-" * (n // 20) + "b", "1 " * (n // 2), "q" + "é" * n, "\n" * n, ("x" * 99 + "!") * (n // 100)]
+    texts = ["x" * n, "ab" * (n // 2), "7" * n, "-" * n, "!" * n, "a1" * (n // 2), "a-" * (n // 20) + "b", "1 " * (n // 2), "q" + "é" * n, "\n" * n, ("x" * 99 + "!") * (n // 100), "a " * (n // 80), "a 1 " * (n // 80), "".join(random.Random(1).choices("ab1!-o0", k=n // 10)), " ".join(random.Random(1).choices("etaoinsr", k=n // 200))]
     for text in texts:
         begun = time.perf_counter()
         assert finder.find(text + " 1d1ot") == {"idiot"}
