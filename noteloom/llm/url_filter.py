@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import filesystem, kept, materialize, stage_path
+from noteloom.llm.common import filesystem, join_hot_keys, kept, materialize, stage_path
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -230,8 +230,11 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = cut.select(F.col("host").alias("key")).distinct()
     entries = listed.select(F.translate("host", UPPER, LOWER).alias("domain")).where(F.col("domain") != "").distinct().withColumn("on_list", F.lit(True))
-    domains = hosts.select("key", F.explode(suffixes(F.col("key"))).alias("domain")).join(entries, "domain", "left")
-    universe = domains.groupBy("key").agg(F.coalesce(F.max("on_list"), F.lit(False)).alias("listed"))
+    domains = materialize(hosts.select("key", F.explode(suffixes(F.col("key"))).alias("domain")), "domains")
+    # A third of all hosts may lie below one domain: domains meet the list once each, hosts of hot ones are not shuffled.
+    totals = domains.groupBy("domain").agg(F.count("*").alias("hosts")).join(entries, "domain", "left")
+    found = join_hot_keys(domains, totals.withColumn("on_list", F.col("on_list").isNotNull()), ["domain"], "hosts", ["on_list"])
+    universe = found.groupBy("key").agg(F.max("on_list").alias("listed"))
     judged = BloomCascade.build(universe, max_bytes=max_bytes).add_listed(cut, F.col("host"), "_listed")
     return judged.withColumn("_rule", rule_column(F.col("host"), F.col("path"), rules)).select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),

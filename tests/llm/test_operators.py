@@ -741,3 +741,12 @@ def test_top_k_bounds_leave_few_annuli_of_clustered_vectors(spark):
         scores = vectors @ vectors[q]
         best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
         assert [got[q, rank] for rank in range(1, 11)] == [(i, -s) for s, i in best]
+
+
+@pytest.mark.parametrize("hot_listed", [True, False])
+def test_hosts_below_a_hot_domain_meet_the_list(spark, hot_listed):
+    hosts = [f"h{i}.net" for i in range(300)] + ["a.b.org", "b.org", "c.org", "", None]
+    pages = spark.createDataFrame([(i, None if h is None else f"http://{h}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    entries = spark.createDataFrame([("net",)] * hot_listed + [("B.org",), ("h7.net",), (None,)], "host string")
+    got = {r.page_id for r in url_filter.judge_urls(pages, entries, rules=()).where("verdict = 'block'").collect()}
+    assert got == {i for i, h in enumerate(hosts) if h and (h.endswith("b.org") or h == "h7.net" or hot_listed and h.endswith("net"))}
