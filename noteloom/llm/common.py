@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.session import BATCH_BYTES, bounded_batches  # noqa: F401 - also for the operators
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares; a temporary one only for a session in one process (tests) that names none."""
@@ -30,17 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-#: Bytes of rows that a Python worker is sent at a time: long texts must not add up to a batch of any size.
-BATCH_BYTES = 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, unless the session already has a smaller bound."""
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(setting).rstrip("bB") or 0) > BATCH_BYTES:
-        spark.conf.set(setting, str(BATCH_BYTES))
-
-
 @contextmanager
 def set_for_now(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Session settings for the actions inside."""

@@ -16,6 +16,7 @@ from noteloom.functions.text import words
 from noteloom.functions.vectors import embedding_error, hash_embedding
 from noteloom.operators.postings import SPARSE, checked
 from noteloom.schemas import EmbedderMismatch, Handshake
+from noteloom.session import bounded_batches
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
@@ -46,7 +47,8 @@ def probe(vectors: Sequence[Sequence[float]], sparse: Sequence[dict] | None = No
 
 def embed(chunks: DataFrame, load: Callable[[], Embed], width: int, batch: int = 32, attempts: int = 3, delay: float = 0.5, in_flight: int = 2) -> DataFrame:
     """Adds `dense`. `load` runs once per worker; `in_flight` batches go out at a time. A batch is tried `attempts` times
-    with a delay that doubles, then its task fails: a note gets all its vectors or none."""
+    with a delay that doubles, then its task fails: a note gets all its vectors or none. A worker holds texts of bounded bytes."""
+    bounded_batches(chunks.sparkSession)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -80,6 +82,7 @@ BOTH = f"struct<dense:array<double>,sparse:{SPARSE}>"
 def embed_both(chunks: DataFrame, load: Callable[[], Callable[[Sequence[str]], Sequence[tuple[Sequence[float], Mapping[int, float]]]]], width: int, batch: int = 32, attempts: int = 3, delay: float = 0.5, in_flight: int = 2) -> DataFrame:
     """Adds `dense` and `sparse`, from a model that gives both for each text. A vector that may not be stored fails the
     task: one of another width, not finite or zero, or a sparse one that is empty, repeats an id or has an odd weight."""
+    bounded_batches(chunks.sparkSession)
 
     @F.pandas_udf(BOTH)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -117,6 +120,7 @@ def embed_by_hash(chunks: DataFrame, width: int = 64) -> DataFrame:
 
 def sparse_by_hash(chunks: DataFrame) -> DataFrame:
     """Adds `sparse`: how often each word occurs, under a number of the word."""
+    bounded_batches(chunks.sparkSession)
 
     @F.pandas_udf(SPARSE)
     def run(ids: pd.Series) -> pd.Series:

@@ -162,6 +162,21 @@ def test_hermetic_recall(spark, tmp_path):
             golden.read_corpus(spark, str(corpus))
 
 
+def test_embedding_batches_are_bounded_by_bytes(spark):
+    def load():
+        return lambda texts: [[float(sum(map(len, texts))), 1.0] for _ in texts]
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(1 << 30))
+    try:
+        rows = spark.range(300).repartition(1).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+        got = embedding.embed(rows, load, 2, batch=1_000_000).select("id", F.get("dense", F.lit(0)).alias("held")).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert len(got) == 300 and max(r.held for r in got) <= 9_000_000
+
+
 def test_judge_errors_ties_and_chunks(spark):
     q = spark.createDataFrame([(1, "a", None, "x", False), (2, "b", 1, "x", False), (3, "c", None, "y", True)], "question_id int, uid string, chunk_index int, area string, errored boolean")
     r = spark.createDataFrame([(1, "z", 0, 5.0, 1), (1, "a", 3, 2.0, 2), (1, "y", 0, 2.0, 3), (2, "b", 0, 9.0, 1), (2, "b", 1, 1.0, 2)], "question_id int, uid string, chunk_index int, score double, rank int")
