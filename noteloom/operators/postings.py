@@ -86,13 +86,14 @@ def split_terms(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit:
     return told.withColumn("needed", F.col("rest") >= F.col("least") - SLACK)
 
 
-def top_points(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit: int, eligible: Eligible | None = None) -> DataFrame:
+def top_points(asked: DataFrame, postings: DataFrame, bounds: DataFrame, limit: int, eligible: Eligible | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """query_id, point_id, sparse_score, sparse_rank of the best `limit` points of each question.
 
     asked: query_id, tenant_id, term, weight (positive), few enough to be broadcast (`retrieval.in_blocks`). postings:
-    tenant_id, term, point_id, seq, weight. eligible: keeps the rows (query_id, point_id, seq) that may be answers.
+    tenant_id, term, point_id, seq, weight. eligible: keeps the rows (query_id, point_id, seq) that may be answers. keep:
+    stores a table that is read several times (the questions' terms with their bounds).
     """
-    told = split_terms(asked, postings, bounds, limit, eligible)
+    told = keep(split_terms(asked, postings, bounds, limit, eligible))
     beyond = told.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(~F.col("needed"), F.col("rest"))), F.lit(0.0)).alias("beyond"))
     reached = _scored(postings, told.where("needed")).join(F.broadcast(beyond), "query_id").where(F.col("score") + F.col("beyond") >= F.col("least") - SLACK)
     reached = (eligible(reached) if eligible else reached).select("query_id", "point_id", "seq", "score")

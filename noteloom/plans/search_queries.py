@@ -9,6 +9,7 @@ from noteloom.functions import vectors
 from noteloom.functions.text import tokens, words
 from noteloom.operators import embedding, postings, retrieval
 from noteloom.plans import base
+from noteloom.session import shared_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,20 +73,27 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_ranks(spark, sf_dir, LEG)
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, so that what is read several times is made once."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def lists_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions' terms, posting lists and bounds of the texts of documents that have a vector; the label is the tenant."""
     docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
     rows = vectors_of(spark, sf_dir).select("point_id", F.col("label").alias("tenant_id")).join(docs, "point_id")
     entries = rows.select("tenant_id", "point_id", F.explode(words(F.col("text"))).alias("word")).groupBy("tenant_id", "point_id", F.xxhash64("word").alias("id")).agg(F.count("*").cast("double").alias("weight"))
     stored = entries.groupBy("tenant_id", "point_id").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("sparse")).withColumns({"seq": F.lit(1).cast("bigint"), "sparse": postings.checked(F.col("sparse"))})
-    lists = postings.postings_of(stored)
+    lists = kept(postings.postings_of(stored), "postings")
     asked = lists.where(F.col("point_id") % 50 == 0).select(F.col("point_id").alias("query_id"), "tenant_id", "term", "weight")
     return asked, lists, postings.bounds_of(lists)
 
 
 def posting_ranks(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     asked, lists, bounds = lists_of(spark, sf_dir)
-    ranked = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.top_points(block, lists, bounds, limit))
+    ranked = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.top_points(block, lists, bounds, limit, keep=lambda told: kept(told, "told")))
     return ranked.select("query_id", "point_id", "sparse_score", "sparse_rank")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noteloom import index
 from noteloom.operators import chunking, counting, embedding, measuring, points, postings, retrieval
-from noteloom.plans import base
+from noteloom.plans import base, search_queries
 from tests.conftest import SF
 
 U = "0198a7f2-4b31-7c42-9e15-{:012x}".format
@@ -314,3 +314,8 @@ def test_counts_are_exact_when_a_task_fails_once(tmp_path):
     script.write_text(FAILS_ONCE)
     done = subprocess.run([sys.executable, str(script), str(tmp_path)], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.getcwd()}, timeout=300, check=False)
     assert f"COUNTS 100 {sum(len(f'word {i}') for i in range(100))} 200 True" in done.stdout, done.stderr[-2000:]
+
+
+def test_posting_lists_and_question_terms_are_made_once(spark):
+    plan = search_queries.posting_ranks(spark, SF, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no text is cut into words again
