@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import materialize, stage_path
 
-#: Levels that a superstep climbs, and nodes that a task takes.
-LEVELS, TASK_NODES = 12, 1_000_000
+#: Levels that a superstep climbs; blocks that a task takes where the session has partitions enough, and nodes that it takes
+#: at most: its Python worker sorts them in memory.
+LEVELS, TASK_BLOCKS, TASK_NODES = 12, 4, 131_072
 #: A document is tampered with where this divides the checksum of its id.
 TAMPERED = 7
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -109,8 +110,9 @@ class Forest:
         self.spark, self.levels = nodes.sparkSession, levels
         self.steps: list[DataFrame] = []  # nodes that each superstep starts from
         count, largest = nodes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-        self.most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.tasks = max(self.most, -(-count // task_nodes)) if count > task_nodes else max(1, min(self.most, count >> levels))
+        # Each task writes a file, for which Hadoop starts processes: a block alone is too little for one.
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tasks = max(1, min(most, count // (TASK_BLOCKS << levels)), -(-count // task_nodes))
         supersteps = max(1, -(-depth(largest) // levels)) if count else 0
         complete = []
         for step in range(supersteps):

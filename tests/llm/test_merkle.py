@@ -84,3 +84,12 @@ def test_many_groups(spark, tmp_path):
     rows = [(i, "t", f"lang{i % 40}", "s", i) for i in range(100)]
     path = merkle_manifest.write_manifest(docs_of(spark, rows), str(tmp_path / "manifest"), 2)
     same(spark.read.parquet(path).collect(), plain(rows))
+
+
+def test_tasks_take_several_blocks_and_bounded_nodes(spark):
+    leaves = [(f"t{i}", i) for i in range(200)]
+    nodes = spark.createDataFrame([(bytearray(b"g"), i, 200, digest(t)) for t, i in leaves], merkle_manifest.NODES)
+    forest = merkle_manifest.Forest(nodes, 3)  # 25 blocks of 8
+    assert forest.tasks == 6 and len(forest.steps[1].inputFiles()) <= 6
+    assert forest.roots.first()["digest"] == levels_of([digest(t) for t, _ in leaves])[-1][0]
+    assert merkle_manifest.Forest(nodes, 3, task_nodes=10).tasks == 20
