@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from noteloom.session import bounded_batches
+from noteloom.operators.batches import bounded_batches
 
 #: Rows of a block, and rows or numbers of vectors that a packing task holds before it lets all blocks go.
 DENSE_POINTS, DENSE_QUERIES, SPARSE_POINTS, SPARSE_QUERIES, HELD_ROWS, HELD_NUMBERS = 2048, 256, 512, 128, 16_384, 4_000_000

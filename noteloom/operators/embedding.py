@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.text import words
 from noteloom.functions.vectors import embedding_error, hash_embedding
+from noteloom.operators.batches import bounded_batches
 from noteloom.operators.postings import SPARSE, checked
 from noteloom.schemas import EmbedderMismatch, Handshake
-from noteloom.session import bounded_batches
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 

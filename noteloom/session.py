@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from noteloom.operators.batches import BATCH_BYTES, bounded_batches  # noqa: F401 - also for the operators of llm
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -24,17 +26,6 @@ def get_session(app: str = "noteloom", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-#: Bytes of rows that a Python worker is sent at a time: long texts must not add up to a batch of any size.
-BATCH_BYTES = 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, unless the session already has a smaller bound."""
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(setting).rstrip("bB") or 0) > BATCH_BYTES:
-        spark.conf.set(setting, str(BATCH_BYTES))
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
