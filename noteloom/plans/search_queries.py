@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import vectors
 from noteloom.functions.text import tokens, words
-from noteloom.operators import embedding, postings, retrieval
+from noteloom.operators import embedding, posting_blocks, postings, retrieval
 from noteloom.plans import base
 from noteloom.session import shared_path
 
@@ -92,9 +92,13 @@ def lists_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def posting_ranks(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    asked, lists, bounds = lists_of(spark, sf_dir)
-    ranked = retrieval.in_blocks(asked, retrieval.BLOCK_TERMS, lambda block: postings.top_points(block, lists, bounds, limit, keep=lambda told: kept(told, "told")))
-    return ranked.select("query_id", "point_id", "sparse_score", "sparse_rank")
+    docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    rows = vectors_of(spark, sf_dir).select(F.col("label").alias("tenant_id"), "point_id").join(docs, "point_id")
+    # A number that occurs twice is one point with the words of both rows.
+    texts = rows.groupBy("tenant_id", "point_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    stored = kept(posting_blocks.counted(retrieval.terms_of(texts, "tenant_id", "point_id")), "vectors")
+    asked = stored.where(F.col("point_id") % 50 == 0).withColumnRenamed("point_id", "query_id")
+    return retrieval.posting_leg(asked, stored, limit, kept)
 
 
 @query(f"WITH {VECTORS_SQL} SELECT query_id, point_id, sparse_score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse WHERE sparse_rank <= {LEG}")
